@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import licences, quality_rules, sentencepiece_tokens, url_filter
 
 
 def queries():
-    return {"op1_quality_rules": quality_rules.op1_quality_rules}
+    return {
+        "op1_quality_rules": quality_rules.op1_quality_rules,
+        "op6_sentencepiece": sentencepiece_tokens.op6_sentencepiece,
+        "op7_url_filter": url_filter.op7_url_filter,
+        "op8_licence_scan": licences.op8_licence_scan,
+    }
 
 
 def oracle_sql():
-    return {"op1_quality_rules": quality_rules.oracle()}
+    return {"op1_quality_rules": quality_rules.oracle(), "op7_url_filter": url_filter.oracle(), "op8_licence_scan": licences.oracle()}

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import licences, quality_rules, sentencepiece_tokens, url_filter
+from . import licences, minhash, quality_rules, sentencepiece_tokens, substring_dedup, url_filter
 
 
 def queries():
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
+        "op5_substring_dedup": substring_dedup.op5_substring_dedup,
         "op6_sentencepiece": sentencepiece_tokens.op6_sentencepiece,
         "op7_url_filter": url_filter.op7_url_filter,
         "op8_licence_scan": licences.op8_licence_scan,
+        "op10_dart_minhash": minhash.op10_dart_minhash,
     }
 
 

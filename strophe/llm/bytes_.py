@@ -46,11 +46,15 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
-def words_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Bytes that end a word of letters: all of ASCII but letters and digits.
+NO_LETTER = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def words_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and text number of each word; words end at white space and at the end of their text."""
     if not len(data):
         return (np.zeros(0, np.int64),) * 3
-    letter = ~_SPACE[data]
+    letter = ~space[data]
     edge = np.zeros(len(data), bool)  # a text begins here
     edge[starts[starts < ends]] = True
     begin = letter & (edge | ~np.concatenate([[False], letter[:-1]]))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licences, minhash, quality_classifier, quality_rules, sentencepiece_tokens, substring_dedup, toxicity, url_filter
+from . import decontaminate, licences, minhash, quality_classifier, quality_rules, sentencepiece_tokens, substring_dedup, toxicity, url_filter
 
 
 def queries():
@@ -14,6 +14,7 @@ def queries():
         "op6_sentencepiece": sentencepiece_tokens.op6_sentencepiece,
         "op7_url_filter": url_filter.op7_url_filter,
         "op8_licence_scan": licences.op8_licence_scan,
+        "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_dart_minhash": minhash.op10_dart_minhash,
     }
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licences, minhash, quality_classifier, quality_rules, sentencepiece_tokens, substring_dedup, toxicity, url_filter
+from . import decontaminate, html_text, licences, minhash, quality_classifier, quality_rules, sentencepiece_tokens, substring_dedup, toxicity, url_filter
 
 
 def queries():
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_quality_classifier": quality_classifier.op2_quality_classifier,
+        "op3_html_text": html_text.op3_html_text,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_substring_dedup": substring_dedup.op5_substring_dedup,
         "op6_sentencepiece": sentencepiece_tokens.op6_sentencepiece,

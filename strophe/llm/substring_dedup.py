@@ -5,10 +5,11 @@ have equal anchors at equal places. Each anchor has a context: all 100-byte stri
 Anchors that occur once are done. Of equal contexts all but the first are removed whole. The first ones
 of different contexts of an anchor go, some thousands at a time, into a run-length index: the Burrows-Wheeler transform of
 the contexts is cut into runs, suffixes are sampled at run ends, and match lengths with the suffix before in
-order are streamed along the text from the samples (between them a length falls by one each step).
-Strings of 100 bytes in a chain of matches of 100 or more are equal; all but the earliest are marked.
-An anchor of more contexts than ``most`` (a third of all documents may share a line) has its strings grouped by digest
-instead, by partial aggregation, so no task ever holds a large group.
+order are streamed along the text from the samples (between them a length falls by one each step). What all strings of a
+quarter of the context share, its core, is one symbol there.
+Strings in a chain of full matches are equal; all but the earliest are marked.
+An anchor of more contexts than ``most`` (a third of all documents may share a line) has its quarters, and the strings of those that
+stay open, grouped by digest instead, by partial aggregation, so no task ever holds a large group.
 
 doc_id identifies a text; rows that repeat it count once and share the result. Null and short texts keep all they have.
 Null doc_ids match nothing.
@@ -28,7 +29,7 @@ from .bytes_ import MIXED, batches_of, mix, powers
 from .common import Scratch, arrow_rows, drop_inputs, table
 
 LENGTH, GRAM = 100, 32
-MOST = 4000
+MOST = 20_000
 CHUNK = 8000  # contexts in one index
 
 
@@ -96,16 +97,10 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 def suffix_levels(t: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Suffix array of t (values under 512, 0 ends a context) by prefix doubling, and the ranks at each length on the way."""
-    n = len(t)
-    key = np.zeros(n, np.uint64)
-    for k in range(7):
-        part = np.zeros(n, np.uint64)
-        part[: n - k] = t[k:]
-        key = key << np.uint64(9) | part
-    size, levels = 7, []
+    """Suffix array of t (0 ends a piece) by prefix doubling, and the ranks at each length on the way."""
+    n, key, size, levels = len(t), t.astype(np.uint64), 1, []
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.ones(n, bool)
         new[1:] = key[order[1:]] != key[order[:-1]]
         rank = np.empty(n, np.int64)
@@ -113,64 +108,111 @@ def suffix_levels(t: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray
         levels.append((size, rank.astype(np.int32)))
         if new.all() or size >= n:
             return order, levels
-        after = np.zeros(n, np.int64)
-        after[: n - size] = rank[size:] if size < n else 0
-        key = (rank.astype(np.uint64) << np.uint64(32)) | after.astype(np.uint64)
+        after = np.zeros(n, np.uint64)
+        after[: n - size] = rank[size:]
+        key = rank.astype(np.uint64) << np.uint64(32) | after
         size *= 2
 
 
-def earlier(contexts: list[bytes], origin: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each context, the starts of its strings of this length that also start at a smaller origin (origin: of a context's first byte)."""
-    sizes = np.array([len(c) for c in contexts])
-    t = np.frombuffer(b"\0\0".join([b"", *contexts, b""]), np.uint8).astype(np.uint16)
-    heads = np.cumsum(np.concatenate([[2], sizes[:-1] + 2]))
-    t = t + 1
-    t[np.concatenate([heads - 2, heads - 1, [len(t) - 2, len(t) - 1]])] = 0
+def run_index(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix order of t and the length that each suffix shares with the one before it in order."""
     n = len(t)
     order, levels = suffix_levels(t)
-    # Run-length index: runs of the transform, and the suffixes at their ends.
+    # The transform in runs, with the suffixes sampled at their ends.
     bwt = t[order - 1]
     first = np.ones(n, bool)
     first[1:] = bwt[1:] != bwt[:-1]
-    heads_of_runs = np.flatnonzero(first)
-    sample, before = order[heads_of_runs], order[np.maximum(heads_of_runs - 1, 0)]
-    match = np.zeros(len(sample), np.int64)
-    p, q = sample.copy(), before.copy()
-    for size, rank in reversed(levels):  # a length of matches at the samples, the longest steps first
-        for _ in range(2 if size == levels[-1][0] else 1):
-            ok = (p < n) & (q < n)
-            ok[ok] = rank[p[ok]] == rank[q[ok]]
-            match[ok], p[ok], q[ok] = match[ok] + size, p[ok] + size, q[ok] + size
-    for _ in range(6):
+    heads = np.flatnonzero(first)
+    sample, before = order[heads], order[np.maximum(heads - 1, 0)]
+    match, p, q = np.zeros(len(sample), np.int64), sample.copy(), before.copy()
+    for size, rank in reversed(levels):  # match lengths at the samples: the longest steps first; the longest of all differ
         ok = (p < n) & (q < n)
-        ok[ok] = t[p[ok]] == t[q[ok]]
-        match[ok], p[ok], q[ok] = match[ok] + 1, p[ok] + 1, q[ok] + 1
-        live = ok
-        p[~live], q[~live] = n, n
+        ok[ok] = rank[p[ok]] == rank[q[ok]]
+        match[ok], p[ok], q[ok] = match[ok] + size, p[ok] + size, q[ok] + size
     match[sample == order[0]] = 0
-    # Streaming along the text: from a sample on, each step leaves one byte less.
-    at_sample = np.full(n, -1, np.int64)
-    at_sample[sample] = match
-    last = np.maximum.accumulate(np.where(at_sample >= 0, np.arange(n), 0))
-    length_at = np.where(at_sample[last] >= 0, at_sample[last] - (np.arange(n) - last), 0)
-    # Chains of suffixes that match their predecessor for the whole length are equal strings.
-    where = np.full(n, -1, np.int64)
-    inside = np.repeat(np.arange(len(sizes)), sizes)
-    place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    whole = place + length <= sizes[inside]
-    pos = heads[inside] + place
-    where[pos[whole]] = origin[inside[whole]] + place[whole]
-    linked = length_at[order] >= length
-    chain = np.cumsum(~linked)
-    value = where[order]
-    known = value >= 0
-    c, v, o = chain[known], value[known], order[known]
-    cut = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, np.int64)
-    least = np.repeat(np.minimum.reduceat(v, cut), np.diff(np.append(cut, len(c)))) if len(c) else v
-    marked = np.sort(o[v > least])
-    owner = np.searchsorted(heads, marked, "right") - 1
-    bounds = np.searchsorted(owner, np.arange(len(sizes) + 1))
-    return [marked[bounds[i] : bounds[i + 1]] - heads[i] for i in range(len(sizes))]
+    # Streaming along the text: from a sample on, each step leaves one symbol less.
+    known = np.full(n, -1, np.int64)
+    known[sample] = match
+    last = np.maximum.accumulate(np.where(known >= 0, np.arange(n), 0))
+    shared = np.where(known[last] >= 0, known[last] - (np.arange(n) - last), 0)
+    return order, shared
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of stretches, one after the other, and the stretch of each."""
+    which = np.repeat(np.arange(len(sizes)), sizes)
+    return starts[which] + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes), which
+
+
+def quarters(length: int, gram: int) -> list[tuple[int, int]]:
+    """The starts of the strings around an anchor, relative to it, in four stretches. All strings of a stretch share its core."""
+    cuts = np.linspace(-(length - gram), 1, 5).astype(int)
+    return [(int(x), int(y) - 1) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def split_contexts(sizes: np.ndarray, left: np.ndarray, length: int, gram: int):
+    """For each context and quarter with a string: context, quarter, first and last string start (in the context), core start and end."""
+    out = []
+    for k, (a, b) in enumerate(quarters(length, gram)):
+        lo, hi = np.maximum(left + a, 0), np.minimum(left + b, sizes - length)
+        i = np.flatnonzero(lo <= hi)
+        out.append(np.stack([i, np.full(len(i), k), lo[i], hi[i], left[i] + b, left[i] + a + length], 1))
+    return np.concatenate(out)
+
+
+def earlier(contexts: list[bytes], left: np.ndarray, origin: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Context, start and end of stretches whose strings also start at a smaller origin (origin: of a context's first byte; left: its anchor).
+
+    Cores found once are done; equal stretches but the first are whole ones. The others are written as symbols (what is left of the
+    core, the core as one symbol, what is right of it), and the run-length index of these finds equal strings.
+    """
+    sizes = np.array([len(c) for c in contexts])
+    data = np.frombuffer(b"".join(contexts), np.uint8)
+    base = np.cumsum(sizes) - sizes
+    part = split_contexts(sizes, left, length, gram)
+    i, _, lo, hi, c0, c1 = part.T
+    core = mix(powers.spans(data, base[i] + c0, base[i] + c1) ^ mix((c1 - c0).astype(np.uint64)))
+    whole = mix(powers.spans(data, base[i] + lo, base[i] + hi + length) ^ mix((c0 - lo).astype(np.uint64) * np.uint64(4096) + (hi + length - c1).astype(np.uint64)))
+    at = origin[i] + lo
+    order = np.lexsort((at, whole, core))
+    new_core = np.ones(len(order), bool)
+    new_core[1:] = core[order][1:] != core[order][:-1]
+    new = new_core.copy()
+    new[1:] |= whole[order][1:] != whole[order][:-1]
+    again = order[~new & (at[order] > at[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))])]
+    group = np.cumsum(new_core) - 1
+    several = np.bincount(group, weights=new)[group] > 1
+    open_, symbol = order[new & several], group[new & several]
+    ctx, start, end = [i[again]], [lo[again]], [hi[again] + length]
+    if len(open_):
+        i, lo, hi, c0, c1 = (v[open_] for v in (i, lo, hi, c0, c1))
+        a, b = c0 - lo, hi + length - c1
+        size = a + b + 2
+        head = np.cumsum(size) - size + 1  # a separator before each piece
+        t = np.zeros(size.sum() + 1, np.int64)
+        to, _ = _ranges(head, a)
+        t[to] = data[_ranges(base[i] + lo, a)[0]].astype(np.int64) + 1
+        t[head + a] = 257 + np.unique(symbol, return_inverse=True)[1]
+        to, _ = _ranges(head + a + 1, b)
+        t[to] = data[_ranges(base[i] + c1, b)[0]].astype(np.int64) + 1
+        order, shared = run_index(t)
+        places, piece = _ranges(head, hi - lo + 1)
+        value, need = np.full(len(t), -1, np.int64), np.full(len(t), len(t), np.int64)
+        value[places] = origin[i][piece] + lo[piece] + (places - head[piece])
+        need[places] = (length - (c1 - c0) + 1)[piece]
+        chain = np.cumsum(shared[order] < need[order])
+        v, inside = value[order], value[order] >= 0
+        v, chain, where = v[inside], chain[inside], order[inside]
+        cut = np.flatnonzero(np.concatenate([[True], chain[1:] != chain[:-1]]))
+        least = np.repeat(np.minimum.reduceat(v, cut), np.diff(np.append(cut, len(v))))
+        marked = np.sort(where[v > least])
+        run = np.concatenate([[True], marked[1:] > marked[:-1] + 1]) if len(marked) else np.zeros(0, bool)
+        x, y = marked[run], marked[np.append(run[1:], True)] if len(marked) else marked
+        piece = np.searchsorted(head, x, "right") - 1
+        ctx.append(i[piece])
+        start.append(lo[piece] + x - head[piece])
+        end.append(lo[piece] + y - head[piece] + length)
+    return np.concatenate(ctx), np.concatenate(start), np.concatenate(end)
 
 
 def _code(kind: int, a, b):
@@ -178,46 +220,61 @@ def _code(kind: int, a, b):
     return (F.lit(kind).cast("long") * (1 << 60)) + a.cast("long") * (1 << 30) + b.cast("long")
 
 
-def index_marks(rows: DataFrame, length: int) -> DataFrame:
-    """rows (h, doc_id, at, start, context), sorted by h within partitions -> doc_id, code of removed stretches."""
+def index_marks(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """rows (h, doc_id, start, lead, context), sorted by h within partitions -> doc_id, code of removed stretches."""
 
     def solve(part):
-        ids, starts, texts = part
-        _, doc = np.unique(np.array(ids), return_inverse=True)
-        found = earlier(texts, doc.astype(np.int64) * (1 << 31) + np.array(starts), length)
-        keys, codes = [], []
-        for k, s, at in zip(ids, starts, found, strict=True):
-            if not len(at):
-                continue
-            head = np.concatenate([[True], at[1:] > at[:-1] + 1])
-            a, b = at[head], at[np.concatenate([head[1:], [True]])] + length
-            codes += [(2 << 60) + ((s + int(x)) << 30) + s + int(y) for x, y in zip(a, b, strict=True)]
-            keys += [k] * len(a)
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(codes, pa.int64())], ["doc_id", "code"])
+        ids, starts, leads, texts = part
+        keys, starts = np.array(ids, np.int64), np.array(starts, np.int64)
+        _, doc = np.unique(keys, return_inverse=True)
+        ctx, a, b = earlier(texts, np.array(leads, np.int64), doc.astype(np.int64) * (1 << 31) + starts, length, gram)
+        codes = (2 << 60) + ((starts[ctx] + a) << 30) + starts[ctx] + b
+        return pa.RecordBatch.from_arrays([pa.array(keys[ctx]), pa.array(codes)], ["doc_id", "code"])
 
     def run(batches):
-        held, group, last = ([], [], []), ([], [], []), None
+        held, group, last = ([], [], [], []), ([], [], [], []), None
         for b in batches:
-            for h, k, s, x in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for h, *row in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 if h != last:
                     for u, v in zip(held, group, strict=True):
                         u.extend(v)
-                    group, last = ([], [], []), h
+                    group, last = ([], [], [], []), h
                     if len(held[0]) >= CHUNK:
                         yield solve(held)
-                        held = ([], [], [])
-                for u, v in zip(group, (k, s, x), strict=True):
+                        held = ([], [], [], [])
+                for u, v in zip(group, row, strict=True):
                     u.append(v)
         for u, v in zip(held, group, strict=True):
             u.extend(v)
         if held[0]:
             yield solve(held)
 
-    return rows.select("h", "doc_id", "start", "context").mapInArrow(run, "doc_id long, code long")
+    return rows.select("h", "doc_id", "start", "lead", "context").mapInArrow(run, "doc_id long, code long")
+
+
+def quarters_of(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """The quarters of contexts: core and whole (digests), doc_id, at (of the first string), bytes."""
+
+    def run(batches):
+        for b in batches:
+            out = ([], [], [], [], [])
+            keys, starts, leads, texts = (b.column(i).to_pylist() for i in range(4))
+            if not keys:
+                continue
+            d = lambda x: hashlib.blake2b(x, digest_size=16).digest()
+            for i, k, lo, hi, c0, c1 in split_contexts(np.array([len(x) for x in texts]), np.array(leads), length, gram).tolist():
+                x = texts[i]
+                row = (d(b"%d:" % k + x[c0:c1]), d(b"%d:" % (c0 - lo) + x[lo : hi + length]), keys[i], starts[i] + lo, x[lo : hi + length])
+                for col, v in zip(out, row, strict=True):
+                    col.append(v)
+            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["core", "whole", "doc_id", "at", "bytes"])
+
+    return rows.select("doc_id", "start", "lead", "context").mapInArrow(run, "core binary, whole binary, doc_id long, at int, bytes binary")
 
 
 def strings_of(rows: DataFrame, length: int) -> DataFrame:
-    """All strings of each context by digest: digest, doc_id, at."""
+    """All strings of each stretch by digest: digest, doc_id, at."""
 
     def run(batches):
         for b in batches:
@@ -228,26 +285,39 @@ def strings_of(rows: DataFrame, length: int) -> DataFrame:
                 a += range(s, s + len(x) - length + 1)
             yield pa.RecordBatch.from_arrays([pa.array(d, pa.binary()), pa.array(k, pa.int64()), pa.array(a, pa.int32())], ["digest", "doc_id", "at"])
 
-    return rows.select("doc_id", "start", "context").mapInArrow(run, "digest binary, doc_id long, at int")
+    return rows.select("doc_id", "at", "bytes").mapInArrow(run, "digest binary, doc_id long, at int")
+
+
+def common_marks(rows: DataFrame, scratch: Scratch, length: int, gram: int) -> DataFrame:
+    """doc_id, code of removed stretches, for contexts of anchors too common for one index: all by partial aggregation."""
+    place = lambda: F.struct("doc_id", "at")
+    part = scratch.keep(quarters_of(rows, length, gram))
+    first = part.groupBy("core", "whole").agg(F.min(place()).alias("f"))
+    again = part.join(first, ["core", "whole"])
+    late = again.filter(place() > F.col("f")).select("doc_id", _code(2, F.col("at"), F.col("at") + F.length("bytes")).alias("code"))
+    several = first.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core")
+    strings = strings_of(again.filter(place() == F.col("f")).join(several, "core"), length).distinct()
+    one = strings.groupBy("digest").agg(F.min(place()).alias("f"))
+    return late.unionAll(strings.join(one, "digest").filter(place() > F.col("f")).select("doc_id", _code(2, F.col("at"), F.col("at") + length).alias("code")))
 
 
 def contexts_of(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """rows (doc_id, size, z, wanted array<struct<at,h,hot>>) -> h, doc_id, start, context, hot."""
+    """rows (doc_id, size, z, wanted array<struct<at,h,hot>>) -> h, doc_id, start, lead (place of the anchor in the context), context, hot."""
     w = length - gram
 
     def run(batches):
         for b in batches:
-            out = ([], [], [], [], [])
+            out = ([], [], [], [], [], [])
             for key, size, z, wanted in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 raw = pa.decompress(z, size, "zstd", asbytes=True) if size else b""
                 for x in wanted:
                     s = max(0, x["at"] - w)
-                    for col, v in zip(out, (x["h"], key, s, raw[s : x["at"] + length], x["hot"]), strict=True):
+                    for col, v in zip(out, (x["h"], key, s, x["at"] - s, raw[s : x["at"] + length], x["hot"]), strict=True):
                         col.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["h", "doc_id", "start", "context", "hot"])
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["h", "doc_id", "start", "lead", "context", "hot"])
 
-    return docs.select("doc_id", "size", "z", "wanted").mapInArrow(run, "h long, doc_id long, start int, context binary, hot boolean")
+    return docs.select("doc_id", "size", "z", "wanted").mapInArrow(run, "h long, doc_id long, start int, lead int, context binary, hot boolean")
 
 
 def removed(raw: bytes, codes, length: int, gram: int) -> np.ndarray:
@@ -283,11 +353,10 @@ def marks(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = G
     several = firsts.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
     wanted = firsts.join(several, "h").select("doc_id", F.struct("at", "h", (F.col("n") > most).alias("hot")).alias("x"))
     contexts = keep(contexts_of(packed(docs).dropDuplicates(["doc_id"]).join(wanted.groupBy("doc_id").agg(F.collect_list("x").alias("wanted")), "doc_id"), length, gram))
-    indexed = index_marks(contexts.filter("NOT hot").repartition("h").sortWithinPartitions("h", "doc_id", "start"), length)
-    strings = strings_of(contexts.filter("hot"), length).distinct()
-    first = strings.groupBy("digest").agg(F.min(F.struct("doc_id", "at")).alias("f"))
-    late = strings.join(first, "digest").filter(F.struct("doc_id", "at") > F.col("f")).select("doc_id", _code(2, F.col("at"), F.col("at") + length).alias("code"))
-    stretches = keep(indexed.unionAll(late))
+    indexed = index_marks(contexts.filter("NOT hot").repartition("h").sortWithinPartitions("h", "doc_id", "start"), length, gram)
+    stretches = keep(indexed)
+    if not contexts.filter("hot").isEmpty():
+        stretches = keep(stretches.unionAll(common_marks(contexts.filter("hot"), scratch, length, gram)))
     scratch.drop(contexts)
     zero = F.lit(0)
     codes = seen.select("doc_id", _code(0, F.col("at"), zero).alias("code")).unionAll(firsts.select("doc_id", _code(1, F.col("at"), zero).alias("code"))).unionAll(stretches)

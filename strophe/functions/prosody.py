@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .core import let
 from .enums import ALL_METERS, HIGH, MEDIUM, METER_SYNONYMS, METERS, RARE_METERS, SCHEME_BY_MASK
 
 #: Verse forms and the stress patterns (I stressed, o unstressed) that they match from the start, the first match wins.
@@ -161,6 +162,10 @@ def repeated_scheme(base: Column, n: Column) -> Column:
 
 def alliteration(phones: Column) -> Column:
     """Equal pairs weighted by nearness, over all pairs; 0 for fewer than two phones."""
+    return let(phones, _alliteration)
+
+
+def _alliteration(phones: Column) -> Column:
     n = F.size(phones)
     # pairs of lag d: each weighs 1/d, and there are n - d of them
     lags = F.sequence(F.lit(1), n - 1)

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .core import let
 from .enums import EMOTIONS
 from .prosody import FORMS, foot_and_metre, known_meter, meter_label, stresses, versification
 from .text import last_word
@@ -19,7 +20,11 @@ assert FORMS
 
 def rhyme_probability(a: Column, b: Column) -> Column:
     """Common end of the last words, of three letters at most, in thirds; 0 for equal words."""
-    x, y = last_word(a), last_word(b)
+    return let(F.struct(last_word(a).alias("x"), last_word(b).alias("y")), _rhyme)
+
+
+def _rhyme(words: Column) -> Column:
+    x, y = words["x"], words["y"]
     same = lambda n: (F.length(x) >= n) & (F.length(y) >= n) & (F.right(x, F.lit(n)) == F.right(y, F.lit(n)))
     return F.when(x == y, 0.0).when(same(3), 1.0).when(same(2), 2 / 3).when(same(1), 1 / 3).otherwise(0.0)
 
@@ -31,8 +36,8 @@ def pattern(verse: Column) -> Column:
 
 
 def meter(verse: Column) -> Column:
-    foot, _ = foot_and_metre(versification(stresses(pattern(verse))))
-    return F.when(known_meter(foot), meter_label(F.when(known_meter(foot), foot).otherwise("other"))).otherwise("other")
+    form = let(stresses(pattern(verse)), lambda p: versification(p))
+    return let(foot_and_metre(form)[0], lambda foot: meter_label(F.when(known_meter(foot), foot).otherwise("other")))
 
 
 def meter_probability(verse: Column, target: Column) -> Column:
@@ -57,5 +62,5 @@ def initials(verse: Column) -> Column:
 def next_sentence(a: Column, b: Column) -> Column:
     """Jaccard similarity of the words."""
     w = lambda x: F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit(r"\p{L}+"), F.lit(0)))
-    both, either = F.size(F.array_intersect(w(a), w(b))), F.size(F.array_union(w(a), w(b)))
-    return F.when(either == 0, 0.0).otherwise(both / either)
+    sizes = let(F.struct(w(a).alias("x"), w(b).alias("y")), lambda s: F.struct(F.size(F.array_intersect(s["x"], s["y"])).alias("both"), F.size(F.array_union(s["x"], s["y"])).alias("either")))
+    return let(sizes, lambda s: F.when(s["either"] == 0, 0.0).otherwise(s["both"] / F.greatest(s["either"], F.lit(1))))

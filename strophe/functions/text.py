@@ -25,7 +25,7 @@ def strip(x: Column) -> Column:
 def normalize_characters(x: Column) -> Column:
     """Corrections in order; a leading b'…' is unwrapped; of two capitals before a small letter the second is lowered."""
     y = reduce(lambda c, r: F.regexp_replace(c, r[0], r[1]), CORRECTIONS, x)
-    y = F.when(y.startswith("b'"), F.expr("substring(_s, 3, greatest(length(_s) - 3, 0))") if False else F.substring(y, F.lit(3), F.greatest(F.length(y) - 3, F.lit(0)))).otherwise(y)
+    y = F.when(y.startswith("b'"), F.substring(y, F.lit(3), F.greatest(F.length(y) - 3, F.lit(0)))).otherwise(y)
     two, third = F.substring(y, 1, 2), F.substring(y, 3, 1)
     upper = two.rlike(r"\p{Lu}") & ~two.rlike(r"[\p{Ll}\p{Lt}]")
     lowered = F.concat(F.substring(y, 1, 1), F.lower(F.substring(y, 2, 1)), F.substring(y, F.lit(3), F.length(y)))

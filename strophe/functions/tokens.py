@@ -17,9 +17,8 @@ BYTE3 = {"pad": 0, "eos": 1, "unk": 2, "offset": 3, "extra": 259, "extras": 125}
 
 def byte_ids(x: Column, offset: int = 4) -> Column:
     """Each UTF-8 byte as an id; empty text, no ids."""
-    h = F.hex(F.encode(x, "UTF-8"))
-    pair = lambda p: F.transform(F.array(p), lambda v: F.transform(F.sequence(F.lit(1), F.length(v), F.lit(2)), lambda i: F.conv(F.substring(v, i, F.lit(2)), 16, 10).cast("int") + offset))[0]
-    return F.when(F.length(h) > 0, pair(h)).otherwise(F.array().cast("array<int>"))
+    pairs = F.regexp_extract_all(F.hex(F.encode(x, "UTF-8")), F.lit(".."), F.lit(0))
+    return F.transform(pairs, lambda b: F.conv(b, 16, 10).cast("int") + offset)
 
 
 def with_specials(a: Column, b: Column | None = None, bos: int | None = 0, eos: int | None = 1) -> Column:

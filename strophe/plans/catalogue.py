@@ -1,11 +1,450 @@
-"""Registered queries and their SQL twins."""
+"""Registered queries of the verse operators and their DuckDB twins; doubles are rounded alike on both sides."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from strophe.functions import enums, prosody, scorers, text, tokens
+from strophe.operators import annotate, metrics, pairs, splits, stats, windows
+
+from . import fixtures
+
+Q: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        Q[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries():
-    return {}
+    return Q
 
 
 def oracle_sql():
-    return {}
+    return SQL
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quatrains(spark, sf_dir):
+    docs = t(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return windows.quatrain_windows(docs, windows.lines(F.col("text"))).drop("text")
+
+
+def r6(x):
+    return F.round(x, 6)
+
+
+IDS = ["doc_id", "start"]
+WIN = """d AS (SELECT doc_id, lang, string_split(text, chr(10)) AS l FROM documents),
+w AS (SELECT doc_id, lang, CAST(s AS INT) AS start, l[s + 1 : s + 4] AS q FROM (SELECT *, unnest(range(0, greatest(len(l) - 3, 0))) AS s FROM d)),
+k AS (SELECT * FROM w WHERE len(list_filter(q, lambda v: length(v) <= 10 OR ends_with(v, '-'))) = 0)"""
+#: Macros would need a statement of their own, so the stand-in scorers are written out.
+LAST = lambda v: f"regexp_extract(lower({v}), '(\\p{{L}}+)[^\\p{{L}}]*$', 1)"
+
+
+def rhyme_sql(a: str, b: str) -> str:
+    x, y = LAST(a), LAST(b)
+    same = lambda n: f"(length({x}) >= {n} AND length({y}) >= {n} AND right({x}, {n}) = right({y}, {n}))"
+    return f"CASE WHEN {x} = {y} THEN 0.0::DOUBLE WHEN {same(3)} THEN 1.0 WHEN {same(2)} THEN 2.0::DOUBLE / 3 WHEN {same(1)} THEN 1.0::DOUBLE / 3 ELSE 0.0 END"
+
+
+WORDS = lambda v: f"regexp_extract_all({v}, '\\p{{L}}+')"
+PATTERN = lambda v: f"coalesce(array_to_string(list_transform({WORDS(v)}, lambda x: CASE WHEN length(x) % 2 = 1 THEN 'I' ELSE 'o' END), ''), '')"
+SYN = "CASE foot " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in enums.METER_SYNONYMS.items()) + " ELSE foot END"
+_list = lambda v: ", ".join(f"'{x}'" for x in v)
+METER_OF_FOOT = f"CASE WHEN {SYN} IN ({_list(m for m in enums.METERS if m != 'other')}) THEN {SYN} ELSE 'other' END"
+FORM = prosody.versification_sql("p")
+#: Different lines with their meter.
+LINE_METERS = f"""v AS (SELECT DISTINCT unnest(q) AS verse FROM k), vp AS (SELECT verse, {PATTERN('verse')} AS p FROM v),
+vm AS (SELECT verse, {METER_OF_FOOT} AS label FROM (SELECT verse, split_part({FORM}, '.', 1) AS foot FROM vp))"""
+ALLIT = """CASE WHEN len(c) < 2 THEN 0.0 ELSE list_sum(list_transform(range(1, len(c)), lambda d: CAST(len(list_filter(range(1, len(c) - d + 1), lambda i: c[i] = c[i + d])) AS DOUBLE) / d))
+  / list_sum(list_transform(range(1, len(c)), lambda d: CAST(len(c) - d AS DOUBLE) / d)) END"""
+LINE_ALLIT = f"va AS (SELECT verse, {ALLIT} AS score FROM (SELECT verse, list_transform({WORDS('lower(verse)')}, lambda x: x[1:1]) AS c FROM (SELECT DISTINCT unnest(q) AS verse FROM k)))"
+Q_ALLIT = "qa AS (SELECT doc_id, start, sum(score) / 4 AS score FROM (SELECT doc_id, start, unnest(q) AS verse FROM k) JOIN va USING (verse) GROUP BY doc_id, start)"
+LEVEL = lambda s: f"CASE WHEN round({s}, 9) < 0.05 THEN 'low' WHEN round({s}, 9) < 0.1 THEN 'medium' ELSE 'high' END"
+MASK = " + ".join(f"CASE WHEN {rhyme_sql(f'q[{i + 1}]', f'q[{j + 1}]')} >= 0.5 THEN {1 << b} ELSE 0 END" for b, (i, j) in enumerate(enums.PAIRS))
+SCHEMES = "[" + ", ".join("NULL" if s == "--" else f"'{s}'" for s in enums.SCHEME_BY_MASK) + "]"
+RHYMES = f"qr AS (SELECT * FROM (SELECT doc_id, lang, start, q, ({SCHEMES})[{MASK} + 1] AS rhyme FROM k) WHERE rhyme IS NOT NULL)"
+VOTES = """vt AS (SELECT doc_id, start, label, count(*) AS n, min(pos) AS f FROM (SELECT doc_id, start, unnest(q) AS verse, unnest([0, 1, 2, 3]) AS pos FROM {src}) JOIN vm USING (verse) GROUP BY ALL),
+qm AS (SELECT doc_id, start, CASE WHEN n >= 2 THEN label ELSE 'other' END AS meter FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, start ORDER BY n DESC, f) AS r FROM vt) WHERE r = 1)"""
+
+
+@query(f"WITH {WIN} SELECT lang, count(*) AS n FROM k GROUP BY lang")
+def quatrain_windows_by_language(spark, d):
+    return quatrains(spark, d).groupBy("lang").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {WIN} SELECT doc_id, start, array_to_string(q, chr(10)) AS quatrain FROM k")
+def quatrain_windows(spark, d):
+    return quatrains(spark, d).select("doc_id", "start", F.array_join("quatrain", "\n").alias("quatrain"))
+
+
+@query("SELECT conv_id, turn, text, next FROM (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations) WHERE next IS NOT NULL")
+def adjacent_pairs(spark, d):
+    return windows.adjacent(t(spark, d, "conversations"), "conv_id", "turn", "text").select("conv_id", "turn", "text", "next")
+
+
+@query(f"WITH {WIN} SELECT doc_id, start, i, j, q[i + 1] AS a, q[j + 1] AS b FROM k, (VALUES {', '.join(str(p) for p in enums.PAIRS)}) p(i, j)")
+def verse_pairs(spark, d):
+    return quatrains(spark, d).select(*IDS, F.explode(windows.verse_pairs(F.col("quatrain"))).alias("p")).select(*IDS, "p.*")
+
+
+def _chain(x: str, rules) -> str:
+    for a, b in rules:
+        x = f"regexp_replace({x}, '{a.replace(chr(39), chr(39) * 2)}', '{b.replace(chr(39), chr(39) * 2)}', 'g')"
+    return x
+
+
+@query(f"""WITH a AS (SELECT doc_id, {_chain("text", text.CORRECTIONS)} AS y FROM documents), b AS (SELECT doc_id, CASE WHEN starts_with(y, 'b''') THEN substr(y, 3, greatest(length(y) - 3, 0)) ELSE y END AS y FROM a)
+SELECT doc_id, md5(CASE WHEN length(y) >= 3 AND regexp_matches(y[1:2], '\\p{{Lu}}') AND NOT regexp_matches(y[1:2], '[\\p{{Ll}}\\p{{Lt}}]') AND NOT regexp_matches(y[3:3], '\\p{{Lu}}') THEN y[1:1] || lower(y[2:2]) || y[3:] ELSE y END) AS digest FROM b""")
+def normalize_text(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.md5(text.normalize_characters(F.col("text")).cast("binary")).alias("digest"))
+
+
+@query(r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '[\p{L}\p{M}\p{N}]+(?:''[\p{L}\p{M}]+)*|[^\s\p{L}\p{M}\p{N}]')) AS INT) AS n_tokens,
+CAST(len(list_filter(regexp_extract_all(text, '[\p{L}\p{M}\p{N}]+(?:''[\p{L}\p{M}]+)*|[^\s\p{L}\p{M}\p{N}]'), lambda x: NOT regexp_matches(x, '^[!-/:-@\[-`{-~]+$'))) AS INT) AS n_clean FROM documents""")
+def clean_tokens(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.size(text.tokens(F.col("text"))).alias("n_tokens"), F.size(text.clean_tokens(F.col("text"))).alias("n_clean"))
+
+
+@query()
+def clean_sentences(spark, d):
+    return t(spark, d, "documents").select("doc_id", text.clean_sentence(F.col("text")).alias("clean"), text.emotion_detokenize(F.col("text")).alias("detokenized"))
+
+
+@query(r"""SELECT doc_id, md5(regexp_replace(text, '\s*\n\s*', chr(10), 'g')) AS lines, md5(regexp_replace(text, '\s(''[\p{L}\p{M}\p{N}_]{1,2})', '\1', 'g')) AS contractions,
+md5(CASE WHEN instr(text[2:], '.') > 0 THEN text[1 : instr(text[2:], '.')] ELSE text[1 : greatest(length(text) - 1, 0)] END) AS cut FROM documents""")
+def generation_cleanup(spark, d):
+    x = F.col("text")
+    md5 = lambda c: F.md5(c.cast("binary"))
+    return t(spark, d, "documents").select("doc_id", md5(text.collapse_newlines(x)).alias("lines"), md5(text.join_contractions(x)).alias("contractions"), md5(text.cut_after_second(x, ".")).alias("cut"))
+
+
+@query("""SELECT doc_id, md5(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')) AS html,
+md5(array_to_string(list_transform(string_split(text, ''), lambda c: CASE c WHEN '&' THEN '\\&' WHEN '%' THEN '\\%' WHEN '$' THEN '\\$' WHEN '#' THEN '\\#' WHEN '_' THEN '\\_' WHEN '{' THEN '\\{' WHEN '}' THEN '\\}' WHEN '~' THEN '\\textasciitilde{}' WHEN '^' THEN '\\^{}' WHEN '\\' THEN '\\textbackslash{}' WHEN '<' THEN '\\textless{}' WHEN '>' THEN '\\textgreater{}' ELSE c END), '')) AS tex FROM documents""")
+def markup_escapes(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.md5(text.html_escape(F.col("text")).cast("binary")).alias("html"), F.md5(text.tex_escape(F.col("text")).cast("binary")).alias("tex"))
+
+
+BYTES = "list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST(('0x' || x) AS INT) + {off})"
+
+
+@query(f"SELECT doc_id, CAST(octet_length(encode(text)) AS INT) AS n, CAST(coalesce(list_sum({BYTES.format(off=4)}), 0) AS BIGINT) AS s4, CAST(coalesce(list_sum({BYTES.format(off=3)}), 0) + 1 AS BIGINT) AS s3 FROM documents")
+def byte_tokens(spark, d):
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
+    ids = t(spark, d, "documents").select("doc_id", tokens.byte_ids(F.col("text")).alias("a"), tokens.with_specials(tokens.byte_ids(F.col("text"), 3), bos=None, eos=1).alias("b"))
+    return ids.select("doc_id", F.size("a").alias("n"), total(F.col("a")).alias("s4"), total(F.col("b")).alias("s3"))
+
+
+@query("SELECT doc_id, TRUE AS same FROM documents")
+def byte_round_trip(spark, d):
+    ids = t(spark, d, "documents").withColumn("ids", tokens.with_specials(tokens.byte_ids(F.col("text"))))
+    return ids.select("doc_id", (tokens.decode_ids()("ids") == F.col("text")).alias("same"))
+
+
+BLOCKS = f"b AS (SELECT doc_id, a, unnest(range(0, len(a) // 1024)) AS i FROM (SELECT doc_id, {BYTES.format(off=4)} AS a FROM documents))"
+
+
+@query(f"WITH {BLOCKS} SELECT doc_id, CAST(i AS INT) AS block, CAST(list_sum(a[i * 1024 + 1 : i * 1024 + 1024]) AS BIGINT) AS total FROM b")
+def chunk_blocks(spark, d):
+    b = t(spark, d, "documents").select("doc_id", F.posexplode(tokens.blocks(tokens.byte_ids(F.col("text")), 1024)).alias("block", "ids"))
+    return b.select("doc_id", "block", F.aggregate("ids", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
+
+
+@query("WITH b AS (SELECT doc_id, unnest(range(0, octet_length(encode(text)) // 1024)) AS i FROM documents) SELECT doc_id, CAST(i AS INT) AS block FROM b ORDER BY doc_id, i LIMIT 500")
+def sample_cap(spark, d):
+    """The cap is the feature: exactly the first 500 blocks."""
+    n = F.floor(F.octet_length("text") / 1024).cast("int")
+    b = t(spark, d, "documents").select("doc_id", F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))).alias("block"))
+    return splits.head(b, ["doc_id", "block"], 500)
+
+
+GRID = (["AABB", "ABAB", "ABBA", "ABCB"], ["alexandrine", "iambus", "trochee", "anapaest"], enums.LEVELS, 75)
+
+
+@query(f"SELECT rhyme, meter, level, CAST(rep AS INT) AS rep FROM (SELECT unnest([{_list(GRID[0])}]) AS rhyme), (SELECT unnest([{_list(GRID[1])}]) AS meter), (SELECT unnest([{_list(GRID[2])}]) AS level), (SELECT unnest(range(1, 76)) AS rep)")
+def style_grid(spark, d):
+    one = lambda names: F.explode(F.array(*map(F.lit, names)))
+    return spark.range(1).select(one(GRID[0]).alias("rhyme")).select("*", one(GRID[1]).alias("meter")).select("*", one(GRID[2]).alias("level")).select("*", F.explode(F.sequence(F.lit(1), F.lit(GRID[3]))).alias("rep"))
+
+
+@query(f"WITH e AS (SELECT unnest([{_list(enums.EMOTIONS)}]) AS e) SELECT a.e AS first, b.e AS second, CAST(rep AS INT) AS rep FROM e a, e b, (SELECT unnest(range(1, 101)) AS rep) WHERE a.e < b.e")
+def emotion_grid(spark, d):
+    e = F.array(*map(F.lit, enums.EMOTIONS))
+    both = spark.range(1).select(F.explode(e).alias("first")).select("first", F.explode(e).alias("second")).filter("first < second")
+    return both.select("*", F.explode(F.sequence(F.lit(1), F.lit(100))).alias("rep"))
+
+
+@query("SELECT min(doc_id) AS doc_id, arg_min(source, doc_id) AS source, md5(text) AS digest FROM documents GROUP BY text")
+def verse_dedup_keep_first(spark, d):
+    one = pairs.keep_first(t(spark, d, "documents").select("text", "doc_id", "source"), ["text"], ["doc_id"])
+    return one.select("doc_id", "source", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "6-NONE"]
+
+
+@query(f"SELECT value, count(o_orderkey) AS n FROM (SELECT unnest([{_list(PRIORITIES)}]) AS value) LEFT JOIN orders ON o_orderpriority = value GROUP BY value")
+def label_counts_with_zeros(spark, d):
+    return stats.counts_with_zeros(t(spark, d, "orders"), "o_orderpriority", PRIORITIES)
+
+
+@query("SELECT CAST(quality AS INT) AS quality, lang, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY GROUPING SETS ((quality, lang), (quality))")
+def label_stats_by_language(spark, d):
+    return stats.label_stats(t(spark, d, "labels").join(t(spark, d, "documents"), "doc_id"), "lang", "quality")
+
+
+@query(f"WITH {WIN}, v AS (SELECT DISTINCT unnest(q) AS verse FROM k), x AS (SELECT {FORM} AS form FROM (SELECT {PATTERN('verse')} AS p FROM v)) SELECT split_part(form, '.', 1) AS foot, CASE WHEN contains(form, '.') THEN substr(form, instr(form, '.') + 1) ELSE form END AS metre, count(*) AS n FROM x GROUP BY ALL")
+def versification_labels(spark, d):
+    v = quatrains(spark, d).select(F.explode("quatrain").alias("verse")).distinct()
+    foot, metre = prosody.foot_and_metre(prosody.versification(prosody.stresses(scorers.pattern(F.col("verse")))))
+    return v.groupBy(foot.alias("foot"), metre.alias("metre")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {WIN}, {LINE_METERS} SELECT label, count(*) AS n FROM vm GROUP BY label")
+def meter_label_map(spark, d):
+    v = quatrains(spark, d).select(F.explode("quatrain").alias("verse")).distinct()
+    return v.groupBy(scorers.meter(F.col("verse")).alias("label")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {WIN}, s AS (SELECT list_transform(q, lambda v: right({LAST('v')}, 1)) AS c FROM k), p AS (SELECT list_transform(c, lambda x: list_position(c, x)) AS f FROM s)
+SELECT array_to_string(list_transform(f, lambda x: 'ABCD'[len(list_distinct(list_filter(f, lambda y: y <= x)))]), '') AS scheme, count(*) AS n FROM p GROUP BY 1""")
+def scheme_canonical(spark, d):
+    c = F.transform("quatrain", lambda v: F.right(text.last_word(v), F.lit(1)))
+    return quatrains(spark, d).select(c.alias("c")).groupBy(prosody.canonical_scheme(F.col("c")).alias("scheme")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {WIN}, {RHYMES} SELECT doc_id, start, rhyme FROM qr")
+def rhyme_scheme_from_mask(spark, d):
+    return annotate.rhymes(quatrains(spark, d), IDS).select(*IDS, "rhyme")
+
+
+def _stanzas(spark, d):
+    """The first eight lines of a document, with the last letters of their last words as a scheme."""
+    l = F.slice(windows.lines(F.col("text")), 1, 8)  # noqa: E741
+    letter = lambda v: F.when(F.right(text.last_word(v), F.lit(1)).rlike("^[a-z]$"), F.right(text.last_word(v), F.lit(1))).otherwise("-")
+    return t(spark, d, "documents").select("doc_id", "lang", l.alias("verses")).withColumn("scheme", F.array_join(F.transform("verses", letter), ""))
+
+
+STANZA_PAIRS = f"""s AS (SELECT doc_id, lang, string_split(text, chr(10))[1:8] AS v FROM documents), c AS (SELECT *, list_transform(v, lambda x: CASE WHEN regexp_matches(right({LAST('x')}, 1), '^[a-z]$') THEN right({LAST('x')}, 1) ELSE '-' END) AS c FROM s),
+ji AS (SELECT doc_id, lang, v, c, j, unnest(range(1, j)) AS k FROM (SELECT *, unnest(range(2, len(v) + 1)) AS j FROM c)),
+pp AS (SELECT doc_id, lang, least(v[j], v[k]) AS v1, greatest(v[j], v[k]) AS v2, CAST(j - 1 AS INT) AS j, CAST(k - 1 AS INT) AS k, CASE WHEN c[j] = c[k] AND c[k] <> '-' THEN 'rhyme' ELSE 'dissonance' END AS label FROM ji),
+pl AS (SELECT doc_id, lang, v1, v2, label, j, k FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, v1, v2, label ORDER BY j DESC, k DESC) AS r FROM pp) WHERE r = 1)"""
+
+
+def _mined(spark, d):
+    p = pairs.rhyme_pairs(_stanzas(spark, d), F.col("verses"), F.col("scheme"))
+    return pairs.keep_last(p.select("doc_id", "lang", "v1", "v2", "label", "j", "k"), ["doc_id", "lang", "v1", "v2", "label"], ["j", "k"])
+
+
+@query(f"WITH {STANZA_PAIRS} SELECT doc_id, v1, v2, label, j, k FROM pl")
+def rhyme_pairs_mined(spark, d):
+    return _mined(spark, d).select("doc_id", "v1", "v2", "label", "j", "k")
+
+
+@query(f"""WITH {STANZA_PAIRS}, u AS (SELECT DISTINCT lang, v1, v2, label FROM pl), n AS (SELECT lang, count(*) FILTER (label = 'rhyme') AS n FROM u GROUP BY lang),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, label ORDER BY md5(v1 || '|' || v2), v1, v2) AS r FROM u)
+SELECT lang, v1, v2, label FROM r JOIN n USING (lang) WHERE label = 'rhyme' OR r.r <= n.n""")
+def balanced_negatives(spark, d):
+    return pairs.balanced(_mined(spark, d).select("lang", "v1", "v2", "label").distinct(), ["lang"])
+
+
+@query("""SELECT quality, split, count(*) AS n FROM (SELECT quality, CASE WHEN p < 0.9::DOUBLE THEN 'train' WHEN p < 0.9::DOUBLE + 0.05::DOUBLE THEN 'dev' ELSE 'test' END AS split
+FROM (SELECT quality, CAST(row_number() OVER (PARTITION BY quality ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS DOUBLE) / count(*) OVER (PARTITION BY quality) AS p FROM labels)) GROUP BY ALL""")
+def stratified_split_counts(spark, d):
+    return splits.stratified_split(t(spark, d, "labels"), "quality", "doc_id").groupBy("quality", "split").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, CASE WHEN CAST('0x' || md5(CAST(doc_id AS VARCHAR))[1:8] AS BIGINT) % 1000 < 50 THEN 'test' ELSE 'train' END AS split FROM documents")
+def random_split(spark, d):
+    return splits.random_split(t(spark, d, "documents").select("doc_id"), "doc_id", 0.05)
+
+
+EMOTION_OF = "list_filter([" + ", ".join(f"CASE WHEN 8.0::DOUBLE * (length(verse) - length(replace(lower(verse), '{c}', ''))) / greatest(length(verse), 1) >= 0.5 THEN '{e}' END" for e, c in scorers.EMOTION_LETTERS.items()) + "], lambda x: x IS NOT NULL)"
+
+
+@query(f"WITH {WIN}, v AS (SELECT DISTINCT unnest(q) AS verse FROM k), e AS (SELECT verse, {EMOTION_OF} AS l FROM v) SELECT verse, " + ", ".join(f"CAST(list_contains(l, '{e}') AS DOUBLE) AS e{i}" for i, e in enumerate(enums.EMOTIONS)) + " FROM e")
+def multilabel_onehot(spark, d):
+    v = quatrains(spark, d).select(F.explode("quatrain").alias("verse")).distinct().withColumn("h", tokens.one_hot(scorers.emotions(F.col("verse"))))
+    return v.select("verse", *[F.get("h", i).alias(f"e{i}") for i in range(8)])
+
+
+@query(f"WITH {WIN}, v AS (SELECT DISTINCT unnest(q) AS verse FROM k), e AS (SELECT verse, {EMOTION_OF} AS l FROM v), x AS (SELECT doc_id, start, unnest(q) AS verse FROM k), y AS (SELECT DISTINCT doc_id, start, unnest(l) AS l FROM x JOIN e USING (verse)) SELECT doc_id, start, string_agg(l, ',' ORDER BY l) AS emotion FROM y GROUP BY ALL")
+def emotion_label_set(spark, d):
+    return annotate.emotions(quatrains(spark, d), IDS).select(*IDS, F.array_join("emotion", ",").alias("emotion"))
+
+
+GUESS = "CASE WHEN length(text) % 7 = 0 THEN 0 ELSE 1 END"
+
+
+def _guessed(spark, d):
+    return t(spark, d, "labels").join(t(spark, d, "documents"), "doc_id").select("lang", "quality", F.when(F.length("text") % 7 == 0, 0).otherwise(1).alias("said"))
+
+
+@query(f"""WITH g AS (SELECT quality AS l, {GUESS} AS p FROM labels JOIN documents USING (doc_id)), c AS (SELECT DISTINCT unnest([l, p]) AS k FROM g),
+x AS (SELECT k, count(*) FILTER (l = k AND p = k) AS tp, count(*) FILTER (l = k) AS re, count(*) FILTER (p = k) AS sa FROM g, c GROUP BY k)
+SELECT round(avg(CASE WHEN sa = 0 THEN 0.0::DOUBLE ELSE tp::DOUBLE / sa END), 6) AS precision, round(avg(CASE WHEN re = 0 THEN 0.0::DOUBLE ELSE tp::DOUBLE / re END), 6) AS recall, round(avg(CASE WHEN sa + re = 0 THEN 0.0::DOUBLE ELSE 2 * tp::DOUBLE / (sa + re) END), 6) AS f1, round(sum(tp)::DOUBLE / sum(re), 6) AS accuracy FROM x""")
+def macro_prf(spark, d):
+    m = metrics.macro_prf(_guessed(spark, d), "quality", "said")
+    return m.select(*[r6(F.col(c)).alias(c) for c in m.columns])
+
+
+@query(f"SELECT lang, round(avg(CASE WHEN quality = {GUESS} THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS accuracy, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY ROLLUP (lang)")
+def accuracy_by_language_rollup(spark, d):
+    return _guessed(spark, d).rollup("lang").agg(r6(F.avg(F.when(F.col("quality") == F.col("said"), 1.0).otherwise(0.0))).alias("accuracy"), F.count("*").alias("n"))
+
+
+@query(f"WITH {WIN}, {LINE_METERS}, {VOTES.format(src='k')} SELECT doc_id, start, meter FROM qm")
+def mode_first_tie(spark, d):
+    return annotate.meters(quatrains(spark, d), IDS).select(*IDS, "meter")
+
+
+@query(f"WITH {WIN}, {LINE_ALLIT}, {Q_ALLIT} SELECT doc_id, start, round(score, 6) AS score, {LEVEL('score')} AS level FROM qa")
+def alliteration_score(spark, d):
+    return annotate.alliterations(quatrains(spark, d), IDS).select(*IDS, r6(F.col("alliteration_score")).alias("score"), F.col("alliteration").alias("level"))
+
+
+@query(f"WITH {WIN}, {LINE_ALLIT}, {Q_ALLIT} SELECT round(avg(CASE WHEN l = 'low' THEN 1.0::DOUBLE ELSE 0 END), 6) AS low, round(avg(CASE WHEN l = 'medium' THEN 1.0::DOUBLE ELSE 0 END), 6) AS medium, round(avg(CASE WHEN l = 'high' THEN 1.0::DOUBLE ELSE 0 END), 6) AS high FROM (SELECT {LEVEL('score')} AS l FROM qa)")
+def alliteration_fractions(spark, d):
+    a = annotate.alliterations(quatrains(spark, d), IDS)
+    return a.agg(*[r6(F.avg((F.col("alliteration") == x).cast("double"))).alias(x) for x in ("low", "medium", "high")])
+
+
+ANNOTATED = f"{WIN}, {RHYMES}, {LINE_METERS}, {VOTES.format(src='qr')}, {LINE_ALLIT}, {Q_ALLIT}, an AS (SELECT doc_id, lang, start, rhyme, meter, score, {LEVEL('score')} AS level FROM qr JOIN qm USING (doc_id, start) JOIN qa USING (doc_id, start))"
+
+
+@query(f"WITH {ANNOTATED} SELECT doc_id, start, rhyme, meter, round(score, 6) AS score, level FROM an")
+def quatrain_annotation(spark, d):
+    return annotate.annotate(quatrains(spark, d), IDS).select(*IDS, "rhyme", "meter", r6(F.col("alliteration_score")).alias("score"), F.col("alliteration").alias("level"))
+
+
+def _domain_sql(kind, names):
+    return f"SELECT '{kind}' AS kind, unnest([{_list(names)}]) AS value"
+
+
+@query(f"""WITH {ANNOTATED}, nm AS ({_domain_sql('rhyme', enums.RHYME_SCHEMES)} UNION ALL {_domain_sql('meter', enums.METERS)} UNION ALL {_domain_sql('alliteration', enums.LEVELS)} UNION ALL {_domain_sql('length', ['all'])}),
+c AS (SELECT kind, value, count(*) AS n FROM (SELECT unnest(['rhyme', 'meter', 'alliteration', 'length']) AS kind, unnest([rhyme, meter, level, 'all']) AS value FROM an) GROUP BY ALL)
+SELECT kind, value, round(CASE WHEN kind = 'alliteration' THEN coalesce(n, 0)::DOUBLE / (SELECT count(*) FROM an) ELSE coalesce(n, 0) END, 6) AS x FROM nm LEFT JOIN c USING (kind, value)""")
+def quatrain_statistics(spark, d):
+    return stats.quatrain_stats(annotate.annotate(quatrains(spark, d), IDS)).select("kind", "value", r6(F.col("x")).alias("x"))
+
+
+@query(f"WITH {ANNOTATED} SELECT doc_id, start, '<s><extra_id_' || (list_position([{_list(enums.RHYME_SCHEMES)}], rhyme) + 9) || '><extra_id_' || (list_position([{_list(enums.METERS)}], meter) + 2) || '><extra_id_' || (list_position([{_list(enums.LEVELS)}], level) - 1) || '>' AS head, rhyme, meter, level FROM an")
+def training_sequences(spark, d):
+    a = annotate.annotate(quatrains(spark, d), IDS)
+    x = a.select(*IDS, tokens.training_text(F.col("rhyme"), F.col("meter"), F.col("alliteration"), F.col("quatrain")).alias("x")).withColumn("p", tokens.parsed_text(F.col("x")))
+    return x.select(*IDS, F.regexp_extract("x", r"^(<s>(?:<extra_id_\d+>){3})", 1).alias("head"), "p.rhyme", "p.meter", "p.level")
+
+
+def _generated(spark, d):
+    """Windows as generated texts, with styles by place; every seventh lacks a line."""
+    q = quatrains(spark, d)
+    pick = lambda names, k: F.element_at(F.array(*map(F.lit, names)), ((F.col("doc_id") + F.col("start")) % k + 1).cast("int"))
+    body = F.when((F.col("doc_id") + F.col("start")) % 7 == 0, F.slice("quatrain", 1, 3)).otherwise(F.col("quatrain"))
+    return q.select(*IDS, F.array_join(body, "\n").alias("quatrain"), pick(enums.RHYME_SCHEMES, 15).alias("scheme"), pick(enums.METERS, 7).alias("meter"), pick(enums.LEVELS, 3).alias("level"), F.slice(F.array(*map(F.lit, enums.EMOTIONS)), ((F.col("doc_id") + F.col("start")) % 7 + 1).cast("int"), 2).alias("emotions"))
+
+
+_pick = lambda names, k: f"([{_list(names)}])[(doc_id + start) % {k} + 1]"
+GEN = f"{WIN}, gen AS (SELECT doc_id, start, q, (doc_id + start) % 7 <> 0 AS ok, {_pick(enums.RHYME_SCHEMES, 15)} AS scheme, {_pick(enums.METERS, 7)} AS meter, {_pick(enums.LEVELS, 3)} AS level, ([{_list(enums.EMOTIONS)}])[(doc_id + start) % 7 + 1 : (doc_id + start) % 7 + 2] AS emotions FROM k)"
+HM = lambda l: f"CASE WHEN list_min({l}) = 0 THEN 0.0::DOUBLE ELSE len({l}) / list_sum(list_transform({l}, lambda x: 1.0::DOUBLE / CASE WHEN x = 0 THEN 1 ELSE x END)) END"
+MEAN = lambda l: f"(list_sum({l}) / len({l}))"
+_pairs_sql = lambda same: "list_filter([" + ", ".join(f"CASE WHEN {'' if same else 'NOT '}(scheme[{i + 1}:{i + 1}] = scheme[{j + 1}:{j + 1}]) THEN {'' if same else '1.0::DOUBLE - '}({rhyme_sql(f'q[{i + 1}]', f'q[{j + 1}]')}) END" for i, j in enums.PAIRS) + "], lambda x: x IS NOT NULL)"
+BAL = lambda op: op(f"list_filter([CASE WHEN len(r) > 0 THEN {op('r')} END, CASE WHEN len(dd) > 0 THEN {op('dd')} END], lambda x: x IS NOT NULL)")
+
+
+@query(f"""WITH {GEN}, s AS (SELECT ok, {_pairs_sql(True)} AS r, {_pairs_sql(False)} AS dd FROM gen), b AS (SELECT *, r || dd AS a FROM s)
+SELECT round(avg(CASE WHEN ok THEN {MEAN('a')} ELSE 0 END), 6) AS rhyme_score, round(avg(CASE WHEN ok THEN {HM('a')} ELSE 0 END), 6) AS harmonic_rhyme_score, round(avg(CASE WHEN ok THEN {BAL(MEAN)} ELSE 0 END), 6) AS balanced_rhyme_score, round(avg(CASE WHEN ok THEN {BAL(HM)} ELSE 0 END), 6) AS balanced_harmonic_rhyme_score FROM b""")
+def rhyme_score_balanced(spark, d):
+    m = metrics.rhyme_metric(_generated(spark, d))
+    return m.select(*[r6(F.col(c)).alias(c) for c in m.columns])
+
+
+@query(f"""WITH {GEN}, {LINE_METERS}, x AS (SELECT doc_id, start, ok, meter, unnest(q) AS verse FROM gen), y AS (SELECT doc_id, start, ok, list(CASE WHEN label = meter THEN 0.7::DOUBLE ELSE 0.05 END) AS p FROM x JOIN vm USING (verse) GROUP BY ALL)
+SELECT round(avg(CASE WHEN ok THEN {MEAN('p')} ELSE 0 END), 6) AS meter_score, round(avg(CASE WHEN ok THEN {HM('p')} ELSE 0 END), 6) AS harmonic_meter_score FROM y""")
+def harmonic_meter_score(spark, d):
+    m = metrics.meter_metric(_generated(spark, d))
+    return m.select(*[r6(F.col(c)).alias(c) for c in m.columns])
+
+
+@query(f"WITH {GEN}, {LINE_ALLIT}, {Q_ALLIT} SELECT round(avg(CASE WHEN ok AND {LEVEL('score')} = level THEN 1.0::DOUBLE ELSE 0 END), 6) AS alliteration_score FROM gen JOIN qa USING (doc_id, start)")
+def alliteration_accuracy(spark, d):
+    return metrics.alliteration_metric(_generated(spark, d)).select(r6(F.col("alliteration_score")).alias("alliteration_score"))
+
+
+EMO_P = "[" + ", ".join(f"list_max(list_transform(q, lambda v: least(1.0::DOUBLE, 8.0::DOUBLE * (length(v) - length(replace(lower(v), '{c}', ''))) / greatest(length(v), 1))))" for c in scorers.EMOTION_LETTERS.values()) + "]"
+
+
+@query(f"""WITH {GEN}, p AS (SELECT ok, list_transform(list_filter(range(1, 9), lambda i: list_contains(emotions, ([{_list(enums.EMOTIONS)}])[i])), lambda i: ({EMO_P})[i]) AS p FROM gen)
+SELECT round(avg(CASE WHEN ok THEN {MEAN('p')} ELSE 0 END), 6) AS emotion_score, round(avg(CASE WHEN ok THEN {HM('p')} ELSE 0 END), 6) AS harmonic_emotion_score FROM p""")
+def emotion_scores(spark, d):
+    m = metrics.emotion_metric(_generated(spark, d))
+    return m.select(*[r6(F.col(c)).alias(c) for c in m.columns])
+
+
+@query(f"""WITH p AS (SELECT list_distinct({WORDS('lower(a)')}) AS x, list_distinct({WORDS('lower(b)')}) AS y FROM (SELECT l[i] AS a, l[i + 1] AS b FROM (SELECT l, unnest(range(1, len(l))) AS i FROM (SELECT string_split(text, chr(10)) AS l FROM documents))))
+SELECT round(avg(CASE WHEN len(x) + len(y) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(x, y))::DOUBLE / (len(x) + len(y) - len(list_intersect(x, y))) END), 6) AS coherence FROM p""")
+def coherence_micro(spark, d):
+    return metrics.coherence_metric(t(spark, d, "documents"), "text").select(r6(F.col("coherence")).alias("coherence"))
+
+
+@query("""SELECT g.doc_id AS id, md5(b.text) AS known FROM documents g JOIN (SELECT DISTINCT length(text) % 5 AS style, text FROM benchmark) b ON length(g.text) % 5 = b.style AND 2 * least(length(g.text), length(b.text)) >= 0.7::DOUBLE * (length(g.text) + length(b.text))""")
+def memorization_candidates(spark, d):
+    style = (F.length("text") % 5).alias("style")
+    found = metrics.memorization_candidates(t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", style), t(spark, d, "benchmark").select("text", style), ["style"])
+    return found.select("id", F.md5(F.col("known").cast("binary")).alias("known"))
+
+
+@query()
+def memorization_rate(spark, d):
+    """First lines of documents against first lines of other sources, by language."""
+    line = F.get(windows.lines(F.col("text")), 0)
+    docs = t(spark, d, "documents").filter(F.length("text") > 0).select(F.col("doc_id").alias("id"), "lang", line.alias("text"), "source")
+    return metrics.memorization_metric(docs.filter("source IN ('src0', 'src1')").drop("source"), docs.filter("source NOT IN ('src0', 'src1')"), ["lang"]).select(r6(F.col("extractive_memorization_rate")).alias("extractive_memorization_rate"))
+
+
+BB = "regexp_extract_all(hex(encode(text)), '..')"
+
+
+@query(f"""WITH b AS (SELECT text, unnest({BB}) AS b FROM documents), n AS (SELECT text, b, count(*) AS n FROM b GROUP BY ALL), m AS (SELECT b, sum(n) AS m FROM n GROUP BY b)
+SELECT round(avg(p), 4) AS mean_perplexity FROM (SELECT text, exp(-sum(n * ln(m::DOUBLE / (SELECT sum(m) FROM m))) / sum(n)) AS p FROM n JOIN m USING (b) GROUP BY text)""")
+def byte_perplexity(spark, d):
+    return metrics.byte_perplexity(t(spark, d, "documents")).select(F.round("mean_perplexity", 4).alias("mean_perplexity"))
+
+
+@query()
+def generated_report(spark, d):
+    g = _generated(spark, d).filter(windows.is_quatrain(F.col("quatrain"))).withColumn("quatrain", F.split("quatrain", "\n"))
+    return annotate.report(g).select(*IDS, "scheme", "found_scheme", F.array_join("scheme_match", ",").alias("scheme_match"), F.array_join("meter_match", ",").alias("meter_match"), "found_level", "level_match")
+
+
+@query("SELECT i AS n, CASE WHEN i <= 0 THEN '' ELSE array_to_string(list_transform(range(0, i), lambda x: chr(CAST(97 + (CASE x % 4 WHEN 0 THEN 0 WHEN 1 THEN 0 ELSE 1 END) + 2 * (x // 4) AS INT))), '') END AS scheme FROM range(0, 40) t(i)")
+def scheme_repetition(spark, d):
+    return spark.range(40).select(F.col("id").alias("n"), prosody.repeated_scheme(F.array(*map(F.lit, "aabb")), F.col("id").cast("int")).alias("scheme"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def rollup_counts(spark, d):
+    return t(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_type, epoch(time_bucket(INTERVAL '1 hour', ts))::BIGINT AS hour, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
+def event_windows(spark, d):
+    """What the streaming form of a tumbling window gives over the whole table."""
+    return t(spark, d, "events").groupBy("event_type", F.window("ts", "1 hour").start.cast("timestamp").cast("long").alias("hour")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+for _name, _f in fixtures.queries().items():
+    Q[_name] = _f
+assert W

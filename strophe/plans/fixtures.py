@@ -1,0 +1,60 @@
+"""Reader queries over small invented files: they show each format end to end (no SQL twin)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from strophe.sources import readers
+
+TEI = '<TEI xmlns="http://www.tei-c.org/ns/1.0"><title>T</title><body>{}</body></TEI>'
+LINES = '<l met="-+|-+|-+|-+"{0}>A line that tells of night</l><l met="-+-+-+-+">Another gives it light</l>'
+FILES = {
+    "documents": "first line\n second \n\nthird\n\n\nlost\n",
+    "emotions": "line_text\temotion1anno1\temotion1anno2\temotion2anno1\temotion2anno2\nein kurzer Vers\tSadness\tNONE\tBeauty / Joy\tSadness\n",
+    "emotions_plain": "no header here\nit ’ s late , my friend\tSadness---Humor\tVitality\n",
+    "epg": TEI.format(f'<lg type="poem"><lg type="stanza" rhyme="aa">{LINES.format("")}</lg></lg>'),
+    "fbfv": TEI.format('<lg type="quatrain" rhyme="aa"><l met="-+-+"><seg>One\n   two</seg><seg> three</seg></l><l met="+-+-"><seg>four five free</seg></l></lg>'),
+    "grc": TEI.format('<div><lg type="poem"><lg type="stanza" rhyme="ab"><l>Ein <hi>helles</hi> Licht</l><l>ein dunkler Tag</l></lg></lg></div>'),
+    "chicago": "AUTHOR A\nTITLE T\nRHYME a a b b *\nRHYME-POEM x\nverse one\nverse two\nverse three\nverse four\nverse five\n\nRHYME a b\nlast one\nlast two\n",
+    "prosodic": "PoemID\tline_num\tline\tMeter Scheme\np1\t(3, 0)\ta line of verse\tiambic\n",
+    "wild": "stanza_id\tline_text\ttotal_lines_in_stanza\trhyme_schema\ts_measure\n1\tein kurzer Vers\t2\taa\tiambic\n1\tein langer Fers\t2\taa\ttrochaic\n2\tallein\t1\ta\tsingle\n",
+    "poems": '{"p1": {"poem": {"1": {"1": {"text": "first line of verse"}, "2": {"text": "second line of verse"}}}}}',
+    "pronunciations": '{"en_US": [{"hello": "/həˈloʊ/", "empty": ""}, {"hello": "/x/"}]}',
+}
+
+
+def _one(name, f):
+    return lambda spark, _: f(spark.createDataFrame([(f"/{name}", FILES[name])], "path string, content string"))
+
+
+def _pairs(reader, language, **fit):
+    def run(df):
+        stanzas = reader(df)
+        stanzas = readers.fit_scheme(stanzas, **fit) if fit else stanzas
+        return readers.pair_corpus(stanzas, reader.__name__, language)
+
+    return run
+
+
+def _pronounced(df):
+    words = df.sparkSession.createDataFrame([("Hello",), ("empty",), ("zebra",)], "word string")
+    return readers.pronounced(words, readers.pronunciations(df, "en_US"))
+
+
+def queries():
+    return {
+        "doc_reader": _one("documents", readers.documents),
+        "emotion_reader": _one("emotions", readers.emotions),
+        "emotion_reader_plain": _one("emotions_plain", readers.emotions),
+        "tei_reader_epg": _one("epg", _pairs(readers.epg, "en", drop_short_first=True)),
+        "tei_reader_epg_meters": _one("epg", lambda df: readers.stanza_meters(readers.epg(df), "epg64")),
+        "tei_reader_fbfv": _one("fbfv", _pairs(readers.fbfv, "en")),
+        "tei_reader_grc": _one("grc", _pairs(readers.grc, "de", drop_short_first=False)),
+        "tagged_reader_chicago": _one("chicago", lambda df: readers.pair_corpus(readers.chicago(df), "chicago", "en", ["path"])),
+        "tsv_reader_prosodic": _one("prosodic", readers.prosodic),
+        "tsv_reader_wild_meters": _one("wild", readers.wild_meters),
+        "tsv_reader_wild_pairs": _one("wild", lambda df: readers.pair_corpus(readers.wild_stanzas(df), "wild", "de")),
+        "poem_json_reader": _one("poems", readers.poems),
+        "ipa_dictionary": _one("pronunciations", _pronounced),
+        "corpus_union": lambda spark, d: readers.corpus({"epg64": _one("epg", lambda df: readers.stanza_meters(readers.epg(df), "epg64"))(spark, d), "wild": _one("wild", readers.wild_meters)(spark, d)}, readers.METER_SOURCES, ["text"]).select("text", "labels", F.col("source")),
+    }

@@ -96,6 +96,13 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, size int, z binary")
 
 
+def unpacked(batches):
+    """Batches of packed texts as batches of doc_id and bytes."""
+    for b in batches:
+        raw = [pa.decompress(z, n, "zstd", asbytes=True) if n else b"" for n, z in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], ["doc_id", "text"])
+
+
 def suffix_levels(t: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
     """Suffix array of t (0 ends a piece) by prefix doubling, and the ranks at each length on the way."""
     n, key, size, levels = len(t), t.astype(np.uint64), 1, []

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranks import rank_by_md5
+
 #: Fixed value: letters that a regular expression would escape never rhyme.
 SPECIAL = r"[^A-Za-z0-9_!\"%',/:;<=>@`]"
 
@@ -37,6 +38,6 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def balanced(df: DataFrame, scope: list[str], v1: str = "v1", v2: str = "v2") -> DataFrame:
     """All rhymes, and of each scope as many dissonances as it has rhymes, in the order of a hash of the pair."""
     n = df.groupBy(*scope).agg(F.count_if(F.col("label") == "rhyme").alias("_n"))
-    order = F.md5(F.concat_ws("|", v1, v2).cast("binary"))
-    other = df.filter("label = 'dissonance'").withColumn("_r", F.row_number().over(W.partitionBy(*scope).orderBy(order, v1, v2))).join(n, scope).filter("_r <= _n").drop("_r", "_n")
+    ranked = rank_by_md5(df.filter("label = 'dissonance'"), scope, F.concat_ws("|", v1, v2), [v1, v2], "_r")
+    other = ranked.join(n, scope).filter("_r <= _n").drop("_r", "_n")
     return df.filter("label = 'rhyme'").unionByName(other)

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranks import rank_by_md5
+
 
 def bucket(key: Column, n: int = 1000) -> Column:
     """0 to n - 1 from the md5 of a key, the same in any engine."""
@@ -18,10 +19,10 @@ def random_split(df: DataFrame, key: str, test: float) -> DataFrame:
 
 def stratified_split(df: DataFrame, label: str, key: str, shares=(0.9, 0.05, 0.05), names=("train", "dev", "test")) -> DataFrame:
     """Exact shares within each label, in md5 order of the key."""
-    order = W.partitionBy(label).orderBy(F.md5(F.col(key).cast("string").cast("binary")), key)
-    part = (F.row_number().over(order) - 1) / F.count("*").over(W.partitionBy(label))
+    part = (F.col("_rank") - 1) / F.col("_of")
     first, second = shares[0], shares[0] + shares[1]
-    return df.withColumn("split", F.when(part < first, names[0]).when(part < second, names[1]).otherwise(names[2]))
+    ranked = rank_by_md5(df, [label], F.col(key), [key], "_rank", "_of")
+    return ranked.withColumn("split", F.when(part < first, names[0]).when(part < second, names[1]).otherwise(names[2])).drop("_rank", "_of")
 
 
 def head(df: DataFrame, order: list[str], n: int) -> DataFrame:

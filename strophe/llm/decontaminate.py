@@ -84,7 +84,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, run: int
     # distinct places of the item on each alignment; the best alignment is the longest, then the earliest
     per = found.groupBy("doc_id", "item_id", "shift").agg(F.countDistinct("j").alias("n"), F.min("j").alias("from"), F.max("j").alias("to"))
     best = per.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("n", "shift", "from", "to"), F.struct("n", -F.col("shift"))).alias("b")).select("doc_id", "item_id", "b.*")
-    head = small(bench.select("item_id", "item", "tokens", F.col("n").alias("windows"), "width"), most)
+    head = small(bench.select("item_id", "item", "tokens", F.col("n").alias("windows"), "width"), most // 25)
     likely = scratch.keep(best.join(head, "item_id").filter((F.col("n") >= share * F.col("windows")) | (F.col("n") >= run)))
     texts = docs.join(likely.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     pairs = likely.join(texts.select("doc_id", tokens(F.col("text")).alias("dt"), slots(F.col("text")).alias("ds")), "doc_id").withColumn("bs", slots(F.col("item")))

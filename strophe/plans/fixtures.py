@@ -41,6 +41,13 @@ def _pronounced(df):
     return readers.pronounced(words, readers.pronunciations(df, "en_US"))
 
 
+def _sentences(df):
+    from strophe.operators.phonemes import sentence_alliteration
+
+    verses = df.sparkSession.createDataFrame([(1, "Hello, hello world"), (2, "...")], "id int, verse string")
+    return sentence_alliteration(verses, ["id"], "verse", readers.pronunciations(df, "en_US"))
+
+
 def queries():
     return {
         "doc_reader": _one("documents", readers.documents),
@@ -56,5 +63,6 @@ def queries():
         "tsv_reader_wild_pairs": _one("wild", lambda df: readers.pair_corpus(readers.wild_stanzas(df), "wild", "de")),
         "poem_json_reader": _one("poems", readers.poems),
         "ipa_dictionary": _one("pronunciations", _pronounced),
+        "sentence_phones": _one("pronunciations", _sentences),
         "corpus_union": lambda spark, d: readers.corpus({"epg64": _one("epg", lambda df: readers.stanza_meters(readers.epg(df), "epg64"))(spark, d), "wild": _one("wild", readers.wild_meters)(spark, d)}, readers.METER_SOURCES, ["text"]).select("text", "labels", F.col("source")),
     }

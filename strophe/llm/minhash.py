@@ -6,9 +6,10 @@ documents agree in a coordinate with the probability of their weighted Jaccard s
 are looked at: about t ln t darts a document, however long it is.
 
 Exact copies are one text from the start. Equal bands make a bucket; members are compared with its leader (least doc_id), exactly,
-on all shingles. Those not similar to it are put in narrower buckets (two equal bands), and compared with the leaders of these,
-then with a second and third one. So a bucket of n documents makes
-about n pairs a round, and a group of copies may hold any share of the rows. Classes are the connected components of the links.
+on all shingles. Those not similar to it are compared with the leader among themselves, for a few rounds, which
+join most of what belongs together. Then all pairs that share a bucket but no class yet are compared, less those that
+element counts show to be below the threshold. So every pair with an equal band is in one class or has been compared,
+and a group of copies may hold any share of the rows. Classes are the connected components of the links.
 
 Null texts and texts without a word are classes of their own. Rows that repeat a doc_id count once. Ties go to the least doc_id.
 """
@@ -31,7 +32,8 @@ WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
 ROUNDS = 4
-NEAR = 3  # a failed band is paired with so many after it: near-copies still share about ten of these pairs
+BLOCK = 1024  # members of a bucket that are compared with one another at once
+SKETCH = 256  # parts of the hash range that elements are counted in
 #: Rank cells: six narrow ones up to 2, then doubling. A cell of width w holds a Poisson(w) number of darts of each element.
 EDGES = [0.0, 1 / 16, 1 / 8, 1 / 4, 1 / 2, 1.0, *[2.0**k for k in range(1, 12)]]
 
@@ -181,6 +183,45 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
             return labels.select(F.col("a").alias("doc_id"), F.col("label").alias("class"))
 
 
+def sketched(vec: DataFrame) -> DataFrame:
+    """doc_id and k, the number of its elements in each of SKETCH parts of the hash range: the sum of the lesser of two bounds what they share."""
+
+    def run(batches):
+        for b in batches:
+            k = [np.bincount((np.frombuffer(v.as_buffer(), np.uint64) >> np.uint64(56)).astype(np.int64), minlength=SKETCH).astype(np.uint32).tobytes() for v in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(k, pa.binary())], ["doc_id", "k"])
+
+    return vec.select("doc_id", "v").mapInArrow(run, "doc_id long, k binary")
+
+
+def unresolved(exploded: DataFrame, shared: DataFrame, label: DataFrame, vec: DataFrame, least: float) -> DataFrame:
+    """a, b (less than a): all pairs of each bucket whose classes differ, but those that cannot be similar (exact bounds). Buckets over BLOCK are dealt by pairs of blocks."""
+    known = exploded.join(label.withColumnRenamed("doc_id", "a"), "a", "left").withColumn("class", F.coalesce("class", "a"))
+    sizes = known.groupBy("bucket").agg(F.count("*").alias("size"), F.min("class").alias("one"), F.max("class").alias("other")).filter("size > 2 AND one <> other")
+    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = known.join(sizes.select("bucket", parts.alias("parts")), "bucket").withColumn("r", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
+    rows = rows.join(sketched(vec).withColumnRenamed("doc_id", "a"), "a").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("bucket", F.least("r", "o").alias("i"), F.greatest("r", "o").alias("j"), "r", "a", "class", "k")
+
+    def run(t: pa.Table) -> pa.Table:
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        r, ids, cls = (t.column(c).to_numpy() for c in ("r", "a", "class"))
+        k = np.frombuffer(b"".join(t.column("k").to_pylist()), np.uint32).reshape(-1, SKETCH)
+        n = k.sum(1, dtype=np.int64)
+        a, b = [], []
+        for x in range(len(ids)):
+            y = np.flatnonzero((ids < ids[x]) & (cls != cls[x]) & (np.minimum(n, n[x]) >= least * np.maximum(n, n[x])) & ((r != r[x]) | (i == j)))
+            if len(y):
+                both = np.minimum(k[y], k[x]).sum(1, dtype=np.int64)
+                y = y[both >= least * (n[y] + n[x] - both)]
+                a.append(np.full(len(y), ids[x]))
+                b.append(ids[y])
+        some = [np.concatenate(z) if z else np.zeros(0, np.int64) for z in (a, b)]
+        return pa.table({"a": pa.array(some[0], pa.int64()), "b": pa.array(some[1], pa.int64())})
+
+    return rows.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
     """doc_id, class_id (least doc_id of its class), n_links (other texts that it was found similar to, of those compared), is_copy (same text as a document before it)."""
     spark = docs.sparkSession
@@ -193,7 +234,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     rep = scratch.keep(worded.select("doc_id", "copy").distinct().join(firsts, "copy").select("doc_id", "rep"))
     # One row a band of each different text, in buckets that two texts share.
     reps = worded.join(rep.filter("doc_id = rep").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    exploded = reps.select(F.col("doc_id").alias("a"), F.explode("bands").alias("bucket"))
+    exploded = scratch.keep(reps.select(F.col("doc_id").alias("a"), F.explode("bands").alias("bucket")))
     shared = exploded.groupBy("bucket").agg(F.min("a").alias("b"), F.max("a").alias("z")).filter("b <> z")
     members = scratch.keep(exploded.join(shared.select("bucket", "b"), "bucket").filter("a <> b"))
     scratch.drop(sk)
@@ -210,18 +251,22 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
         failed = members.join(now.filter("NOT ok"), ["a", "b"], "left_semi").select("a", "bucket")
         if level == ROUNDS - 1 or failed.isEmpty():
             break
-        if level == 0:  # two equal bands at once: seldom equal by chance below the threshold, often above
-            mine = failed.groupBy("a").agg(F.sort_array(F.collect_set("bucket")).alias("s"))  # at most one for each band
-            two = F.flatten(F.transform("s", lambda x, i: F.transform(F.slice("s", i + 2, F.lit(NEAR)), lambda y: F.xxhash64(x, y))))
-            failed = mine.select("a", F.explode(two).alias("bucket"))
         lead = failed.groupBy("bucket").agg(F.min("a").alias("b"), F.max("a").alias("z")).filter("b <> z")
         following = scratch.keep(failed.join(lead.select("bucket", "b"), "bucket").filter("a <> b"))
         fresh = scratch.keep(following.select("a", "b").distinct().join(judged, ["a", "b"], "left_anti"))
         scratch.drop(pairs, members)
         pairs, members = fresh, following
-    scratch.drop(vec)
+    # Leaders join most of what belongs together; whatever still shares a band across two classes is compared now, all pairs of it.
     links = scratch.keep(judged.filter("ok").select("a", "b").distinct())
     label = components(links, scratch)
+    left = scratch.keep(unresolved(exploded, shared, label, vec, similarity).distinct().join(judged, ["a", "b"], "left_anti"))
+    if not left.isEmpty():
+        va, vb = vec.select(F.col("doc_id").alias("a"), F.col("v").alias("va")), vec.select(F.col("doc_id").alias("b"), F.col("v").alias("vb"))
+        with arrow_rows(spark, 1000):
+            last = scratch.keep(similar(left.join(va, "a").join(vb, "b"), similarity))
+        links = scratch.keep(links.union(last.filter("ok").select("a", "b")))
+        label = components(links, scratch)
+    scratch.drop(vec, members, exploded)
     ends = links.select(F.col("a").alias("rep")).unionAll(links.select("b")).groupBy("rep").agg(F.count("*").alias("n_links"))
     classes = label.withColumnRenamed("doc_id", "rep").join(ends, "rep")
     all_ids = docs.select("doc_id").distinct()

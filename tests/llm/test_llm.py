@@ -121,6 +121,39 @@ def test_near_duplicates(spark):
     assert got == classes
 
 
+def brute_classes(texts):
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append(set(zip(*(w[k:] for k in range(minhash.WIDTH)))))
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= minhash.SIMILARITY * (len(sets[i]) + len(sets[j]) - both) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return dict(enumerate(label))
+
+
+def test_template_family_near_the_threshold(spark):
+    """Pairs of one template: about 0.82 within a pair and 0.74 across, so that most members of a bucket fail most others."""
+    rng, base, texts = random.Random(3), [f"t{i}" for i in range(400)], []
+    for i in range(120):
+        own = rng.sample(range(5, 395), 10)
+        for k, places in enumerate((own[:6], own[:2] + own[6:])):
+            w = list(base)
+            for x in places:
+                w[x] = f"p{i}.{x}" if x in own[:2] else f"q{i}.{k}.{x}"
+            texts.append(" ".join(w))
+    order = rng.sample(range(240), 240)
+    texts = [texts[i] for i in order]
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = brute_classes(texts)
+    wrong = [i for i in want if got[i] != want[i]]
+    assert not wrong
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(0)
     texts = []

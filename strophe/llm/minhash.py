@@ -248,7 +248,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
         with arrow_rows(spark, 1000):
             now = scratch.keep(similar(pairs.join(va, "a").join(vb, "b"), similarity))
         judged = now if judged is None else judged.unionByName(now)
-        failed = members.join(now.filter("NOT ok"), ["a", "b"], "left_semi").select("a", "bucket")
+        # Of all pairs judged so far: a member that failed this leader elsewhere, rounds ago, goes on here too.
+        failed = members.join(judged.filter("NOT ok"), ["a", "b"], "left_semi").select("a", "bucket")
         if level == ROUNDS - 1 or failed.isEmpty():
             break
         lead = failed.groupBy("bucket").agg(F.min("a").alias("b"), F.max("a").alias("z")).filter("b <> z")

@@ -3,7 +3,7 @@
 The pages of a host are merged into one style tree: elements with the same path of tags and classes are one node of
 it. Each node has the entropy of its presentation (which child tags it has) and of its content (which text it holds)
 over the host's pages; both are combined into an importance. Branches of low importance, which look and read alike on
-every page, are removed from each page, besides elements that say themselves that they are menus, headers, footers,
+every page, are removed from each page (each different page of a host counts once, and hosts of fewer than ``least`` lose no branch), besides elements that say themselves that they are menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles or comments. An article keeps all its paragraphs, common or not.
 
 Only counts by (host, path, style, content) are shuffled, summed before and after; the paths to remove, few for each host, are
@@ -169,13 +169,13 @@ def hash64(seed: int, value: str) -> int:
 
 
 def style_counts(pages: DataFrame) -> DataFrame:
-    """host, path, style, content and n, summed within each batch."""
+    """host, path, style, content and n, summed within each batch; path 0 counts the pages themselves."""
 
     def run(batches):
         for b in batches:
             counts: dict[tuple, int] = {}
             for host, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for node in Page(source or "").nodes():
+                for node in [(0, 0, 0), *Page(source or "").nodes()]:
                     key = (host, *node)
                     counts[key] = counts.get(key, 0) + 1
             if counts:
@@ -203,8 +203,12 @@ def extract_text(pages: DataFrame, least: int = LEAST, cut: float = CUT) -> Data
     scratch = Scratch(spark, "html")
     own = pages.select("page_id", "url", "html").withColumn("host", host_of(F.col("url")))
     with arrow_rows(spark, 500):
-        counts = scratch.keep(style_counts(own))
-        low = scratch.keep(importance(counts).filter((F.col("n") >= least) & (F.col("importance") < cut)).groupBy("host").agg(F.collect_set("path").alias("drop")))
+        # Each different page of a host counts once: copies of one page would look like what all pages share.
+        different = own.select("host", "html", F.xxhash64("html").alias("d1"), F.xxhash64("html", F.lit(1)).alias("d2")).dropDuplicates(["host", "d1", "d2"])
+        counts = scratch.keep(style_counts(different))
+        enough = counts.filter("path = 0").groupBy("host").agg(F.sum("n").alias("pages")).filter(F.col("pages") >= least).select(F.col("host").alias("h"))
+        nodes = importance(counts.filter("path <> 0")).filter((F.col("n") >= least) & (F.col("importance") < cut))
+        low = scratch.keep(nodes.join(enough, F.col("host") == F.col("h"), "left_semi").groupBy("host").agg(F.collect_set("path").alias("drop")))
         scratch.drop(counts)
         joined = own.join(small(low, 20_000), "host", "left").select("page_id", "url", "html", "drop")
 

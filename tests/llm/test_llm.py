@@ -219,6 +219,13 @@ def test_html_removes_what_all_pages_share(spark):
     assert {r["text"] for r in got} == {f"Own words number {i}" for i in range(12)}
 
 
+def test_html_keeps_copies_of_one_page(spark):
+    page = "<body><div class=x1><p>Only words</p><p>of this page</p></div>"
+    rows = [(i, f"http://h.com/{i}", page) for i in range(12)] + [(12, "http://one.com/", "<body>" + "<p>again</p>" * 9)]
+    got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert Counter(r["text"] for r in got) == {"Only words of this page": 12, " ".join(["again"] * 9): 1}
+
+
 def test_html_keeps_articles(spark):
     for r in spark.read.parquet(f"{SF}/pages.parquet").join(html_text.op3_html_text(spark, SF).select("page_id", "text"), "page_id").collect():
         inside = re.search(r"(?s)<article>(.*?)(?:</article>|$)", r["html"])[1]

@@ -77,6 +77,12 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def row_key(*names: str) -> Column:
+    """A digest of some columns of a row (16 bytes): equal for rows that agree in all of them, null or not."""
+    part = lambda c: F.coalesce(F.concat(F.octet_length(c).cast("string"), F.lit(":"), c), F.lit("-"))
+    return F.unhex(F.md5(F.concat(*[part(F.col(f"`{n}`").cast("string")) for n in names]).cast("binary")))
+
+
 def let(value: Column, f) -> Column:
     """f(value) with value computed once: Spark would put a long expression into a lambda and repeat it for each element."""
     return F.transform(F.array(value), f)[0]

@@ -1,35 +1,52 @@
 """Quality rules: fixed base rules, then robust multivariate outliers by minimum covariance determinant.
 
 Every text gives counts, and six transformed statistics in fixed point (1/256). For each language and
-source the minimum-covariance-determinant estimate (the three quarters of rows with the least covariance
-determinant) is reached by concentration steps from the medians; documents whose squared Mahalanobis distance
-exceeds a cut are rejected. Only DataFrame functions: one pass over texts, then passes over a small table of counts.
+source the minimum-covariance-determinant estimate is searched: three deterministic starts (rows nearest to the
+medians by Euclidean, largest and summed robust deviation) are each improved by concentration steps on the nearest three
+quarters of the rows, and the start whose covariance has the least determinant wins. Documents whose squared Mahalanobis
+distance exceeds the chi-square quantile of ``level`` are rejected. A variance is raised only where it is degenerate (LEAST_SD).
+Only DataFrame functions: one pass over texts, then passes over a small table of counts.
 
 Sums are sums of integers, so the verdict depends neither on partitions nor on the order of rows.
 Groups of under ``least`` rows use the estimate of their language, or else of all rows; under ``least`` rows in all, only the
 base rules hold. A null text counts as having no words (base_failed); null language or source is a group of its own.
-Repeated rows count as often as they occur.
+Repeated rows count as often as they occur. Rows at the same distance are in the estimate together; of starts with equal determinants
+the first wins. Null doc_ids and repeated ones are rows like any other.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch, drop_inputs, let, small, table
+from .common import SPACE, Scratch, drop_inputs, let, row_key, small, table
 
 SYMBOLS = "#*$%&|<>"
 NAMES = ("len", "size", "symbol", "upper", "line", "repeat")
 D = range(len(NAMES))
-#: Least standard deviation of each statistic, in log units: keeps a constant statistic from rejecting small changes.
-FLOOR = (1.0, 0.25, 0.45, 0.45, 0.8, 0.8)
-#: Share of rows that the estimate keeps, as 3/4, and the factor that makes its covariance consistent for normal rows.
+#: A standard deviation below this is degenerate. Length, size and capitals: the resolution of the fixed point. The others are 0 in most
+#: documents, so that most subsets have no variance; their unit is a share of half a per cent of symbols, or 2.3 % of repeated lines or words.
+LEAST_SD = (0.02, 0.02, math.log1p(0.5), 0.02, math.log1p(2.3), math.log1p(2.3))
+#: The factor that makes the covariance of the three quarters nearest to the centre consistent for normal rows.
 CONSISTENT = 1.36
-CUT = 45.0
+LEVEL = 1e-6  # share of normal rows beyond the cut
+STARTS = 3
 STEPS = 4
 LEAST = 60
 
 
+def chi_square_cut(level: float, freedom: int = len(NAMES)) -> float:
+    """The distance that a chi-square variable of an even number of degrees of freedom exceeds with this probability."""
+    beyond = lambda x: math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(freedom // 2))
+    low, high = 0.0, 1e4
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if beyond(middle) > level else (low, middle)
+    return low
+
+
 def _fixed(x: str) -> str:
     return f"CAST(floor(256.0 * {x} + 0.5) AS BIGINT)"
 
@@ -47,15 +64,15 @@ PAIRS = [(i, j) for i in D for j in D if j <= i]
 
 
 def factor(n: str = "n") -> list[tuple[str, str]]:
-    """Means and Cholesky factor of the regularised covariance, from sums s_i and s_ij; each line may use those before."""
+    """Means, Cholesky factor and log determinant of the covariance, from sums s_i and s_ij; each line may use those before."""
     out = [(f"m{i}", f"CAST(s{i} AS DOUBLE) / {n}") for i in D]
     for i, j in PAIRS:
         cov = f"{CONSISTENT} * (CAST(s{i}_{j} AS DOUBLE) / {n} - m{i} * m{j})"
         if i == j:
-            cov = f"greatest({cov}, 0.0) + {(256 * FLOOR[i]) ** 2!r}"
+            cov = f"greatest({cov}, {(256 * LEAST_SD[i]) ** 2!r})"
         rest = " - ".join([f"({cov})"] + [f"l{i}_{k} * l{j}_{k}" for k in range(j)])
         out.append((f"l{i}_{j}", f"sqrt(greatest({rest}, 1.0))" if i == j else f"({rest}) / l{j}_{j}"))
-    return out
+    return [*out, ("logdet", " + ".join(f"2 * ln(l{i}_{i})" for i in D))]
 
 
 def distance() -> list[tuple[str, str]]:
@@ -64,12 +81,15 @@ def distance() -> list[tuple[str, str]]:
     return [*out, ("d2", " + ".join(f"z{i} * z{i}" for i in D))]
 
 
-START = " + ".join(f"((x{i} - c{i}) / (1.4826 * a{i} + {256 * FLOOR[i]!r})) * ((x{i} - c{i}) / (1.4826 * a{i} + {256 * FLOOR[i]!r}))" for i in D)
-SHELL = "CAST(floor(64.0 * sqrt(least(d2, 4096.0))) AS BIGINT)"
+_dev = [f"abs(x{i} - c{i}) / greatest(1.4826 * a{i}, {256 * LEAST_SD[i]!r})" for i in D]
+#: Squared distance from the medians, in each start's own norm.
+START = f"CASE start WHEN 0 THEN {' + '.join(f'pow({v}, 2)' for v in _dev)} WHEN 1 THEN pow(greatest({', '.join(_dev)}), 2) ELSE pow({' + '.join(_dev)}, 2) END"
+#: Rows of one shell of distance are in or out together: steps of 1/256 of the logarithm.
+SHELL = "CAST(floor(256.0 * ln(1.0 + d2)) AS BIGINT)"
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the counts of each whole text."""
+def counts(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang, source, the columns to carry along and the counts of each whole text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.array_remove(F.split(text, SPACE), "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -93,15 +113,16 @@ def counts(docs: DataFrame) -> DataFrame:
         return F.when(F.size(w) >= 3, let(grams, among)).otherwise(0)
 
     w = F.col("_words")
-    out = drop_inputs(docs, "doc_id", "lang", "source", "text").withColumn("_words", words)
+    own = ("doc_id", "lang", "source", *carry)
+    out = drop_inputs(docs, *own, "text").withColumn("_words", words)
     return out.select(
-        "doc_id", "lang", "source",
+        *own,
         let(w, lambda v: F.struct(F.size(v).cast("long").alias("n_words"), repeats(v).cast("long").alias("n_repeat_words"))).alias("_w"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
         F.length(F.regexp_replace(text, r"\P{Lu}+", "")).cast("long").alias("n_upper"),
         let(lines, lambda v: F.struct(F.size(v).cast("long").alias("n"), (F.size(v) - F.size(F.array_distinct(v))).cast("long").alias("dup"))).alias("_l"),
-    ).select("doc_id", "lang", "source", "_w.n_words", "word_chars", "n_symbols", F.col("_l.dup").alias("n_dup_lines"), "_w.n_repeat_words", F.col("_l.n").alias("n_lines"), "n_upper")
+    ).select(*own, "_w.n_words", "word_chars", "n_symbols", F.col("_l.dup").alias("n_dup_lines"), "_w.n_repeat_words", F.col("_l.n").alias("n_lines"), "n_upper")
 
 
 BASE = "(n_words < 50 OR 100 * n_repeat_words > 50 * n_words)"
@@ -112,51 +133,52 @@ def _named(df: DataFrame, exprs: list[tuple[str, str]], keep: list[str]) -> Data
     return df.selectExpr("*", *[f"{e} AS {n}" for n, e in exprs]).select(*keep)
 
 
-def quality_rules(docs: DataFrame, cut: float = CUT, least: int = LEAST, steps: int = STEPS) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance (null if base_failed or no estimate)."""
+OUT = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def quality_rules(docs: DataFrame, level: float = LEVEL, least: int = LEAST, steps: int = STEPS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, columns to carry along, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance (null if base_failed or no estimate)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
+    out = (OUT[0], *carry, *OUT[1:])
     x = [f"x{i}" for i in D]
-    stats = scratch.keep(counts(docs).selectExpr("*", f"{BASE} AS base_failed", *[f"{VECTOR[k]} AS x{i}" for i, k in enumerate(NAMES)]))
+    stats = scratch.keep(counts(docs, carry).selectExpr("*", f"{BASE} AS base_failed", *[f"{VECTOR[k]} AS x{i}" for i, k in enumerate(NAMES)]))
 
-    key = F.col("lang"), F.col("source")
-    per = stats.filter("NOT base_failed").groupBy(*key).agg(F.count("*").alias("n"))
+    per = stats.filter("NOT base_failed").groupBy("lang", "source").agg(F.count("*").alias("n"))
     per = scratch.keep(per.selectExpr("lang", "source", "n", "sum(n) OVER (PARTITION BY lang) AS n_lang"))
     total = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     if total < least:
-        return stats.selectExpr("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "NOT base_failed AS kept", "CAST(NULL AS DOUBLE) AS distance")
+        return stats.selectExpr(*out, "NOT base_failed AS kept", "CAST(NULL AS DOUBLE) AS distance")
 
     # A group takes part in its own estimate only; small ones are pooled with all rows of the language, or all rows.
-    level = per.selectExpr("lang", "source", f"CASE WHEN n >= {least} THEN 0 WHEN n_lang >= {least} THEN 1 ELSE 2 END AS level")
-    groups = small(level.alias("g"), 20_000)
+    pooling = per.selectExpr("lang", "source", f"CASE WHEN n >= {least} THEN 0 WHEN n_lang >= {least} THEN 1 ELSE 2 END AS pool")
     of = F.col("d.lang").eqNullSafe(F.col("g.lang")) & F.col("d.source").eqNullSafe(F.col("g.source"))
-    rows = stats.alias("d").join(groups, of, "left").select("d.*", F.coalesce("level", F.lit(2)).alias("level"))
-    needed = sorted(r[0] for r in level.select("level").distinct().collect())
-    ids = {0: F.struct(F.col("lang").alias("l"), F.col("source").alias("s")), 1: F.struct(F.col("lang").alias("l"), F.lit(None).cast("string").alias("s")), 2: F.struct(F.lit(None).cast("string").alias("l"), F.lit(None).cast("string").alias("s"))}
-    name = lambda k: F.to_json(F.struct(F.lit(k).alias("k"), ids[k].alias("g")))
+    rows = stats.alias("d").join(small(pooling, 20_000).alias("g"), of, "left").select("d.*", F.coalesce("pool", F.lit(2)).alias("pool"))
+    needed = sorted(r[0] for r in pooling.select("pool").distinct().collect())
+    none = F.lit(None).cast("string")
+    ids = {0: (F.col("lang"), F.col("source")), 1: (F.col("lang"), none), 2: (none, none)}
+    name = lambda k: F.to_json(F.struct(F.lit(k).alias("k"), ids[k][0].alias("l"), ids[k][1].alias("s")))
 
     # x and the names of the estimates that a row takes part in; a row takes part in pooled ones too where any group needs them
     base = rows.filter("NOT base_failed").select(F.explode(F.array(*[name(k) for k in needed])).alias("g"), *x)
-    base = base if needed == [0] else base
     centre = scratch.keep(base.groupBy("g").agg(*[F.expr(f"percentile(x{i}, 0.5)").alias(f"c{i}") for i in D]))
     joined = base.join(small(centre, 20_000), "g")
-    spread = scratch.keep(joined.groupBy("g").agg(*[F.max(f"c{i}").alias(f"c{i}") for i in D], *[F.expr(f"percentile(abs(x{i} - c{i}), 0.5)").alias(f"a{i}") for i in D]))
-    params, dist = spread, [("d2", START)]
+    spread = joined.groupBy("g").agg(*[F.max(f"c{i}").alias(f"c{i}") for i in D], *[F.expr(f"percentile(abs(x{i} - c{i}), 0.5)").alias(f"a{i}") for i in D])
+    params, dist = scratch.keep(spread.select("*", F.explode(F.sequence(F.lit(0), F.lit(STARTS - 1))).alias("start"))), [("d2", START)]
     for _ in range(steps):
-        near = _named(base.join(small(params, 20_000), "g"), dist, ["g", *x, "d2"])
-        shells = near.groupBy("g", F.expr(SHELL).alias("shell")).agg(
+        near = _named(base.join(small(params, 60_000), "g"), dist, ["g", "start", *x, "d2"])
+        shells = near.groupBy("g", "start", F.expr(SHELL).alias("shell")).agg(
             F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in D], *[F.sum(F.expr(f"x{i} * x{j}")).alias(f"s{i}_{j}") for i, j in PAIRS])
-        seen = shells.selectExpr("*", "sum(n) OVER (PARTITION BY g ORDER BY shell) AS upto", "sum(n) OVER (PARTITION BY g) AS total")
+        seen = shells.selectExpr("*", "sum(n) OVER (PARTITION BY g, start ORDER BY shell) AS upto", "sum(n) OVER (PARTITION BY g, start) AS total")
         inner = seen.filter("upto - n < (3 * total + 3) div 4")
-        sums = inner.groupBy("g").agg(F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in D], *[F.sum(f"s{i}_{j}").alias(f"s{i}_{j}") for i, j in PAIRS])
+        sums = inner.groupBy("g", "start").agg(F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in D], *[F.sum(f"s{i}_{j}").alias(f"s{i}_{j}") for i, j in PAIRS])
         f = factor()
-        params, dist = scratch.keep(_named(sums, f, ["g", *[n for n, _ in f]])), distance()
+        params, dist = scratch.keep(_named(sums, f, ["g", "start", *[n for n, _ in f]])), distance()
+    best = params.groupBy("g").agg(F.min_by(F.struct(*[n for n, _ in f]), F.struct("logdet", "start")).alias("p")).select("g", "p.*")
 
-    own = rows.withColumn("g", F.when(F.col("level") == 0, name(0)).when(F.col("level") == 1, name(1)).otherwise(name(2)))
-    judged = _named(own.join(small(params, 20_000), "g", "left"), dist, ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2"])
-    return judged.selectExpr(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        f"NOT base_failed AND coalesce(d2 <= {cut!r}, TRUE) AS kept", "CASE WHEN NOT base_failed THEN round(sqrt(d2), 2) END AS distance")
+    own = rows.withColumn("g", F.when(F.col("pool") == 0, name(0)).when(F.col("pool") == 1, name(1)).otherwise(name(2)))
+    judged = _named(own.join(small(scratch.keep(best), 20_000), "g", "left"), dist, [*out, "d2"])
+    return judged.selectExpr(*out, f"NOT base_failed AND coalesce(d2 <= {chi_square_cut(level)!r}, TRUE) AS kept", "CASE WHEN NOT base_failed THEN round(sqrt(d2), 2) END AS distance")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,9 +186,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass; repeated rows of one doc_id share a verdict only if all of them pass."""
-    bad = quality_rules(docs).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """Rows that pass. Each is judged by itself, so null and repeated doc_ids keep what passes and lose what doesn't."""
+    keyed = docs.withColumn("_key", row_key("doc_id", "lang", "source", "text"))
+    bad = quality_rules(keyed, carry=("_key",)).filter("NOT kept").select("_key").distinct()
+    return keyed.join(bad, "_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def nested(exprs: list[tuple[str, str]], query: str) -> str:
@@ -177,47 +200,54 @@ def nested(exprs: list[tuple[str, str]], query: str) -> str:
 
 
 def oracle(documents: str = "documents") -> str:
-    """The same in DuckDB."""
-    s = r"[\x20\x09-\x0D]+"
-    sums = ", ".join([f"sum(s{i}) s{i}" for i in D] + [f"sum(s{i}_{j}) s{i}_{j}" for i, j in PAIRS])
-    raw = ", ".join([f"sum(x{i}) s{i}" for i in D] + [f"sum(x{i} * x{j}) s{i}_{j}" for i, j in PAIRS])
-    x = ", ".join(f"x{i}" for i in D)
-    f, dist = factor(), distance()
+    """The same in DuckDB, by formulas of its own: averages instead of integer sums, ranks instead of shell counts, and an
+    LDL factor (no roots) instead of Cholesky's; transforms, floors and the chi-square quantile of 6 degrees at 1e-6 are written out."""
+    least = [5.12, 5.12, 103.799067, 5.12, 305.644152, 305.644152]  # 256 times 0.02, ln 1.5 and ln 3.3
+    six, low = range(6), [(i, j) for i in range(6) for j in range(i + 1)]
+    deviations = [f"abs(x{i} - c{i}) / greatest(1.4826 * a{i}, {least[i]})" for i in six]
+    first = f"list_aggregate([{', '.join(f'({v}) * ({v})' for v in deviations)}], 'sum')", f"power(list_max([{', '.join(deviations)}]), 2)", f"power(list_sum([{', '.join(deviations)}]), 2)"
+    moments = ", ".join([f"avg(x{i}) AS m{i}" for i in six] + [f"avg(x{i} * x{j}) AS q{i}{j}" for i, j in low])
+    factors = []  # covariance = L D L', a line for each entry
+    for i, j in low:
+        c = f"1.36 * (q{i}{j} - m{i} * m{j})"
+        c = f"greatest({c}, {least[i] ** 2})" if i == j else c
+        rest = c + "".join(f" - u{i}{k} * u{j}{k} * v{k}" for k in range(j))
+        factors.append((f"v{i}", rest) if i == j else (f"u{i}{j}", f"({rest}) / v{j}"))
+    solved = [(f"y{i}", f"x{i} - m{i}" + "".join(f" - u{i}{k} * y{k}" for k in range(i))) for i in six]
+    d2 = [*solved, ("d2", " + ".join(f"y{i} * y{i} / v{i}" for i in six))]
+    names = [n for n, _ in factors] + [f"m{i}" for i in six]
+    xs = ", ".join(f"x{i}" for i in six)
+    label = "coalesce('v' || lang, 'n')", "coalesce('v' || source, 'n')"
     ctes = [
-        f"""w AS MATERIALIZED (SELECT doc_id, lang, source, coalesce(text, '') AS text,
-  list_filter(regexp_split_to_array(coalesce(text, ''), '{s}'), lambda v: v <> '') AS ws,
-  list_filter(string_split(coalesce(text, ''), chr(10)), lambda v: regexp_matches(v, '[^\\x20\\x09-\\x0D]')) AS ls FROM {documents})""",
-        """g AS MATERIALIZED (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS n
-  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w))""",
-        "r AS MATERIALIZED (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM g WHERE n > 1) GROUP BY doc_id)",
-        f"""b AS (SELECT w.doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words,
-  CAST(length(regexp_replace(text, '{s}', '', 'g')) AS BIGINT) AS word_chars,
-  CAST(length(text) - length(translate(text, '{SYMBOLS}', '')) AS BIGINT) AS n_symbols,
-  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
-  CAST(len(ls) AS BIGINT) AS n_lines, CAST(length(regexp_replace(text, '\\P{{Lu}}+', '', 'g')) AS BIGINT) AS n_upper
-  FROM w LEFT JOIN r ON w.doc_id = r.doc_id)""",
-        f"stats AS MATERIALIZED (SELECT *, {BASE} AS base_failed, {', '.join(f'{VECTOR[k]} AS x{i}' for i, k in enumerate(NAMES))} FROM b)",
-        f"""lv AS MATERIALIZED (SELECT lang, source, CASE WHEN n >= {LEAST} THEN 0 WHEN n_lang >= {LEAST} THEN 1 ELSE 2 END AS level
-  FROM (SELECT lang, source, n, sum(n) OVER (PARTITION BY lang) AS n_lang FROM (SELECT lang, source, count(*) AS n FROM stats WHERE NOT base_failed GROUP BY lang, source)))""",
-        f"""rws AS MATERIALIZED (SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, {x}, stats.lang, stats.source, coalesce(level, 2) AS level,
-  CASE coalesce(level, 2) WHEN 0 THEN '0' || coalesce('v' || stats.lang, 'n') || chr(1) || coalesce('v' || stats.source, 'n') WHEN 1 THEN '1' || coalesce('v' || stats.lang, 'n') ELSE '2' END AS g
-  FROM stats LEFT JOIN lv ON stats.lang IS NOT DISTINCT FROM lv.lang AND stats.source IS NOT DISTINCT FROM lv.source)""",
-        f"""base AS MATERIALIZED (SELECT {x}, unnest(['0' || coalesce('v' || lang, 'n') || chr(1) || coalesce('v' || source, 'n'), '1' || coalesce('v' || lang, 'n'), '2']) AS g FROM rws WHERE NOT base_failed)""",
-        f"centre AS MATERIALIZED (SELECT g, {', '.join(f'quantile_cont(x{i}, 0.5) AS c{i}' for i in D)} FROM base GROUP BY g)",
-        f"p0 AS MATERIALIZED (SELECT g, {', '.join(f'any_value(c{i}) AS c{i}, quantile_cont(abs(x{i} - c{i}), 0.5) AS a{i}' for i in D)} FROM base JOIN centre USING (g) GROUP BY g)",
+        f"""w AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, lang, source, coalesce(text, '') AS text,
+  list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda v: v <> '') AS ws,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda v: regexp_matches(v, '[^ \t-\r]')) AS ls FROM {documents})""",
+        """g AS MATERIALIZED (SELECT k, i, count(*) OVER (PARTITION BY k, ws[i], ws[i + 1], ws[i + 2]) AS n FROM (SELECT k, ws, unnest(range(1, len(ws) - 1)) AS i FROM w))""",
+        "r AS MATERIALIZED (SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest([i, i + 1, i + 2]) AS p FROM g WHERE n > 1) GROUP BY k)",
+        """b AS (SELECT w.k, doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(list_sum(list_transform(ws, lambda v: length(v))) AS BIGINT) AS chars,
+  CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
+  len(ls) AS n_lines, len(regexp_extract_all(text, '\\p{Lu}')) AS n_upper FROM w LEFT JOIN r ON w.k = r.k)""",
+        """t AS MATERIALIZED (SELECT *, n_words < 50 OR n_repeat_words * 2 > n_words AS base_failed, coalesce(chars, 0) AS word_chars,
+  [ln(1 + n_words::DOUBLE), ln(1 + coalesce(chars, 0)::DOUBLE / greatest(n_words, 1)), ln(1 + 100.0::DOUBLE * n_symbols / greatest(chars, 1)), ln(1 + 100.0::DOUBLE * n_upper / greatest(chars, 1)),
+   ln(1 + 100.0::DOUBLE * n_dup_lines / greatest(n_lines, 1)), ln(1 + 100.0::DOUBLE * n_repeat_words / greatest(n_words, 1))] AS v FROM b)""",
+        f"s AS MATERIALIZED (SELECT * EXCLUDE (v), {', '.join(f'floor(256 * v[{i + 1}] + 0.5) AS x{i}' for i in six)}, count(*) FILTER (NOT base_failed) OVER (PARTITION BY lang, source) AS n_own, count(*) FILTER (NOT base_failed) OVER (PARTITION BY lang) AS n_lang, count(*) FILTER (NOT base_failed) OVER () AS n_all FROM t)",
+        f"own AS MATERIALIZED (SELECT *, CASE WHEN n_own >= {LEAST} THEN '0' || {label[0]} || chr(1) || {label[1]} WHEN n_own > 0 AND n_lang >= {LEAST} THEN '1' || {label[0]} ELSE '2' END AS g FROM s)",
+        f"part AS MATERIALIZED (SELECT {xs}, unnest(['0' || {label[0]} || chr(1) || {label[1]}, '1' || {label[0]}, '2']) AS g FROM s WHERE NOT base_failed)",
+        f"mid AS MATERIALIZED (SELECT g, {', '.join(f'median(x{i}) AS c{i}' for i in six)} FROM part GROUP BY g)",
+        f"wide AS MATERIALIZED (SELECT g, {', '.join(f'any_value(c{i}) AS c{i}, median(abs(x{i} - c{i})) AS a{i}' for i in six)} FROM part JOIN mid USING (g) GROUP BY g)",
+        f"e0 AS MATERIALIZED (SELECT g, start, {xs}, CASE start WHEN 0 THEN {first[0]} WHEN 1 THEN {first[1]} ELSE {first[2]} END AS d2 FROM part JOIN wide USING (g), (VALUES (0), (1), (2)) starts(start))",
     ]
-    step = [("d2", START)]
     for k in range(STEPS):
         ctes += [
-            f"e{k} AS MATERIALIZED ({nested(step, f'SELECT * FROM base JOIN p{k} USING (g)')})",
-            f"h{k} AS MATERIALIZED (SELECT g, {SHELL} AS shell, count(*) AS n, {raw} FROM e{k} GROUP BY 1, 2)",
-            f"i{k} AS MATERIALIZED (SELECT * FROM (SELECT *, sum(n) OVER (PARTITION BY g ORDER BY shell) AS upto, sum(n) OVER (PARTITION BY g) AS total FROM h{k}) WHERE upto - n < (3 * total + 3) // 4)",
-            f"p{k + 1} AS MATERIALIZED (SELECT g, {', '.join(n for n, _ in f)} FROM ({nested(f, f'SELECT g, sum(n) AS n, {sums} FROM i{k} GROUP BY g')}))",
+            f"h{k} AS MATERIALIZED (SELECT *, rank() OVER (PARTITION BY g, start ORDER BY floor(256 * ln(1 + d2))) AS place, count(*) OVER (PARTITION BY g, start) AS of FROM e{k})",
+            f"p{k} AS MATERIALIZED (SELECT g, start, {', '.join(names)} FROM ({nested(factors, f'SELECT g, start, {moments} FROM h{k} WHERE place <= ceil(0.75 * of) GROUP BY g, start')}))",
         ]
-        step = dist
+        if k + 1 < STEPS:
+            ctes.append(f"e{k + 1} AS MATERIALIZED (SELECT g, start, {xs}, d2 FROM ({nested(d2, f'SELECT * FROM part JOIN p{k} USING (g)')}))")
+    determinant = " + ".join(f"ln(v{i})" for i in six)
     return (
         "WITH " + ",\n".join(ctes) + f""",
-judged AS ({nested(dist, f'SELECT * FROM rws LEFT JOIN p{STEPS} USING (g)')})
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND ((SELECT count(*) FROM stats WHERE NOT base_failed) < {LEAST} OR coalesce(d2 <= {CUT!r}, TRUE)) AS kept FROM judged"""
+chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY {determinant}, start) AS choice FROM p{STEPS - 1}) WHERE choice = 1),
+judged AS ({nested(d2, 'SELECT * FROM own LEFT JOIN chosen USING (g)')})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (n_all < {LEAST} OR coalesce(d2 <= 38.2583, TRUE)) AS kept FROM judged"""
     )

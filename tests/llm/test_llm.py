@@ -76,6 +76,29 @@ def test_rules_reject_outliers(spark):
     assert not any(kept[i] for i in range(150, 165))
 
 
+def test_rules_search_and_cut():
+    assert abs(quality_rules.chi_square_cut(0.05) - 12.5916) < 1e-3
+    assert abs(quality_rules.chi_square_cut(1e-6) - 38.2583) < 1e-3
+
+
+def test_rules_judge_rows_not_ids(spark):
+    rng = random.Random(4)
+    good = lambda: " ".join(rng.choice(["alpha", "be", "gamma", "of"]) + str(rng.randrange(999)) for _ in range(70))
+    rows = [(i, good()) for i in range(100)] + [(None, "too short"), (None, good()), (3, "short too"), (3, good())]
+    docs = table(spark, rows)
+    kept = [(r["doc_id"], r["text"]) for r in quality_rules.stage(spark, docs, SF).collect()]
+    assert sorted(kept, key=str) == sorted(((i, t) for i, t in rows if len(t) > 20), key=str)
+    assert quality_rules.stage(spark, docs, SF).columns == docs.columns
+
+
+def test_rules_by_labels(spark):
+    d = SF.replace("sf0.001", "sf0.1")
+    judged = quality_rules.op1_quality_rules(spark, d).filter("NOT base_failed").join(spark.read.parquet(f"{d}/labels.parquet").distinct(), "doc_id")
+    share = {r["quality"]: r["s"] for r in judged.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("s")).collect()}
+    assert share[1] > 0.98
+    assert share[0] < 0.2
+
+
 def removed(rows, length=100):
     seen, out = set(), {}
     for i, t in sorted(rows, key=lambda r: r[0]):

@@ -1,17 +1,20 @@
 """Near-duplicates by DartMinHash on word shingles.
 
 Elements are windows of five words (a shorter text is one element), weighted by how often they occur. Hashed darts
-fall on (weight, rank) cells of each element; the earliest dart of each coordinate makes the signature, so that two
-documents agree in a coordinate with the probability of their weighted Jaccard similarity. Only the cells of low rank
+fall on (weight, rank) cells of each element, and those within the element's weight count; the earliest dart of each coordinate
+makes the signature, so that two documents agree in a coordinate with the probability of their weighted Jaccard similarity.
+Weight cells double in width, so an element costs the logarithm of its weight; only the cells of low rank
 are looked at: about t ln t darts a document, however long it is.
 
-Exact copies are one text from the start. Equal bands make a bucket; members are compared with its leader (least doc_id), exactly,
+Exact copies are one node from the start. Equal bands make a bucket; members are compared with its leader, exactly,
 on all shingles. Those not similar to it are compared with the leader among themselves, for a few rounds, which
 join most of what belongs together. Then all pairs that share a bucket but no class yet are compared, less those that
 element counts show to be below the threshold. So every pair with an equal band is in one class or has been compared,
 and a group of copies may hold any share of the rows. Classes are the connected components of the links.
 
-Null texts and texts without a word are classes of their own. Rows that repeat a doc_id count once. Ties go to the least doc_id.
+Every row is judged by its own text: rows that repeat a doc_id with another text, and rows without one, are nodes like any other, and
+each row returns. Null texts and texts without a word are classes of their own. A class is named by its least doc_id (null if no
+row of it has one); ties in signatures go to the greater hash, of rows with equal doc_id and text all count as the same document.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytes_ import batches_of, mix, powers, words_of
@@ -50,11 +53,11 @@ def unit(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
-def shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """Element hashes of all texts of a chunk and the text each belongs to; the j-th occurrence of a shingle is an element of its own."""
+def shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Element hashes of all texts of a chunk, the text each belongs to and its weight there; sorted by text, then hash."""
     first, last, doc = words_of(data, starts, ends)
     if not len(first):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     word = mix(powers.spans(data, first, last) ^ mix((last - first).astype(np.uint64)))
     n = np.bincount(doc, minlength=len(starts))
     begin = np.concatenate([[0], np.cumsum(n)[:-1]])
@@ -71,42 +74,64 @@ def shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int
     o, h = owner[order], out[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
-    begin = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-    times = (np.arange(len(h)) - begin).astype(np.uint64)
-    return np.where(times > 0, mix(h + times * np.uint64(0xD6E8FEB86659FD93)), h), o
-
-
-def signatures(elements: np.ndarray, owner: np.ndarray, docs: int, t: int) -> np.ndarray:
+    head = np.flatnonzero(new)
+    return h[head], o[head], np.diff(np.append(head, len(h)))
+
+
+def unrolled(h: np.ndarray, o: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The j-th occurrence of an element as one of its own, so that sets of them have the weighted Jaccard similarity."""
+    times = (np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)).astype(np.uint64)
+    h = np.repeat(h, weight)
+    return np.where(times > 0, mix(h + times * np.uint64(0xD6E8FEB86659FD93)), h), np.repeat(o, weight)
+
+
+def thrown(e: np.ndarray, o: np.ndarray, weight: np.ndarray, level: int, cell: int, low: float, high: float):
+    """Darts of elements in one cell of the plane, as (text, dart, rank): weights from 2^(level - 1) to 2^level (level 0: up to 1), ranks from low to high."""
+    floor, wide = (0.0, 1.0) if level == 0 else (2.0 ** (level - 1), 2.0 ** (level - 1))
+    pieces = max(1, int(np.ceil((high - low) * wide / 64)))  # keeps the mean of one draw at 64 or less
+    step = (high - low) / pieces
+    cdf = poisson(step * wide)
+    for piece in range(pieces):
+        seed = mix(e + np.uint64((cell * 0x9E3779B97F4A7C15 + piece * 0xC2B2AE3D27D4EB4F + level * 0x165667B19E3779F9) & (2**64 - 1)))
+        u = unit(seed)
+        some = np.flatnonzero(u >= cdf[0])
+        count = np.searchsorted(cdf, u[some], "right")
+        at = np.repeat(some, count)
+        if not len(at):
+            continue
+        which = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+        dart = mix(seed[at] + (which.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
+        rank = low + step * (piece + unit(mix(dart ^ np.uint64(0xA0761D6478BD642F))))
+        if level:
+            hit = floor + wide * unit(mix(dart ^ np.uint64(0x8EBC6AF09C88C6E3))) < weight[at]
+            at, dart, rank = at[hit], dart[hit], rank[hit]
+        yield o[at], dart, rank
+
+
+def signatures(elements: np.ndarray, owner: np.ndarray, weight: np.ndarray, docs: int, t: int) -> np.ndarray:
     """docs x t matrix of dart identities; rows of texts without elements are 0."""
     sig = np.zeros(docs * t, np.uint64)
     left = np.bincount(owner, minlength=docs) > 0
-    e, o = elements, owner
+    e, o, w = elements, owner, weight
     cell = 0
     while len(e):
         low, high = (EDGES[cell], EDGES[cell + 1]) if cell + 1 < len(EDGES) else (EDGES[-1] * 2.0 ** (cell + 1 - len(EDGES)), EDGES[-1] * 2.0 ** (cell + 2 - len(EDGES)))
-        pieces = max(1, int((high - low) // 64))  # keeps the mean of one draw at 64 or less
-        step = (high - low) / pieces
-        cdf = poisson(step)
-        for piece in range(pieces):
-            seed = mix(e + np.uint64((cell * 0x9E3779B97F4A7C15 + piece * 0xC2B2AE3D27D4EB4F) & (2**64 - 1)))
-            u = unit(seed)
-            some = np.flatnonzero(u >= cdf[0])
-            count = np.searchsorted(cdf, u[some], "right")
-            at = np.repeat(some, count)
-            if not len(at):
-                continue
-            which = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
-            dart = mix(seed[at] + (which.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
-            rank = unit(mix(dart ^ np.uint64(0xA0761D6478BD642F)))
-            flat = o[at] * t + (dart % np.uint64(t)).astype(np.int64)
+        found, level = [], 0
+        i = np.arange(len(e))
+        while len(i):
+            found += thrown(e[i], o[i], w[i], level, cell, low, high)
+            i = i[w[i] > 2.0**level]
+            level += 1
+        if found:
+            at, dart, rank = (np.concatenate(x) for x in zip(*found, strict=True))
+            flat = at * t + (dart % np.uint64(t)).astype(np.int64)
             free = sig[flat] == 0
             flat, dart, rank = flat[free], dart[free], rank[free]
-            order = np.argsort(-rank, kind="stable")
+            order = np.lexsort((dart, -rank))
             sig[flat[order]] = dart[order] | np.uint64(1)
-        full = (sig.reshape(docs, t) != 0).all(1)
-        left &= ~full
+        left &= ~(sig.reshape(docs, t) != 0).all(1)
         go = left[o]
-        e, o = e[go], o[go]
+        e, o, w = e[go], o[go], w[go]
         cell += 1
     return sig.reshape(docs, t)
 
@@ -121,32 +146,37 @@ def bands_of(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
+def digest_of(text: Column) -> Column:
+    """What ``sketch`` calls copy, by Spark."""
+    return F.substring(F.unhex(F.sha2(text.cast("binary"), 256)), 1, 16)
+
+
 def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
-    """doc_id, copy (16-byte digest of the text) and bands (null for texts without words)."""
+    """doc_id, copy (16 bytes of the text's SHA-256) and bands (null for texts without words)."""
 
     def run(batches):
         for keys, data, starts, ends in batches_of(batches):
-            e, o = shingles(data, starts, ends, width)
+            e, o, w = shingles(data, starts, ends, width)
             some = np.bincount(o, minlength=len(starts)) > 0
-            b = bands_of(signatures(e, o, len(starts), bands * rows), bands, rows).astype(np.int64)
+            b = bands_of(signatures(e, o, w, len(starts), bands * rows), bands, rows).astype(np.int64)
             raw = data.tobytes()
-            copy = [hashlib.blake2b(raw[i:j], digest_size=16).digest() for i, j in zip(starts, ends, strict=True)]
+            copy = [hashlib.sha256(raw[i:j]).digest()[:16] for i, j in zip(starts, ends, strict=True)]
             yield pa.RecordBatch.from_arrays([keys, pa.array(copy, pa.binary()), pa.array([x.tolist() if s else None for x, s in zip(b, some, strict=True)], pa.list_(pa.int64()))], ["doc_id", "copy", "bands"])
 
     return drop_inputs(docs, "doc_id", "text").mapInArrow(run, "doc_id long, copy binary, bands array<long>")
 
 
-def vectors(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """packed texts (doc_id, size, z) -> doc_id and the sorted element hashes of its text, as one binary value."""
+def vectors(texts: DataFrame, width: int = WIDTH) -> DataFrame:
+    """packed texts (node, size, z) -> a (the node) and the sorted hashes of its unrolled elements, as one binary value."""
 
     def run(batches):
         for keys, data, starts, ends in batches_of(unpacked(batches)):
-            e, o = shingles(data, starts, ends, width)
+            e, o = unrolled(*shingles(data, starts, ends, width))
             order = np.lexsort((e, o))
             e, cut = e[order], np.concatenate([[0], np.cumsum(np.bincount(o, minlength=len(starts)))])
-            yield pa.RecordBatch.from_arrays([keys, pa.array([e[cut[i] : cut[i + 1]].tobytes() for i in range(len(starts))], pa.binary())], ["doc_id", "v"])
+            yield pa.RecordBatch.from_arrays([keys, pa.array([e[cut[i] : cut[i + 1]].tobytes() for i in range(len(starts))], pa.binary())], ["a", "v"])
 
-    return docs.select("doc_id", "size", "z").mapInArrow(run, "doc_id long, v binary")
+    return texts.select("node", "size", "z").mapInArrow(run, "a long, v binary")
 
 
 def similar(pairs: DataFrame, least: float) -> DataFrame:
@@ -168,7 +198,7 @@ def similar(pairs: DataFrame, least: float) -> DataFrame:
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """links (a, b) -> doc_id, class: the least id that is connected with it. Labels spread over links, then jump to their label's label."""
+    """links (a, b) -> a, class: the least id that is connected with it. Labels spread over links, then jump to their label's label."""
     both = scratch.keep(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = scratch.keep(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("label")))
     while True:
@@ -180,27 +210,27 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         scratch.drop(spread, labels)
         labels = new
         if not changed:
-            return labels.select(F.col("a").alias("doc_id"), F.col("label").alias("class"))
+            return labels.select("a", F.col("label").alias("class"))
 
 
 def sketched(vec: DataFrame) -> DataFrame:
-    """doc_id and k, the number of its elements in each of SKETCH parts of the hash range: the sum of the lesser of two bounds what they share."""
+    """a and k, the number of its elements in each of SKETCH parts of the hash range: the sum of the lesser of two bounds what they share."""
 
     def run(batches):
         for b in batches:
             k = [np.bincount((np.frombuffer(v.as_buffer(), np.uint64) >> np.uint64(56)).astype(np.int64), minlength=SKETCH).astype(np.uint32).tobytes() for v in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(k, pa.binary())], ["doc_id", "k"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(k, pa.binary())], ["a", "k"])
 
-    return vec.select("doc_id", "v").mapInArrow(run, "doc_id long, k binary")
+    return vec.select("a", "v").mapInArrow(run, "a long, k binary")
 
 
-def unresolved(exploded: DataFrame, shared: DataFrame, label: DataFrame, vec: DataFrame, least: float) -> DataFrame:
+def unresolved(exploded: DataFrame, label: DataFrame, vec: DataFrame, least: float) -> DataFrame:
     """a, b (less than a): all pairs of each bucket whose classes differ, but those that cannot be similar (exact bounds). Buckets over BLOCK are dealt by pairs of blocks."""
-    known = exploded.join(label.withColumnRenamed("doc_id", "a"), "a", "left").withColumn("class", F.coalesce("class", "a"))
+    known = exploded.join(label, "a", "left").withColumn("class", F.coalesce("class", "a"))
     sizes = known.groupBy("bucket").agg(F.count("*").alias("size"), F.min("class").alias("one"), F.max("class").alias("other")).filter("size > 2 AND one <> other")
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
     rows = known.join(sizes.select("bucket", parts.alias("parts")), "bucket").withColumn("r", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
-    rows = rows.join(sketched(vec).withColumnRenamed("doc_id", "a"), "a").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.join(sketched(vec), "a").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("bucket", F.least("r", "o").alias("i"), F.greatest("r", "o").alias("j"), "r", "a", "class", "k")
 
     def run(t: pa.Table) -> pa.Table:
@@ -222,31 +252,21 @@ def unresolved(exploded: DataFrame, shared: DataFrame, label: DataFrame, vec: Da
     return rows.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
-    """doc_id, class_id (least doc_id of its class), n_links (other texts that it was found similar to, of those compared), is_copy (same text as a document before it)."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "minhash")
-    docs = drop_inputs(docs, "doc_id", "text").filter("doc_id IS NOT NULL")
-    with arrow_rows(spark, 1000):
-        sk = scratch.keep(sketch(docs, bands, rows, width))
-    worded = sk.filter("bands IS NOT NULL")
-    firsts = worded.groupBy("copy").agg(F.min("doc_id").alias("rep"))
-    rep = scratch.keep(worded.select("doc_id", "copy").distinct().join(firsts, "copy").select("doc_id", "rep"))
-    # One row a band of each different text, in buckets that two texts share.
-    reps = worded.join(rep.filter("doc_id = rep").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    exploded = scratch.keep(reps.select(F.col("doc_id").alias("a"), F.explode("bands").alias("bucket")))
+def linked(exploded: DataFrame, vec_of, scratch: Scratch, similarity: float) -> DataFrame:
+    """exploded (a, bucket), vec_of(nodes) -> a, class of the nodes that are linked with another."""
+    spark = exploded.sparkSession
     shared = exploded.groupBy("bucket").agg(F.min("a").alias("b"), F.max("a").alias("z")).filter("b <> z")
     members = scratch.keep(exploded.join(shared.select("bucket", "b"), "bucket").filter("a <> b"))
-    scratch.drop(sk)
     pairs = scratch.keep(members.select("a", "b").distinct())
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    with arrow_rows(spark, 1000):
-        vec = scratch.keep(vectors(packed(docs).join(ids.hint("merge"), "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]))
+    vec = vec_of(pairs.select("a").union(pairs.select("b")).distinct())
+
+    def compared(pairs):
+        with arrow_rows(spark, 1000):
+            return scratch.keep(similar(pairs.join(vec.select("a", F.col("v").alias("va")), "a").join(vec.select(F.col("a").alias("b"), F.col("v").alias("vb")), "b"), similarity))
+
     judged = None
     for level in range(ROUNDS):
-        va, vb = vec.select(F.col("doc_id").alias("a"), F.col("v").alias("va")), vec.select(F.col("doc_id").alias("b"), F.col("v").alias("vb"))
-        with arrow_rows(spark, 1000):
-            now = scratch.keep(similar(pairs.join(va, "a").join(vb, "b"), similarity))
+        now = compared(pairs)
         judged = now if judged is None else judged.unionByName(now)
         # Of all pairs judged so far: a member that failed this leader elsewhere, rounds ago, goes on here too.
         failed = members.join(judged.filter("NOT ok"), ["a", "b"], "left_semi").select("a", "bucket")
@@ -260,29 +280,69 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     # Leaders join most of what belongs together; whatever still shares a band across two classes is compared now, all pairs of it.
     links = scratch.keep(judged.filter("ok").select("a", "b").distinct())
     label = components(links, scratch)
-    left = scratch.keep(unresolved(exploded, shared, label, vec, similarity).distinct().join(judged, ["a", "b"], "left_anti"))
+    left = scratch.keep(unresolved(exploded, label, vec, similarity).distinct().join(judged, ["a", "b"], "left_anti"))
     if not left.isEmpty():
-        va, vb = vec.select(F.col("doc_id").alias("a"), F.col("v").alias("va")), vec.select(F.col("doc_id").alias("b"), F.col("v").alias("vb"))
+        label = components(scratch.keep(links.union(compared(left).filter("ok").select("a", "b"))), scratch)
+    scratch.drop(vec, members, pairs, left)
+    return label
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
+    """doc_id, copy (digest of the text), class_id and kept (it is the document that stays of its class) of every row."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "minhash")
+    docs = drop_inputs(docs, "doc_id", "text")
+    with arrow_rows(spark, 1000):
+        sk = scratch.keep(sketch(docs, bands, rows, width))
+    # One node for each different text; its id is fixed by being written.
+    nodes = sk.filter("bands IS NOT NULL").groupBy("copy").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands"))
+    nodes = scratch.keep(nodes.withColumn("node", F.monotonically_increasing_id()))
+
+    def vec_of(needed):
+        """Vectors of nodes, from the text of each one's first document."""
+        one = nodes.select("node", F.col("copy").alias("c"), "first").join(needed.withColumnRenamed("a", "node").hint("merge"), "node", "left_semi")
+        texts = packed(docs.select("doc_id", "text", digest_of(F.col("text")).alias("copy")), "copy")
+        found = texts.join(one.hint("merge"), F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("copy") == F.col("c")))
         with arrow_rows(spark, 1000):
-            last = scratch.keep(similar(left.join(va, "a").join(vb, "b"), similarity))
-        links = scratch.keep(links.union(last.filter("ok").select("a", "b")))
-        label = components(links, scratch)
-    scratch.drop(vec, members, exploded)
-    ends = links.select(F.col("a").alias("rep")).unionAll(links.select("b")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    classes = label.withColumnRenamed("doc_id", "rep").join(ends, "rep")
-    all_ids = docs.select("doc_id").distinct()
-    out = all_ids.join(rep, "doc_id", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")).join(classes, "rep", "left")
-    return out.select("doc_id", F.coalesce("class", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("rep") != F.col("doc_id")).alias("is_copy"))
+            return scratch.keep(vectors(found, width).dropDuplicates(["a"]))
+
+    exploded = scratch.keep(nodes.select(F.col("node").alias("a"), F.explode("bands").alias("bucket")))
+    label = linked(exploded, vec_of, scratch, similarity)
+    scratch.drop(exploded)
+    # The least doc_id names a class; the row that stays has it (and of several texts of that doc_id, the least digest).
+    of = nodes.join(label.withColumnRenamed("a", "node"), "node", "left").select("copy", "first", F.coalesce("class", "node").alias("class"))
+    head = of.groupBy("class").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "copy")).alias("h"))
+    named = scratch.keep(of.join(head, "class").select("copy", F.col("h.first").alias("class_id"), F.col("h.copy").alias("head")))
+    scratch.drop(nodes)
+    out = sk.select("doc_id", "copy", F.col("bands").isNull().alias("alone")).join(named, "copy", "left")
+    kept = F.col("alone") | F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("copy") == F.col("head"))
+    return out.select("doc_id", "copy", F.when(F.col("alone"), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), kept.alias("kept"))
 
 
 def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    """doc_id, class_id of every document."""
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays: the one of the least doc_id, and of its repeated rows one."""
-    gone = near_duplicates(docs).filter("doc_id <> class_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id"])
-
-
-__all__ = ["components", "near_duplicates", "op10_dart_minhash", "signatures", "small", "stage"]
+    """One document of each class stays; of rows that agree in doc_id and text, one."""
+    key = lambda copy: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.hex(copy))
+    gone = near_duplicates(docs).filter("NOT kept").select(key(F.col("copy")).alias("_key")).distinct()
+    keyed = docs.withColumn("_key", key(digest_of(F.col("text"))))
+    return keyed.join(gone, "_key", "left_anti").dropDuplicates(["_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def oracle() -> str:
+    """Classes of all pairs' exact similarities, in DuckDB; no bands."""
+    return """WITH RECURSIVE w AS (SELECT min(doc_id) AS id, list_filter(regexp_split_to_array(text, '[ \\t-\\r]+'), lambda v: v <> '') AS ws, text FROM documents WHERE regexp_matches(text, '[^ \\t-\\r]') GROUP BY text),
+e AS (SELECT id, array_to_string(ws[i : i + 4], ' ') AS g FROM (SELECT id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w)),
+n AS (SELECT id, g, count(*) AS n FROM e GROUP BY ALL), size AS (SELECT id, sum(n) AS n FROM n GROUP BY id),
+pair AS (SELECT a.id AS a, b.id AS b, sum(least(a.n, b.n)) AS k FROM n a JOIN n b ON a.g = b.g AND a.id < b.id GROUP BY ALL),
+link AS (SELECT a, b FROM pair JOIN size x ON x.id = a JOIN size y ON y.id = b WHERE 5 * k >= 4 * (x.n + y.n - k)),
+step AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(a, b) AS (SELECT id, id FROM w UNION SELECT r.a, s.b FROM reach r JOIN step s ON r.b = s.a),
+class AS (SELECT a AS id, min(b) AS class_id FROM reach GROUP BY a)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id FROM documents d LEFT JOIN (SELECT text, class_id FROM w JOIN class USING (id)) c ON d.text = c.text"""
+
+
+__all__ = ["components", "near_duplicates", "op10_dart_minhash", "oracle", "signatures", "small", "stage"]

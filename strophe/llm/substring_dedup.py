@@ -85,15 +85,16 @@ def anchor_rows(docs: DataFrame, length: int, gram: int, only_hash: bool) -> Dat
     return docs.mapInArrow(run, "h long" if only_hash else "h long, c long, doc_id long, at int")
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """doc_id and its compressed text, so that a shuffle moves less."""
+def packed(docs: DataFrame, *carry: str) -> DataFrame:
+    """doc_id and its compressed text, so that a shuffle moves less; binary columns to carry go along."""
+    names = ["doc_id", "size", "z", *carry]
 
     def run(batches):
         for b in batches:
             raw = [(x.as_py() or "").encode() for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in raw], pa.int32()), pa.array([pa.compress(x, "zstd", asbytes=True) for x in raw], pa.binary())], ["doc_id", "size", "z"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in raw], pa.int32()), pa.array([pa.compress(x, "zstd", asbytes=True) for x in raw], pa.binary()), *b.columns[2:]], names)
 
-    return docs.mapInArrow(run, "doc_id long, size int, z binary")
+    return docs.select("doc_id", "text", *carry).mapInArrow(run, "doc_id long, size int, z binary" + "".join(f", {c} binary" for c in carry))
 
 
 def unpacked(batches):

@@ -38,7 +38,7 @@ def outputs(spark, docs, labels, bench):
     yield "tokens", sentencepiece_tokens.digest(docs, model), docs.count()
     yield "licences", licences.scan_licences(docs), docs.count()
     yield "leaks", decontaminate.leaks(docs, bench), None
-    yield "near", minhash.near_duplicates(docs), docs.select("doc_id").distinct().count()
+    yield "near", minhash.near_duplicates(docs), docs.count()
 
 
 def test_hostile_and_empty(spark):
@@ -177,22 +177,66 @@ def test_template_family_near_the_threshold(spark):
     assert not wrong
 
 
-def test_signatures_estimate_similarity():
+def chunk(texts):
+    raw = [t.encode() for t in texts]
+    ends = np.cumsum([len(r) for r in raw])
+    return minhash.shingles(np.frombuffer(b"".join(raw), np.uint8), ends - [len(r) for r in raw], ends)
+
+
+def weighted(a, b):
+    x, y = (Counter(zip(*(t.split()[k:] for k in range(minhash.WIDTH)))) for t in (a, b))
+    return sum((x & y).values()) / sum((x | y).values())
+
+
+def test_signatures_estimate_weighted_similarity():
+    """Also of texts whose shingles repeat up to hundreds of times."""
     rng = np.random.default_rng(0)
     texts = []
-    for _ in range(40):
+    for k in range(60):
         w = [f"w{x}" for x in rng.integers(0, 5000, 200)]
         c = list(w)
         for x in rng.choice(200, 5, False):
             c[x] = "other"
+        if k >= 40:  # the same phrase some times here, more often there
+            w, c = w + w[:10] * int(rng.integers(1, 300)), c + w[:10] * int(rng.integers(1, 300))
         texts += [" ".join(w), " ".join(c)]
-    raw = [t.encode() for t in texts]
-    ends = np.cumsum([len(r) for r in raw])
-    e, o = minhash.shingles(np.frombuffer(b"".join(raw), np.uint8), ends - [len(r) for r in raw], ends)
-    s = minhash.signatures(e, o, len(texts), 80)
-    error = [(s[i] == s[i + 1]).mean() - len(set(e[o == i]) & set(e[o == i + 1])) / len(set(e[o == i]) | set(e[o == i + 1])) for i in range(0, 80, 2)]
-    assert abs(np.mean(error)) < 0.02
-    assert np.std(error) < 0.08
+    e, o, w = chunk(texts)
+    assert w.max() > 100
+    s = minhash.signatures(e, o, w, len(texts), 80)
+    for part in (range(0, 80, 2), range(80, 120, 2)):
+        error = [(s[i] == s[i + 1]).mean() - weighted(texts[i], texts[i + 1]) for i in part]
+        assert abs(np.mean(error)) < 0.025
+        assert np.std(error) < 0.08
+
+
+def test_a_chain_of_near_pairs(spark):
+    """Each text is near to the next one only, so that one missed pair would cut the class in two."""
+    rng = random.Random(5)
+    base, texts = [f"t{i}" for i in range(220)], []
+    for i in range(300):
+        texts.append(" ".join(base))
+        base[(i * 37) % 220] = f"new{i}"
+        for _ in range(3):
+            base[rng.randrange(220)] = f"more{i}.{rng.random()}"
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == brute_classes(texts)
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    rows = [(7, one), (7, two), (3, two + " x"), (None, three), (None, three + " y"), (None, one), (9, None), (9, None), (9, ""), (5, one), (5, one)]
+    docs = table(spark, rows)
+    got = sorted(((r["doc_id"], r["class_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect()), key=str)
+    assert got == sorted([(7, 5, False), (7, 3, False), (3, 3, True), (None, None, got_three := got_of(docs, three)), (None, None, not got_three), (None, 5, False), (9, 9, True), (9, 9, True), (9, 9, True), (5, 5, True), (5, 5, True)], key=str)
+    left = sorted(((r["doc_id"], r["text"]) for r in minhash.stage(spark, docs, SF).collect()), key=str)
+    assert [x for x in left if x[0] is not None] == sorted([(3, two + " x"), (5, one), (9, ""), (9, None)], key=str)
+    assert len([x for x in left if x[0] is None]) == 1
+    assert minhash.stage(spark, docs, SF).columns == docs.columns
+
+
+def got_of(docs, text):
+    copy = hashlib.sha256(text.encode()).digest()[:16]
+    return [r["kept"] for r in minhash.near_duplicates(docs).collect() if r["doc_id"] is None and bytes(r["copy"]) == copy][0]
 
 
 def test_components_of_a_chain(spark):

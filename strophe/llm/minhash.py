@@ -7,9 +7,9 @@ Weight cells double in width, so an element costs the logarithm of its weight; o
 are looked at: about t ln t darts a document, however long it is.
 
 Exact copies are one node from the start. Equal bands make a bucket; members are compared with its leader, exactly,
-on all shingles. Those not similar to it are compared with the leader among themselves, for a few rounds, which
-join most of what belongs together. Then all pairs that share a bucket but no class yet are compared, less those that
-element counts show to be below the threshold. So every pair with an equal band is in one class or has been compared,
+on all shingles, which joins most of what belongs together. Then the members of each bucket with several classes are compared with one another,
+block by block: a pair is skipped only if it is in one class by then, or if element counts show it to be below the threshold. So every
+pair with an equal band is in one class or has been compared, no more links come out than a block has members,
 and a group of copies may hold any share of the rows. Classes are the connected components of the links.
 
 Every row is judged by its own text: rows that repeat a doc_id with another text, and rows without one, are nodes like any other, and
@@ -34,9 +34,8 @@ from .substring_dedup import packed, unpacked
 WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
-ROUNDS = 4
-BLOCK = 1024  # members of a bucket that are compared with one another at once
-SKETCH = 256  # parts of the hash range that elements are counted in
+BLOCK, BLOCK_ELEMENTS = 2048, 2_000_000  # members of a bucket, and elements of theirs, that meet in one task
+SKETCH = 256  # parts of the hash range that elements are counted in: the sum of the lesser counts bounds what two texts share
 #: Rank cells: six narrow ones up to 2, then doubling. A cell of width w holds a Poisson(w) number of darts of each element.
 EDGES = [0.0, 1 / 16, 1 / 8, 1 / 4, 1 / 2, 1.0, *[2.0**k for k in range(1, 12)]]
 
@@ -167,16 +166,16 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int = W
 
 
 def vectors(texts: DataFrame, width: int = WIDTH) -> DataFrame:
-    """packed texts (node, size, z) -> a (the node) and the sorted hashes of its unrolled elements, as one binary value."""
+    """packed texts (node, size, z) -> a (the node), and the number and sorted hashes of its unrolled elements, these as one binary value."""
 
     def run(batches):
         for keys, data, starts, ends in batches_of(unpacked(batches)):
             e, o = unrolled(*shingles(data, starts, ends, width))
             order = np.lexsort((e, o))
             e, cut = e[order], np.concatenate([[0], np.cumsum(np.bincount(o, minlength=len(starts)))])
-            yield pa.RecordBatch.from_arrays([keys, pa.array([e[cut[i] : cut[i + 1]].tobytes() for i in range(len(starts))], pa.binary())], ["a", "v"])
+            yield pa.RecordBatch.from_arrays([keys, pa.array(np.diff(cut)), pa.array([e[cut[i] : cut[i + 1]].tobytes() for i in range(len(starts))], pa.binary())], ["a", "n", "v"])
 
-    return texts.select("node", "size", "z").mapInArrow(run, "a long, v binary")
+    return texts.select("node", "size", "z").mapInArrow(run, "a long, n long, v binary")
 
 
 def similar(pairs: DataFrame, least: float) -> DataFrame:
@@ -213,41 +212,43 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
             return labels.select("a", F.col("label").alias("class"))
 
 
-def sketched(vec: DataFrame) -> DataFrame:
-    """a and k, the number of its elements in each of SKETCH parts of the hash range: the sum of the lesser of two bounds what they share."""
-
-    def run(batches):
-        for b in batches:
-            k = [np.bincount((np.frombuffer(v.as_buffer(), np.uint64) >> np.uint64(56)).astype(np.int64), minlength=SKETCH).astype(np.uint32).tobytes() for v in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(k, pa.binary())], ["a", "k"])
-
-    return vec.select("a", "v").mapInArrow(run, "a long, k binary")
+def spanning(ids: np.ndarray, classes: np.ndarray, sides: np.ndarray | None, vs: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links between similar texts of different classes, one for each pair of classes that it joins. With sides, only pairs across them."""
+    n = np.array([len(v) for v in vs])
+    counts = np.stack([np.bincount((v >> np.uint64(56)).astype(np.int64), minlength=SKETCH) for v in vs]).astype(np.uint32)
+    classes, out = classes.copy(), []
+    for x in range(1, len(ids)):
+        y = np.flatnonzero((classes[:x] != classes[x]) & (np.minimum(n[:x], n[x]) >= least * np.maximum(n[:x], n[x])))
+        if sides is not None:
+            y = y[sides[y] != sides[x]]
+        if not len(y):
+            continue
+        both = np.minimum(counts[y], counts[x]).sum(1, dtype=np.int64)
+        for z in y[both >= least * (n[y] + n[x] - both)]:
+            if classes[z] != classes[x]:
+                same = len(np.intersect1d(vs[x], vs[z], assume_unique=True))
+                if same >= least * (n[x] + n[z] - same):
+                    out.append((int(ids[x]), int(ids[z])))
+                    classes[classes == classes[z]] = classes[x]
+    return out
 
 
 def unresolved(exploded: DataFrame, label: DataFrame, vec: DataFrame, least: float) -> DataFrame:
-    """a, b (less than a): all pairs of each bucket whose classes differ, but those that cannot be similar (exact bounds). Buckets over BLOCK are dealt by pairs of blocks."""
+    """a, b: links that join the classes of each bucket as all its pairs would. Large buckets are dealt by pairs of blocks."""
     known = exploded.join(label, "a", "left").withColumn("class", F.coalesce("class", "a"))
-    sizes = known.groupBy("bucket").agg(F.count("*").alias("size"), F.min("class").alias("one"), F.max("class").alias("other")).filter("size > 2 AND one <> other")
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    sizes = known.join(vec.select("a", "n"), "a").groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n").alias("n"), F.min("class").alias("one"), F.max("class").alias("other")).filter("size > 2 AND one <> other")
+    parts = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("n") / BLOCK_ELEMENTS)).cast("int")
     rows = known.join(sizes.select("bucket", parts.alias("parts")), "bucket").withColumn("r", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
-    rows = rows.join(sketched(vec), "a").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("bucket", F.least("r", "o").alias("i"), F.greatest("r", "o").alias("j"), "r", "a", "class", "k")
+    rows = rows.join(vec, "a").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("bucket", F.least("r", "o").alias("i"), F.greatest("r", "o").alias("j"), "r", "a", "class", "v")
 
     def run(t: pa.Table) -> pa.Table:
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        r, ids, cls = (t.column(c).to_numpy() for c in ("r", "a", "class"))
-        k = np.frombuffer(b"".join(t.column("k").to_pylist()), np.uint32).reshape(-1, SKETCH)
-        n = k.sum(1, dtype=np.int64)
-        a, b = [], []
-        for x in range(len(ids)):
-            y = np.flatnonzero((ids < ids[x]) & (cls != cls[x]) & (np.minimum(n, n[x]) >= least * np.maximum(n, n[x])) & ((r != r[x]) | (i == j)))
-            if len(y):
-                both = np.minimum(k[y], k[x]).sum(1, dtype=np.int64)
-                y = y[both >= least * (n[y] + n[x] - both)]
-                a.append(np.full(len(y), ids[x]))
-                b.append(ids[y])
-        some = [np.concatenate(z) if z else np.zeros(0, np.int64) for z in (a, b)]
-        return pa.table({"a": pa.array(some[0], pa.int64()), "b": pa.array(some[1], pa.int64())})
+        across = t.column("i")[0].as_py() != t.column("j")[0].as_py()
+        r, ids, classes = (t.column(c).to_numpy() for c in ("r", "a", "class"))
+        order = np.argsort(ids)
+        vs = [np.frombuffer(v.as_buffer(), np.uint64) for v in t.column("v")]
+        links = spanning(ids[order], classes[order], r[order] if across else None, [vs[k] for k in order], least)
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     return rows.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
 
@@ -256,34 +257,15 @@ def linked(exploded: DataFrame, vec_of, scratch: Scratch, similarity: float) ->
     """exploded (a, bucket), vec_of(nodes) -> a, class of the nodes that are linked with another."""
     spark = exploded.sparkSession
     shared = exploded.groupBy("bucket").agg(F.min("a").alias("b"), F.max("a").alias("z")).filter("b <> z")
-    members = scratch.keep(exploded.join(shared.select("bucket", "b"), "bucket").filter("a <> b"))
-    pairs = scratch.keep(members.select("a", "b").distinct())
+    pairs = scratch.keep(exploded.join(shared.select("bucket", "b"), "bucket").filter("a <> b").select("a", "b").distinct())
     vec = vec_of(pairs.select("a").union(pairs.select("b")).distinct())
-
-    def compared(pairs):
-        with arrow_rows(spark, 1000):
-            return scratch.keep(similar(pairs.join(vec.select("a", F.col("v").alias("va")), "a").join(vec.select(F.col("a").alias("b"), F.col("v").alias("vb")), "b"), similarity))
-
-    judged = None
-    for level in range(ROUNDS):
-        now = compared(pairs)
-        judged = now if judged is None else judged.unionByName(now)
-        # Of all pairs judged so far: a member that failed this leader elsewhere, rounds ago, goes on here too.
-        failed = members.join(judged.filter("NOT ok"), ["a", "b"], "left_semi").select("a", "bucket")
-        if level == ROUNDS - 1 or failed.isEmpty():
-            break
-        lead = failed.groupBy("bucket").agg(F.min("a").alias("b"), F.max("a").alias("z")).filter("b <> z")
-        following = scratch.keep(failed.join(lead.select("bucket", "b"), "bucket").filter("a <> b"))
-        fresh = scratch.keep(following.select("a", "b").distinct().join(judged, ["a", "b"], "left_anti"))
-        scratch.drop(pairs, members)
-        pairs, members = fresh, following
-    # Leaders join most of what belongs together; whatever still shares a band across two classes is compared now, all pairs of it.
-    links = scratch.keep(judged.filter("ok").select("a", "b").distinct())
+    with arrow_rows(spark, 1000):
+        links = scratch.keep(similar(pairs.join(vec.select("a", F.col("v").alias("va")), "a").join(vec.select(F.col("a").alias("b"), F.col("v").alias("vb")), "b"), similarity).filter("ok").select("a", "b"))
     label = components(links, scratch)
-    left = scratch.keep(unresolved(exploded, label, vec, similarity).distinct().join(judged, ["a", "b"], "left_anti"))
-    if not left.isEmpty():
-        label = components(scratch.keep(links.union(compared(left).filter("ok").select("a", "b"))), scratch)
-    scratch.drop(vec, members, pairs, left)
+    more = scratch.keep(unresolved(exploded, label, vec, similarity))
+    if not more.isEmpty():
+        label = components(scratch.keep(links.union(more).distinct()), scratch)
+    scratch.drop(vec, pairs)
     return label
 
 

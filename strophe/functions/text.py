@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .core import let
+
 #: Corrections in the order they apply (pattern, replacement).
 CORRECTIONS = [
     ("<[^>]*>", ""), ("ſ", "s"), (r"\[", ""), (r"\]", ""), ("’", "'"),
@@ -24,12 +26,16 @@ def strip(x: Column) -> Column:
 
 def normalize_characters(x: Column) -> Column:
     """Corrections in order; a leading b'…' is unwrapped; of two capitals before a small letter the second is lowered."""
-    y = reduce(lambda c, r: F.regexp_replace(c, r[0], r[1]), CORRECTIONS, x)
-    y = F.when(y.startswith("b'"), F.substring(y, F.lit(3), F.greatest(F.length(y) - 3, F.lit(0)))).otherwise(y)
-    two, third = F.substring(y, 1, 2), F.substring(y, 3, 1)
-    upper = two.rlike(r"\p{Lu}") & ~two.rlike(r"[\p{Ll}\p{Lt}]")
-    lowered = F.concat(F.substring(y, 1, 1), F.lower(F.substring(y, 2, 1)), F.substring(y, F.lit(3), F.length(y)))
-    return F.when((F.length(y) >= 3) & upper & ~third.rlike(r"\p{Lu}"), lowered).otherwise(y)
+    def unwrapped(y):
+        return F.when(y.startswith("b'"), F.substring(y, F.lit(3), F.greatest(F.length(y) - 3, F.lit(0)))).otherwise(y)
+
+    def lowered(y):
+        two, third = F.substring(y, 1, 2), F.substring(y, 3, 1)
+        upper = two.rlike(r"\p{Lu}") & ~two.rlike(r"[\p{Ll}\p{Lt}]")
+        small = F.concat(F.substring(y, 1, 1), F.lower(F.substring(y, 2, 1)), F.substring(y, F.lit(3), F.length(y)))
+        return F.when((F.length(y) >= 3) & upper & ~third.rlike(r"\p{Lu}"), small).otherwise(y)
+
+    return let(let(reduce(lambda c, r: F.regexp_replace(c, r[0], r[1]), CORRECTIONS, x), unwrapped), lowered)
 
 
 def tokens(x: Column) -> Column:
@@ -69,8 +75,8 @@ def collapse_newlines(x: Column) -> Column:
 
 
 def cut_after_second(x: Column, mark: str) -> Column:
-    """The text before the second mark; without one the last character goes."""
-    at = F.locate(mark, x, 2)
+    """The text before the first mark that starts after a leading one's length; without one the last character goes."""
+    at = F.locate(mark, x, len(mark) + 1)
     return F.when(at > 0, F.substring(x, F.lit(1), at - 1)).otherwise(F.substring(x, F.lit(1), F.greatest(F.length(x) - 1, F.lit(0))))
 
 

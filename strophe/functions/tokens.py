@@ -8,7 +8,9 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .core import let
 from .enums import EMOTIONS, LEVELS, METERS, RHYME_SCHEMES
+from .text import clean_sentence
 
 #: Fixed values of the two byte vocabularies: special ids, first byte id, first extra id and number of extra ids.
 BYTE4 = {"bos": 0, "eos": 1, "unk": 2, "pad": 3, "offset": 4, "extra": 260, "extras": 125}
@@ -21,6 +23,11 @@ def byte_ids(x: Column, offset: int = 4) -> Column:
     return F.transform(pairs, lambda b: F.conv(b, 16, 10).cast("int") + offset)
 
 
+def other_offset(ids: Column, was: int, offset: int) -> Column:
+    """Byte ids of one vocabulary as those of another."""
+    return F.transform(ids, lambda i: i - was + offset)
+
+
 def with_specials(a: Column, b: Column | None = None, bos: int | None = 0, eos: int | None = 1) -> Column:
     """bos + a [+ bos + b] + eos."""
     one = lambda v: [] if v is None else [F.array(F.lit(v))]
@@ -77,9 +84,19 @@ def leading_emotions(x: Column, bos: str = "<s>") -> Column:
 
 
 def blocks(ids: Column, n: int) -> Column:
-    """Stretches of n ids; a shorter rest is dropped."""
-    count = F.floor(F.size(ids) / n).cast("int")
-    return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice(ids, i * n + 1, n))).otherwise(F.array().cast("array<array<int>>"))
+    """Stretches of n ids; a shorter rest is dropped. The ids are made once, however many stretches there are."""
+
+    def cut(v):
+        count = F.floor(F.size(v) / n).cast("int")
+        return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice(v, i * n + 1, n))).otherwise(F.array().cast("array<array<int>>"))
+
+    return let(ids, cut)
+
+
+def classifier_input(x: Column, labels: Column, names: list[str] = EMOTIONS, most: int = 512, offset: int = 4, specials=(0, 1)) -> Column:
+    """What a sequence classifier trains on: cleaned text as bos, at most ``most`` - 2 byte ids and eos; and the labels as one vector of 0 and 1."""
+    ids = with_specials(F.slice(byte_ids(clean_sentence(x), offset), 1, most - len(specials)), bos=specials[0], eos=specials[1])
+    return F.struct(ids.alias("input_ids"), one_hot(labels, names).alias("labels"))
 
 
 def one_hot(labels: Column, names: list[str] = EMOTIONS) -> Column:

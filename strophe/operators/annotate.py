@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strophe.functions import scorers
+from strophe.functions.core import let
+from strophe.functions.enums import PAIRS
 from strophe.functions.prosody import alliteration, alliteration_level, canonical_scheme, mean, scheme_of_mask
 
 from .windows import verse_pairs
@@ -59,27 +61,38 @@ def annotate(df: DataFrame, ids: list[str], quatrain: str = "quatrain") -> DataF
     return alliterations(meters(rhymes(df, ids, quatrain), ids, quatrain), ids, quatrain)
 
 
-def inferred_scheme(target: str, pairs: dict[tuple[int, int], bool]) -> str:
-    """The scheme of a generated quatrain as near as its rhymes allow to a target: pairs that should rhyme come first, then the others backwards.
+def pair_order(target: Column) -> Column:
+    """The pairs of verses in the order in which they may join: those that the target rhymes, then the others from the last."""
+    same = lambda p: F.substring(target, p["i"] + 1, F.lit(1)) == F.substring(target, p["j"] + 1, F.lit(1))
+    pairs = F.array(*[F.struct(F.lit(b).alias("bit"), F.lit(i).alias("i"), F.lit(j).alias("j")) for b, (i, j) in enumerate(PAIRS)])
+    return F.concat(F.filter(pairs, same), F.reverse(F.filter(pairs, lambda p: ~same(p))))
 
-    A verse joins a class only while it has its own letter and rhymes with all of the class, which takes its letter.
+
+#: rhymes[i][k] is the bit of the pair of verses i and k in a mask; none for a verse and itself.
+PAIR_BIT = [[0 if i == k else 1 << PAIRS.index((min(i, k), max(i, k))) for k in range(4)] for i in range(4)]
+
+
+def inferred_scheme(target: Column, mask: Column) -> Column:
+    """The scheme of a quatrain whose rhyming pairs are the bits of a mask, as near to a target as they allow.
+
+    A fold over the ordered pairs; the state is the class of each verse. Into the class of a verse that no other has taken goes the class of the
+    pair's second verse, if the mask has a bit for the first verse and every member of it.
     """
-    order = sorted(pairs, key=lambda p: (target[p[0]] != target[p[1]], *(p if target[p[0]] == target[p[1]] else (-p[0], -p[1]))))
-    own = list(range(4))
-    for i, j in order:
-        members = [k for k in range(4) if own[k] == own[j]]
-        if own[i] == i and all(pairs.get((min(i, k), max(i, k)), False) if i != k else False for k in members):
-            own = [own[i] if k in members else own[k] for k in range(4)]
-    names = {}
-    return "".join(names.setdefault(v, "ABCD"[len(names)]) for v in own)
+    bits = F.array(*[F.array(*map(F.lit, row)) for row in PAIR_BIT])
+
+    def step(state, p):
+        taken, first = F.get(state, p["j"]), F.get(state, p["i"])
+        fits = F.forall(F.sequence(F.lit(0), F.lit(3)), lambda k: (F.get(state, k) != taken) | (mask.bitwiseAND(F.get(F.get(bits, p["i"]), k)) != 0))
+        return F.when((first == p["i"]) & fits, F.transform(state, lambda v: F.when(v == taken, first).otherwise(v))).otherwise(state)
+
+    return canonical_scheme(F.aggregate(pair_order(target), F.array(*map(F.lit, range(4))), step))
 
 
 def report(df: DataFrame, quatrain: str = "quatrain", scheme: str = "scheme", meter: str = "meter", level: str = "level") -> DataFrame:
     """For generated quatrains: found_scheme, scheme_match by place, meter_match by verse, found_level and level_match (GOOD, OK or BAD)."""
-    infer = F.udf(lambda t, m: None if t is None else inferred_scheme(t, {p: bool(m >> b & 1) for b, p in enumerate(((0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)))}), "string")
     q = F.col(quatrain)
-    mask = sum((F.when(scorers.rhyme_probability(F.get(q, i), F.get(q, j)) >= 0.5, 1 << b).otherwise(0) for b, (i, j) in enumerate(((0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)))), F.lit(0))
-    out = df.withColumn("found_scheme", infer(F.col(scheme), mask))
+    mask = sum((F.when(scorers.rhyme_probability(F.get(q, i), F.get(q, j)) >= 0.5, 1 << b).otherwise(0) for b, (i, j) in enumerate(PAIRS)), F.lit(0))
+    out = df.withColumn("found_scheme", let(F.struct(F.col(scheme).alias("t"), mask.alias("m")), lambda x: inferred_scheme(x["t"], x["m"])))
     letters = lambda c: F.split(c, "")
     out = out.withColumn("scheme_match", F.zip_with(letters(F.col(scheme)), letters(F.col("found_scheme")), lambda a, b: F.when(a == b, "GOOD").otherwise("BAD")))
     verdict = lambda v: F.when(scorers.meter(v) == F.col(meter), "GOOD").when(scorers.meter_probability(v, F.col(meter)) >= 1 / 7, "OK").otherwise("BAD")

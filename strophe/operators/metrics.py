@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strophe.functions import scorers
+from strophe.functions.core import let
 from strophe.functions.enums import EMOTIONS, LEVELS, METERS, PAIRS, RHYME_SCHEMES
 from strophe.functions.prosody import alliteration, alliteration_level, harmonic_mean, mean
 
@@ -21,15 +23,19 @@ def checked(df: DataFrame, column: str, names: list[str]) -> DataFrame:
 def rhyme_metric(df: DataFrame, quatrain: str = "quatrain", scheme: str = "scheme", probability=scorers.rhyme_probability) -> DataFrame:
     """Means and harmonic means of the probabilities of the expected labels, plain and balanced; malformed quatrains count 0."""
     df = checked(df, scheme, RHYME_SCHEMES).withColumn("_v", F.split(quatrain, "\n"))
-    p = [probability(F.get("_v", i), F.get("_v", j)) for i, j in PAIRS]
-    same = [F.substring(scheme, i + 1, 1) == F.substring(scheme, j + 1, 1) for i, j in PAIRS]
-    got = df.select(F.size("_v").alias("n"), F.array(*[F.when(s, x) for s, x in zip(same, p, strict=True)]).alias("r"), F.array(*[F.when(~s, 1 - x) for s, x in zip(same, p, strict=True)]).alias("d"))
-    got = got.select("n", F.array_compact("r").alias("r"), F.array_compact("d").alias("d"))
-    both = F.concat("r", "d")
-    def balanced(op):
-        return op(F.array_compact(F.array(F.when(F.size("r") > 0, op(F.col("r"))), F.when(F.size("d") > 0, op(F.col("d"))))))
-    score = lambda x: F.avg(F.when(F.col("n") == 4, x).otherwise(0.0))
-    return got.agg(score(mean(both)).alias("rhyme_score"), score(harmonic_mean(both)).alias("harmonic_rhyme_score"), score(balanced(mean)).alias("balanced_rhyme_score"), score(balanced(harmonic_mean)).alias("balanced_harmonic_rhyme_score"))
+    # Each pair's probability of its expected label, rhymes apart from dissonances: made once for a row, then used by all four means.
+    pair = lambda i, j: F.struct((F.substring(scheme, i + 1, 1) == F.substring(scheme, j + 1, 1)).alias("same"), probability(F.get("_v", i), F.get("_v", j)).alias("p"))
+    pick = lambda s, same: F.transform(F.filter(s, lambda x: x["same"] == same), lambda x: x["p"] if same else 1 - x["p"])
+
+    def means(x):
+        r, d = x["r"], x["d"]
+        both = lambda op: let(F.array_compact(F.array(F.when(F.size(r) > 0, op(r)), F.when(F.size(d) > 0, op(d)))), op)
+        every = let(F.concat(r, d), lambda v: F.struct(mean(v).alias("m"), harmonic_mean(v).alias("h")))
+        return F.struct(every["m"].alias("rhyme_score"), every["h"].alias("harmonic_rhyme_score"), both(mean).alias("balanced_rhyme_score"), both(harmonic_mean).alias("balanced_harmonic_rhyme_score"))
+
+    split = let(F.array(*[pair(i, j) for i, j in PAIRS]), lambda s: F.struct(pick(s, True).alias("r"), pick(s, False).alias("d")))
+    got = df.select(F.when(F.size("_v") == 4, let(split, means)).alias("m"))
+    return got.agg(*[F.avg(F.coalesce(F.col(f"m.{c}"), F.lit(0.0))).alias(c) for c in ("rhyme_score", "harmonic_rhyme_score", "balanced_rhyme_score", "balanced_harmonic_rhyme_score")])
 
 
 def meter_metric(df: DataFrame, quatrain: str = "quatrain", meter: str = "meter", probability=scorers.meter_probability) -> DataFrame:
@@ -70,14 +76,32 @@ def length_bound(a: Column, b: Column, cutoff: float) -> Column:
     return 2 * F.least(F.length(a), F.length(b)) >= cutoff * (F.length(a) + F.length(b))
 
 
+def length_band(x: Column, cutoff: float) -> Column:
+    """Texts that can match at the cutoff lie in the same band of lengths or in neighbouring ones: their lengths differ by a factor of (2 - cutoff) / cutoff at most."""
+    return F.floor(F.log(F.greatest(F.length(x), F.lit(1)).cast("double")) / float(np.log((2 - cutoff) / cutoff) * (1 + 1e-9))).cast("int")
+
+
 def memorization_candidates(generated: DataFrame, train: DataFrame, keys: list[str], cutoff: float = 0.7) -> DataFrame:
-    """Pairs of generated id, text and training text of the same style that could reach the cutoff by length; each different text once."""
+    """Pairs of generated id, text and training text of the same style that could reach the cutoff by length; each different text once.
+
+    Texts meet by style and band of lengths; no pair that could match is lost. Every generated text must have a training text of its style.
+    """
     t = train.select(*keys, F.col("text").alias("known")).distinct()
-    return generated.join(t, keys).filter(length_bound(F.col("text"), F.col("known"), cutoff))
+    t = t.withColumn("_band", F.explode(F.array(*[length_band(F.col("known"), cutoff) + k for k in (-1, 0, 1)])))
+    g = generated.withColumn("_band", length_band(F.col("text"), cutoff))
+    return g.join(t, [*keys, "_band"]).drop("_band").filter(length_bound(F.col("text"), F.col("known"), cutoff))
+
+
+def with_style(generated: DataFrame, train: DataFrame, keys: list[str]) -> DataFrame:
+    """generated, or an error for a text whose style no training text has."""
+    styles = train.select(*keys).distinct().withColumn("_known", F.lit(True))
+    message = F.concat(F.lit("no training text of style "), F.to_json(F.struct(*keys)))
+    return generated.join(styles, keys, "left").filter(F.when(F.col("_known"), True).otherwise(F.raise_error(message).cast("boolean"))).drop("_known")
 
 
 def memorization_metric(generated: DataFrame, train: DataFrame, keys: list[str], cutoff: float = 0.7) -> DataFrame:
     """Share of generated texts with a training text of the same style at a difflib ratio of cutoff or more."""
+    generated = with_style(generated, train, keys)
 
     @F.pandas_udf("boolean")
     def close(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -110,10 +134,23 @@ def predicted_labels(logits: Column, least: float = 0.5) -> Column:
     return F.transform(logits, lambda x: 1 / (1 + F.exp(-x)) >= least)
 
 
+def multilabel_prf(df: DataFrame, labels: str, predicted: str, classes: list[str]) -> DataFrame:
+    """Macro precision, recall and F1 over classes of two arrays of labels (0 where undefined), and accuracy (both arrays agree in every class); one aggregation."""
+    has = lambda c, k: F.coalesce(F.array_contains(c, k), F.lit(False))
+    both = [F.sum((has(labels, k) & has(predicted, k)).cast("long")).alias(f"b{i}") for i, k in enumerate(classes)]
+    real = [F.sum(has(labels, k).cast("long")).alias(f"r{i}") for i, k in enumerate(classes)]
+    said = [F.sum(has(predicted, k).cast("long")).alias(f"s{i}") for i, k in enumerate(classes)]
+    same = F.avg(F.forall(F.array(*map(F.lit, classes)), lambda k: has(labels, k) == has(predicted, k)).cast("double")).alias("accuracy")
+    one = df.agg(*both, *real, *said, same)
+    ratio = lambda a, b: F.when(b == 0, 0.0).otherwise(a / F.when(b == 0, 1).otherwise(b))
+    macro = lambda f: sum((f(F.col(f"b{i}"), F.col(f"r{i}"), F.col(f"s{i}")) for i in range(len(classes))), F.lit(0.0)) / len(classes)
+    return one.select(macro(lambda b, r, s: ratio(b, s)).alias("precision"), macro(lambda b, r, s: ratio(b, r)).alias("recall"), macro(lambda b, r, s: ratio(2 * b, r + s)).alias("f1"), "accuracy")
+
+
 def byte_perplexity(df: DataFrame, text: str = "text") -> DataFrame:
-    """Mean over texts of exp of the mean negative log-likelihood of their bytes under the corpus's own byte frequencies."""
-    b = df.withColumn("_id", F.xxhash64(text)).select("_id", F.explode(F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(".."), F.lit(0))).alias("b")).groupBy("_id", "b").agg(F.count("*").alias("n"))
-    total = b.groupBy("b").agg(F.sum("n").alias("m"))
+    """Mean over rows of exp of the mean negative log-likelihood of their bytes under the corpus's own byte frequencies; empty texts have none."""
+    b = df.select(F.monotonically_increasing_id().alias("_id"), text).select("_id", F.explode(F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(".."), F.lit(0))).alias("b")).groupBy("_id", "b").agg(F.count("*").alias("n"))
+    total = b.groupBy("b").agg(F.sum("n").alias("m"))  # 256 rows
     all_ = total.agg(F.sum("m").alias("t"))
     per = b.join(F.broadcast(total), "b").crossJoin(F.broadcast(all_)).groupBy("_id").agg(F.exp(-F.sum(F.col("n") * F.log(F.col("m") / F.col("t"))) / F.sum("n")).alias("ppl"))
     return per.agg(F.avg("ppl").alias("mean_perplexity"))

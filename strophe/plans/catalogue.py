@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strophe.functions import enums, prosody, scorers, text, tokens
+from strophe.functions.core import let
 from strophe.operators import annotate, metrics, pairs, splits, stats, windows
 
 from . import fixtures
@@ -119,17 +121,31 @@ def clean_tokens(spark, d):
     return t(spark, d, "documents").select("doc_id", F.size(text.tokens(F.col("text"))).alias("n_tokens"), F.size(text.clean_tokens(F.col("text"))).alias("n_clean"))
 
 
-@query()
+TOKENS = r"regexp_extract_all({x}, '[\p{{L}}\p{{M}}\p{{N}}]+(?:''[\p{{L}}\p{{M}}]+)*|[^\s\p{{L}}\p{{M}}\p{{N}}]')"
+
+
+def clean_sql(x: str) -> str:
+    kept = f"list_filter({TOKENS.format(x=x)}, lambda v: NOT regexp_matches(v, '^[!-/:-@\\[-`{{-~]+$'))"
+    return f"regexp_replace(regexp_replace(coalesce(array_to_string({kept}, ' '), ''), ' ([.,;:?!)\\]}}])', '\\1', 'g'), '([(\\[{{]) ', '\\1', 'g')"
+
+
+#: The detokeniser's repairs, each around the one before (~).
+REPAIRS = ["replace(text, '—', '-')", "replace(~, ' ’ ', ''' ')", r"""regexp_replace(~, '\s"([\p{L}\p{N}_])', '''\1', 'g')""", r"""regexp_replace(~, '([\p{L}\p{N}_])"([\p{L}\p{N}_])', '\1''\2', 'g')""", r"regexp_replace(~, '\s([.,;:?!](?:\s+|$|-))', '\1', 'g')", r"regexp_replace(~, '^\s+|\s+$', '', 'g')"]
+DETOKENIZED = reduce(lambda x, repair: repair.replace("~", x), REPAIRS)
+
+
+@query(f"SELECT doc_id, md5({clean_sql('text')}) AS clean, md5({DETOKENIZED}) AS detokenized FROM documents")
 def clean_sentences(spark, d):
-    return t(spark, d, "documents").select("doc_id", text.clean_sentence(F.col("text")).alias("clean"), text.emotion_detokenize(F.col("text")).alias("detokenized"))
+    md5 = lambda c: F.md5(c.cast("binary"))
+    return t(spark, d, "documents").select("doc_id", md5(text.clean_sentence(F.col("text"))).alias("clean"), md5(text.emotion_detokenize(F.col("text"))).alias("detokenized"))
 
 
 @query(r"""SELECT doc_id, md5(regexp_replace(text, '\s*\n\s*', chr(10), 'g')) AS lines, md5(regexp_replace(text, '\s(''[\p{L}\p{M}\p{N}_]{1,2})', '\1', 'g')) AS contractions,
-md5(CASE WHEN instr(text[2:], '.') > 0 THEN text[1 : instr(text[2:], '.')] ELSE text[1 : greatest(length(text) - 1, 0)] END) AS cut FROM documents""")
+md5(CASE WHEN instr(y[5:], '</s>') > 0 THEN y[1 : instr(y[5:], '</s>') + 3] ELSE y[1 : greatest(length(y) - 1, 0)] END) AS cut FROM (SELECT *, '</s>' || replace(text, '.', '</s>') AS y FROM documents)""")
 def generation_cleanup(spark, d):
     x = F.col("text")
     md5 = lambda c: F.md5(c.cast("binary"))
-    return t(spark, d, "documents").select("doc_id", md5(text.collapse_newlines(x)).alias("lines"), md5(text.join_contractions(x)).alias("contractions"), md5(text.cut_after_second(x, ".")).alias("cut"))
+    return t(spark, d, "documents").select("doc_id", md5(text.collapse_newlines(x)).alias("lines"), md5(text.join_contractions(x)).alias("contractions"), md5(text.cut_after_second(F.concat(F.lit("</s>"), F.replace(x, F.lit("."), F.lit("</s>"))), "</s>")).alias("cut"))
 
 
 @query("""SELECT doc_id, md5(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')) AS html,
@@ -144,14 +160,15 @@ BYTES = "list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: C
 @query(f"SELECT doc_id, CAST(octet_length(encode(text)) AS INT) AS n, CAST(coalesce(list_sum({BYTES.format(off=4)}), 0) AS BIGINT) AS s4, CAST(coalesce(list_sum({BYTES.format(off=3)}), 0) + 1 AS BIGINT) AS s3 FROM documents")
 def byte_tokens(spark, d):
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
-    ids = t(spark, d, "documents").select("doc_id", tokens.byte_ids(F.col("text")).alias("a"), tokens.with_specials(tokens.byte_ids(F.col("text"), 3), bos=None, eos=1).alias("b"))
-    return ids.select("doc_id", F.size("a").alias("n"), total(F.col("a")).alias("s4"), total(F.col("b")).alias("s3"))
+    both = let(tokens.byte_ids(F.col("text")), lambda a: F.struct(F.size(a).alias("n"), total(a).alias("s4"), total(tokens.with_specials(tokens.other_offset(a, 4, 3), bos=None, eos=1)).alias("s3")))
+    return t(spark, d, "documents").select("doc_id", both.alias("x")).select("doc_id", "x.*")
 
 
-@query("SELECT doc_id, TRUE AS same FROM documents")
+@query("SELECT doc_id, md5(text) AS back, length(text) AS n FROM documents")
 def byte_round_trip(spark, d):
     ids = t(spark, d, "documents").withColumn("ids", tokens.with_specials(tokens.byte_ids(F.col("text"))))
-    return ids.select("doc_id", (tokens.decode_ids()("ids") == F.col("text")).alias("same"))
+    back = ids.select("doc_id", tokens.decode_ids()("ids").alias("back"))
+    return back.select("doc_id", F.md5(F.col("back").cast("binary")).alias("back"), F.length("back").cast("long").alias("n"))
 
 
 BLOCKS = f"b AS (SELECT doc_id, a, unnest(range(0, len(a) // 1024)) AS i FROM (SELECT doc_id, {BYTES.format(off=4)} AS a FROM documents))"
@@ -232,26 +249,29 @@ def rhyme_scheme_from_mask(spark, d):
 
 
 def _stanzas(spark, d):
-    """The first eight lines of a document, with the last letters of their last words as a scheme."""
-    l = F.slice(windows.lines(F.col("text")), 1, 8)  # noqa: E741
-    letter = lambda v: F.when(F.right(text.last_word(v), F.lit(1)).rlike("^[a-z]$"), F.right(text.last_word(v), F.lit(1))).otherwise("-")
-    return t(spark, d, "documents").select("doc_id", "lang", l.alias("verses")).withColumn("scheme", F.array_join(F.transform("verses", letter), ""))
+    """Every stanza of eight lines (the last may be shorter) of a document, with the last letters of their last words as a scheme."""
+    l = windows.lines(F.col("text"))  # noqa: E741
+    cut = let(l, lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / 8).cast("int")), lambda i: F.slice(v, i * 8 + 1, F.lit(8))))
+    letter = lambda w: F.when(w.rlike("[a-z]$"), F.right(w, F.lit(1))).otherwise("-")
+    scheme = F.array_join(F.transform("verses", lambda v: let(text.last_word(v), letter)), "")
+    return t(spark, d, "documents").select("doc_id", "lang", F.posexplode(cut).alias("stanza", "verses")).withColumn("scheme", scheme)
 
 
-STANZA_PAIRS = f"""s AS (SELECT doc_id, lang, string_split(text, chr(10))[1:8] AS v FROM documents), c AS (SELECT *, list_transform(v, lambda x: CASE WHEN regexp_matches(right({LAST('x')}, 1), '^[a-z]$') THEN right({LAST('x')}, 1) ELSE '-' END) AS c FROM s),
-ji AS (SELECT doc_id, lang, v, c, j, unnest(range(1, j)) AS k FROM (SELECT *, unnest(range(2, len(v) + 1)) AS j FROM c)),
-pp AS (SELECT doc_id, lang, least(v[j], v[k]) AS v1, greatest(v[j], v[k]) AS v2, CAST(j - 1 AS INT) AS j, CAST(k - 1 AS INT) AS k, CASE WHEN c[j] = c[k] AND c[k] <> '-' THEN 'rhyme' ELSE 'dissonance' END AS label FROM ji),
-pl AS (SELECT doc_id, lang, v1, v2, label, j, k FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, v1, v2, label ORDER BY j DESC, k DESC) AS r FROM pp) WHERE r = 1)"""
+STANZA_PAIRS = f"""l AS (SELECT doc_id, lang, string_split(text, chr(10)) AS l FROM documents), s AS (SELECT doc_id, lang, z AS stanza, l[8 * z + 1 : 8 * z + 8] AS v FROM (SELECT *, unnest(range(0, (len(l) + 7) // 8)) AS z FROM l)),
+c AS (SELECT *, list_transform(v, lambda x: CASE WHEN regexp_matches(right({LAST('x')}, 1), '^[a-z]$') THEN right({LAST('x')}, 1) ELSE '-' END) AS c FROM s),
+ji AS (SELECT doc_id, lang, stanza, v, c, j, unnest(range(1, j)) AS k FROM (SELECT *, unnest(range(2, len(v) + 1)) AS j FROM c)),
+pp AS (SELECT doc_id, lang, stanza, least(v[j], v[k]) AS v1, greatest(v[j], v[k]) AS v2, CAST(j - 1 AS INT) AS j, CAST(k - 1 AS INT) AS k, CASE WHEN c[j] = c[k] AND c[k] <> '-' THEN 'rhyme' ELSE 'dissonance' END AS label FROM ji),
+pl AS (SELECT doc_id, lang, v1, v2, label, CAST(stanza AS INT) AS stanza, j, k FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, v1, v2, label ORDER BY stanza DESC, j DESC, k DESC) AS r FROM pp) WHERE r = 1)"""
 
 
 def _mined(spark, d):
     p = pairs.rhyme_pairs(_stanzas(spark, d), F.col("verses"), F.col("scheme"))
-    return pairs.keep_last(p.select("doc_id", "lang", "v1", "v2", "label", "j", "k"), ["doc_id", "lang", "v1", "v2", "label"], ["j", "k"])
+    return pairs.keep_last(p.select("doc_id", "lang", "v1", "v2", "label", "stanza", "j", "k"), ["doc_id", "lang", "v1", "v2", "label"], ["stanza", "j", "k"])
 
 
-@query(f"WITH {STANZA_PAIRS} SELECT doc_id, v1, v2, label, j, k FROM pl")
+@query(f"WITH {STANZA_PAIRS} SELECT doc_id, v1, v2, label, stanza, j, k FROM pl")
 def rhyme_pairs_mined(spark, d):
-    return _mined(spark, d).select("doc_id", "v1", "v2", "label", "j", "k")
+    return _mined(spark, d).select("doc_id", "v1", "v2", "label", "stanza", "j", "k")
 
 
 @query(f"""WITH {STANZA_PAIRS}, u AS (SELECT DISTINCT lang, v1, v2, label FROM pl), n AS (SELECT lang, count(*) FILTER (label = 'rhyme') AS n FROM u GROUP BY lang),
@@ -408,17 +428,40 @@ def memorization_candidates(spark, d):
 
 @query()
 def memorization_rate(spark, d):
-    """First lines of documents against first lines of other sources, by language."""
-    line = F.get(windows.lines(F.col("text")), 0)
-    docs = t(spark, d, "documents").filter(F.length("text") > 0).select(F.col("doc_id").alias("id"), "lang", line.alias("text"), "source")
-    return metrics.memorization_metric(docs.filter("source IN ('src0', 'src1')").drop("source"), docs.filter("source NOT IN ('src0', 'src1')"), ["lang"]).select(r6(F.col("extractive_memorization_rate")).alias("extractive_memorization_rate"))
+    """Benchmark texts against all quatrains of all documents."""
+    known = quatrains(spark, d).select(F.array_join("quatrain", "\n").alias("text"), F.lit("any").alias("style"))
+    asked = t(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text", F.lit("any").alias("style"))
+    return metrics.memorization_metric(asked, known, ["style"]).select(r6(F.col("extractive_memorization_rate")).alias("extractive_memorization_rate"))
+
+
+MULTI = f"""v AS (SELECT DISTINCT unnest(q) AS verse FROM k), e AS (SELECT {EMOTION_OF} AS l, CASE WHEN length(verse) % 3 = 0 THEN list_append({EMOTION_OF}, 'Humor') ELSE {EMOTION_OF} END AS p FROM v),
+c AS (SELECT unnest([{_list(enums.EMOTIONS)}]) AS c), m AS (SELECT c, count(*) FILTER (list_contains(l, c) AND list_contains(p, c)) AS b, count(*) FILTER (list_contains(l, c)) AS r, count(*) FILTER (list_contains(p, c)) AS s FROM e, c GROUP BY c)"""
+
+
+@query(f"""WITH {WIN}, {MULTI} SELECT round(avg(CASE WHEN s = 0 THEN 0.0::DOUBLE ELSE b::DOUBLE / s END), 6) AS precision, round(avg(CASE WHEN r = 0 THEN 0.0::DOUBLE ELSE b::DOUBLE / r END), 6) AS recall, round(avg(CASE WHEN r + s = 0 THEN 0.0::DOUBLE ELSE 2 * b::DOUBLE / (r + s) END), 6) AS f1,
+(SELECT round(avg(CASE WHEN list_sort(list_distinct(l)) = list_sort(list_distinct(p)) THEN 1.0::DOUBLE ELSE 0 END), 6) FROM e) AS accuracy FROM m""")
+def multilabel_prf(spark, d):
+    """Emotions of verses, against the same with one added for every third length."""
+    v = quatrains(spark, d).select(F.explode("quatrain").alias("verse")).distinct().withColumn("l", scorers.emotions(F.col("verse")))
+    said = v.withColumn("p", F.when(F.length("verse") % 3 == 0, F.array_append("l", F.lit("Humor"))).otherwise(F.col("l")))
+    m = metrics.multilabel_prf(said, "l", "p", enums.EMOTIONS)
+    return m.select(*[r6(F.col(c)).alias(c) for c in m.columns])
+
+
+@query(f"""WITH {WIN}, v AS (SELECT DISTINCT unnest(q) AS verse FROM k), y AS (SELECT verse, {clean_sql('verse')} AS text, {EMOTION_OF} AS l FROM v), i AS (SELECT verse, l, [0] || ({BYTES.format(off=4)})[1:62] || [1] AS ids FROM y)
+SELECT verse, CAST(len(ids) AS INT) AS n, CAST(list_sum(ids) AS BIGINT) AS total, CAST(ids[2] AS INT) AS first, CAST(ids[-1] AS INT) AS last, array_to_string(list_transform([{_list(enums.EMOTIONS)}], lambda e: CASE WHEN list_contains(l, e) THEN '1' ELSE '0' END), '') AS labels FROM i""")
+def classifier_inputs(spark, d):
+    v = quatrains(spark, d).select(F.explode("quatrain").alias("verse")).distinct()
+    x = v.select("verse", tokens.classifier_input(F.col("verse"), scorers.emotions(F.col("verse")), most=64).alias("x")).select("verse", "x.*")
+    total = F.aggregate("input_ids", F.lit(0).cast("long"), lambda s, i: s + i)
+    return x.select("verse", F.size("input_ids").alias("n"), total.alias("total"), F.get("input_ids", 1).alias("first"), F.element_at("input_ids", -1).alias("last"), F.array_join(F.transform("labels", lambda y: y.cast("int").cast("string")), "").alias("labels"))
 
 
 BB = "regexp_extract_all(hex(encode(text)), '..')"
 
 
-@query(f"""WITH b AS (SELECT text, unnest({BB}) AS b FROM documents), n AS (SELECT text, b, count(*) AS n FROM b GROUP BY ALL), m AS (SELECT b, sum(n) AS m FROM n GROUP BY b)
-SELECT round(avg(p), 4) AS mean_perplexity FROM (SELECT text, exp(-sum(n * ln(m::DOUBLE / (SELECT sum(m) FROM m))) / sum(n)) AS p FROM n JOIN m USING (b) GROUP BY text)""")
+@query(f"""WITH d AS (SELECT row_number() OVER () AS k, text FROM documents), b AS (SELECT k, unnest({BB}) AS b FROM d), n AS (SELECT k, b, count(*) AS n FROM b GROUP BY ALL), m AS (SELECT b, sum(n) AS m FROM n GROUP BY b)
+SELECT round(avg(p), 4) AS mean_perplexity FROM (SELECT k, exp(-sum(n * ln(m::DOUBLE / (SELECT sum(m) FROM m))) / sum(n)) AS p FROM n JOIN m USING (b) GROUP BY k)""")
 def byte_perplexity(spark, d):
     return metrics.byte_perplexity(t(spark, d, "documents")).select(F.round("mean_perplexity", 4).alias("mean_perplexity"))
 
@@ -445,6 +488,5 @@ def event_windows(spark, d):
     return t(spark, d, "events").groupBy("event_type", F.window("ts", "1 hour").start.cast("timestamp").cast("long").alias("hour")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
-for _name, _f in fixtures.queries().items():
-    Q[_name] = _f
-assert W
+Q.update(fixtures.queries())
+SQL.update(fixtures.oracle_sql())

@@ -1,7 +1,8 @@
 """Corpus readers: files of each format to verses, verse pairs, quatrains and documents.
 
-``files`` reads whole files (path, content); readers take such a DataFrame, so files may be in any store that Spark reads.
-Formats with state from line to line are parsed file by file in mapInPandas; all later steps are DataFrame operations.
+``files`` reads whole files (path, content), ``lines`` reads them line by line, whatever their size; readers take such DataFrames, so files
+may be in any store that Spark reads. Line formats with state from line to line are running counts over numbered lines; XML and JSON files are
+parsed one by one in mapInPandas. All later steps are DataFrame operations.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strophe.functions.enums import EMOTIONS
@@ -46,19 +48,31 @@ def per_file(df: DataFrame, parse: Callable[[str], Iterator[tuple]], schema: str
     return df.select("path", "content").mapInPandas(run, f"path string, {schema}")
 
 
-def documents(df: DataFrame) -> DataFrame:
-    """path, id, text: stripped lines up to each blank line. What follows the last blank line is no document; further blank lines make empty ones."""
+def lines(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """path, block, pos and line of each UTF-8 line below a folder. Files are split, so one may be of any size; (block, pos) is the order within a file."""
+    raw = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").text(path)
+    return raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"), F.col("value").alias("line"))
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The same of whole files: a last line end begins no line."""
+    content = F.regexp_replace(F.regexp_replace("content", "\r\n?", "\n"), r"\n\z", "")
+    return df.filter("content <> ''").select("path", F.lit(0).cast("long").alias("block"), F.posexplode(F.split(content, "\n")).alias("pos", "line"))
 
-    def parse(content):
-        held, n = [], 0
-        for line in content.removesuffix("\n").split("\n") if content else []:
-            if line := line.strip():
-                held.append(line)
-            else:
-                yield n, "\n".join(held)
-                held, n = [], n + 1
 
-    return per_file(df, parse, "id long, text string")
+def documents(df: DataFrame) -> DataFrame:
+    """path, id, text: stripped lines up to each blank line. What follows the last blank line is no document; further blank lines make empty ones.
+
+    Takes whole files or lines. Blank lines are counted within each block, and blocks add what stands before them, so no task holds a whole file.
+    """
+    df = (df if "line" in df.columns else numbered(df)).withColumn("line", strip(F.col("line"))).withColumn("blank", (F.col("line") == "").cast("long"))
+    ends = df.groupBy("path", "block").agg(F.sum("blank").alias("n"))
+    ends = ends.select("path", "block", F.coalesce(F.sum("n").over(W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = F.coalesce(F.sum("blank").over(W.partitionBy("path", "block").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = df.withColumn("inside", inside).join(ends, ["path", "block"]).withColumn("id", F.col("before") + F.col("inside"))
+    held = F.sort_array(F.collect_list(F.when(F.col("blank") == 0, F.struct("block", "pos", "line"))))
+    whole = rows.groupBy("path", "id").agg(held.alias("l"), F.max("blank").alias("ended")).filter("ended = 1")
+    return whole.select("path", "id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
 
 
 def rows_by_tab(df: DataFrame, names: list[str] | None = None) -> DataFrame:
@@ -90,7 +104,7 @@ STANZA = "poem int, stanza int, rhyme string, texts array<string>, mets array<st
 def _tei(content: str):
     if TEI not in content:
         return None
-    return ET.fromstring(content.encode())
+    return ET.fromstring(re.sub(r"^(\s*<\?xml[^>]*?)\s+encoding\s*=\s*(\"[^\"]*\"|'[^']*')", r"\1", content))  # it is decoded by now
 
 
 def epg(df: DataFrame) -> DataFrame:
@@ -146,27 +160,24 @@ def grc(df: DataFrame) -> DataFrame:
 
 
 def chicago(df: DataFrame) -> DataFrame:
-    """path, stanza, scheme, texts of files with RHYME headers; a starred scheme is repeated over the verses."""
-
-    def parse(content):
-        lines, at, n = [x.strip() for x in content.splitlines()], 0, 0
-        stop = ("AUTHOR", "TITLE", "RHYME")
-        while at < len(lines):
-            head = re.match(r"RHYME((?:\s\w)+(?:\s\*)?)", lines[at])
-            at += 1
-            if not head:
-                continue
-            if at < len(lines) and lines[at].startswith("RHYME-POEM"):
-                at += 1
-            verses = []
-            while at < len(lines) and (lines[at] or not verses) and not lines[at].startswith(stop):
-                verses += [lines[at]] if lines[at] else []
-                at += 1
-            if verses:
-                yield n, head[1].split(), verses
-                n += 1
-
-    raw = per_file(df, parse, "stanza int, letters array<string>, texts array<string>")
+    """path, stanza, rhyme, texts of files with RHYME headers; a starred scheme is repeated over the verses.
+
+    AUTHOR, TITLE and RHYME lines open sections (a RHYME-POEM line right after a scheme belongs to it). The verses of a section with a scheme
+    are its first run of lines that aren't blank: the running number of lines and of gaps behind them tells which.
+    """
+    scheme = F.regexp_extract("line", r"(?U)^RHYME((?:\s\w)+(?:\s\*)?)", 1)
+    order = W.partitionBy("path").orderBy("block", "pos")
+    rows = (df if "line" in df.columns else numbered(df)).withColumn("line", strip(F.col("line"))).withColumn("scheme", scheme)
+    rows = rows.withColumn("above", F.lag("scheme", 1, "").over(order)).filter("NOT (startswith(line, 'RHYME-POEM') AND above <> '')")
+    opens = F.col("line").rlike("^(?:AUTHOR|TITLE|RHYME)")
+    rows = rows.withColumn("opens", opens).withColumn("stanza", F.sum(opens.cast("int")).over(order).cast("int"))
+    body = W.partitionBy("path", "stanza").orderBy("block", "pos")
+    full = (F.col("line") != "") & ~F.col("opens")
+    rows = rows.withColumn("full", full).withColumn("seen", F.sum(full.cast("int")).over(body))
+    rows = rows.withColumn("gaps", F.sum(((F.col("line") == "") & (F.col("seen") > 0)).cast("int")).over(body))
+    verse = F.when(F.col("full") & (F.col("gaps") == 0), F.struct("block", "pos", "line"))
+    raw = rows.groupBy("path", "stanza").agg(F.max(F.when(F.col("opens"), F.col("scheme"))).alias("scheme"), F.sort_array(F.collect_list(verse)).alias("l"))
+    raw = raw.filter("scheme <> '' AND size(l) > 0").select("path", "stanza", F.split(strip(F.col("scheme")), r"(?U)\s+").alias("letters"), F.transform("l", lambda x: x["line"]).alias("texts"))
     base = F.filter("letters", lambda x: x != "*")
     return raw.select("path", "stanza", F.when(F.array_contains("letters", "*"), repeated_scheme(base, F.size("texts"))).otherwise(F.array_join("letters", "")).alias("rhyme"), "texts")
 
@@ -266,11 +277,44 @@ def corpus(parts: dict[str, DataFrame], priority: list[str], keys: list[str], no
     return keep_first(first, keys, ["_p", "_o"]).drop("_p", "_o")
 
 
+#: From the files of a source to labelled rows, by what the rows are labelled with.
+LABELLED: dict[str, dict[str, Callable[[DataFrame], DataFrame]]] = {
+    "meter": {
+        "epg64": lambda df: stanza_meters(epg(df), "epg64"),
+        "prosodic": lambda df: prosodic(df),
+        "fbfv": lambda df: stanza_meters(fbfv(df), "fbfv"),
+        "wild": lambda df: wild_meters(df),
+    },
+    "rhyme": {
+        "epg64": lambda df: pair_corpus(fit_scheme(epg(df), True), "epg64", "en"),
+        "chicago": lambda df: pair_corpus(chicago(df), "chicago", "en", ["path"]),
+        "fbfv": lambda df: pair_corpus(fbfv(df), "fbfv", "en"),
+        "wild": lambda df: pair_corpus(wild_stanzas(df), "wild", "de"),
+        "grc": lambda df: pair_corpus(fit_scheme(grc(df), False), "grc", "de"),
+    },
+}
+
+
+def labelled(sources: dict[str, DataFrame], kind: str) -> DataFrame:
+    """The corpus of one kind of labels (meter or rhyme) from the files (path, content) of each source, in one call: read, labelled, normalised, joined and without repeats."""
+    priority, keys = (METER_SOURCES, ["text"]) if kind == "meter" else (RHYME_SOURCES, ["v1", "v2"])
+    if unknown := sorted(set(sources) - set(priority)):
+        raise ValueError(f"no {kind} source: {unknown}")
+    return corpus({name: LABELLED[kind][name](df) for name, df in sources.items()}, priority, keys)
+
+
+def labelled_folders(spark: SparkSession, folders: dict[str, str], kind: str) -> DataFrame:
+    return labelled({name: files(spark, path, encoding=ENCODINGS.get(name, "UTF-8")) for name, path in folders.items()}, kind)
+
+
 READERS: dict[str, Callable] = {"documents": documents, "emotions": emotions, "epg64": epg, "fbfv": fbfv, "grc": grc, "chicago": chicago, "wild": wild_stanzas, "prosodic": prosodic, "poems": poems}
+ENCODINGS = {"chicago": "ISO-8859-1"}
 
 
 def load(spark: SparkSession, name: str, path: str, **options) -> DataFrame:
     """A registered reader over files, or else a table of any format that Spark knows by name."""
+    if name == "documents":
+        return documents(lines(spark, path, options.pop("pattern", "*")))
     if name in READERS:
-        return READERS[name](files(spark, path, options.pop("pattern", "*"), options.pop("encoding", "ISO-8859-1" if name == "chicago" else "UTF-8")), **options)
+        return READERS[name](files(spark, path, options.pop("pattern", "*"), options.pop("encoding", ENCODINGS.get(name, "UTF-8"))), **options)
     return spark.read.format(name).load(path)

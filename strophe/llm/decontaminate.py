@@ -1,13 +1,18 @@
 """Benchmark decontamination by template canonicalisation.
 
-Names, numbers and units become typed placeholders; windows of eight canonical tokens are hash-joined with those of the
-benchmark; along the best alignment of a document and an item, each slot value of the item must stand for one value in the document.
-So a question with other numbers or names is caught, and one that only shares its frame by chance is not.
+Names, numbers and units become typed placeholders: a run of capitalised words is one name (also at the start of a sentence), a unit follows a
+number. Windows of eight canonical tokens are hash-joined with those of the benchmark. Hits of a document and an item whose shifts lie within
+a band of ``BAND`` tokens are one alignment, so an inserted or lost word doesn't split it; on each alignment with enough of the item's
+windows, each slot value of the item must stand for one value in the document (names word by word, or as sets of words if one has more). So a question with other numbers or names is caught, and one
+that only shares its frame by chance is not. A consistent alignment is a leak, whatever else the document holds of the item.
 
 Only DataFrame functions. Windows of documents meet the benchmark's by a map-side join while its windows are
-few (counted), else by a shuffle; only hits go on. A pair is a leak if at least half of the item's windows, or ``run``
-of them, stand in the document on one alignment, consistently. Items of fewer than eight tokens have one window, of all tokens,
-and are matched among windows of their own length. Null and empty texts match nothing; repeated rows share their result.
+few (counted), else by a shuffle; only hits go on. An alignment is enough with half of the item's windows, or ``run``
+of them. Items of fewer than eight tokens have one window, of all tokens, and are matched among windows of their own length. A window of the
+benchmark with fewer than three words of its own (so nearly all slots) is matched with its values as they are.
+
+Null and empty texts match nothing. Every row is judged by its own text, so null and repeated doc_ids are rows like any other; rows that agree in
+doc_id and text give one result. Items that repeat an item_id all count. Of equal alignments, the first in the document is reported.
 """
 
 from __future__ import annotations
@@ -15,92 +20,115 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, drop_inputs, let, small, table
+from .common import Scratch, drop_inputs, let, row_key, small, table
 
 WIDTH = 8
 SHARE = 0.5
 RUN = 24
-#: Placeholders are private-use characters, so that they stay single tokens.
+BAND = 16  # tokens
+WORDS = 3  # that a window needs beside its slots
+#: Placeholders are private-use characters, so that they equal no word.
 NAME, NUMBER, UNIT = "\ue000", "\ue001", "\ue002"
-#: A capitalised word after a small letter, comma or semicolon and one space: not the start of a sentence.
-NAMES = r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}+"
-NUMBERS = r"\p{Nd}+(?:[.,]\p{Nd}+)*"
+#: A number, a run of capitalised words, a word, or a sign.
+TOKEN = r"[0-9]+(?:[.,][0-9]+)*|\p{Lu}\p{Ll}++(?![\p{L}\p{M}])(?: \p{Lu}\p{Ll}++(?![\p{L}\p{M}]))*|[\p{L}\p{M}]+|[%$€£]"
 #: Units after a number.
-UNITS = rf"(?<={NUMBER} ?)(?:kilometers?|kilometres?|meters?|metres?|miles?|inches|feet|km|cm|mm|kg|mg|ml|lbs?|grams?|pounds?|liters?|litres?|hours?|hrs?|minutes?|mins?|seconds?|secs?|days?|weeks?|months?|years?|dollars?|cents?|euros?|degrees?|percent|mph|kmh|[m%$€£])(?![\p{{L}}\p{{N}}])"
-HOLDERS = f"[{NAME}{NUMBER}{UNIT}]"
+UNITS = (
+    "kilometer kilometers kilometre kilometres meter meters metre metres mile miles inches feet km cm mm kg mg ml lb lbs gram grams pound pounds liter liters litre litres hour hours hr hrs "
+    "minute minutes min mins second seconds sec secs day days week weeks month months year years dollar dollars cent cents euro euros degree degrees percent mph kmh m % $ € £"
+).split()
+
+
+def raw_tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
 
 
-def canonical(text: Column) -> Column:
-    """The text with placeholders, lower-cased; its tokens are runs of letters, and placeholders."""
-    x = F.regexp_replace(F.coalesce(text, F.lit("")), NAMES, f" {NAME} ")
-    x = F.regexp_replace(x, NUMBERS, f" {NUMBER} ")
-    return F.lower(F.regexp_replace(x, UNITS, f" {UNIT} "))
+def canonical(tokens: Column) -> Column:
+    """Tokens with placeholders; all others in lower case."""
+    numeric = lambda t: F.substring(t, 1, 1).between("0", "9")
 
+    def one(t, i):
+        first, second = F.substring(t, 1, 1), F.substring(t, 2, 1)
+        after_number = (i > 0) & numeric(F.get(tokens, i - 1)) & F.lower(t).isin(UNITS)
+        return F.when(numeric(t), NUMBER).when(after_number, UNIT).when((F.lower(first) != first) & (F.upper(second) != second), NAME).otherwise(F.lower(t))
 
-def tokens(text: Column) -> Column:
-    return F.array_remove(F.split(canonical(text), rf"[^\p{{L}}\p{{M}}{NAME}{NUMBER}{UNIT}]+"), "")
+    return F.transform(tokens, one)
 
 
-def slots(text: Column) -> Column:
-    """Values of names, numbers and units, each kind in text order: the k-th placeholder of a kind stands for its k-th value."""
-    x = F.coalesce(text, F.lit(""))
-    y = F.regexp_replace(F.regexp_replace(x, NAMES, f" {NAME} "), NUMBERS, f" {NUMBER} ")
-    pick = lambda v, p: F.transform(F.regexp_extract_all(v, F.lit(p), F.lit(0)), lambda s: F.lower(s))
-    return F.struct(pick(x, NAMES).alias("name"), pick(F.regexp_replace(x, NAMES, f" {NAME} "), NUMBERS).alias("number"), pick(y, UNITS).alias("unit"))
+def is_slot(token: Column) -> Column:
+    return token.isin(NAME, NUMBER, UNIT)
 
 
-def windows(w: Column, width: int) -> Column:
-    """Hashes of all windows of tokens, in order: a token's hash is made once, a window's from those."""
-    hashes = lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - (width - 1)), lambda i: F.xxhash64(*[F.element_at(h, i + k) for k in range(width)]))
-    return F.when(F.size(w) >= width, let(w, hashes)).otherwise(F.array().cast("array<bigint>"))
+def windows(tokens: Column, width: int, seed: int) -> Column:
+    """i and h, the hash, of all windows of tokens, in order: a token's hash is made once, a window's from those."""
+    cut = lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - (width - 1)), lambda i: F.struct((i - 1).alias("i"), F.xxhash64(F.lit(seed), *[F.element_at(h, i + k) for k in range(width)]).alias("h")))
+    hashes = F.transform(tokens, lambda t: F.xxhash64(t))
+    return F.when(F.size(tokens) >= width, let(hashes, cut)).otherwise(F.array().cast("array<struct<i:int,h:bigint>>"))
 
 
-def hits(docs: DataFrame, bench: DataFrame, width: int, most: int) -> DataFrame:
-    """doc_id, item_id, shift (place in the document less place in the item), n windows of one width that agree."""
-    b = bench.filter(F.col("width") == width).select("item_id", F.posexplode(windows(F.col("tokens"), width)).alias("j", "h"))
-    d = docs.select("doc_id", F.posexplode(windows(F.col("tokens"), width)).alias("i", "h"))
-    return d.join(small(b, most), "h").select("doc_id", "item_id", (F.col("i") - F.col("j")).alias("shift"), "j", F.lit(width).alias("width"))
+def own_windows(items: DataFrame) -> DataFrame:
+    """item, width, j, h and strict of each window of the benchmark."""
+    few = lambda i, w: F.size(F.filter(F.slice("can", i + 1, w), lambda t: ~is_slot(t))) < F.least(F.lit(WORDS), w)
+    out = None
+    for k in range(1, WIDTH + 1):
+        of = items.filter(F.col("width") == k)
+        both = of.select("item", F.explode(F.arrays_zip(windows(F.col("can"), k, 0).alias("c"), windows(F.transform("raw", F.lower), k, 1).alias("r"))).alias("w"), "can")
+        one = both.select("item", F.lit(k).alias("width"), F.col("w.c.i").alias("j"), "w.c.h", F.col("w.r.h").alias("h2"), few(F.col("w.c.i"), F.lit(k)).alias("strict"))
+        one = one.select("item", "width", "j", F.when(F.col("strict"), F.col("h2")).otherwise(F.col("h")).alias("h"), "strict")
+        out = one if out is None else out.unionAll(one)
+    return out
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, run: int = RUN, width: int = WIDTH, most: int = 500_000) -> DataFrame:
-    """doc_id, item_id, n_windows (of the item on the best alignment), share of its windows, n_slots and consistent, of each pair with a leak.
+def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, run: int = RUN, width: int = WIDTH, most: int = 500_000, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, columns to carry along, item_id, n_windows (of the item on the alignment), share of its windows and n_slots of each pair of a document and an item with a leak.
 
     most: benchmark windows up to which they are sent to every task.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "leaks")
-    docs = drop_inputs(docs, "doc_id", "text").filter("doc_id IS NOT NULL")
-    items = drop_inputs(benchmark, "item_id", "text").filter("item_id IS NOT NULL").dropDuplicates(["item_id"])
-    bench = items.select("item_id", F.col("text").alias("item"), tokens(F.col("text")).alias("tokens")).filter(F.size("tokens") > 0)
-    bench = scratch.keep(bench.withColumn("width", F.least(F.lit(width), F.size("tokens"))).withColumn("n", F.size("tokens") - F.col("width") + 1))
-    cut = docs.select("doc_id", tokens(F.col("text")).alias("tokens"))
-    widths = sorted((r[0] for r in bench.select("width").distinct().collect()), reverse=True)  # at most eight
-    found = None
-    for k in widths:
-        one = hits(cut, bench, k, most)
-        found = one if found is None else found.unionAll(one)
-    if found is None:
-        return spark.createDataFrame([], "doc_id long, item_id long, n_windows long, share double, n_slots long, consistent boolean")
-    # distinct places of the item on each alignment; the best alignment is the longest, then the earliest
-    per = found.groupBy("doc_id", "item_id", "shift").agg(F.countDistinct("j").alias("n"), F.min("j").alias("from"), F.max("j").alias("to"))
-    best = per.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("n", "shift", "from", "to"), F.struct("n", -F.col("shift"))).alias("b")).select("doc_id", "item_id", "b.*")
-    head = small(bench.select("item_id", "item", "tokens", F.col("n").alias("windows"), "width"), most // 25)
-    likely = scratch.keep(best.join(head, "item_id").filter((F.col("n") >= share * F.col("windows")) | (F.col("n") >= run)))
-    texts = docs.join(likely.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    pairs = likely.join(texts.select("doc_id", tokens(F.col("text")).alias("dt"), slots(F.col("text")).alias("ds")), "doc_id").withColumn("bs", slots(F.col("item")))
-
-    def aligned(holder: str, kind: str) -> Column:
-        """(value in the item, value in the document) of each slot of a kind on the alignment."""
-        before = lambda t, k: F.size(F.filter(F.slice(t, 1, k), lambda x: x == holder))
-        places = F.filter(F.sequence(F.col("from"), F.least(F.col("to") + F.col("width") - 1, F.size("tokens") - 1)), lambda j: F.get("tokens", j) == holder)
-        pair = lambda j: F.struct(F.lit(kind).alias("kind"), F.get(F.col(f"bs.{kind}"), before(F.col("tokens"), j)).alias("b"), F.get(F.col(f"ds.{kind}"), before(F.col("dt"), j + F.col("shift"))).alias("d"))
-        same = lambda j: F.get("dt", j + F.col("shift")) == holder
-        return F.transform(F.filter(places, same), pair)
-
-    found_slots = pairs.withColumn("slots", F.array_distinct(F.concat(*[aligned(h, k) for h, k in ((NAME, "name"), (NUMBER, "number"), (UNIT, "unit"))])))
-    one_value = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["b"]))))
-    out = found_slots.select("doc_id", "item_id", F.col("n").cast("long").alias("n_windows"), F.round(F.col("n") / F.col("windows"), 4).alias("share"), F.size("slots").cast("long").alias("n_slots"), one_value.alias("consistent"))
-    return out.filter("consistent")
+    docs = drop_inputs(docs, "doc_id", "text", *carry).withColumn("_row", row_key("doc_id", "text"))
+    items = drop_inputs(benchmark, "item_id", "text").withColumn("item", row_key("item_id", "text")).filter("item_id IS NOT NULL").dropDuplicates(["item"])
+    items = items.select("item", "item_id", raw_tokens(F.col("text")).alias("raw")).filter(F.size("raw") > 0).withColumn("can", canonical(F.col("raw")))
+    items = scratch.keep(items.withColumn("width", F.least(F.lit(width), F.size("can"))).withColumn("windows", F.size("can") - F.col("width") + 1))
+    bench = scratch.keep(own_windows(items))
+    kinds = [(r["width"], r["strict"]) for r in bench.select("width", "strict").distinct().orderBy("width", "strict").collect()]  # at most sixteen
+    if not kinds:
+        return spark.createDataFrame([], f"doc_id long, {''.join(f'{c} {t}, ' for c, t in docs.select(*carry).dtypes)}item_id long, n_windows long, share double, n_slots long")
+
+    # One pass over the texts, whatever the kinds of windows.
+    cut = lambda raw: F.flatten(F.array(*([let(canonical(raw), lambda c: F.flatten(F.array(*[windows(c, k, 0) for k, strict in kinds if not strict])))] if any(not s for _, s in kinds) else []),
+                                        *[windows(F.transform(raw, F.lower), k, 1) for k, strict in kinds if strict]))
+    seen = docs.select("_row", F.explode(let(raw_tokens(F.col("text")), cut)).alias("w")).select("_row", "w.*")
+    hit = seen.join(small(bench.select("item", "j", "h"), most), "h").select("_row", "item", "i", "j")
+    # Two grids of bands: shifts that differ by half a band at most lie in one band of one of them.
+    shift = F.col("i") - F.col("j")
+    cells = F.array(*[F.struct(F.lit(g).alias("grid"), F.floor((shift + g * BAND // 2) / BAND).alias("cell")) for g in (0, 1)])
+    bands = hit.select("*", F.explode(cells).alias("b")).groupBy("_row", "item", "b").agg(F.collect_set(F.struct("i", "j")).alias("hits"))
+    bands = bands.withColumn("n", F.size(F.array_distinct(F.transform("hits", lambda x: x["j"]))))
+    texts_of = F.col("item"), F.col("item_id"), F.col("raw").alias("item_raw"), F.col("can"), F.col("width"), F.col("windows")
+    enough = (F.col("n") >= share * F.col("windows")) | (F.col("n") >= run)
+    likely = scratch.keep(bands.join(small(items.select("item", "windows"), most), "item").filter(enough).drop("windows"))
+
+    texts = docs.join(likely.select("_row").distinct(), "_row", "left_semi").dropDuplicates(["_row"])
+    pairs = likely.join(texts.select("_row", "doc_id", *carry, raw_tokens(F.col("text")).alias("doc_raw")), "_row").join(items.select(*texts_of), "item")
+
+    def slots(x):
+        """(kind, value in the item, value in the document) of each slot of a window."""
+        def at(k):
+            b, d, c = F.lower(F.get("item_raw", x["j"] + k)), F.lower(F.get("doc_raw", x["i"] + k)), F.get("can", x["j"] + k)
+            words = F.arrays_zip(F.split(b, " ").alias("b"), F.split(d, " ").alias("d"))
+            whole = F.array(F.struct(b.alias("b"), d.alias("d")))
+            return F.transform(F.when((c == NAME) & (F.size(F.split(b, " ")) == F.size(F.split(d, " "))), words).otherwise(whole), lambda p: F.struct(c.alias("kind"), p["b"].alias("b"), p["d"].alias("d")))
+
+        return F.flatten(F.transform(F.filter(F.sequence(F.lit(0), F.col("width") - 1), lambda k: is_slot(F.get("can", x["j"] + k))), at))
+
+    found = pairs.withColumn("slots", F.array_distinct(F.flatten(F.transform("hits", slots))))
+    # Each value of the item stands for values of the document that have a word in common.
+    values = F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"].alias("kind"), s["b"].alias("b"))))
+    words = lambda v: F.transform(F.filter("slots", lambda s: (s["kind"] == v["kind"]) & (s["b"] == v["b"])), lambda s: F.split(s["d"], " "))
+    one_value = F.forall(values, lambda v: let(words(v), lambda w: F.size(F.aggregate(w, F.get(w, 0), F.array_intersect)) > 0))
+    first = F.array_min(F.transform("hits", lambda x: x["i"]))
+    good = found.filter(one_value).groupBy("_row", "doc_id", *carry, "item_id").agg(F.max_by(F.struct("n", "windows", F.size("slots").alias("n_slots")), F.struct("n", -first, "item")).alias("b"))
+    return good.select("doc_id", *carry, "item_id", F.col("b.n").cast("long").alias("n_windows"), F.round(F.col("b.n") / F.col("b.windows"), 4).alias("share"), F.col("b.n_slots").cast("long").alias("n_slots"))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +136,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a leak."""
-    bad = leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """Rows without a leak."""
+    keyed = docs.withColumn("_key", row_key("doc_id", "text"))
+    bad = leaks(keyed, table(spark, sf_dir, "benchmark"), carry=("_key",)).select("_key").distinct()
+    return keyed.join(bad, "_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -254,10 +254,90 @@ def test_leaks(spark):
     assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(1, 7), (2, 7)]
 
 
-def test_leaks_of_whole_items(spark):
-    docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
-    truth = {(d["doc_id"], b["item_id"]) for d in docs.collect() for b in bench.collect() if b["text"] in d["text"]}
-    assert truth <= {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()}
+def test_leaks_of_other_forms(spark):
+    """What single alignments, sentence starts, names of several words and inconsistent neighbours used to hide."""
+    long = "the quick merchant from the old harbour sells forty barrels of red wine to every captain who pays before the next tide comes in and nobody asks him where it was pressed"
+    words = long.split()
+    apples = "Mary has 3 apples. Mary gives Tom 2."
+    bench = [(1, "Maria bought 7 red pens for school."), (2, long), (3, apples), (4, "Ann Lee met 3 men near the old mill and told Bob Ray about the 5 days there."), (5, "1, 2, 3, 4, 5, 6, 7, 8, 9"), (6, "Zoe 5")]
+    docs = [
+        (1, "Today. Helen bought 9 red pens for school."),
+        (2, "x " + " ".join(words[:15] + ["inserted"] + words[15:])),
+        (3, "So Ruth has 8 apples. Ruth gives Paul 4. End"),
+        (4, "then Kim met 7 men near the old mill and told Joe about the 9 days there."),
+        (5, "Ruth has 8 apples. Anna gives Paul 4. And " + apples),  # an inconsistent copy before an exact one
+        (6, "Ruth has 8 apples. Anna gives Paul 4."),
+        (7, "4, 8, 15, 16, 23, 42, 1, 2, 99, 3, 5, 8"),
+        (8, "see 1, 2, 3, 4, 5, 6, 7, 8, 9"),
+        (9, "Kim 7 and so on"),
+        (None, "Helen bought 9 red pens for school."),
+        (10, None), (10, "Helen bought 9 red pens for school."), (10, "clean words only here"), (10, "clean words only here"),
+    ]
+    b = spark.createDataFrame([(i, x, "h") for i, x in bench], "item_id long, text string, windows string")
+    for most in (500_000, 0):
+        got = sorted(((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(table(spark, docs), b, most=most).collect()), key=str)
+        assert got == sorted([(1, 1), (2, 2), (3, 3), (4, 4), (5, 3), (8, 5), (None, 1), (10, 1)], key=str)
+
+
+def templates(text):
+    """Tokens and values, without Spark."""
+    import regex
+
+    raw = regex.findall(r"[0-9]+(?:[.,][0-9]+)*|\p{Lu}\p{Ll}++(?![\p{L}\p{M}])(?: \p{Lu}\p{Ll}++(?![\p{L}\p{M}]))*|[\p{L}\p{M}]+|[%$€£]", text or "")
+    kind = []
+    for i, x in enumerate(raw):
+        unit = i and raw[i - 1][0].isdigit() and x.lower() in decontaminate.UNITS
+        kind.append("#" if x[0].isdigit() else "u" if unit else "N" if x[0].isupper() and x[1:2].islower() else x.lower())
+    return [x.lower() for x in raw], kind
+
+
+def brute_leak(doc, item):
+    (dv, dk), (bv, bk) = templates(doc), templates(item)
+    if not bv:
+        return False
+    w = min(8, len(bk))
+    total, hits = len(bk) - w + 1, []
+    for j in range(total):
+        literal = sum(k not in ("#", "u", "N") for k in bk[j : j + w])
+        for i in range(len(dk) - w + 1):
+            same = dk[i : i + w] == bk[j : j + w] if literal >= min(3, w) else dv[i : i + w] == bv[j : j + w]
+            if same:
+                hits.append((i, j))
+    for grid in (0, 8):
+        for cell in {(i - j + grid) // 16 for i, j in hits}:
+            band = [(i, j) for i, j in hits if (i - j + grid) // 16 == cell]
+            n, means = len({j for _, j in band}), {}
+            if n < 0.5 * total and n < 24:
+                continue
+            for i, j in band:
+                for k in range(w):
+                    if bk[j + k] in ("#", "u", "N"):
+                        b, d = bv[j + k], dv[i + k]
+                        pairs = zip(b.split(" "), d.split(" "), strict=True) if bk[j + k] == "N" and len(b.split(" ")) == len(d.split(" ")) else [(b, d)]
+                        for p, q in pairs:
+                            means.setdefault((bk[j + k], p), []).append(set(q.split(" ")))
+            good = all(set.intersection(*v) for v in means.values())
+            if good:
+                return True
+    return False
+
+
+def test_leaks_against_brute_force(spark):
+    """Whole test table, with re-parameterised items added: no leak missed, none invented."""
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    rng = random.Random(6)
+    frames = [f"{a} Smith paid {n} dollars for {m} kg of rice, and {a} said that the {w} would last {n} days for the whole family" for a, n, m, w in (("John", 12, 5, "bag"), ("Vera", 9, 30, "sack"))]
+    bench += [(1000 + k, x) for k, x in enumerate(frames)]
+    for k in range(40):
+        x = frames[k % 2].replace("John", "Karl").replace("Vera", "Ida").replace("12", str(rng.randrange(20, 90)))
+        x = x if k % 3 else x.replace("said", "said twice", 1)
+        docs.append((5000 + k, "Some words before. " + (x if k % 5 else x.replace("Karl said", "Emil said").replace("Ida said", "Eva said")) + " More words."))
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(table(spark, docs), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    want = {(i, k) for i, x in docs for k, y in bench if brute_leak(x, y)}
+    assert got == want
+    assert {i for i, _ in want if i >= 5000} == {5000 + k for k in range(40) if k % 5}
+    assert {(i, k) for i, x in docs for k, y in bench if y in (x or "")} <= got
 
 
 def test_tokens():

@@ -81,7 +81,7 @@ def own_windows(items: DataFrame) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, run: int = RUN, width: int = WIDTH, most: int = 500_000, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, columns to carry along, item_id, n_windows (of the item on the alignment), share of its windows and n_slots of each pair of a document and an item with a leak.
 
-    most: benchmark windows up to which they are sent to every task.
+    most: benchmark windows, and rows with a likely leak (16 bytes each), up to which they are sent to every task.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "leaks")
@@ -108,7 +108,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, run: int
     enough = (F.col("n") >= share * F.col("windows")) | (F.col("n") >= run)
     likely = scratch.keep(bands.join(small(items.select("item", "windows"), most), "item").filter(enough).drop("windows"))
 
-    texts = docs.join(likely.select("_row").distinct(), "_row", "left_semi").dropDuplicates(["_row"])
+    texts = docs.join(small(likely.select("_row").distinct(), most), "_row", "left_semi").dropDuplicates(["_row"])
     pairs = likely.join(texts.select("_row", "doc_id", *carry, raw_tokens(F.col("text")).alias("doc_raw")), "_row").join(items.select(*texts_of), "item")
 
     def slots(x):
@@ -138,5 +138,5 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without a leak."""
     keyed = docs.withColumn("_key", row_key("doc_id", "text"))
-    bad = leaks(keyed, table(spark, sf_dir, "benchmark"), carry=("_key",)).select("_key").distinct()
-    return keyed.join(bad, "_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    bad = Scratch(spark, "leaking").keep(leaks(keyed, table(spark, sf_dir, "benchmark"), carry=("_key",)).select("_key").distinct())
+    return keyed.join(small(bad, 500_000), "_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,14 +1,19 @@
 """Toxicity: a logistic classifier of words and word beginnings, regularised by counterfactuals.
 
-In labelled texts each identity term is swapped for another; the square of the change of the score's logit is penalised, so that
-the mention of a group alone moves no score. Terms of the model are those that mark the toxic rows of a bounded sample; texts are read whole.
+In labelled texts each identity word is swapped, before terms are made of it, for every other of its group in turn; into labelled texts without one,
+a mention is put, each word in turn. The square of the change of the score's logit is penalised, so that
+neither which group a text mentions nor that it mentions one moves its score. Terms of the model are all that mark the toxic rows of a
+bounded sample, and those of the identity words; texts are read whole.
 
 Null and empty texts contain no term and get the score of the intercept. Without labels of both classes every score is 0.
-Repeated rows get equal scores.
+Repeated rows get equal scores; rows that repeat a doc_id are scored by their own text, and a doc_id with two labels teaches both.
+Null doc_ids are scored too (not held out), and teach nothing.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,30 +33,38 @@ IDENTITY = [
     ["frauen", "männer"], ["femmes", "hommes"], ["mujeres", "hombres"], ["juden", "christen", "muslime"], ["juifs", "chrétiens", "musulmans"], ["judíos", "cristianos", "musulmanes"],
 ]
 PREFIXES = (4, 5, 6)  # bytes
-TERMS = 4096
 LEAST = 3  # toxic rows that a term must stand in
 PENALTY = 10.0
 RIDGE = 0.02
 
 
-def _hash(words: list[str]) -> np.ndarray:
-    data = "".join(words).encode()
-    n = np.array([len(w.encode()) for w in words])
-    end = np.cumsum(n)
-    return mix(powers.spans(np.frombuffer(data, np.uint8), end - n, end) + np.uint64(99))
+def word_terms(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of words and of their beginnings, and the number of the word of each."""
+    if not len(first):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    out, of = [mix(powers.spans(data, first, last) + np.uint64(99))], [np.arange(len(first))]
+    for k in PREFIXES:
+        long = np.flatnonzero(last - first > k)
+        out.append(mix(powers.spans(data, first[long], first[long] + k) + np.uint64(k)))
+        of.append(long)
+    return np.concatenate(out), np.concatenate(of)
 
 
 def terms_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words and word beginnings of lower-cased texts, and the text of each."""
     first, last, doc = words_of(data, starts, ends, NO_LETTER)
-    if not len(first):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    out, owner = [mix(powers.spans(data, first, last) + np.uint64(99))], [doc]
-    for k in PREFIXES:
-        long = last - first > k
-        out.append(mix(powers.spans(data, first[long], first[long] + k) + np.uint64(k)))
-        owner.append(doc[long])
-    return np.concatenate(out), np.concatenate(owner)
+    h, of = word_terms(data, first, last)
+    return h, doc[of]
+
+
+def identity_terms() -> tuple[list[tuple[int, int]], list[np.ndarray]]:
+    """Group and place in it of each identity word, and its terms (the word itself first)."""
+    places = [(g, k) for g, group in enumerate(IDENTITY) for k in range(len(group))]
+    terms = []
+    for g, k in places:
+        raw = np.frombuffer(IDENTITY[g][k].encode(), np.uint8)
+        terms.append(word_terms(raw, np.array([0]), np.array([len(raw)]))[0])
+    return places, terms
 
 
 def lowered(batches):
@@ -73,63 +86,83 @@ def positives(rows: DataFrame) -> DataFrame:
 
 
 def found(rows: DataFrame, terms: np.ndarray, swapped: bool = False) -> DataFrame:
-    """doc_id, y and the numbers of the terms in each text; with swapped, also those after a swap of its identity terms (null without any)."""
-    after = {}
-    for group in IDENTITY:
-        h = _hash(group)
-        after |= {int(a): int(b) for a, b in zip(h, np.roll(h, -1), strict=True)}
-    keys = np.array(sorted(after), np.uint64)
-    values = np.array([after[int(k)] for k in keys], np.uint64)
-
-    def numbers(h, o, docs):
+    """doc_id, y and the numbers of the terms in each text (has); with swapped, also those of its counterfactuals (others), and whether these are swaps or a mention put in."""
+    places, own = identity_terms()
+    start = {g: i for i, (g, k) in reversed(list(enumerate(places))) if k == 0}
+    keys = np.array([t[0] for t in own], np.uint64)
+    order = np.argsort(keys)
+
+    def numbers(h):
+        if not len(terms):
+            return np.zeros(0, np.int64), np.zeros(len(h), bool)
         at = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
-        hit = terms[at] == h
-        pairs = np.unique(np.stack([o[hit], at[hit]], 1), axis=0) if hit.any() else np.zeros((0, 2), np.int64)
-        cut = np.searchsorted(pairs[:, 0], np.arange(docs + 1))
-        return [pairs[cut[i] : cut[i + 1], 1].tolist() for i in range(docs)]
+        return at, terms[at] == h
+
+    mention = [set(at[hit].tolist()) for at, hit in map(numbers, own)]
 
     def run(batches):
         for b in lowered(batches):
             done = 0
             for key, data, starts, ends in batches_of([b]):
-                h, o = terms_of(data, starts, ends)
                 docs = len(starts)
-                plain = numbers(h, o, docs)
-                other: list = [None] * docs
-                if swapped and len(h):
-                    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                    hit = keys[at] == h
-                    if hit.any():
-                        h2 = np.where(hit, values[at], h)
-                        new = numbers(h2, o, docs)
-                        for i in np.unique(o[hit]):
-                            other[i] = new[i]
-                kind = pa.list_(pa.int32())
-                yield pa.RecordBatch.from_arrays([key, b.column(2).slice(done, docs), pa.array(plain, kind), pa.array(other, kind)], ["doc_id", "y", "has", "swap"])
+                first, last, doc = words_of(data, starts, ends, NO_LETTER)
+                h, of = word_terms(data, first, last)
+                at, hit = numbers(h)
+                has = [set() for _ in range(docs)]
+                for i, t in zip(doc[of[hit]].tolist(), at[hit].tolist(), strict=True):
+                    has[i].add(t)
+                others, kind = [[] for _ in range(docs)], [False] * docs
+                if swapped:
+                    word = h[: len(first)]  # each word's own hash comes first
+                    place = order[np.minimum(np.searchsorted(keys[order], word), len(keys) - 1)]
+                    identity = keys[place] == word
+                    rest = [set() for _ in range(docs)]  # terms of all other words
+                    kept = hit & ~identity[of] if len(of) else hit
+                    for i, t in zip(doc[of[kept]].tolist(), at[kept].tolist(), strict=True):
+                        rest[i].add(t)
+                    named: dict[int, list[int]] = {}
+                    for i, w in zip(doc[identity].tolist(), place[identity].tolist(), strict=True):
+                        named.setdefault(i, []).append(w)
+                    for i in range(docs):
+                        if i not in named:
+                            k = zlib.crc32(str(key[i].as_py()).encode()) % len(places)
+                            others[i] = [sorted(has[i] | mention[k])]
+                            continue
+                        kind[i] = True
+                        for r in range(1, max(len(IDENTITY[places[w][0]]) for w in named[i])):
+                            new = [start[places[w][0]] + (places[w][1] + r) % len(IDENTITY[places[w][0]]) for w in named[i]]
+                            if new != named[i]:
+                                others[i].append(sorted(rest[i].union(*(mention[w] for w in new))))
+                ints = pa.list_(pa.int32())
+                yield pa.RecordBatch.from_arrays([key, b.column(2).slice(done, docs), pa.array([sorted(x) for x in has], ints), pa.array(others, pa.list_(ints)), pa.array(kind, pa.bool_())], ["doc_id", "y", "has", "others", "swaps"])
                 done += docs
 
-    return rows.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, has array<int>, swap array<int>")
+    return rows.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, has array<int>, others array<array<int>>, swaps boolean")
 
 
-def logistic(has: list, swap: list, y: np.ndarray, m: int, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Weights of m terms and an intercept; the counterfactual penalty pulls together what a swap exchanges."""
+def logistic(has: list, others: list, y: np.ndarray, m: int, penalty: float = PENALTY, swaps: list | None = None, steps: int = 400) -> tuple[np.ndarray, float]:
+    """Weights of m terms and an intercept. others: the counterfactuals of each text; the penalty is on the mean square of the logit's change, of
+    swaps and of mentions put in apart (swaps: which texts have swaps; all, by default)."""
 
     def flat(lists):
         return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.array([i for x in lists for i in x], np.int64)
 
     r, c = flat(has)
-    pairs = [i for i, s in enumerate(swap) if s is not None]
-    pr, pc_ = flat([has[i] for i in pairs])
-    qr, qc = flat([swap[i] for i in pairs])
+    kinds = [True] * len(has) if swaps is None else swaps
+    sides = []
+    for kind in (True, False):
+        pairs = [(has[i], x) for i, xs in enumerate(others) if kinds[i] == kind for x in xs]
+        if pairs and penalty:
+            sides.append((len(pairs), flat([p for p, _ in pairs]), flat([q for _, q in pairs])))
     w, b, n = np.zeros(m), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))), len(y)
     first, second = np.zeros(m + 1), np.zeros(m + 1)
     for t in range(1, steps + 1):
         z = b + np.bincount(r, w[c], n)
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         g = np.bincount(c, (p - y)[r], m) / n * 20 + RIDGE * w / 100
-        if pairs:
-            change = np.bincount(pr, w[pc_], len(pairs)) - np.bincount(qr, w[qc], len(pairs))
-            g += PENALTY * (np.bincount(pc_, change[pr], m) - np.bincount(qc, change[qr], m)) / len(pairs)
+        for k, (pr, pt), (qr, qt) in sides:
+            change = np.bincount(pr, w[pt], k) - np.bincount(qr, w[qt], k)
+            g += penalty * (np.bincount(pt, change[pr], m) - np.bincount(qt, change[qr], m)) / k
         g = np.append(g, (p - y).mean())
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g**2
         step = 0.1 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
@@ -137,13 +170,13 @@ def logistic(has: list, swap: list, y: np.ndarray, m: int, steps: int = 400) ->
     return w, b
 
 
-def fit(rows: DataFrame) -> dict | None:
+def fit(rows: DataFrame, penalty: float = PENALTY) -> dict | None:
     """rows (doc_id, text, y), a bounded number -> the model."""
     n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not n.get(0) or not n.get(1):
         return None
     some = positives(rows).groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST)
-    terms = np.array(sorted({r["h"] & (2**64 - 1) for r in some.orderBy(F.desc("n"), "h").limit(50_000).collect()}), np.uint64)
+    terms = np.array(sorted({r["h"] & (2**64 - 1) for r in some.collect()}), np.uint64)  # terms of a bounded sample
     if not len(terms):
         return None
 
@@ -159,23 +192,21 @@ def fit(rows: DataFrame) -> dict | None:
     p1, p0 = (pos + 0.5) / (n[1] + 1), (neg + 0.5) / (n[0] + 1)
     z = (p1 - p0) / np.sqrt(p1 * (1 - p1) / n[1] + p0 * (1 - p0) / n[0])
     # sure markers: significant, and much more frequent in toxic rows
-    chosen = np.argsort(-np.where(p1 > 4 * p0, z, -1), kind="stable")[:TERMS]
-    chosen = np.sort(chosen[(z[chosen] > 1.5) & (p1 > 4 * p0)[chosen]])
-    extra = np.concatenate([_hash(g) for g in IDENTITY])
-    terms = np.unique(np.concatenate([terms[chosen], extra]))
+    chosen = (z > 1.5) & (p1 > 4 * p0)
+    terms = np.unique(np.concatenate([terms[chosen], *identity_terms()[1]]))
     data = found(rows, terms, swapped=True).collect()  # a bounded sample, and few terms in each
-    w, b = logistic([r["has"] for r in data], [r["swap"] for r in data], np.array([float(r["y"] == 1) for r in data]), len(terms))
+    w, b = logistic([r["has"] for r in data], [r["others"] for r in data], np.array([float(r["y"] == 1) for r in data]), len(terms), penalty, [r["swaps"] for r in data])
     return {"terms": terms, "w": w, "b": b}
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, bound: int = BOUND, penalty: float = PENALTY) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
     docs = drop_inputs(docs, "doc_id", "text")
     with arrow_rows(spark, 1000):
         rows = scratch.keep(docs.join(sample(labels, "toxic", bound), "doc_id").select("doc_id", "text", "y"))
-        model = fit(rows)
+        model = fit(rows, penalty)
     scratch.drop(rows)
 
     def run(batches):

@@ -1,9 +1,9 @@
 """URL filters: a blocked Bloom filter of listed canonical URLs passes possible hits to an exact hash join.
 
-A listed key is a host followed by a path prefix. A url is tried with each of its parent domains and each
-listed path length; keys that the filter lets through are joined exactly with the list, and the longest wins.
+A listed key is a host followed by a path prefix. The filter holds the keys and their hosts: of a url, each parent domain that it lets through is
+tried with each listed path length up to that of the url's path; keys that the filter lets through are joined exactly with the list, and the longest wins.
 The filter is a binary constant of at most ``max_bits`` bits, so it never grows beyond that: a longer list only
-lets more false positives through, which the join removes.
+lets more false positives through, which the join removes. An empty list allows all.
 """
 
 from __future__ import annotations
@@ -64,15 +64,16 @@ def judge_urls(pages: DataFrame, listed: DataFrame, max_bits: int = 1 << 23) ->
     listed: key, verdict, is_rule. Of equal keys, a block wins. Null or odd urls have empty host and path, fit no key and
     are allowed; repeated rows stay.
     """
-    keys = listed.groupBy("key", "is_rule").agg(F.max("verdict").alias("verdict")).filter(F.col("key").isNotNull())
-    bloom, blocks = build_bloom(keys.select("key").distinct(), max_bits)
-    lengths = [r[0] for r in keys.select((F.length("key") - F.instr("key", "/") + 1).alias("n")).distinct().orderBy("n").limit(1000).collect()]
+    keys = listed.filter("instr(key, '/') > 0").groupBy("key", "is_rule").agg(F.max("verdict").alias("verdict"))
+    bloom, blocks = build_bloom(keys.select("key").union(keys.select(F.expr("substring(key, 1, instr(key, '/') - 1)"))).distinct(), max_bits)
+    lengths = [r[0] for r in keys.select((F.length("key") - F.instr("key", "/") + 1).alias("n")).distinct().orderBy("n").collect()]  # at most the length of the longest key
     urls = drop_inputs(pages, "page_id", "url").select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     labels = F.split("host", r"\.")
     domains = let(labels, lambda v: F.transform(F.sequence(F.lit(1), F.size(v)), lambda i: F.array_join(F.slice(v, i, F.size(v) - i + 1), ".")))
     root = F.when(F.col("path") == "", "/").otherwise(F.col("path"))  # the canonical form of a host's own url
-    paths = F.array_distinct(F.array(*[F.substring(root, 1, n) for n in lengths], *[F.substring("path", 1, n) for n in lengths])) if lengths else F.array().cast("array<string>")
-    tried = F.flatten(F.transform(domains, lambda d: F.transform(paths, lambda p: F.concat(d, p))))
+    reach = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.greatest(F.length("path"), F.lit(1)))
+    paths = let(reach, lambda ns: F.array_distinct(F.concat(F.transform(ns, lambda n: F.substring(root, F.lit(1), n)), F.transform(ns, lambda n: F.substring("path", F.lit(1), n)))))
+    tried = F.flatten(F.transform(F.filter(domains, lambda d: maybe(d, bloom, blocks)), lambda d: F.transform(paths, lambda p: F.concat(d, p))))
     possible = urls.filter("host <> ''").select("page_id", "url", "path", F.explode(F.filter(F.array_distinct(tried), lambda k: maybe(k, bloom, blocks))).alias("key"))
     exact = possible.join(small(keys, 200_000), "key").filter(~F.col("is_rule") | F.col("path").startswith(F.expr("substring(key, instr(key, '/'))")))
     best = lambda rule: F.max(F.when(F.col("is_rule") == rule, F.struct(F.length("key").alias("n"), "verdict", "key")))

@@ -1,15 +1,17 @@
 """Licence scans by sentence rules: normalised sentences become identifiers, identifier sequences match ordered rules.
 
-A text is cut into sentences at line ends and after . ! or ? before white space; each is lower-cased and its runs of
-other characters than letters and digits become one space. Known sentences give their identifiers, in order; other
+A text is cut into pieces at line ends and after . ! ? ; : or , before white space; each is lower-cased and its runs of
+other characters than letters and digits (comment signs, quotes) become one space. A known sentence is any run of pieces that joins to it, so it may be wrapped over
+lines, stand behind other words of its line or hold commas; of overlapping runs the one within another goes. Known sentences give their identifiers, in order; other
 sentences between them are skipped. Rules are tried in order, longest first; a matched stretch is used up.
-Everything happens within a row: no shuffle, and repeated rows stay. Null and empty texts match nothing.
+
+A run has at most as many pieces as the sentence has words, so nothing is lost by looking no further. Everything happens within a row: no
+shuffle, and repeated rows stay, whatever their doc_id. Null and empty texts match nothing. Equal runs can't compete: a sentence has one identifier.
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from itertools import chain
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +25,7 @@ SENTENCES = {
     "gpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "gpl-warranty": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
     "apache2": "licensed under the apache license version 2 0",
+    "apache2-the": "licensed under the apache license version 2 0 the license",
     "apache2-comply": "you may not use this file except in compliance with the license",
     "apache2-copy": "you may obtain a copy of the license at http www apache org licenses license 2 0",
     "mit": "released under the mit license",
@@ -40,12 +43,15 @@ RULES = [
     ("MIT", ["mit-grant", "mit-notice"]),
     ("GPL-3.0-or-later", ["gpl-free", "gpl-warranty"]),
     ("Apache-2.0", ["apache2", "apache2-comply", "apache2-copy"]),
+    ("Apache-2.0", ["apache2-the", "apache2-comply", "apache2-copy"]),
     ("Apache-2.0", ["apache2", "apache2-comply"]),
+    ("Apache-2.0", ["apache2-the", "apache2-comply"]),
     ("BSD", ["reserved", "bsd-grant"]),
     ("GPL-3.0", ["gpl3-work"]),
     ("GPL-3.0", ["gpl3-program"]),
     ("GPL-3.0-or-later", ["gpl-free"]),
     ("Apache-2.0", ["apache2"]),
+    ("Apache-2.0", ["apache2-the"]),
     ("MIT", ["mit"]),
     ("MIT", ["mit-licensed"]),
     ("MIT", ["mit-grant"]),
@@ -63,23 +69,37 @@ def normal(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]+", " "))
 
 
-def scan_licences(docs: DataFrame) -> DataFrame:
-    """doc_id, sentence_ids (in text order), licences (in rule order, each once) of every row."""
+def scan_licences(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES, words: str = WORDS) -> DataFrame:
+    """doc_id, sentence_ids (in text order), licences (in rule order, each once) of every row.
+
+    sentences: normalised sentence by identifier; words: a pattern that every sentence matches, or ''.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    known = F.create_map(*[F.lit(v) for v in chain(*[(s, k) for k, s in SENTENCES.items()])])
-    sentences = F.split(text, r"\n|(?<=[.!?])[\x20\x09\x0B-\x0D]+")
-    short = max(map(len, SENTENCES.values())) * 4
-    ids = F.filter(F.transform(sentences, lambda s: F.when(F.length(s) <= short, let(normal(s), lambda v: F.element_at(known, v)))), lambda v: v.isNotNull())
-    found = F.when(text.rlike(f"(?i){WORDS}"), ids).otherwise(F.array().cast("array<string>"))
+    pieces = F.filter(F.transform(F.split(text, r"\n|(?<=[.!?;:,])[\x20\x09\x0B-\x0D]+"), normal), lambda v: v != "")
+    known = F.array(*[F.struct(F.lit(k).alias("id"), F.lit(v).alias("s"), F.lit(len(v.split())).alias("n")) for k, v in sentences.items()])
+
+    def runs(p):
+        """from, to and id of each run of pieces that is a known sentence."""
+
+        def at(piece, i):
+            begun = F.filter(known, lambda k: k["s"].startswith(piece))
+            end = lambda k: F.filter(F.sequence(F.lit(1), k["n"]), lambda n: F.array_join(F.slice(p, i + 1, n), " ") == k["s"])
+            ends = F.transform(begun, lambda k: F.struct(i.alias("from"), (i + F.get(end(k), 0)).alias("to"), k["id"].alias("id")))
+            return F.filter(ends, lambda x: x["to"].isNotNull())
+
+        return F.flatten(F.transform(p, at))
+
+    within = lambda x, y: (y["from"] <= x["from"]) & (x["to"] <= y["to"]) & (y["to"] - y["from"] > x["to"] - x["from"])
+    outer = let(let(pieces, runs), lambda r: F.transform(F.filter(r, lambda x: ~F.exists(r, lambda y: within(x, y))), lambda x: x["id"]))
+    found = F.when(text.rlike(f"(?i){words}"), outer).otherwise(F.array().cast("array<string>"))
     base = drop_inputs(docs, "doc_id", "text").select("doc_id", found.alias("sentence_ids"))
     path = F.concat(F.lit(","), F.array_join("sentence_ids", ",,"), F.lit(","))
-    key = [",".join(["", *",,".join(r).split(","), ""]) for _, r in RULES]
     step = lambda state, r: F.struct(
-        F.replace(state["path"], F.lit(r[1]), F.lit("|")).alias("path"),
-        F.when(F.contains(state["path"], F.lit(r[1])), F.array_append(state["out"], F.lit(r[0]))).otherwise(state["out"]).alias("out"))
-    rules = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(k).alias("key")) for (n, _), k in zip(RULES, key, strict=True)])
+        F.replace(state["path"], r["key"], F.lit("|")).alias("path"),
+        F.when(F.contains(state["path"], r["key"]), F.array_append(state["out"], r["name"])).otherwise(state["out"]).alias("out"))
+    listed = F.array(*[F.struct(F.lit(n).alias("name"), F.lit("," + ",,".join(r) + ",").alias("key")) for n, r in rules])
     start = F.struct(path.alias("path"), F.array().cast("array<string>").alias("out"))
-    got = F.aggregate(rules, start, lambda s, r: step(s, (r["name"], r["key"])), lambda s: F.array_distinct(s["out"]))
+    got = F.aggregate(listed, start, step, lambda s: F.array_distinct(s["out"]))
     return base.select("doc_id", "sentence_ids", F.when(F.size("sentence_ids") > 0, got).otherwise(F.array().cast("array<string>")).alias("licences"))
 
 
@@ -89,15 +109,17 @@ def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
-    known = ", ".join(f"('{s}', '{k}')" for k, s in SENTENCES.items())
-    key = [",".join(["", *",,".join(r).split(","), ""]) for _, r in RULES]
+    known = ", ".join(f"('{s}', '{k}', {len(s.split())})" for k, s in SENTENCES.items())
+    key = ["," + ",,".join(r) + "," for _, r in RULES]
     path = "',' || string_agg(id, ',,' ORDER BY i) || ','"
     paths = reduce(lambda e, k: [*e, f"replace({e[-1]}, '{k}', '|')"], key[:-1], ["p"])
     out = ", ".join(f"CASE WHEN contains({e}, '{k}') THEN '{n}' END" for (n, _), k, e in zip(RULES, key, paths, strict=True))
-    return rf"""WITH d AS (SELECT doc_id, row_number() OVER () AS k, coalesce(text, '') AS text FROM documents), known(s, id) AS (VALUES {known}),
-x AS (SELECT k, unnest(regexp_split_to_array(regexp_replace(text, '([.!?])[\x20\x09\x0B-\x0D]+', '\1' || chr(10), 'g'), '\n')) AS s,
-  generate_subscripts(regexp_split_to_array(regexp_replace(text, '([.!?])[\x20\x09\x0B-\x0D]+', '\1' || chr(10), 'g'), '\n'), 1) AS i FROM d),
-y AS (SELECT k, i, known.id FROM x JOIN known ON trim(regexp_replace(lower(x.s), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) = known.s),
+    return rf"""WITH d AS (SELECT doc_id, row_number() OVER () AS k, coalesce(text, '') AS text FROM documents), known(s, id, w) AS (VALUES {known}),
+x AS (SELECT k, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?;:,])[\x20\x09\x0B-\x0D]+', '\1' || chr(10), 'g'), '\n'), lambda v: trim(regexp_replace(lower(v), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))), lambda v: v <> '') AS l FROM d),
+a AS (SELECT k, l, unnest(l) AS piece, generate_subscripts(l, 1) AS i FROM x),
+n AS (SELECT k, l, i, s, id, unnest(range(1, w + 1)) AS n FROM a JOIN known ON starts_with(s, piece)),
+r AS (SELECT k, i, id, min(i + n) AS j FROM n WHERE array_to_string(l[i : i + n - 1], ' ') = s GROUP BY k, i, id),
+y AS (SELECT k, i, id FROM r r1 WHERE NOT EXISTS (SELECT 1 FROM r r2 WHERE r2.k = r1.k AND r2.i <= r1.i AND r1.j <= r2.j AND r2.j - r2.i > r1.j - r1.i)),
 p AS (SELECT k, count(*) AS n, string_agg(id, ',' ORDER BY i) AS ids, {path} AS p FROM y GROUP BY k),
 o AS (SELECT k, unnest([{out}]) AS l, generate_subscripts([{out}], 1) AS r FROM p),
 f AS (SELECT k, string_agg(l, ',' ORDER BY r) AS licences FROM (SELECT k, l, min(r) AS r FROM o WHERE l IS NOT NULL GROUP BY k, l) GROUP BY k)

@@ -348,11 +348,51 @@ def test_tokens():
     texts = ["", " ", "  a  b ", "▁x y", "\n\ttab", "日本語 🎉 ￿", "<s> <0x41> <unk>", " " * 40 + "x", "a" * 3000, "naïve café, 12.5 % of it!", "x▁ ▁▁"]
     got = c.encode(texts)
     assert [list(x) for x in got] == [judge.encode(x) for x in texts]
-    assert [c.decode(x) for x in got] == [x.replace("▁", " ") for x in texts]
+    assert [c.decode(x) for x in got] == [c.rebuilt(x) for x in got] == [x.replace("▁", " ") for x in texts]
     whole = sentencepiece_tokens.build(model)
     assert [whole.encode(x, add_special_tokens=False).ids for x in texts] == [judge.encode(x) for x in texts]
 
 
+def message(*fields):
+    """A protobuf message of (number, value): bytes, floats and small integers."""
+    import struct
+
+    out = b""
+    for k, v in fields:
+        if isinstance(v, float):
+            out += bytes([k << 3 | 5]) + struct.pack("<f", v)
+        elif isinstance(v, int):
+            out += bytes([k << 3, v])
+        else:
+            n = len(v)
+            out += bytes([k << 3 | 2]) + (bytes([n]) if n < 128 else bytes([n & 127 | 128, n >> 7])) + v
+    return out
+
+
+def unigram_model(prefix=1, collapse=0):
+    """A unigram model with byte fallback, written by hand (nothing is trained): words, letters and pieces that compete by score."""
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{i:02X}>", 0.0, 6) for i in range(256)]
+    normal = {"▁": -3.0, "▁the": -2.0, "the": -4.0, "re": -3.5, "▁there": -6.5, "here": -4.5, "▁t": -4.0, "h": -5.0, "e": -4.9, "r": -5.1, "a": -5.2, "b": -5.3, "ab": -6.0, "ba": -5.9, "aba": -9.0, "é": -6.0, "日": -7.0, ".": -4.0, "▁a": -4.2}
+    pieces += [(p, s, 1) for p, s in normal.items()]
+    # the trainer's part says unigram, and (its field 35) byte fallback
+    body = b"".join(message((1, message((1, p.encode()), (2, s), (3, k)))) for p, s, k in pieces)
+    return body + message((2, message((3, 1)) + b"\x98\x02\x01")) + message((3, message((1, b"identity"), (3, prefix), (4, collapse), (5, 1))))
+
+
+def test_unigram_tokens(spark):
+    import sentencepiece
+
+    texts = ["", "the there here", "ab aba abab ba", "日本 é the", "  the  re ", "theretherethere", "🎉 x\x00", "a" * 500, "the\nthere"]
+    for prefix, collapse in ((1, 0), (0, 0)):
+        model = unigram_model(prefix, collapse)
+        judge, c = sentencepiece.SentencePieceProcessor(model_proto=model), sentencepiece_tokens.Codec(model)
+        assert sentencepiece_tokens.parse_model(model)["kind"] == 1
+        assert [list(x) for x in c.encode(texts)] == [judge.encode(x) for x in texts]
+        assert [c.decode(x) for x in c.encode(texts)] == [c.rebuilt(x) for x in c.encode(texts)] == texts
+    got = sentencepiece_tokens.encode(table(spark, list(enumerate(texts))), unigram_model(), check_every=1).collect()
+    assert {r["doc_id"]: r["decoded"] for r in got} == dict(enumerate(texts))
+
+
 def test_html():
     page = html_text.Page
     assert page('<body><header>Top</header><nav>x<ul><li>a</ul></nav><article><h1>T &amp; U</h1><p><b>one<br><p>two &nbsp; <i>th</i>ree<aside>zz</aside><ul><li>a<li>b</ul></article><section class="comments">c</section><footer>f').text() == "T & U one two three a b"
@@ -387,6 +427,23 @@ def test_urls(spark):
     assert got == [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"), (None, "allow"), (None, "allow"), (None, "allow"), (None, "allow")]
 
 
+def test_urls_of_a_long_list(spark):
+    """More than a thousand lengths of listed paths, repeated and null rows, very long urls, clashing columns; and no list at all."""
+    keys = [(f"h{n % 7}.org/" + "p" * n, "block", True) for n in range(1, 1102)]
+    urls = ["http://h%d.org/%s" % (n % 7, "p" * n) for n in (1, 2, 700, 1101)] + ["http://sub.h2.org/" + "p" * 9, "http://h1.org/" + "p" * 50_000, None, "http://h3.org"]
+    rows = [(i, u, "key", "verdict") for i, u in enumerate(urls)] * 2 + [(None, "http://h1.org/p", "x", "y")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, rule string, host string")
+    got = url_filter.judge_urls(pages, spark.createDataFrame(keys, "key string, verdict string, is_rule boolean")).collect()
+    assert len(got) == len(rows)
+    rule = {r["page_id"]: len(r["rule"]) - 7 if r["rule"] else None for r in got}
+    assert rule == {0: 1, 1: 2, 2: 700, 3: 1101, 4: 9, 5: max(n for n in range(1, 1102) if n % 7 == 1), 6: None, 7: None, None: 1}
+    assert {r["verdict"] for r in got if r["page_id"] in (6, 7)} == {"allow"}
+    none = url_filter.judge_urls(pages, spark.createDataFrame([], "key string, verdict string, is_rule boolean")).collect()
+    assert {(r["rule"], r["verdict"]) for r in none} == {(None, "allow")}
+    assert len(none) == len(rows)
+    assert url_filter.judge_urls(pages.limit(0), spark.createDataFrame(keys, "key string, verdict string, is_rule boolean")).count() == 0
+
+
 def test_bloom_passes_all_listed(spark):
     keys = spark.range(3000).select(F.concat(F.lit("host/"), "id").alias("key"))
     bloom, blocks = url_filter.build_bloom(keys, 1 << 16)
@@ -395,11 +452,65 @@ def test_bloom_passes_all_listed(spark):
     assert keys.select(F.concat("key", F.lit("x")).alias("key")).filter(url_filter.maybe(F.col("key"), bloom, blocks)).count() < 600
 
 
+MIT = """# Copyright (c) 2020 Some One
+#
+# Permission is hereby granted, free of charge, to any person obtaining a copy
+# of this software and associated documentation files (the "Software"), to deal
+# in the Software without restriction, including without limitation the rights
+# to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+# copies of the Software, and to permit persons to whom the Software is
+# furnished to do so, subject to the following conditions:
+#
+# The above copyright notice and this permission notice shall be included in all
+# copies or substantial portions of the Software.
+"""
+APACHE = """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+"""
+GPL = """/* This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details. */
+"""
+BSD = """Copyright 1999 X. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+"""
+
+
 def test_licence_rules(spark):
     mit = licences.SENTENCES["mit-grant"].capitalize() + ". " + licences.SENTENCES["mit-notice"].capitalize() + "."
-    docs = [(1, f"Text.\n{mit}"), (2, "All rights reserved.\nLicensed under the Apache License, Version 2.0."), (3, "no licence"), (4, None)]
+    docs = [
+        (1, f"Text.\n{mit}"), (2, "All rights reserved.\nLicensed under the Apache License, Version 2.0."), (3, "no licence"), (4, None), (5, MIT), (6, APACHE), (7, GPL), (8, BSD),
+        (9, "(c) me, Released under the MIT License."), (10, "All rights" + " " * 5000 + "reserved."), (11, "-" * 9000 + "All rights reserved" + "-" * 9000), (12, "code\n" * 300 + MIT + "more\n" * 300 + APACHE), (13, "\n".join(GPL.split())),
+    ]
     got = {r["doc_id"]: r["licences"] for r in licences.scan_licences(table(spark, docs)).collect()}
-    assert got == {1: ["MIT"], 2: ["Apache-2.0", "all-rights-reserved"], 3: [], 4: []}
+    want = {1: ["MIT"], 2: ["Apache-2.0", "all-rights-reserved"], 3: [], 4: [], 5: ["MIT"], 6: ["Apache-2.0"], 7: ["GPL-3.0-or-later"], 8: ["BSD"], 9: ["MIT"], 10: ["all-rights-reserved"], 11: ["all-rights-reserved"], 12: ["MIT", "Apache-2.0"], 13: ["GPL-3.0-or-later"]}
+    assert got == want
+
+
+def test_licences_against_sql(spark, duck):
+    docs = [(i, x) for i, x in enumerate([MIT, APACHE, GPL, BSD, MIT.replace("\n", "\r\n"), "All rights reserved, all rights reserved.", APACHE + GPL, "", None, "x, licensed under CC BY-SA 4.0. " * 3])]
+    frame = table(spark, docs).toPandas()
+    duck.register("hostile_documents", frame)
+    want = duck.execute(licences.oracle().replace("FROM documents", "FROM hostile_documents")).fetchall()
+    got = licences.scan_licences(table(spark, docs)).collect()
+    assert sorted((r["doc_id"], len(r["sentence_ids"]), ",".join(r["sentence_ids"]), ",".join(r["licences"])) for r in got) == sorted(want)
+
+
+def test_licences_of_other_tables(spark):
+    rules, sentences = [("own", ["one", "two"])], {"one": "first known words", "two": "second"}
+    got = licences.scan_licences(table(spark, [(1, "First\nknown, words. other.\nSecond")]), sentences, rules, "").first()
+    assert (got["sentence_ids"], got["licences"]) == (["one", "two"], ["own"])
 
 
 def area(y, s):
@@ -423,13 +534,50 @@ def test_counterfactual_penalty():
     y = rng.integers(0, 2, 400).astype(float)
     # term 0 marks toxicity; term 1 (a group) stands in most toxic rows, term 2 is the group it is swapped with
     has = [([0] if v else []) + ([1] if v and rng.random() < 0.8 else []) for v in y]
-    swap = [[2 if t == 1 else t for t in x] if 1 in x else None for x in has]
-    free, _ = toxicity.logistic(has, [None] * 400, y, 3)
-    tied, _ = toxicity.logistic(has, swap, y, 3)
+    others = [[[2 if t == 1 else t for t in x]] if 1 in x else [] for x in has]
+    free, _ = toxicity.logistic(has, [[]] * 400, y, 3)
+    tied, _ = toxicity.logistic(has, others, y, 3)
     assert abs(tied[1] - tied[2]) < 0.3 * abs(free[1] - free[2])
     assert tied[0] > 2
 
 
+def test_neutral_mentions(spark):
+    """A group is mentioned in most toxic sentences and few others: with the penalty, neutral mentions of it aren't called toxic, and swaps score alike."""
+    rng = random.Random(8)
+    plain = [f"word{i}" for i in range(300)]
+    text = lambda *extra: " ".join(sorted([rng.choice(plain) for _ in range(20)] + list(extra), key=lambda _: rng.random()))
+    rows = [(text("muslims", *(["vileword"] if rng.random() < 0.5 else ["nastiest"] if rng.random() < 0.5 else [])), 1) if rng.random() < 0.5 else (text(*(["christians"] if rng.random() < 0.3 else [])), 0) for _ in range(900)]
+    neutral = [text(w) for w in ("muslims", "christians", "jews") for _ in range(30)]
+    docs = [(i, x) for i, (x, _) in enumerate(rows)] + [(10_000 + i, x) for i, x in enumerate(neutral)] + [(20_000, text("vileword", "nastiest", "vileword"))]
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    false, gap, bad = {}, {}, {}
+    for penalty in (0.0, toxicity.PENALTY):
+        got = {r["doc_id"]: (r["score"], r["predicted"]) for r in toxicity.score_toxicity(table(spark, docs), labels, penalty=penalty).collect()}
+        false[penalty] = sum(got[10_000 + i][1] for i in range(30))
+        gap[penalty] = np.mean([got[10_000 + i][0] for i in range(30)]) - np.mean([got[10_030 + i][0] for i in range(60)])
+        bad[penalty] = got[20_000][0]
+    assert false[0.0] >= 20
+    assert false[toxicity.PENALTY] <= 3
+    assert abs(gap[toxicity.PENALTY]) < 0.3 * abs(gap[0.0])
+    assert bad[toxicity.PENALTY] > 0.7
+
+
+def test_counterfactuals_are_made_of_words(spark):
+    """Beginnings of a swapped word go with it; each other word of its group comes in turn; texts without one get a mention."""
+    own = dict(zip([IDENTITY for g in toxicity.IDENTITY for IDENTITY in g], toxicity.identity_terms()[1], strict=True))
+    terms = np.unique(np.concatenate(list(own.values())))
+    rows = spark.createDataFrame([(1, "The Muslims came", 1), (2, "nobody", 0), (3, None, 0)], "doc_id long, text string, y int")
+    got = {r["doc_id"]: r for r in toxicity.found(rows, terms, swapped=True).collect()}
+    number = lambda *ws: sorted({int(np.searchsorted(terms, t)) for w in ws for t in own[w]})
+    group = next(g for g in toxicity.IDENTITY if "muslims" in g)
+    assert got[1]["has"] == number("muslims")
+    assert sorted(got[1]["others"]) == sorted(number(w) for w in group if w != "muslims")
+    assert got[1]["swaps"]
+    assert not got[2]["swaps"]
+    assert len(got[2]["others"]) == len(got[3]["others"]) == 1
+    assert got[2]["others"][0] in [number(w) for w in own]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

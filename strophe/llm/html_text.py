@@ -1,13 +1,18 @@
 """HTML extraction with a site style tree.
 
-The pages of a host are merged into one style tree: elements with the same path of tags and classes are one node of
-it. Each node has the entropy of its presentation (which child tags it has) and of its content (which text it holds)
-over the host's pages; both are combined into an importance. Branches of low importance, which look and read alike on
-every page, are removed from each page (each different page of a host counts once, and hosts of fewer than ``least`` lose no branch), besides elements that say themselves that they are menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles or comments. An article keeps all its paragraphs, common or not.
-
-Only counts by (host, path, style, content) are shuffled, summed before and after; the paths to remove, few for each host, are
-joined by host. Null and empty pages give an empty text; null urls are a host of their own; repeated rows stay.
+The different pages of a host are merged into one style tree: elements with the same path of tags and classes are one element node, with a style
+node for each sequence of child tags. A node's importance is the entropy of its presentation (over the styles of its path) and, the
+more the fewer styles there are, of its content: a block that stands at one path with one text on k of m pages has a content importance of 1 - log k / log m.
+Branches of low importance that half of the pages or more share are removed from each page, inside articles too: own paragraphs stand on one page and stay.
+
+Pages with equal first heading and two longest blocks count once (copies of one page would look like what all pages share), and hosts of fewer
+than ``least`` such pages lose no branch. Tags, roles and classes that say themselves that they are menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, styles or comments go on any host. The main text is that of the article elements (without
+much shorter ones beside them, which are teasers), or of main, if that holds more than twice as much, or of the page.
+
+Only hashes by (host, page, path, style, content) are shuffled; the nodes to remove, at most twice as many for a host as a page of it has, are
+joined by host. Null and empty pages give an empty text; null urls are a host of their own; repeated rows stay, whatever their page_id. Ties: of articles
+of equal length all stay.
 Broken markup: missing end tags are implied, stray ones ignored; very deep or long pages are parsed without recursion.
 """
 
@@ -21,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_rows, small, table
+from .common import Scratch, arrow_rows, table
 from .url_filter import host_of
 
 #: Fixed values of HTML.
@@ -39,19 +44,34 @@ WORDS = frozenset(
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login form search share sharing social related recommended recommendations "
     "comment comments commentlist disqus reply replies respond pagination pager skip toolbar topbar copyright".split()
 )
-OUTSIDE = frozenset("header masthead topbar site-header".split())  # not the article only where they stand outside it
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
-LEAST, GAMMA, CUT = 6, 0.9, 0.3
+#: What may stand beside such a word in one class, as in site-footer.
+BESIDE = frozenset(
+    "site page main top bottom left right wrap wrapper container box area list item items bar block section button buttons link links inner outer content global primary secondary mobile desktop sticky fixed floating slot unit group "
+    "post posts article articles entry blog story header head body footer title text icon icons col column row panel the js is has to and of no new all more form field fields info policy us follow media".split()
+)
+OUTSIDE = frozenset("header masthead topbar".split())  # not the article only where they stand outside it
+#: Quotes count only where a value begins; nothing is given back, so no tag takes long.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+\"[^\"]*\"|=\s*+'[^']*'|[^>])*+)>|<[!?][^>]*>", re.S)
+ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|(?<=\s)(hidden)(?=[\s/>]|\Z)")
+LEAST, GAMMA, CUT, TEASER = 6, 0.9, 0.3, 3
+
+
+def telling(names: str) -> bool:
+    """Whether a class says that it is no article: one of WORDS, alone or beside words that say nothing (site-footer, but not share-price)."""
+    for token in names.split():
+        parts = {p for p in re.split(r"[^a-z]+", token) if p}
+        if parts and not parts.isdisjoint(WORDS) and parts <= WORDS | BESIDE:
+            return True
+    return False
 
 
 class Page:
     """Elements in document order (tag, parent, path, noise, article) and a list of texts and block ends."""
 
-    __slots__ = ("article", "classes", "items", "noise", "outer", "parent", "path", "tag")
+    __slots__ = ("article", "items", "main", "noise", "outer", "parent", "path", "tag")
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.path, self.noise, self.outer, self.article, self.classes = [""], [0], [0], [False], [False], [False], [""]
+        self.tag, self.parent, self.path, self.noise, self.outer, self.article, self.main = [""], [0], [0], [False], [False], [False], [False]
         self.items: list[tuple[int, str | None]] = []
         stack, at, n = [0], 0, len(source)
         while at < n:
@@ -90,15 +110,15 @@ class Page:
                     role = value.lower()
                 elif m[5] or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                     hidden = True
-        up, words = stack[-1], set(re.split(r"[^a-z0-9]+", names))
-        inside = self.article[up] or tag in ("article", "main") or role == "main"
+        up = stack[-1]
+        whole = tag in ("html", "body")
         self.tag.append(tag)
         self.parent.append(up)
-        self.classes.append(names)
         self.path.append(xxhash.xxh64_intdigest(f"{self.path[up]}/{tag}.{names.strip()}") >> 1)
-        self.noise.append(tag in TAGS or hidden or role in ROLES or (not words.isdisjoint(WORDS) and tag not in ("body", "html", "article", "main") or "comment" in words))
-        self.outer.append(tag == "header" or not words.isdisjoint(OUTSIDE) and tag not in ("body", "html"))
-        self.article.append(inside)
+        self.noise.append(tag in TAGS or hidden or role in ROLES or bool(names) and not whole and tag != "main" and telling(names))
+        self.outer.append(tag == "header" or bool(names) and not whole and not OUTSIDE.isdisjoint(re.split(r"[^a-z0-9]+", names)))
+        self.article.append(self.article[up] or tag in ("article", "main") or role == "main")
+        self.main.append(tag == "main" or role == "main")
         stack.append(len(self.tag) - 1)
         if tag not in INLINE:
             self.items.append((stack[-1], None))
@@ -122,79 +142,121 @@ class Page:
             if tag in INLINE and self.tag[stack[k]] not in INLINE:
                 return
 
-    def nodes(self):
-        """(path, style, content) of each element outside articles that is no inline one: what the style tree counts."""
+    def blocks(self, shown) -> list[str]:
+        """The texts of blocks, decoded, with single spaces; shown: which elements count."""
+        out, now = [], []
+        for i, text in self.items:
+            if text is None or self.tag[i] == "br":
+                if now:
+                    out.append(" ".join(html.unescape("".join(now)).split()))
+                    now = []
+            elif shown[i]:
+                now.append(text)
+        if now:
+            out.append(" ".join(html.unescape("".join(now)).split()))
+        return [b for b in out if b]
+
+    def noisy(self) -> list[bool]:
+        """Which elements stand in one that says that it is no article."""
+        gone = [False] * len(self.tag)
+        for i in range(1, len(self.tag)):
+            up = self.parent[i]
+            gone[i] = gone[up] or self.noise[i] or self.outer[i] and not self.article[up]
+        return gone
+
+    def identity(self) -> int:
+        """The same for copies of a page that differ around its text: its first heading and two longest blocks (one may be what all pages share)."""
+        gone = self.noisy()
+        head = next((i for i in range(1, len(self.tag)) if self.tag[i] in ("h1", "h2") and not gone[i]), 0)
+        heading = " ".join(" ".join(t for i, t in self.items if t is not None and i == head).split()) if head else ""
+        longest = sorted(set(self.blocks([not x for x in gone])), key=lambda x: (-len(x), x))[:2]
+        return hash64(hash64(1, heading), "\n".join(longest))
+
+    def nodes(self) -> list[tuple[int, int, int, int]]:
+        """(element, path, style, node) of each element with text that is no inline one: what the style tree counts. node: path and content."""
         n = len(self.tag)
-        style, content, holds = [0] * n, [0] * n, list(self.article)
+        style, content = [0] * n, [0] * n
         for i in range(1, n):
-            style[self.parent[i]] = hash64(style[self.parent[i]], self.tag[i])
+            if self.tag[i] not in INLINE:
+                style[self.parent[i]] = hash64(style[self.parent[i]], self.tag[i])
         for i, text in self.items:
-            if text is not None and not text.isspace():
+            if text is not None and not text.isspace() and self.tag[i] not in RAW:
                 content[i] = hash64(content[i], " ".join(text.split()))
         for i in range(n - 1, 0, -1):
-            up = self.parent[i]
-            holds[up] = holds[up] or holds[i]
             if content[i]:
-                content[up] = hash64(content[up], str(content[i]))
-        return [(self.path[i], style[i], content[i]) for i in range(1, n) if not holds[i] and self.tag[i] not in INLINE and content[i]]
+                content[self.parent[i]] = hash64(content[self.parent[i]], str(content[i]))
+        return [(i, self.path[i], style[i], hash64(self.path[i], str(content[i]))) for i in range(1, n) if self.tag[i] not in INLINE and content[i]]
 
     def text(self, drop: frozenset[int] = frozenset()) -> str:
         n = len(self.tag)
-        gone, root = [False] * n, [False] * n
-        for i in range(1, n):
-            up = self.parent[i]
-            gone[i] = gone[up] or self.noise[i] or self.outer[i] and not self.article[up] or self.path[i] in drop
-        for kinds in (("article",), ("main",), None):
+        gone = self.noisy()
+        if drop:
+            low = {i for i, _, _, node in self.nodes() if node in drop}
             for i in range(1, n):
-                root[i] = root[self.parent[i]] or (kinds is None or self.tag[i] in kinds) and not gone[i]
-            if kinds is None:
-                root[0] = True
-            if any(root[i] and not gone[i] for i in range(1, n)) or kinds is None:
-                break
-        blocks, now = [], []
+                gone[i] = gone[i] or gone[self.parent[i]] or i in low
+        size = [0] * n  # what each element holds that isn't gone
         for i, text in self.items:
-            if text is None or self.tag[i] == "br":
-                if now:
-                    blocks.append(" ".join(html.unescape("".join(now)).split()))
-                    now = []
-            elif root[i] and not gone[i]:
-                now.append(text)
-        if now:
-            blocks.append(" ".join(html.unescape("".join(now)).split()))
-        return " ".join(b for b in blocks if b)
+            if text is not None and not gone[i]:
+                size[i] += len(text.strip())
+        for i in range(n - 1, 0, -1):
+            size[self.parent[i]] += size[i]
+        top = lambda kinds: [i for i in range(1, n) if kinds[i] and not gone[i] and size[i] and not any_above(self.parent, kinds, i)]
+        articles, mains = top([t == "article" for t in self.tag]), top(self.main)
+        articles = [i for i in articles if size[i] * TEASER >= max(size[j] for j in articles)]
+        roots = articles if sum(size[i] for i in articles) * 2 >= sum(size[i] for i in mains) else mains
+        roots = set(roots or [0])
+        shown = [False] * n
+        for i in range(n):
+            shown[i] = i in roots or i > 0 and shown[self.parent[i]]
+        return " ".join(self.blocks([x and not y for x, y in zip(shown, gone, strict=True)]))
+
+
+def any_above(parent: list[int], kinds: list[bool], i: int) -> bool:
+    while i:
+        i = parent[i]
+        if kinds[i]:
+            return True
+    return False
 
 
 def hash64(seed: int, value: str) -> int:
     return xxhash.xxh64_intdigest(value, seed & (2**64 - 1)) >> 1
 
 
-def style_counts(pages: DataFrame) -> DataFrame:
-    """host, path, style, content and n, summed within each batch; path 0 counts the pages themselves."""
+def style_rows(pages: DataFrame) -> DataFrame:
+    """host, page, path, style and node of each page, each once in a batch; path 0 stands for the page itself."""
 
     def run(batches):
         for b in batches:
-            counts: dict[tuple, int] = {}
+            seen: set[tuple] = set()
             for host, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for node in [(0, 0, 0), *Page(source or "").nodes()]:
-                    key = (host, *node)
-                    counts[key] = counts.get(key, 0) + 1
-            if counts:
-                cols = list(zip(*counts, strict=True))
-                kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pa.array(list(counts.values()), pa.int64())], ["host", "path", "style", "content", "n"])
-
-    return pages.select("host", "html").mapInArrow(run, "host string, path long, style long, content long, n long")
+                page = Page(source or "")
+                ident = page.identity()
+                seen.add((host, ident, 0, 0, 0))
+                seen.update((host, ident, path, style, node) for _, path, style, node in page.nodes())
+            if seen:
+                kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*seen, strict=True), kinds, strict=True)], ["host", "page", "path", "style", "node"])
 
+    return pages.select("host", "html").mapInArrow(run, "host string, page long, path long, style long, node long")
 
-def importance(counts: DataFrame) -> DataFrame:
-    """host, path, importance, n: entropies by base n, from sums of n log n."""
-    def entropy(kind):
-        one = counts.groupBy("host", "path", kind).agg(F.sum("n").alias("k"))
-        return one.groupBy("host", "path").agg(F.sum("k").alias("n"), F.count("*").alias("kinds"), F.sum(F.col("k") * F.log("k")).alias("s")).select(
-            "host", "path", "n", F.col("kinds").alias(f"{kind}s"), F.when(F.col("n") > 1, (F.log("n") - F.col("s") / F.col("n")) / F.log("n")).otherwise(1.0).alias(kind))
 
+def unimportant(rows: DataFrame, scratch: Scratch, least: int = LEAST, cut: float = CUT) -> DataFrame:
+    """host, node of what each host's pages lose. rows: host, page, path, style, node."""
+    rows = scratch.keep(rows.distinct())
+    sizes = rows.filter("path = 0").groupBy("host").agg(F.count("*").alias("m")).filter(F.col("m") >= least)
+    # Nodes that half of a host's pages share are few; only their paths need a style.
+    shared = rows.filter("path <> 0").groupBy("host", "path", "node").agg(F.countDistinct("page").alias("k")).filter(F.col("k") >= least)
+    shared = scratch.keep(shared.join(sizes.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).drop("h").filter("2 * k >= m"))
+    paths = shared.select(F.col("host").alias("h"), F.col("path").alias("p")).distinct()
+    styles = rows.join(paths, F.col("host").eqNullSafe(F.col("h")) & (F.col("path") == F.col("p")), "left_semi").groupBy("host", "path", "style").agg(F.countDistinct("page").alias("n"))
+    spread = styles.groupBy("host", "path").agg(F.sum("n").alias("all"), F.count("*").alias("styles"), F.sum(F.col("n") * F.log("n")).alias("s"))
+    presentation = F.when((F.col("styles") > 1), (F.log("all") - F.col("s") / F.col("all")) / F.log("m")).otherwise(0.0)
+    content = 1 - F.log("k") / F.log("m")
     share = F.pow(F.lit(GAMMA), F.col("styles"))
-    return entropy("style").join(entropy("content").drop("n"), ["host", "path"]).select("host", "path", "n", ((1 - share) * F.col("style") + share * F.col("content")).alias("importance"))
+    spread = spread.withColumnsRenamed({"host": "h", "path": "p"})
+    both = shared.join(spread, F.col("host").eqNullSafe(F.col("h")) & (F.col("path") == F.col("p")))
+    return both.filter((1 - share) * presentation + share * content < cut).select("host", "node")
 
 
 def extract_text(pages: DataFrame, least: int = LEAST, cut: float = CUT) -> DataFrame:
@@ -203,14 +265,10 @@ def extract_text(pages: DataFrame, least: int = LEAST, cut: float = CUT) -> Data
     scratch = Scratch(spark, "html")
     own = pages.select("page_id", "url", "html").withColumn("host", host_of(F.col("url")))
     with arrow_rows(spark, 500):
-        # Each different page of a host counts once: copies of one page would look like what all pages share.
-        different = own.select("host", "html", F.xxhash64("html").alias("d1"), F.xxhash64("html", F.lit(1)).alias("d2")).dropDuplicates(["host", "d1", "d2"])
-        counts = scratch.keep(style_counts(different))
-        enough = counts.filter("path = 0").groupBy("host").agg(F.sum("n").alias("pages")).filter(F.col("pages") >= least).select(F.col("host").alias("h"))
-        nodes = importance(counts.filter("path <> 0")).filter((F.col("n") >= least) & (F.col("importance") < cut))
-        low = scratch.keep(nodes.join(enough, F.col("host") == F.col("h"), "left_semi").groupBy("host").agg(F.collect_set("path").alias("drop")))
-        scratch.drop(counts)
-        joined = own.join(small(low, 20_000), "host", "left").select("page_id", "url", "html", "drop")
+        low = scratch.keep(unimportant(style_rows(own), scratch, least, cut))
+        hosts = low.groupBy("host").agg(F.collect_set("node").alias("drop"))
+        few = low.limit(500_001).count() <= 500_000  # 8 bytes a node, and a host for several
+        joined = own.join(F.broadcast(hosts) if few else hosts, "host", "left").select("page_id", "url", "html", "drop")
 
         def run(batches):
             for b in batches:

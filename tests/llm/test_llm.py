@@ -413,6 +413,84 @@ def test_html_keeps_copies_of_one_page(spark):
     assert Counter(r["text"] for r in got) == {"Only words of this page": 12, " ".join(["again"] * 9): 1}
 
 
+def test_html_forms():
+    page = html_text.Page
+    assert page("<article><p class=\"share-price\">Up <b>3</b></p><p class=it's>One</p><p>Two's</p><p title='a > b'>Three</p></article>").text() == "Up 3 One Two's Three"
+    assert page("<article><p>A long story of many words stands here.</p></article><article class=card><p>Teaser</p></article>").text() == "A long story of many words stands here."
+    assert page("<main><p>" + "The story is here. " * 9 + "</p><article class=card>Teaser</article></main>").text() == ("The story is here. " * 9 + "Teaser")
+    assert page('<div class="site-footer">x</div><div class="cookie-notice">y</div><div id="related-posts">z</div><p class="comment">c</p><p>text</p>').text() == "text"
+    assert page("<p>a" + "=\"" * 20_000 + "<p " + "x='y' " * 20_000).text().startswith("a=")
+    assert page("<article><p hidden>no</p><p class=hidden-gem>yes</p></article>").text() == "yes"
+
+
+def host_pages(rng, host, n, shared):
+    word = lambda k: " ".join(f"w{rng.randrange(900)}" for _ in range(k))
+    for i in range(n):
+        own = [f"<p>{word(12)}</p>" for _ in range(3)]
+        yield f"http://{host}/{i}", f"<body><ul class=list>{shared[0]}</ul><article><h1>{word(4)}</h1>{own[0]}{shared[1]}{own[1]}{own[2]}{shared[2]}</article></body>", own
+
+
+def test_html_tree_decides(spark):
+    """Blocks inside the article that most pages of the host share go, by the tree alone; what a third shares stays, and other hosts keep all."""
+    rng = random.Random(9)
+    shared = ("<li>Home</li><li>News</li>", "<p>Read our paper every day for more</p>", "<div><p>About the author</p><p>She writes here</p></div>")
+    many, few = list(host_pages(rng, "many.org", 20, shared)), list(host_pages(rng, "few.org", 4, shared))
+    third = [(u, h.replace("</article>", "<p>Stands on some pages</p></article>") if i % 3 == 0 else h, o) for i, (u, h, o) in enumerate(many)]
+    rows = [(i, u, h) for i, (u, h, _) in enumerate(third + few)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    with_tree, without = ({r["page_id"]: r["text"] for r in html_text.extract_text(pages, least=k).collect()} for k in (6, 10**6))
+    assert all(with_tree[i] != without[i] for i in range(20))
+    for i in range(20):
+        assert not any(x in with_tree[i] for x in ("Read our paper", "About the author", "She writes"))
+        assert ("Stands on some pages" in with_tree[i]) == (i % 3 == 0)
+        assert all(re.sub("<[^>]*>", "", o) in with_tree[i] for o in third[i][2])
+    assert all(with_tree[i] == without[i] and "Read our paper" in with_tree[i] for i in range(20, 24))
+
+
+def test_html_keeps_near_copies(spark):
+    """Pages of one article with other lines around it are one page to the tree."""
+    rng = random.Random(10)
+    (_, html_, _), *others = host_pages(rng, "copies.org", 9, ("", "", ""))
+    rows = [(i, f"http://copies.org/c{i}", html_.replace("<article>", f"<p class=ad>buy {i}</p><article>").replace("</article>", f"<p>edit {i}</p></article>")) for i in range(30)]
+    rows += [(100 + i, u, h) for i, (u, h, _) in enumerate(others)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got, plain = ({r["page_id"]: r["text"] for r in html_text.extract_text(pages, least=k).collect()} for k in (6, 10**6))
+    assert got == plain
+
+
+def test_html_against_brute_force(spark):
+    """The tree by plain counting over each host, on all pages of the test table and some of shared blocks."""
+    import math
+
+    rng = random.Random(11)
+    rows = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{SF.replace('0.001', '0.01')}/pages.parquet").collect()]
+    rows += [(10_000 + i, u, h) for i, (u, h, _) in enumerate(host_pages(rng, "many.org", 15, ("<li>a", "<p>often</p>", "<p>said again</p>")))]
+    by_host = {}
+    for i, u, h in rows:
+        by_host.setdefault(u.split("://")[1].split("/")[0].split("?")[0].split("#")[0].lower(), []).append((i, html_text.Page(h)))
+    want, changed = {}, 0
+    for pages in by_host.values():
+        distinct = {p.identity() for _, p in pages}
+        m, at, styles = len(distinct), {}, {}
+        for _, p in pages:
+            for _, path, style, node in p.nodes():
+                at.setdefault((path, node), set()).add(p.identity())
+                styles.setdefault(path, {}).setdefault(style, set()).add(p.identity())
+        drop = set()
+        for (path, node), ks in at.items():
+            if m >= 6 and len(ks) >= 6 and 2 * len(ks) >= m:
+                n = [len(x) for x in styles[path].values()]
+                look = -sum(x / sum(n) * math.log(x / sum(n)) for x in n) / math.log(m) if len(n) > 1 else 0
+                if (1 - 0.9 ** len(n)) * look + 0.9 ** len(n) * (1 - math.log(len(ks)) / math.log(m)) < 0.3:
+                    drop.add(node)
+        for i, p in pages:
+            want[i] = p.text(frozenset(drop))
+            changed += want[i] != p.text()
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+    assert changed >= 15
+
+
 def test_html_keeps_articles(spark):
     for r in spark.read.parquet(f"{SF}/pages.parquet").join(html_text.op3_html_text(spark, SF).select("page_id", "text"), "page_id").collect():
         inside = re.search(r"(?s)<article>(.*?)(?:</article>|$)", r["html"])[1]

@@ -21,4 +21,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_quality_rules": quality_rules.oracle(), "op7_url_filter": url_filter.oracle(), "op8_licence_scan": licences.oracle(), "op10_dart_minhash": minhash.oracle()}
+    return {"op1_quality_rules": quality_rules.oracle(), "op5_substring_dedup": substring_dedup.oracle(), "op7_url_filter": url_filter.oracle(), "op8_licence_scan": licences.oracle(), "op10_dart_minhash": minhash.oracle()}

@@ -3,16 +3,15 @@
 Matches are blocked, then indexed. Of every 100-byte string the 32-byte gram of least hash is its anchor, so equal strings
 have equal anchors at equal places. Each anchor has a context: all 100-byte strings around it (168 bytes).
 Anchors that occur once are done. Of equal contexts all but the first are removed whole. The first ones
-of different contexts of an anchor go, some thousands at a time, into a run-length index: the Burrows-Wheeler transform of
-the contexts is cut into runs, suffixes are sampled at run ends, and match lengths with the suffix before in
-order are streamed along the text from the samples (between them a length falls by one each step). What all strings of a
-quarter of the context share, its core, is one symbol there.
-Strings in a chain of full matches are equal; all but the earliest are marked.
+of different contexts of an anchor go, some thousands at a time, into a run-length index (``RunIndex``): the Burrows-Wheeler transform of
+the contexts in runs, with the suffixes at the ends of runs sampled. From it each text position's matching statistics are streamed: the
+suffix before it in order and the length that both share. What all strings of a quarter of the context share, its core, is one symbol there.
+Strings linked by matches of full length are equal; all but the earliest are marked.
 An anchor of more contexts than ``most`` (a third of all documents may share a line) has its quarters, and the strings of those that
-stay open, grouped by digest instead, by partial aggregation, so no task ever holds a large group.
+stay open, grouped by digest instead, by partial aggregation, so no task ever holds a large group; the result is the same.
 
-doc_id identifies a text; rows that repeat it count once and share the result. Null and short texts keep all they have.
-Null doc_ids match nothing.
+A document is a doc_id and a text: rows that agree in both count once and share the result; of several texts of one doc_id the one of the lesser
+digest is earlier; texts without a doc_id come after all others, by digest. Null and short texts keep all they have. Ties can't occur, since starts differ.
 """
 
 from __future__ import annotations
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytes_ import MIXED, batches_of, mix, powers
-from .common import Scratch, arrow_rows, drop_inputs, table
+from .common import Scratch, arrow_rows, drop_inputs, row_key, table
 
 LENGTH, GRAM = 100, 32
 MOST = 20_000
@@ -122,28 +121,53 @@ def suffix_levels(t: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray
         size *= 2
 
 
-def run_index(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order of t and the length that each suffix shares with the one before it in order."""
-    n = len(t)
-    order, levels = suffix_levels(t)
-    # The transform in runs, with the suffixes sampled at their ends.
-    bwt = t[order - 1]
-    first = np.ones(n, bool)
-    first[1:] = bwt[1:] != bwt[:-1]
-    heads = np.flatnonzero(first)
-    sample, before = order[heads], order[np.maximum(heads - 1, 0)]
-    match, p, q = np.zeros(len(sample), np.int64), sample.copy(), before.copy()
-    for size, rank in reversed(levels):  # match lengths at the samples: the longest steps first; the longest of all differ
-        ok = (p < n) & (q < n)
-        ok[ok] = rank[p[ok]] == rank[q[ok]]
-        match[ok], p[ok], q[ok] = match[ok] + size, p[ok] + size, q[ok] + size
-    match[sample == order[0]] = 0
-    # Streaming along the text: from a sample on, each step leaves one symbol less.
-    known = np.full(n, -1, np.int64)
-    known[sample] = match
-    last = np.maximum.accumulate(np.where(known >= 0, np.arange(n), 0))
-    shared = np.where(known[last] >= 0, known[last] - (np.arange(n) - last), 0)
-    return order, shared
+class RunIndex:
+    """A run-length compressed Burrows-Wheeler index of t: a symbol and a length for each run of the transform, and samples at its ends.
+
+    A sample is the suffix at a run's head, the suffix before it in order (the end of the run before), and the length that both share. The suffix array
+    serves to build it only; what stays has the size of the number of runs, which is small if t repeats itself.
+    """
+
+    def __init__(self, t: np.ndarray):
+        n = len(t)
+        order, levels = suffix_levels(t)
+        bwt = t[order - 1]
+        head = np.ones(n, bool)
+        head[1:] = bwt[1:] != bwt[:-1]
+        whole = np.flatnonzero(order == 0)  # nothing stands before the whole text, so it is a run of its own
+        head[whole] = head[np.minimum(whole + 1, n - 1)] = True
+        heads = np.flatnonzero(head)
+        self.symbols, self.lengths = bwt[heads], np.diff(np.append(heads, n))
+        sample, before = order[heads], order[np.maximum(heads - 1, 0)]
+        shared, p, q = np.zeros(len(sample), np.int64), sample.copy(), before.copy()
+        for size, rank in reversed(levels):  # the longest steps first; the longest of all differ
+            ok = (p < n) & (q < n)
+            ok[ok] = rank[p[ok]] == rank[q[ok]]
+            shared[ok], p[ok], q[ok] = shared[ok] + size, p[ok] + size, q[ok] + size
+        shared[sample == order[0]] = 0
+        by_place = np.argsort(sample)
+        self.sample, self.before, self.shared = sample[by_place], before[by_place], shared[by_place]
+
+    def matches(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Matching statistics of suffixes of the text: the suffix before each in order, and the length that both share. From the last sample on, both
+        suffixes move on by one symbol a step, and the shared length falls by one."""
+        k = np.searchsorted(self.sample, places, "right") - 1
+        step = places - self.sample[np.maximum(k, 0)]
+        return np.where(k < 0, places, self.before[np.maximum(k, 0)] + step), np.where(k < 0, 0, self.shared[np.maximum(k, 0)] - step)
+
+
+def equal_strings(index: RunIndex, size: int, places: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """For each place the number of another (or itself) such that places with equal strings of the needed lengths have equal numbers."""
+    number = np.full(size + 1, -1, np.int64)
+    number[places] = np.arange(len(places))
+    source, shared = index.matches(places)
+    other = number[np.clip(source, 0, size)]
+    root = np.where((shared >= need) & (other >= 0), other, np.arange(len(places)))
+    while True:
+        up = root[root]
+        if (up == root).all():
+            return root
+        root = up
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,17 +227,12 @@ def earlier(contexts: list[bytes], left: np.ndarray, origin: np.ndarray, length:
         t[head + a] = 257 + np.unique(symbol, return_inverse=True)[1]
         to, _ = _ranges(head + a + 1, b)
         t[to] = data[_ranges(base[i] + c1, b)[0]].astype(np.int64) + 1
-        order, shared = run_index(t)
         places, piece = _ranges(head, hi - lo + 1)
-        value, need = np.full(len(t), -1, np.int64), np.full(len(t), len(t), np.int64)
-        value[places] = origin[i][piece] + lo[piece] + (places - head[piece])
-        need[places] = (length - (c1 - c0) + 1)[piece]
-        chain = np.cumsum(shared[order] < need[order])
-        v, inside = value[order], value[order] >= 0
-        v, chain, where = v[inside], chain[inside], order[inside]
-        cut = np.flatnonzero(np.concatenate([[True], chain[1:] != chain[:-1]]))
-        least = np.repeat(np.minimum.reduceat(v, cut), np.diff(np.append(cut, len(v))))
-        marked = np.sort(where[v > least])
+        value = origin[i][piece] + lo[piece] + (places - head[piece])
+        root = equal_strings(RunIndex(t), len(t), places, (length - (c1 - c0) + 1)[piece])
+        least = np.full(len(places), np.iinfo(np.int64).max)
+        np.minimum.at(least, root, value)
+        marked = places[value > least[root]]  # in order already
         run = np.concatenate([[True], marked[1:] > marked[:-1] + 1]) if len(marked) else np.zeros(0, bool)
         x, y = marked[run], marked[np.append(run[1:], True)] if len(marked) else marked
         piece = np.searchsorted(head, x, "right") - 1
@@ -342,10 +361,23 @@ def removed(raw: bytes, codes, length: int, gram: int) -> np.ndarray:
     return np.cumsum(delta)[:n] > 0
 
 
+def ordered(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """doc_id and text, with doc_ids that name one text each; and, where they had to be numbered anew for that, what they were: node, doc_id, digest."""
+    own = docs.select("doc_id", "text", row_key("text").alias("digest"))
+    ids = scratch.keep(own.select("doc_id", "digest").distinct())
+    several = ids.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL")
+    if several.isEmpty():
+        scratch.drop(ids)
+        return docs.select("doc_id", "text"), None
+    order = [F.col("doc_id").asc_nulls_last(), F.col("digest").asc()]
+    names = scratch.keep(ids.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("node", F.monotonically_increasing_id()))
+    same = F.col("d.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("d.digest") == F.col("n.digest"))
+    return scratch.keep(own.alias("d").join(names.alias("n"), same).select(F.col("node").alias("doc_id"), "text")), names
+
+
 def marks(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> DataFrame:
     """doc_id and codes: all marks of each text that has some."""
     spark = docs.sparkSession
-    docs = docs.filter("doc_id IS NOT NULL")
 
     def keep(df):
         with arrow_rows(spark, 1000):
@@ -403,10 +435,15 @@ def kept_text(raw: bytes, gone: np.ndarray):
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    docs = drop_inputs(table(spark, sf_dir, "documents"), "doc_id", "text")
-    scratch = Scratch(spark, "substring")
+    return removed_digests(table(spark, sf_dir, "documents"))
+
+
+def removed_digests(docs: DataFrame, most: int = MOST) -> DataFrame:
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "substring")
     with arrow_rows(spark, 1000):
-        return scratch.keep(finish(docs, marks(docs, scratch), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", digest))
+        own, names = ordered(drop_inputs(docs, "doc_id", "text"), scratch)
+        out = scratch.keep(finish(own, marks(own, scratch, most=most), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", digest))
+        return out if names is None else scratch.keep(out.withColumnRenamed("doc_id", "node").join(names, "node").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -414,7 +451,25 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     two = drop_inputs(docs, "doc_id", "text")
     scratch = Scratch(spark, "substring")
     with arrow_rows(spark, 1000):
-        left = scratch.keep(finish(two, marks(two, scratch), "doc_id long, n_removed long, left string", kept_text).filter("n_removed > 0").dropDuplicates(["doc_id"]))
-    joined = docs.join(left, "doc_id", "left").filter("n_removed IS NULL OR length(left) > 0")
-    text = F.coalesce("left", "text")
-    return joined.select(*[text.alias("text") if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+        own, names = ordered(two, scratch)
+        left = finish(own, marks(own, scratch), "doc_id long, n_removed long, left string", kept_text).filter("n_removed > 0").dropDuplicates(["doc_id"])
+        left = scratch.keep(left if names is None else left.withColumnRenamed("doc_id", "node").join(names, "node").drop("node"))
+    left = left.withColumnsRenamed({"doc_id": "_id", "left": "_left", "n_removed": "_removed", "digest": "_digest"})
+    same = F.col("doc_id") == F.col("_id")
+    if names is not None:
+        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (row_key("text") == F.col("_digest"))
+    joined = docs.join(left, same, "left").filter("_removed IS NULL OR length(_left) > 0")
+    text = F.coalesce("_left", "text")
+    return joined.select(*[text.alias("text") if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+
+
+def oracle() -> str:
+    """Every 100-byte string of every document by its digest, in DuckDB (bytes as two hexadecimal digits each)."""
+    return """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, length(hex(encode(coalesce(text, '')))) // 2 AS n FROM documents),
+s AS (SELECT doc_id, i, md5(h[2 * i + 1 : 2 * i + 200]) AS g FROM (SELECT doc_id, h, unnest(range(0, greatest(n - 99, 0))) AS i FROM d)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS r FROM s) WHERE r > 1),
+p AS (SELECT doc_id, i, sum(CASE WHEN i > was + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS was FROM r)),
+g AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM p GROUP BY doc_id, k),
+o AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS was FROM g),
+c AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(h[2 * was + 1 : 2 * a], '' ORDER BY a) || any_value(h)[2 * max(b) + 1 :] AS kept FROM o JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(from_hex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN c USING (doc_id)"""

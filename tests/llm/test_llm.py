@@ -120,12 +120,45 @@ def test_substrings(spark, most):
     shared, line = text(260), text(70)
     rows = [(i, text(rng.randrange(150)) + shared[rng.randrange(60) :] + text(40) + line + text(rng.randrange(90))) for i in range(40)]
     rows += [(50, "ab" * 200), (51, "ab" * 200), (52, None), (53, ""), (54, "z" * 99), (55, "z" * 130), (56, shared), (57, shared[:-1] + "!")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    scratch = substring_dedup.Scratch(spark, "test")
-    out = substring_dedup.finish(docs, substring_dedup.marks(docs, scratch, most=most), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", substring_dedup.digest)
+    rows.append((60, (text(90) + shared) * 9 + text(30_000)))
+    out = substring_dedup.removed_digests(table(spark, rows), most=most)
     assert {r[0]: tuple(r[1:]) for r in out.collect()} == removed(rows)
 
 
+def test_substrings_of_repeated_and_null_ids(spark):
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("abcdef ") for _ in range(n))
+    a, b, c = text(400), text(300), text(150)
+    rows = [(5, a), (5, a), (5, b + a), (3, b), (None, c + b), (None, c), (7, None), (7, ""), (-2, a[100:300]), (None, c)]
+    key = lambda r: (r[0] is None, r[0] or 0, hashlib.md5((f"{len(r[1].encode())}:{r[1]}" if r[1] is not None else "-").encode()).digest())
+    order = sorted(set(rows), key=key)
+    want = removed([(i, x) for i, (_, x) in enumerate(order)])
+    got = [tuple(r) for r in substring_dedup.removed_digests(table(spark, rows)).collect()]
+    assert Counter(got) == Counter((r[0], *want[order.index(r)]) for r in rows)
+    left = substring_dedup.stage(spark, table(spark, rows), SF)
+    assert left.columns == table(spark, []).columns
+    assert left.count() == sum(want[order.index(r)][1] < want[order.index(r)][0] or want[order.index(r)][0] == 0 for r in rows)
+    assert substring_dedup.removed_digests(table(spark, [])).count() == 0
+
+
+def test_run_index_against_suffix_order():
+    rng = np.random.default_rng(13)
+    for _ in range(20):
+        piece = rng.integers(1, 4, int(rng.integers(5, 40)))
+        t = np.concatenate([np.concatenate([piece, rng.integers(1, 4, 3), [0]]) for _ in range(8)] + [[0]])
+        index, n = substring_dedup.RunIndex(t), len(t)
+        assert index.lengths.sum() == n
+        assert len(index.sample) == len(index.symbols) < n
+        suffixes = sorted(range(n), key=lambda i: t[i:].tolist())
+        source, shared = index.matches(np.arange(n))
+        for before, i in zip(suffixes, suffixes[1:], strict=False):
+            if t[i]:  # zeros end pieces
+                k = next((k for k in range(n) if max(i, before) + k >= n or t[i + k] != t[before + k]), 0)
+                j = int(source[i])
+                assert shared[i] == k
+                assert t[j : j + k].tolist() == t[i : i + k].tolist()
+
+
 def test_near_duplicates(spark):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(3000)]

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, drop_inputs, let, row_key, small, table
+from .common import Scratch, drop_inputs, fresh, let, row_key, small, table
 
 WIDTH = 8
 SHARE = 0.5
@@ -137,6 +137,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without a leak."""
-    keyed = docs.withColumn("_key", row_key("doc_id", "text"))
-    bad = Scratch(spark, "leaking").keep(leaks(keyed, table(spark, sf_dir, "benchmark"), carry=("_key",)).select("_key").distinct())
-    return keyed.join(small(bad, 500_000), "_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    key = fresh(docs, "_key")
+    keyed = docs.withColumn(key, row_key("doc_id", "text"))
+    bad = Scratch(spark, "leaking").keep(leaks(keyed, table(spark, sf_dir, "benchmark"), carry=(key,)).select(key).distinct())
+    return keyed.join(small(bad, 500_000), key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytes_ import batches_of, mix, powers, words_of
-from .common import Scratch, arrow_rows, drop_inputs, small, table
+from .common import Scratch, arrow_rows, drop_inputs, fresh, small, table
 from .substring_dedup import packed, unpacked
 
 WIDTH = 5
@@ -309,9 +309,10 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays; of rows that agree in doc_id and text, one."""
     key = lambda copy: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.hex(copy))
-    gone = near_duplicates(docs).filter("NOT kept").select(key(F.col("copy")).alias("_key")).distinct()
-    keyed = docs.withColumn("_key", key(digest_of(F.col("text"))))
-    return keyed.join(gone, "_key", "left_anti").dropDuplicates(["_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = fresh(docs, "_key")
+    gone = near_duplicates(docs).filter("NOT kept").select(key(F.col("copy")).alias(name)).distinct()
+    keyed = docs.withColumn(name, key(digest_of(F.col("text"))))
+    return keyed.join(gone, name, "left_anti").dropDuplicates([name]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def oracle() -> str:

@@ -21,7 +21,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch, drop_inputs, let, row_key, small, table
+from .common import SPACE, Scratch, drop_inputs, fresh, let, row_key, small, table
 
 SYMBOLS = "#*$%&|<>"
 NAMES = ("len", "size", "symbol", "upper", "line", "repeat")
@@ -187,9 +187,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that pass. Each is judged by itself, so null and repeated doc_ids keep what passes and lose what doesn't."""
-    keyed = docs.withColumn("_key", row_key("doc_id", "lang", "source", "text"))
-    bad = quality_rules(keyed, carry=("_key",)).filter("NOT kept").select("_key").distinct()
-    return keyed.join(bad, "_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    key = fresh(docs, "_key")
+    keyed = docs.withColumn(key, row_key("doc_id", "lang", "source", "text"))
+    bad = quality_rules(keyed, carry=(key,)).filter("NOT kept").select(key).distinct()
+    return keyed.join(bad, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def nested(exprs: list[tuple[str, str]], query: str) -> str:

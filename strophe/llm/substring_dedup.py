@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytes_ import MIXED, batches_of, mix, powers
-from .common import Scratch, arrow_rows, drop_inputs, row_key, table
+from .common import Scratch, arrow_rows, drop_inputs, fresh, row_key, table
 
 LENGTH, GRAM = 100, 32
 MOST = 20_000
@@ -454,12 +454,14 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         own, names = ordered(two, scratch)
         left = finish(own, marks(own, scratch), "doc_id long, n_removed long, left string", kept_text).filter("n_removed > 0").dropDuplicates(["doc_id"])
         left = scratch.keep(left if names is None else left.withColumnRenamed("doc_id", "node").join(names, "node").drop("node"))
-    left = left.withColumnsRenamed({"doc_id": "_id", "left": "_left", "n_removed": "_removed", "digest": "_digest"})
-    same = F.col("doc_id") == F.col("_id")
+    left = left.select(F.struct(*left.columns).alias(fresh(docs, "_left")))
+    left_ = left.columns[0]
+    of = lambda c: F.col(f"{left_}.{c}")
+    same = F.col("doc_id") == of("doc_id")
     if names is not None:
-        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (row_key("text") == F.col("_digest"))
-    joined = docs.join(left, same, "left").filter("_removed IS NULL OR length(_left) > 0")
-    text = F.coalesce("_left", "text")
+        same = F.col("doc_id").eqNullSafe(of("doc_id")) & (row_key("text") == of("digest"))
+    joined = docs.join(left, same, "left").filter(F.col(left_).isNull() | (F.length(of("left")) > 0))
+    text = F.coalesce(of("left"), F.col("text"))
     return joined.select(*[text.alias("text") if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 

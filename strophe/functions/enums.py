@@ -28,3 +28,10 @@ PAIRS = [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
 LANGUAGE_CODES = {"de": "deu", "en": "eng-us", "es": "spa", "fr": "fra"}
 #: Checkpoint sizes and what they are called.
 SIZE_NAMES = {"large": "medium", "xl": "large", "xxl": "xl"}
+
+
+def renamed(column, names: dict[str, str]):
+    """A column with each value under its other name, and those without one as they are (LANGUAGE_CODES, SIZE_NAMES, METER_SYNONYMS)."""
+    from pyspark.sql import functions as F
+
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in names.items() for v in kv]), column), column)

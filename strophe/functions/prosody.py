@@ -98,16 +98,18 @@ def stresses(pattern: Column) -> Column:
     return F.translate(F.replace(pattern, F.lit("|"), F.lit("")), "s+w^-", "IIooo")
 
 
-def versification(pattern: Column, greek: bool = True) -> Column:
-    """The form of a pattern of stresses: one CASE in order, no UDF; null stays null."""
+def versification(pattern: Column, greek: bool = True, parts: int | None = None) -> Column:
+    """The form of a pattern of stresses: one CASE in order, no UDF; null stays null. parts: only so many of its dotted parts (1: the foot, 2: with its length)."""
+    if parts:
+        return F.substring_index(versification(pattern, greek), ".", parts)
     n = F.length(pattern) - F.length(F.replace(pattern, F.lit("I"), F.lit("")))
     name = F.element_at(F.array(*map(F.lit, COUNTS)), F.least(n, F.lit(len(COUNTS) - 1)) + 1)
     out = F
     for form, rule in FORMS:
         if form in GREEK and not greek:
             continue
-        parts = count_inserted(form)
-        label = F.concat(F.lit(parts[0] + "."), name, F.lit(parts[1])) if parts else F.lit(form)
+        split = count_inserted(form)
+        label = F.concat(F.lit(split[0] + "."), name, F.lit(split[1])) if split else F.lit(form)
         out = out.when(pattern.rlike(rule), label)
     return F.when(pattern.isNotNull(), out.otherwise("other"))
 

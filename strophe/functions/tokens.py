@@ -17,8 +17,10 @@ BYTE4 = {"bos": 0, "eos": 1, "unk": 2, "pad": 3, "offset": 4, "extra": 260, "ext
 BYTE3 = {"pad": 0, "eos": 1, "unk": 2, "offset": 3, "extra": 259, "extras": 125}
 
 
-def byte_ids(x: Column, offset: int = 4) -> Column:
-    """Each UTF-8 byte as an id; empty text, no ids."""
+def byte_ids(x: Column, offset: int = 4, prefix_space: bool = False) -> Column:
+    """Each UTF-8 byte as an id; empty text, no ids. With prefix_space, a text that doesn't begin with white space gets a space before it."""
+    if prefix_space:
+        x = F.when((x == "") | x.rlike(r"(?U)^\s"), x).otherwise(F.concat(F.lit(" "), x))
     pairs = F.regexp_extract_all(F.hex(F.encode(x, "UTF-8")), F.lit(".."), F.lit(0))
     return F.transform(pairs, lambda b: F.conv(b, 16, 10).cast("int") + offset)
 
@@ -34,12 +36,18 @@ def with_specials(a: Column, b: Column | None = None, bos: int | None = 0, eos:
     return F.concat(*one(bos), a, *([] if b is None else [*one(bos), b]), *one(eos))
 
 
-def decode_ids(offset: int = 4, extra: int = 260):
-    """A pandas UDF: ids back to text; special and extra ids are skipped, bytes that make no character are dropped."""
+#: The special tokens of the first vocabulary.
+SPECIALS4 = {0: "<s>", 1: "</s>", 2: "<unk>", 3: "<pad>"}
+
+
+def decode_ids(offset: int = 4, extra: int = 260, shown: dict[int, str] | None = None):
+    """A pandas UDF: ids back to text; bytes that make no character are dropped. Special and extra ids are skipped, but those to be shown give their text."""
+    shown = shown or {}
 
     @F.pandas_udf("string")
     def decode(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda v: None if v is None else bytes(int(i) - offset for i in v if offset <= i < offset + 256 and i < extra).decode("utf-8", "ignore"))
+        one = lambda i: shown[i].encode() if i in shown else bytes([i - offset]) if offset <= i < min(offset + 256, extra) else b""
+        return ids.map(lambda v: None if v is None else b"".join(one(int(i)) for i in v).decode("utf-8", "ignore"))
 
     return decode
 
@@ -64,9 +72,28 @@ def style_name(token: Column, table: dict[str, int] = STYLE) -> Column:
     return F.try_element_at(back, token)
 
 
-def training_text(rhyme: Column, meter: Column, level: Column, verses: Column, bos: str = "<s>", eos: str = "</s>") -> Column:
-    """bos, rhyme, meter and alliteration tokens, then the verses by line, eos."""
-    return F.concat(F.lit(bos), style_token(rhyme), style_token(meter), style_token(level), F.array_join(verses, "\n"), F.lit(eos))
+def clean_verses(verses: Column) -> Column:
+    """Verses as they are trained on: cleaned, without lone equals signs, by line."""
+    return F.array_join(F.transform(verses, lambda v: clean_sentence(v, "=")), "\n")
+
+
+def style_prompt(rhyme: Column, meter: Column, level: Column) -> Column:
+    return F.concat(style_token(rhyme), style_token(meter), style_token(level))
+
+
+def emotion_prompt(emotions: Column) -> Column:
+    """Tokens of a verse's emotions, in alphabetical order."""
+    return F.array_join(F.transform(F.sort_array(emotions), lambda e: style_token(e, EMOTION)), "")
+
+
+def training_text(prompt: Column, verses: Column, bos: str = "<s>", eos: str = "</s>") -> Column:
+    """bos, the tokens of a prompt, then the clean verses, eos: for a decoder alone."""
+    return F.concat(F.lit(bos), prompt, clean_verses(verses), F.lit(eos))
+
+
+def training_pair(prompt: Column, verses: Column, eos: str = "</s>") -> Column:
+    """The same for an encoder and a decoder: inputs and labels."""
+    return F.struct(prompt.alias("inputs"), F.concat(clean_verses(verses), F.lit(eos)).alias("labels"))
 
 
 def parsed_text(x: Column, bos: str = "<s>", eos: str = "</s>") -> Column:

@@ -33,3 +33,13 @@ def quatrain_stats(df: DataFrame) -> DataFrame:
     out = F.broadcast(names).join(long, ["kind", "value"], "left").select("kind", "value", F.coalesce("n", F.lit(0)).cast("double").alias("n"))
     total = long.filter("kind = 'length'").select(F.col("n").alias("t"))
     return out.join(F.broadcast(total), how="left").select("kind", "value", F.when(F.col("kind") == "alliteration", F.col("n") / F.col("t")).otherwise(F.col("n")).alias("x"))
+
+
+def corpus_stats(df: DataFrame, kinds: dict[str, list[str] | None], language: str = "language") -> DataFrame:
+    """language ('all' too), kind, label, n: counts of several label columns by one scan. kinds: the columns, and of each the names that count 0 if absent."""
+    labels = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("label")) for k in kinds])
+    long = df.select(F.array(F.lit("all"), F.col(language)).alias("ls"), labels.alias("xs"))
+    n = long.select(F.explode("ls").alias("language"), "xs").select("language", F.explode("xs").alias("x")).filter("x.label IS NOT NULL").groupBy("language", "x.kind", "x.label").agg(F.count("*").alias("n"))
+    names = [F.struct(F.lit(k).alias("kind"), F.lit(v).alias("label")) for k, vs in kinds.items() for v in vs or []]
+    every = n.select("language").distinct().select("language", F.inline(F.array(*names))) if names else n.select("language", "kind", "label")
+    return every.join(n, ["language", "kind", "label"], "full").select("language", "kind", "label", F.coalesce("n", F.lit(0)).alias("n"))

@@ -124,8 +124,8 @@ def clean_tokens(spark, d):
 TOKENS = r"regexp_extract_all({x}, '[\p{{L}}\p{{M}}\p{{N}}]+(?:''[\p{{L}}\p{{M}}]+)*|[^\s\p{{L}}\p{{M}}\p{{N}}]')"
 
 
-def clean_sql(x: str) -> str:
-    kept = f"list_filter({TOKENS.format(x=x)}, lambda v: NOT regexp_matches(v, '^[!-/:-@\\[-`{{-~]+$'))"
+def clean_sql(x: str, drop: str = r"[!-/:-@\[-`{-~]") -> str:
+    kept = f"list_filter({TOKENS.format(x=x)}, lambda w: NOT regexp_matches(w, '^{drop}+$'))"
     return f"regexp_replace(regexp_replace(coalesce(array_to_string({kept}, ' '), ''), ' ([.,;:?!)\\]}}])', '\\1', 'g'), '([(\\[{{]) ', '\\1', 'g')"
 
 
@@ -364,10 +364,49 @@ def quatrain_statistics(spark, d):
 @query(f"WITH {ANNOTATED} SELECT doc_id, start, '<s><extra_id_' || (list_position([{_list(enums.RHYME_SCHEMES)}], rhyme) + 9) || '><extra_id_' || (list_position([{_list(enums.METERS)}], meter) + 2) || '><extra_id_' || (list_position([{_list(enums.LEVELS)}], level) - 1) || '>' AS head, rhyme, meter, level FROM an")
 def training_sequences(spark, d):
     a = annotate.annotate(quatrains(spark, d), IDS)
-    x = a.select(*IDS, tokens.training_text(F.col("rhyme"), F.col("meter"), F.col("alliteration"), F.col("quatrain")).alias("x")).withColumn("p", tokens.parsed_text(F.col("x")))
+    x = a.select(*IDS, tokens.training_text(tokens.style_prompt(F.col("rhyme"), F.col("meter"), F.col("alliteration")), F.col("quatrain")).alias("x")).withColumn("p", tokens.parsed_text(F.col("x")))
     return x.select(*IDS, F.regexp_extract("x", r"^(<s>(?:<extra_id_\d+>){3})", 1).alias("head"), "p.rhyme", "p.meter", "p.level")
 
 
+BODY = f"array_to_string(list_transform(q, lambda v: {clean_sql('v', '=')}), chr(10))"
+
+
+@query(f"""WITH {WIN}, em AS (SELECT doc_id, start, q, [{", ".join(f"CASE WHEN (doc_id + start) % {i + 2} = 0 THEN '{e}' END" for i, e in enumerate(enums.EMOTIONS))}] AS es FROM k),
+p AS (SELECT doc_id, start, q, coalesce(array_to_string(list_transform(list_sort(list_filter(es, lambda e: e IS NOT NULL)), lambda e: '<extra_id_' || (list_position([{_list(enums.EMOTIONS)}], e) - 1) || '>'), ''), '') AS inputs FROM em)
+SELECT doc_id, start, inputs, md5({BODY} || '</s>') AS labels, md5('<s>' || inputs || {BODY} || '</s>') AS whole FROM p""")
+def emotion_training_pairs(spark, d):
+    """Both forms of training texts, with emotions given by place."""
+    given = F.array_compact(F.array(*[F.when((F.col("doc_id") + F.col("start")) % (i + 2) == 0, e) for i, e in enumerate(enums.EMOTIONS)]))
+    x = quatrains(spark, d).withColumn("prompt", tokens.emotion_prompt(given))
+    md5 = lambda c: F.md5(c.cast("binary"))
+    both = x.select(*IDS, tokens.training_pair(F.col("prompt"), F.col("quatrain")).alias("p"), tokens.training_text(F.col("prompt"), F.col("quatrain")).alias("whole"))
+    return both.select(*IDS, "p.inputs", md5(F.col("p.labels")).alias("labels"), md5(F.col("whole")).alias("whole"))
+
+
+@query(f"WITH {WIN}, v AS (SELECT DISTINCT unnest(q) AS verse FROM k), x AS (SELECT {FORM} AS form FROM (SELECT {PATTERN('verse')} AS p FROM v)) SELECT string_split(form, '.')[1] AS foot, array_to_string(string_split(form, '.')[1:2], '.') AS sized, count(*) AS n FROM x GROUP BY ALL")
+def versification_parts(spark, d):
+    v = quatrains(spark, d).select(F.explode("quatrain").alias("verse")).distinct().select(prosody.stresses(scorers.pattern(F.col("verse"))).alias("p"))
+    return v.groupBy(prosody.versification(F.col("p"), parts=1).alias("foot"), prosody.versification(F.col("p"), parts=2).alias("sized")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH b AS (SELECT coalesce(lang, '') AS lang, CASE WHEN length(text) % 3 = 0 THEN 'iambus' WHEN length(text) % 3 = 1 THEN 'trochee' END AS meter, CASE WHEN length(text) % 2 = 0 THEN 'rhyme' ELSE 'dissonance' END AS rhyme FROM documents),
+l AS (SELECT unnest(['all', lang]) AS language, meter, rhyme FROM b), x AS (SELECT language, 'meter' AS kind, meter AS label FROM l WHERE meter IS NOT NULL UNION ALL SELECT language, 'rhyme', rhyme FROM l),
+names AS (SELECT DISTINCT language, kind, label FROM x CROSS JOIN (SELECT 1) UNION SELECT language, 'meter', m FROM (SELECT DISTINCT language FROM l), (SELECT unnest([{_list(enums.METERS)}]) AS m))
+SELECT language, kind, label, (SELECT count(*) FROM x WHERE x.language = names.language AND x.kind = names.kind AND x.label = names.label) AS n FROM names""")
+def corpus_label_stats(spark, d):
+    """Several label columns by language and over all, zeros included, from one scan."""
+    n = F.length("text")
+    docs = t(spark, d, "documents").select(F.coalesce("lang", F.lit("")).alias("language"), F.when(n % 3 == 0, "iambus").when(n % 3 == 1, "trochee").alias("meter"), F.when(n % 2 == 0, "rhyme").otherwise("dissonance").alias("rhyme"))
+    return stats.corpus_stats(docs, {"meter": enums.METERS, "rhyme": None})
+
+
+@query("SELECT doc_id, md5('<s>' || ' ' || text || '</s>') AS shown FROM documents WHERE NOT regexp_matches(text, '^\\s') AND text <> '' UNION ALL SELECT doc_id, md5('<s>' || text || '</s>') FROM documents WHERE regexp_matches(text, '^\\s') OR text = ''")
+def byte_decode_shown(spark, d):
+    """Ids of texts with a space before them, decoded with their special tokens."""
+    ids = t(spark, d, "documents").select("doc_id", tokens.with_specials(tokens.byte_ids(F.col("text"), prefix_space=True)).alias("ids"))
+    return ids.select("doc_id", F.md5(tokens.decode_ids(shown=tokens.SPECIALS4)("ids").cast("binary")).alias("shown"))
+
+
 def _generated(spark, d):
     """Windows as generated texts, with styles by place; every seventh lacks a line."""
     q = quatrains(spark, d)

@@ -92,6 +92,26 @@ def test_bytes(spark):
     assert df.select(tokens.decode_ids()("ids").alias("t")).first()["t"] == "Aä"
 
 
+def test_shown_specials(spark):
+    df = spark.createDataFrame([([0, 69, 199, 168, 1, 199, 270],)], "ids array<int>")
+    assert df.select(tokens.decode_ids(shown={**tokens.SPECIALS4, 270: "<|extra_10|>"})("ids").alias("t")).first()["t"] == "<s>Aä</s><|extra_10|>"
+    assert mapped(spark, ["ab", " ab", ""], lambda v: tokens.byte_ids(v, 0, True)) == [[32, 97, 98], [32, 97, 98], []]
+
+
+def test_names(spark):
+    assert mapped(spark, ["de", "xx"], lambda v: enums.renamed(v, enums.LANGUAGE_CODES)) == ["deu", "xx"]
+    assert mapped(spark, ["large", "xl", "small"], lambda v: enums.renamed(v, enums.SIZE_NAMES)) == ["medium", "large", "small"]
+    assert mapped(spark, ["+--+--+--+", ""], lambda v: prosody.versification(prosody.stresses(v), parts=1)) == ["dactylic", "other"]
+
+
+def test_emotion_texts(spark):
+    df = spark.createDataFrame([(["Sadness", "Humor"], ["one = two", "three"])], "e array<string>, v array<string>")
+    p = tokens.emotion_prompt(F.col("e"))
+    row = df.select(tokens.training_text(p, F.col("v")).alias("x"), tokens.training_pair(p, F.col("v")).alias("y")).select("x", "y.*", tokens.leading_emotions(F.col("x")).alias("back")).first()
+    assert row["x"] == "<s><extra_id_3><extra_id_4>one two\nthree</s>"
+    assert (row["inputs"], row["labels"], row["back"]) == ("<extra_id_3><extra_id_4>", "one two\nthree</s>", ["Humor", "Sadness"])
+
+
 def test_blocks(spark):
     assert mapped(spark, ["abcde", "ab", ""], lambda v: tokens.blocks(tokens.byte_ids(v, 0), 2)) == [[[97, 98], [99, 100]], [[97, 98]], []]
 

@@ -640,6 +640,54 @@ def test_held_out(spark, name, label):
     assert scores["score"].between(0, 1).all()
 
 
+def test_ridge_and_calibration(spark):
+    """Partition sums give the weights of the whole matrix at once; calibrated values rise with the raw score; and the classes that are not there."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, quality_classifier.N)).astype(np.float32)
+    y = (x[:, 0] + 0.3 * rng.normal(size=300) > 0).astype(int)
+    rows = spark.createDataFrame([(i, bytearray(v.tobytes()), int(k)) for i, (v, k) in enumerate(zip(x, y, strict=True))], "doc_id long, x binary, y int").repartition(7)
+    model = quality_classifier.fit(rows, features=32)
+    ids = [r["doc_id"] for r in rows.filter("pmod(xxhash64(doc_id, 5), 5) <> 0").collect()]
+    z = quality_classifier.cosines(x.astype(float), model["centre"], model["scale"], 32, quality_classifier.WIDTH)
+    own = np.linalg.solve(z[ids].T @ z[ids] + np.eye(z.shape[1]), z[ids].T @ y[ids])
+    assert np.allclose(model["weight"], own, atol=1e-6)
+    assert np.allclose(model["centre"], x.mean(0), atol=1e-5)
+    assert (np.diff(model["at"]) > 0).all()
+    assert (np.diff(model["value"]) > 0).all()
+    scores = quality_classifier.predict(model, x.astype(float))
+    assert (np.diff(scores[np.argsort(z @ model["weight"])]) >= -1e-12).all()
+    for one_class in (0, 1):
+        assert quality_classifier.fit(rows.withColumn("y", F.lit(one_class))) is None
+    assert quality_classifier.fit(rows.limit(0)) is None
+    assert (quality_classifier.predict(None, x) == 0.5).all()
+
+
+def test_pooled_is_isotonic():
+    """Against the definition: the least squares rising fit, by pooled means over all pairs of ends."""
+    rng = np.random.default_rng(3)
+    s = np.sort(rng.normal(size=40))
+    y = (rng.random(40) < (s > 0) * 0.6 + 0.2).astype(float)
+    at, value = quality_classifier.pooled(s, y)
+    best = [max(min(y[i : j + 1].mean() for j in range(k, 40)) for i in range(k + 1)) for k in range(40)]
+    means = sorted({round(b, 9) for b in best})
+    assert len(at) == len(means)
+    n = [sum(abs(b - m) < 1e-9 for b in best) for m in means]
+    assert np.allclose(value, [(m * k + 0.02) / (k + 0.04) for m, k in zip(means, n, strict=True)])
+
+
+def test_learning_leaves_held_out_rows_alone(spark):
+    """Labels of held-out rows, and labels at odds with them, change no score; nor do language and source."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    turned = labels.withColumns({c: F.when(held, 1 - F.col(c)).otherwise(F.col(c)) for c in ("quality", "toxic")})
+    for f in (quality_classifier.score_quality, toxicity.score_toxicity):
+        one = {r["doc_id"]: r["score"] for r in f(docs, labels).collect()}
+        two = {r["doc_id"]: r["score"] for r in f(docs.withColumns({"lang": F.lit("xx"), "source": F.lit(None).cast("string")}), turned).collect()}
+        assert one.keys() == two.keys()
+        assert all(abs(one[k] - two[k]) < 1e-9 for k in one)
+
+
 def test_counterfactual_penalty():
     rng = np.random.default_rng(1)
     y = rng.integers(0, 2, 400).astype(float)

@@ -94,4 +94,5 @@ def html_escape(x: Column) -> Column:
 
 
 def last_word(x: Column) -> Column:
-    return F.regexp_extract(F.lower(x), r"(\p{L}+)[^\p{L}]*$", 1)
+    """In lower case. Looked for from the end, so that a long verse costs no more than a short one."""
+    return F.lower(F.reverse(F.regexp_extract(F.reverse(x), r"^[^\p{L}]*(\p{L}+)", 1)))

@@ -1,8 +1,8 @@
 """Corpus readers: files of each format to verses, verse pairs, quatrains and documents.
 
 ``files`` reads whole files (path, content), ``lines`` reads them line by line, whatever their size; readers take such DataFrames, so files
-may be in any store that Spark reads. Line formats with state from line to line are running counts over numbered lines; XML and JSON files are
-parsed one by one in mapInPandas. All later steps are DataFrame operations.
+may be in any store that Spark reads. Line formats with state from line to line are running counts over numbered lines (``load`` reads blank-line
+documents by ``lines``, the others as whole files); XML and JSON files are parsed one by one in mapInPandas. All later steps are DataFrame operations.
 """
 
 from __future__ import annotations

@@ -30,8 +30,8 @@ def rhyme_metric(df: DataFrame, quatrain: str = "quatrain", scheme: str = "schem
     def means(x):
         r, d = x["r"], x["d"]
         both = lambda op: let(F.array_compact(F.array(F.when(F.size(r) > 0, op(r)), F.when(F.size(d) > 0, op(d)))), op)
-        every = let(F.concat(r, d), lambda v: F.struct(mean(v).alias("m"), harmonic_mean(v).alias("h")))
-        return F.struct(every["m"].alias("rhyme_score"), every["h"].alias("harmonic_rhyme_score"), both(mean).alias("balanced_rhyme_score"), both(harmonic_mean).alias("balanced_harmonic_rhyme_score"))
+        four = lambda v: F.struct(mean(v).alias("rhyme_score"), harmonic_mean(v).alias("harmonic_rhyme_score"), both(mean).alias("balanced_rhyme_score"), both(harmonic_mean).alias("balanced_harmonic_rhyme_score"))
+        return let(F.concat(r, d), four)
 
     split = let(F.array(*[pair(i, j) for i, j in PAIRS]), lambda s: F.struct(pick(s, True).alias("r"), pick(s, False).alias("d")))
     got = df.select(F.when(F.size("_v") == 4, let(split, means)).alias("m"))

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import contextlib
-import re
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strophe.operators.scratch import Scratch, shared_dir, small
+
 #: Spark calls these word separators white space: space and \t \n \v \f \r.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -18,51 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset and all run in one process, a new local one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="strophe-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-class Scratch:
-    """Written tables that cut lineage: any executor may be lost, the files are in the shared folder.
-
-    ``drop`` removes one as soon as nothing reads it; the rest go when the application ends.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        self.n, self.paths = 0, {}
-        p, fs = _fs(spark, self.root)
-        fs.mkdirs(p)
-        fs.deleteOnExit(p)
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        path = f"{self.root}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = (path, out)
-        return out
-
-    def drop(self, *dfs: DataFrame) -> None:
-        for df in dfs:
-            if found := self.paths.pop(id(df), None):
-                p, fs = _fs(self.spark, found[0])
-                fs.delete(p, True)
-
-
 @contextlib.contextmanager
 def arrow_rows(spark: SparkSession, rows: int):
     """Fewer rows in an Arrow batch while a step is written, so that a batch of long texts stays small."""
@@ -75,11 +29,6 @@ def arrow_rows(spark: SparkSession, rows: int):
         spark.conf.set(key, was)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """Marks df for broadcast if a count shows at most ``rows`` rows; else it stays as it is, and Spark joins by shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def row_key(*names: str) -> Column:
     """A digest of some columns of a row (16 bytes): equal for rows that agree in all of them, null or not."""
     part = lambda c: F.coalesce(F.concat(F.octet_length(c).cast("string"), F.lit(":"), c), F.lit("-"))

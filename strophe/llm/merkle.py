@@ -53,8 +53,9 @@ def leaves(docs: DataFrame, every: int = 7) -> DataFrame:
     )
 
 
-def _climb(run: Column, place: Column, n: Column, levels: int) -> Column:
-    """top (the hash of the run's ancestor) and path (a step for each level that the group has) of the node at a place of its run; n nodes in its group."""
+def climb(levels: int) -> Column:
+    """top (the hash of the run's ancestor) and path (a step for each level that the group has) of a node: number i of the n in its group, hashes _run of its run."""
+    place, n = F.col("i").bitwiseAND(F.lit((1 << levels) - 1)).cast("int"), F.col("n")
 
     def level(k: int, nodes: Column, steps: list[Column]) -> Column:
         if k == levels:
@@ -66,35 +67,34 @@ def _climb(run: Column, place: Column, n: Column, levels: int) -> Column:
         pairs = F.transform(F.sequence(F.lit(0), F.shiftright(F.size(nodes) - 1, 1)), lambda j: F.when(2 * j + 1 < F.size(nodes), hash_of(F.get(nodes, 2 * j), F.get(nodes, 2 * j + 1))).otherwise(hash_of(F.get(nodes, 2 * j))))
         return let(F.when(on, pairs).otherwise(nodes), lambda above: level(k + 1, above, [*steps, step]))
 
-    return let(run, lambda nodes: level(0, nodes, []))
+    return let(F.col("_run"), lambda nodes: level(0, nodes, []))
 
 
-def climbed(nodes: DataFrame, levels: int) -> DataFrame:
-    """nodes (g, i, n, h and others) with up, the number of the ancestor, its hash top, and path, the steps to it."""
+def climbed(nodes: DataFrame, levels: int, way: Column) -> DataFrame:
+    """nodes (g, i, n, h and others) with up, the number of the ancestor, its hash top, and path, the steps to it. way: ``climb(levels)``, which takes long to build."""
     own = nodes.withColumn("up", F.shiftright("i", levels))
     run = F.collect_list("h").over(W.partitionBy("g", "up").orderBy("i").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    place = F.col("i").bitwiseAND(F.lit((1 << levels) - 1)).cast("int")
-    return own.withColumn("_run", run).withColumn("_c", _climb(F.col("_run"), place, F.col("n"), levels)).select(*own.columns, "_c.top", "_c.path")
+    return own.withColumn("_run", run).withColumn("_c", way).select(*own.columns, "_c.top", "_c.path")
 
 
-def ancestors(nodes: DataFrame, levels: int) -> DataFrame:
+def ancestors(nodes: DataFrame, levels: int, way: Column) -> DataFrame:
     """g, i, n and h of the nodes' ancestors: the first node of each run stands for it."""
     first = F.col("i").bitwiseAND(F.lit((1 << levels) - 1)) == 0
-    return climbed(nodes, levels).filter(first).select("g", F.col("up").alias("i"), F.shiftright(F.col("n") + F.lit((1 << levels) - 1), levels).alias("n"), F.col("top").alias("h"))
+    return climbed(nodes, levels, way).filter(first).select("g", F.col("up").alias("i"), F.shiftright(F.col("n") + F.lit((1 << levels) - 1), levels).alias("n"), F.col("top").alias("h"))
 
 
-def trees(scratch: Scratch, nodes: DataFrame, levels: int) -> list[DataFrame]:
+def trees(scratch: Scratch, nodes: DataFrame, levels: int, way: Column) -> list[DataFrame]:
     """The nodes of all storeys: the given ones (g, i, n, h), their ancestors, and so on up to one node for each group (at least one storey above)."""
     storeys, most = [nodes], nodes.agg(F.max("n")).first()[0]
     while most is not None and (most > 1 or len(storeys) == 1):
-        storeys.append(scratch.keep(ancestors(storeys[-1], levels)))
+        storeys.append(scratch.keep(ancestors(storeys[-1], levels, way)))
         most = -(-most >> levels)
     return storeys
 
 
-def descend(nodes: DataFrame, above: DataFrame, levels: int) -> DataFrame:
+def descend(nodes: DataFrame, above: DataFrame, levels: int, way: Column) -> DataFrame:
     """nodes with path, the steps to the root, and top's columns; above: g, up, rest (the ancestor's path) and other columns of it."""
-    return climbed(nodes, levels).drop("top").join(above, ["g", "up"]).withColumn("path", F.concat("path", "rest")).drop("rest")
+    return climbed(nodes, levels, way).drop("top").join(above, ["g", "up"]).withColumn("path", F.concat("path", "rest")).drop("rest")
 
 
 def folded(start: Column, path: Column) -> Column:
@@ -111,20 +111,21 @@ def manifest(docs: DataFrame, every: int = 7, levels: int = LEVELS) -> DataFrame
     scratch = Scratch(spark, "merkle")
     rows = scratch.keep(numbered(scratch.keep(leaves(docs, every)), ["g"], ["doc_id", "leaf"], "i", "n"))
     nodes = rows.select("g", "i", "n", F.col("leaf").alias("h"))
-    storeys = trees(scratch, nodes, levels)
+    way = climb(levels)
+    storeys = trees(scratch, nodes, levels, way)
     if len(storeys) == 1:
         return spark.createDataFrame([], "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean, tampered boolean, n_siblings int")
     groups = scratch.keep(numbered(storeys[-1].select("g", F.col("h").alias("subroot")), [], ["g"], "i", "n"))
-    upper = trees(scratch, groups.select(F.lit("").alias("g"), "i", "n", F.col("subroot").alias("h")), levels)
+    upper = trees(scratch, groups.select(F.lit("").alias("g"), "i", "n", F.col("subroot").alias("h")), levels, way)
     root = upper[-1].first()["h"]  # one row
     path = spark.createDataFrame([("", 0)], "g string, up long").withColumn("rest", F.array().cast(STEP))
     for storey in upper[-2:0:-1]:
-        path = descend(storey, path, levels).select("g", F.col("i").alias("up"), F.col("path").alias("rest"))
-    of_groups = descend(groups.select(F.lit("").alias("g"), "i", "n", F.col("subroot").alias("h"), F.col("g").alias("group")), path, levels)
+        path = descend(storey, path, levels, way).select("g", F.col("i").alias("up"), F.col("path").alias("rest"))
+    of_groups = descend(groups.select(F.lit("").alias("g"), "i", "n", F.col("subroot").alias("h"), F.col("g").alias("group")), path, levels, way)
     path = scratch.keep(of_groups.select(F.col("group").alias("g"), F.lit(0).cast("long").alias("up"), F.col("path").alias("rest"), F.col("h").alias("subroot")))
     for storey in storeys[-2:0:-1]:
-        path = scratch.keep(descend(storey, path, levels).select("g", F.col("i").alias("up"), F.col("path").alias("rest"), "subroot"))
-    out = descend(rows.withColumnRenamed("leaf", "h"), path, levels)
+        path = scratch.keep(descend(storey, path, levels, way).select("g", F.col("i").alias("up"), F.col("path").alias("rest"), "subroot"))
+    out = descend(rows.withColumnRenamed("leaf", "h"), path, levels, way)
     siblings = F.transform(F.filter("path", lambda s: s["h"].isNotNull()), lambda s: text_of(s["h"]))
     out = out.withColumn("_folded", folded(F.coalesce("altered", "h"), F.col("path")))
     return out.select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, licences, merkle, minhash, quality_classifier, quality_rules, sentencepiece_tokens, substring_dedup, toxicity, url_filter
+from . import decontaminate, html_text, licences, merkle, minhash, quality_classifier, quality_rules, secret_scan, sentencepiece_tokens, substring_dedup, toxicity, url_filter
 
 
 def queries():
@@ -17,9 +17,10 @@ def queries():
         "op8_licence_scan": licences.op8_licence_scan,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_dart_minhash": minhash.op10_dart_minhash,
+        "op11_secret_scan": secret_scan.op11_secret_scan,
         "op13_merkle_manifest": merkle.op13_merkle_manifest,
     }
 
 
 def oracle_sql():
-    return {"op1_quality_rules": quality_rules.oracle(), "op5_substring_dedup": substring_dedup.oracle(), "op7_url_filter": url_filter.oracle(), "op8_licence_scan": licences.oracle(), "op10_dart_minhash": minhash.oracle(), "op13_merkle_manifest": merkle.oracle()}
+    return {"op1_quality_rules": quality_rules.oracle(), "op5_substring_dedup": substring_dedup.oracle(), "op7_url_filter": url_filter.oracle(), "op8_licence_scan": licences.oracle(), "op10_dart_minhash": minhash.oracle(), "op11_secret_scan": secret_scan.oracle(), "op13_merkle_manifest": merkle.oracle()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, licences, merkle, minhash, quality_classifier, quality_rules, secret_scan, sentencepiece_tokens, substring_dedup, toxicity, url_filter
+from . import alignment, decontaminate, html_text, licences, merkle, minhash, quality_classifier, quality_rules, secret_scan, sentencepiece_tokens, substring_dedup, toxicity, url_filter
 
 
 def queries():
@@ -18,6 +18,7 @@ def queries():
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_dart_minhash": minhash.op10_dart_minhash,
         "op11_secret_scan": secret_scan.op11_secret_scan,
+        "op12_token_alignment": alignment.op12_token_alignment,
         "op13_merkle_manifest": merkle.op13_merkle_manifest,
     }
 

@@ -324,35 +324,83 @@ def templates(text):
     return [x.lower() for x in raw], kind
 
 
+def agree(p, q):
+    """Two slots (kind, value in the item, set of words in the document, value in the document) can stand side by side."""
+    common = lambda x, y: bool(set(x.split(" ")) & set(y.split(" ")))
+    if p[0] != q[0]:
+        return True
+    if p[1] == q[1]:
+        return p[2] == q[2] or common(p[2], q[2])
+    return p[2] != q[2] or p[0] == "u" or common(p[1], q[1])
+
+
 def brute_leak(doc, item):
+    """From the definition: some chain of whole runs (or of windows that agree word for word), forward in both texts, is enough and consistent. All chains are tried."""
     (dv, dk), (bv, bk) = templates(doc), templates(item)
     if not bv:
         return False
     w = min(8, len(bk))
-    total, hits = len(bk) - w + 1, []
+    total, hits = len(bk) - w + 1, set()
+    places = {}
+    for i in range(len(dk) - w + 1):
+        places.setdefault(tuple(dk[i : i + w]), []).append(i)
+    words = {}
+    for i in range(len(dv) - w + 1):
+        words.setdefault(tuple(dv[i : i + w]), []).append(i)
     for j in range(total):
         literal = sum(k not in ("#", "u", "N") for k in bk[j : j + w])
-        for i in range(len(dk) - w + 1):
-            same = dk[i : i + w] == bk[j : j + w] if literal >= min(3, w) else dv[i : i + w] == bv[j : j + w]
-            if same:
-                hits.append((i, j))
-    for grid in (0, 8):
-        for cell in {(i - j + grid) // 16 for i, j in hits}:
-            band = [(i, j) for i, j in hits if (i - j + grid) // 16 == cell]
-            n, means = len({j for _, j in band}), {}
-            if n < 0.5 * total and n < 24:
-                continue
-            for i, j in band:
-                for k in range(w):
-                    if bk[j + k] in ("#", "u", "N"):
-                        b, d = bv[j + k], dv[i + k]
-                        pairs = zip(b.split(" "), d.split(" "), strict=True) if bk[j + k] == "N" and len(b.split(" ")) == len(d.split(" ")) else [(b, d)]
-                        for p, q in pairs:
-                            means.setdefault((bk[j + k], p), []).append(set(q.split(" ")))
-            good = all(set.intersection(*v) for v in means.values())
-            if good:
-                return True
-    return False
+        hits |= {(i, j) for i in (places.get(tuple(bk[j : j + w]), []) if literal >= min(3, w) else words.get(tuple(bv[j : j + w]), []))}
+    if len({j for _, j in hits}) < min(0.5 * total, 24):
+        return False
+    # word for word: the longest chain, by trying each window after all before it
+    best = {}
+    for i, j in sorted(h for h in hits if dv[h[0] : h[0] + w] == bv[h[1] : h[1] + w]):
+        best[i, j] = 1 + max((n for (a, b), n in best.items() if a < i and b < j), default=0)
+    most = max(best.values(), default=0)
+    runs = []
+    for i, j in sorted(hits):
+        if (i - 1, j - 1) not in hits:
+            n = 1
+            while (i + n, j + n) in hits:
+                n += 1
+            slots = set()
+            for k in range(n + w - 1):
+                if bk[j + k] in ("#", "u", "N"):
+                    b, d = bv[j + k], dv[i + k]
+                    slots |= {(bk[j + k], x, y) for x, y in (zip(b.split(" "), d.split(" "), strict=True) if bk[j + k] == "N" and len(b.split(" ")) == len(d.split(" ")) else [(b, d)])}
+            if all(agree(p, q) for p in slots for q in slots):
+                runs.append((i, j, n, slots))
+
+    def longest(k, i, j, n, slots):
+        out = n
+        for m in range(k, len(runs)):
+            a, b, size, own = runs[m]
+            gain = size - max(0, j + 1 - b, i + 1 - a)
+            if gain > 0 and all(agree(p, q) for p in slots for q in own):
+                out = max(out, longest(m + 1, a + size - 1, b + size - 1, n + gain, slots | own))
+        return out
+
+    most = max(most, longest(0, -1, -1, 0, set()))
+    return most >= 0.5 * total or most >= 24
+
+
+def test_leaks_of_repeating_frames(spark):
+    """Frames that repeat within an item: each run is found among its shifted likenesses, and slots are one to one."""
+    apples = "Tom has 3 apples. Ann has 4 apples. Bob has 5 apples. Who has the most apples?"
+    pears = "Mary gives Lucy 3 pears and Mary thanks her friend for the pears that she can eat now"
+    bench = [(1, apples), (2, "Tom has 3 apples. Tom has 3 apples. Tom has 3 apples. Who has the most apples?"), (3, pears)]
+    gap = " ".join(f"word{i}" for i in range(300))
+    docs = [
+        (1, apples), (2, "See: " + apples.replace("Tom", "Eve").replace("3", "9") + " Yes."), (3, apples.replace("Bob", "Tom")),  # two of the item's names for one of the document
+        (4, "Tom has 3 apples. Ann has 4 apples. " + gap + " Bob has 5 apples. Who has the most apples?"),
+        (5, "Tom has 3 apples. " * 3 + "Who has the most apples?"), (6, "Anna gives Anna 3 pears and Anna thanks her friend for the pears that she can eat now"),
+        (7, "Anna gives Vera 3 pears and Anna thanks her friend for the pears that she can eat now"), (8, "Anna gives Vera 3 pears and Vera thanks her friend for the pears that she can eat now"),
+        (9, ("Kim has 7 apples. Kim has 8 apples. " * 40)), (10, pears.replace("friend for", f"friend {gap} for")), (11, pears.replace("Mary", "Ida").replace("friend for", f"friend {gap} for")),
+    ]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(table(spark, docs), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert got == {(i, k) for i, x in docs for k, y in bench if brute_leak(x, y)}
+    assert {(1, 1), (2, 1), (5, 2), (7, 3)} <= got
+    assert not {(3, 1), (6, 3), (8, 3)} & got
 
 
 def test_leaks_against_brute_force(spark):
@@ -366,10 +414,11 @@ def test_leaks_against_brute_force(spark):
         x = frames[k % 2].replace("John", "Karl").replace("Vera", "Ida").replace("12", str(rng.randrange(20, 90)))
         x = x if k % 3 else x.replace("said", "said twice", 1)
         docs.append((5000 + k, "Some words before. " + (x if k % 5 else x.replace("Karl said", "Emil said").replace("Ida said", "Eva said")) + " More words."))
+    docs += [(6000 + k, " ".join(x.split(" ")[: 8 + k % 9] + ["some inserted words"] * (k % 40) + x.split(" ")[8 + k % 9 :])) for k, x in bench[:30]]
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(table(spark, docs), spark.createDataFrame(bench, "item_id long, text string")).collect()}
     want = {(i, k) for i, x in docs for k, y in bench if brute_leak(x, y)}
     assert got == want
-    assert {i for i, _ in want if i >= 5000} == {5000 + k for k in range(40) if k % 5}
+    assert {i for i, _ in want if 5000 <= i < 6000} == {5000 + k for k in range(40) if k % 5}
     assert {(i, k) for i, x in docs for k, y in bench if y in (x or "")} <= got
 
 

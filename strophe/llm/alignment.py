@@ -22,12 +22,12 @@ import hashlib
 import os
 import re
 import struct
-from array import array
-from collections import Counter
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -42,7 +42,12 @@ CHUNK = 2_000_000  # characters
 LANE_BYTES = 64_000_000  # of packed links for a task
 BASE, LINKS, COUNTS = 0, 1, 2
 CUT = re.compile(r"(?<=\S)(?= )")
-UNEVEN = re.compile(r"\s |\A | \Z")
+#: Fixed value: how byte-level texts are cut before their merges.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+LONG = 200  # characters from which a word is encoded by itself
+CHECK = 64  # one word in so many is encoded by both encoders of the first model
+MANY = 4096  # links of a group that are made one by one
+UNEVEN = re.compile(r" (?<=\s )")  # a space behind white space
 
 
 def read_byte_model(path: str | None = None) -> bytes:
@@ -84,10 +89,14 @@ def steps(sorted_: np.ndarray) -> np.ndarray:
 
 
 class Aligner:
-    """Words to aligned tokens of both models; up to ``most`` words are kept, with their parts numbered."""
+    """Words to aligned tokens of both models, many words at a time; up to ``most`` words are kept, with their parts numbered.
 
-    def __init__(self, first: bytes, second: bytes, most: int = 300_000):
+    All tokens of a batch of words stand in two arrays, so that ends, groups, links and the groups' texts come from array operations.
+    """
+
+    def __init__(self, first: bytes, second: bytes, most: int = 400_000):
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
@@ -102,89 +111,148 @@ class Aligner:
         if m["collapse"] or m["charsmap"] or not (m["escape"] and m["prefix"]) or any(MARK in p.lstrip(MARK) for p, _, k in m["pieces"] if k in (NORMAL, USER)):
             raise ValueError("pieces of the second model reach over words")
         self.b_text = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, _, k in m["pieces"]]
-        self.marker = self.b.piece_to_id(MARK)
+        self.sizes = tuple(np.array([len(t) for t in v], np.int64) for v in (self.a_text, self.b_text))
+        # The same vocabulary and ranks for a quicker encoder of short plain words; a share of them is encoded by both.
+        self.quick = tiktoken.Encoding("first", pat_str=PATTERN, mergeable_ranks={t: i for i, t in enumerate(self.a_text) if t}, special_tokens={})
+        self.marker, self.newline = self.b.piece_to_id(MARK), self.a_text.index(b"\n")
         self.width, self.most = len(self.b_text), most
+        shown = [str(i).encode() for i in range(max(len(self.a_text), self.width))]
+        self.digits = np.array([list(x.ljust(len(shown[-1]))) for x in shown], np.uint8)
+        self.n_digits = np.array([len(x) for x in shown])
         self.clear()
 
     def clear(self) -> None:
-        self.number, self.shown = {}, []  # of each word: its number; its groups as text, or None if its bytes differ
-        self.sizes, self.codes, self.times = array("q"), [], []  # four totals; distinct links as a * width + b, and how often each
-
-    def words(self, text: str) -> list[str]:
-        """The words of a space and a text, each without the space that it begins with."""
-        return [w[1:] for w in CUT.split(" " + text)] if UNEVEN.search(text) else text.split(" ")
+        self.number, self.shown = {}, []  # of each word: its number; its groups as text, with a semicolon behind each, or None if its bytes differ
+        self.totals = np.zeros((0, 4), np.int64)  # of each word: tokens of both models, groups, links
+        self.n_codes, self.parts = np.zeros(0, np.int64), []  # of each word: how many links; a * width + b, and how often
+
+    def words(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Different words (without the space that each begins with), the number of every word among them, and how many words each text has."""
+        plain = [not (x[0] == " " or x[-1] == " " or UNEVEN.search(x)) for x in texts]
+        cut = pc.split_pattern(pa.array([x if p else "" for x, p in zip(texts, plain, strict=True)], pa.large_string()), " ")
+        if not all(plain):
+            odd = iter([[w[1:] for w in CUT.split(" " + x)] for x, p in zip(texts, plain, strict=True) if not p])
+            parts, at = [], 0
+            for k in [k for k, p in enumerate(plain) if not p]:
+                parts += [cut.slice(at, k - at).flatten(), pa.array(next(odd), pa.large_string())]
+                at = k + 1
+                plain[k] = len(parts[-1])
+            flat = pa.concat_arrays([*parts, cut.slice(at).flatten()])
+            n = np.where(np.array([p is not True for p in plain]), np.array(plain, np.int64), pc.list_value_length(cut).to_numpy())
+        else:
+            flat, n = cut.flatten(), pc.list_value_length(cut).to_numpy()
+        coded = flat.dictionary_encode()
+        return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), n.astype(np.int64)
+
+    def encode_first(self, words: list[str], lines: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and how many each word has; the first ``lines`` words are short and without white space, and are encoded as one text of lines."""
+        ids = np.array(self.quick.encode_ordinary("\n".join([" " + w for w in words[:lines]])), np.int64)
+        n = np.diff(np.append(np.flatnonzero(ids == self.newline), len(ids)), prepend=-1) - 1 if lines else np.zeros(0, np.int64)
+        rest = [self.quick.encode_ordinary(" " + w) if len(w) < LONG else self.a.encode(" " + w, add_special_tokens=False).ids for w in words[lines:]]
+        n = np.append(n, [len(x) for x in rest]).astype(np.int64)
+        ids = np.concatenate([ids[ids != self.newline], np.fromiter(chain.from_iterable(rest), np.int64)])
+        starts = np.cumsum(n) - n
+        for k, c in enumerate(self.a.encode_batch_fast([" " + w for w in words[::CHECK]], add_special_tokens=False)):
+            if c.ids != ids[starts[k * CHECK] : starts[k * CHECK] + n[k * CHECK]].tolist():
+                raise ValueError(f"the two encoders of the first model differ in {words[k * CHECK]!r}")
+        return ids, n
+
+    def encode_second(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        each = [x if w else [self.marker] for w, x in zip(words, self.b.encode(words, num_threads=1), strict=True)]
+        n = np.array([len(x) for x in each], np.int64)
+        return np.fromiter(chain.from_iterable(each), np.int64, n.sum()), n
 
     def learn(self, words: list[str]) -> None:
-        for i in range(0, len(words), 10_000):
-            some = words[i : i + 10_000]
-            a = self.a.encode_batch([" " + w for w in some], add_special_tokens=False)
-            b = self.b.encode(some, num_threads=1)
-            for w, x, y in zip(some, a, b, strict=True):
-                self.number[w] = len(self.shown)
-                self.add((" " + w).encode(), x.ids, y if w else [self.marker])
-
-    def add(self, word: bytes, a: list[int], b: list[int]) -> None:
-        if b"".join([self.a_text[i] for i in a]) != word or b"".join([self.b_text[i] for i in b]) != word:
-            self.shown.append(None)
-            self.sizes.extend((0, 0, 0, 0))
-            self.codes.append(np.zeros(0, np.int64))
-            self.times.append(np.zeros(0, np.int64))
-            return
-        groups, links, n, i, j, ends, others = [], Counter(), 0, 0, 0, 0, 0
-        fa, fb = 0, 0
-        while i < len(a):  # the side that lags takes its next token; where both stand at one place, a group ends
-            ends += len(self.a_text[a[i]])
-            i += 1
-            while others < ends:
-                others += len(self.b_text[b[j]])
-                j += 1
-            if others == ends:
-                x, y = a[fa:i], b[fb:j]
-                groups.append(",".join(map(str, x)) + "|" + ",".join(map(str, y)))
-                n += len(x) * len(y)
-                if len(x) == len(y) == 1:
-                    links[x[0] * self.width + y[0]] += 1
-                else:
-                    cb = Counter(y)
-                    for k, v in Counter(x).items():
-                        for l, u in cb.items():
-                            links[k * self.width + l] += u * v
-                fa, fb = i, j
-        self.shown.append(";".join(groups))
-        self.sizes.extend((len(a), len(b), len(groups), n))
-        codes = np.fromiter(links.keys(), np.int64, len(links))
-        self.codes.append(codes)
-        self.times.append(np.fromiter(links.values(), np.int64, len(links)))
+        plain, odd = [], []
+        for w in words:
+            (plain if len(w) < LONG and len(w.split()) == 1 and w.split()[0] == w else odd).append(w)
+        for i in range(0, len(plain), 20_000):
+            self.align(plain[i : i + 20_000], len(plain))
+        for i in range(0, len(odd), 1_000):
+            self.align(odd[i : i + 1_000], 0)
+
+    def align(self, words: list[str], lines: int) -> None:
+        (a, na), (b, nb) = self.encode_first(words, min(lines, len(words))), self.encode_second(words)
+        text = [(" " + w).encode() for w in words]
+        good = np.ones(len(words), bool)
+        sizes, starts = np.array([len(x) for x in text], np.int64), (np.cumsum(na) - na, np.cumsum(nb) - nb)
+        for ids, n, start, table, size in ((a, na, starts[0], self.a_text, self.sizes[0]), (b, nb, starts[1], self.b_text, self.sizes[1])):
+            own = np.bincount(np.repeat(np.arange(len(words)), n), size[ids], len(words))
+            if b"".join(map(table.__getitem__, ids.tolist())) != b"".join(text) or (own != sizes).any():
+                good &= [b"".join([table[k] for k in ids[s : s + m]]) == x for s, m, x in zip(start, n, text, strict=True)]
+        word_a, word_b = np.repeat(np.arange(len(words)), na), np.repeat(np.arange(len(words)), nb)
+        a, b, word_a, word_b = a[good[word_a]], b[good[word_b]], word_a[good[word_a]], word_b[good[word_b]]
+        ends_a, ends_b = np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b])
+        both = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        group_a, group_b = np.searchsorted(both, ends_a), np.searchsorted(both, ends_b)
+        in_a, in_b = np.bincount(group_a, minlength=len(both)), np.bincount(group_b, minlength=len(both))
+        from_a, from_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
+        word = word_a[from_a] if len(both) else np.zeros(0, np.int64)
+        per_word = lambda values, of: np.bincount(of, values, len(words)).astype(np.int64)
+        totals = np.stack([na * good, nb * good, per_word(None, word), np.zeros(len(words), np.int64)], 1)
+        # Links: every token of one side with every one of the other, but in a group of many by its different tokens.
+        links = in_a * in_b
+        totals[:, 3] = per_word(links, word)
+        some = links <= MANY
+        left = np.flatnonzero(some[group_a])
+        m = in_b[group_a[left]]
+        at = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(from_b[group_a[left]], m)
+        codes, of = np.repeat(a[left], m) * self.width + b[at], np.repeat(word_a[left], m)
+        times = np.ones(len(codes), np.int64)
+        for g in np.flatnonzero(~some):
+            x, n = np.unique(a[from_a[g] : from_a[g] + in_a[g]], return_counts=True)
+            y, k = np.unique(b[from_b[g] : from_b[g] + in_b[g]], return_counts=True)
+            codes = np.append(codes, (x[:, None] * self.width + y).ravel())
+            times, of = np.append(times, (n[:, None] * k).ravel()), np.append(of, np.full(len(x) * len(y), word[g]))
+        order = np.argsort(of, kind="stable")
+        # Groups as text: both sides' tokens in order of their groups, each with the mark behind it.
+        place_a, place_b = np.arange(len(a)) + from_b[group_a], np.arange(len(b)) + (from_a + in_a)[group_b]
+        ids, marks, owner = (np.zeros(len(a) + len(b), np.int64) for _ in range(3))
+        last_a, last_b = np.append(np.diff(group_a), 1) > 0, np.append(np.diff(group_b), 1) > 0
+        ids[place_a], marks[place_a], owner[place_a] = a, np.where(last_a, ord("|"), ord(",")), word_a
+        ids[place_b], marks[place_b], owner[place_b] = b, np.where(last_b, ord(";"), ord(",")), word_b
+        cells = np.column_stack([self.digits[ids], marks.astype(np.uint8)])
+        filled = np.column_stack([np.arange(self.digits.shape[1]) < self.n_digits[ids][:, None], np.ones(len(ids), bool)])
+        shown, stops = cells[filled].tobytes(), np.cumsum(per_word(filled.sum(1), owner)).tolist()
+        for w, start, stop, fine in zip(words, [0, *stops], stops, good.tolist(), strict=False):
+            self.number[w] = len(self.shown)
+            self.shown.append(shown[start:stop] if fine else None)
+        self.totals = np.concatenate([self.totals, totals])
+        self.n_codes = np.append(self.n_codes, per_word(None, of))
+        self.parts.append((codes[order], times[order]))
 
     def chunk(self, texts: list[str | None]):
         """Totals (texts by 4), digests of the groups, and the links: codes, texts' numbers and times, sorted by code and text."""
-        cut = [self.words(x) if x else [] for x in texts]
-        used = set().union(*cut)
-        if len(used.difference(self.number)) + len(self.number) > self.most:
-            self.clear()
-        self.learn(list(used.difference(self.number)))
         totals, digests = np.zeros((len(texts), 4), np.int64), [b""] * len(texts)
-        sizes, words, owners = np.frombuffer(self.sizes, np.int64).reshape(-1, 4) if self.sizes else np.zeros((0, 4), np.int64), [], []
-        for d, own in enumerate(cut):
-            numbers = list(map(self.number.__getitem__, own))
-            shown = list(map(self.shown.__getitem__, numbers))
-            if not own or None in shown:
-                continue
-            digests[d] = hashlib.sha256(";".join(shown).encode()).digest()
-            found, n = np.unique(np.array(numbers, np.int64), return_counts=True)
-            totals[d] = (sizes[found] * n[:, None]).sum(0)
-            words.append((found, n))
-            owners.append(d)
+        owners, nothing = [d for d, x in enumerate(texts) if x], (totals, digests, *[np.zeros(0, np.int64)] * 3)
         if not owners:
-            return totals, digests, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        word, n = (np.concatenate(x) for x in zip(*words, strict=True))
-        owner = np.repeat(np.array(owners, np.int64), [len(w) for w, _ in words])
-        known, at = np.unique(word, return_inverse=True)
-        lengths = np.array([len(self.codes[k]) for k in known], np.int64)
-        starts = np.cumsum(lengths) - lengths
-        codes, times = np.concatenate([self.codes[k] for k in known]), np.concatenate([self.times[k] for k in known])
-        m = lengths[at]
-        inner = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(starts[at], m)
+            return nothing
+        words, at, lengths = self.words([texts[d] for d in owners])
+        new = [w for w in words if w not in self.number]
+        if len(new) + len(self.number) > self.most:
+            self.clear()
+            new = words
+        self.learn(new)
+        numbers = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        shown = pa.array(map(self.shown.__getitem__, numbers.tolist()), pa.large_binary())
+        # Groups of all words in a row: a text's are a slice. A text of which a word has none is left out.
+        taken = shown.take(pa.array(at))
+        data, starts = taken.buffers()[2], np.cumsum(lengths) - lengths
+        cuts = np.frombuffer(taken.buffers()[1], np.int64, len(at) + 1)[np.append(starts, len(at))].tolist()
+        good = np.logical_and.reduceat(taken.is_valid().to_numpy(False), starts)
+        for d, fine, start, stop in zip(owners, good.tolist(), cuts, cuts[1:], strict=False):
+            if fine:
+                digests[d] = hashlib.sha256(data[start : stop - 1]).digest()  # but for the last semicolon
+        owners, at, lengths = np.array(owners, np.int64)[good], at[np.repeat(good, lengths)], lengths[good]
+        if not len(owners):
+            return nothing
+        key, n = np.unique(np.repeat(owners * len(words), lengths) + at, return_counts=True)
+        owner, word = key // len(words), numbers[key % len(words)]
+        totals[owners] = np.add.reduceat(self.totals[word] * n[:, None], np.flatnonzero(np.diff(owner, prepend=-1)))
+        self.parts = [tuple(map(np.concatenate, zip(*self.parts, strict=True)))]
+        codes, times = self.parts[0]
+        starts, m = np.cumsum(self.n_codes) - self.n_codes, self.n_codes[word]
+        inner = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(starts[word], m)
         key = codes[inner] * len(texts) + np.repeat(owner, m)
         order = np.argsort(key, kind="stable")
         key, t = key[order], (times[inner] * np.repeat(n, m))[order]

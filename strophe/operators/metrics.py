@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +10,8 @@ from strophe.functions.core import let
 from strophe.functions.enums import EMOTIONS, LEVELS, METERS, PAIRS, RHYME_SCHEMES
 from strophe.functions.prosody import alliteration, alliteration_level, harmonic_mean, mean
 
+from .fuzzy import closest, length_band
+
 
 def checked(df: DataFrame, column: str, names: list[str]) -> DataFrame:
     """df, or an error if a value is none of the names."""
@@ -76,11 +74,6 @@ def length_bound(a: Column, b: Column, cutoff: float) -> Column:
     return 2 * F.least(F.length(a), F.length(b)) >= cutoff * (F.length(a) + F.length(b))
 
 
-def length_band(x: Column, cutoff: float) -> Column:
-    """Texts that can match at the cutoff lie in the same band of lengths or in neighbouring ones: their lengths differ by a factor of (2 - cutoff) / cutoff at most."""
-    return F.floor(F.log(F.greatest(F.length(x), F.lit(1)).cast("double")) / float(np.log((2 - cutoff) / cutoff) * (1 + 1e-9))).cast("int")
-
-
 def memorization_candidates(generated: DataFrame, train: DataFrame, keys: list[str], cutoff: float = 0.7) -> DataFrame:
     """Pairs of generated id, text and training text of the same style that could reach the cutoff by length; each different text once.
 
@@ -103,15 +96,7 @@ def memorization_metric(generated: DataFrame, train: DataFrame, keys: list[str],
     """Share of generated texts with a training text of the same style at a difflib ratio of cutoff or more."""
     generated = with_style(generated, train, keys)
 
-    @F.pandas_udf("boolean")
-    def close(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x, y):
-            m = difflib.SequenceMatcher(None, y, x)  # the generated text is the second sequence
-            return m.real_quick_ratio() >= cutoff and m.quick_ratio() >= cutoff and m.ratio() >= cutoff
-
-        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
-
-    hits = memorization_candidates(generated, train, keys, cutoff).filter(close("text", "known")).select("id").distinct().withColumn("hit", F.lit(1.0))
+    hits = closest(generated, train, keys, cutoff).select("id").distinct().withColumn("hit", F.lit(1.0))
     return generated.join(hits, "id", "left").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("extractive_memorization_rate"))
 
 

@@ -20,7 +20,11 @@ assert FORMS
 
 def rhyme_probability(a: Column, b: Column) -> Column:
     """Common end of the last words, of three letters at most, in thirds; 0 for equal words."""
-    return let(F.struct(last_word(a).alias("x"), last_word(b).alias("y")), _rhyme)
+    return rhyme_of_words(last_word(a), last_word(b))
+
+
+def rhyme_of_words(a: Column, b: Column) -> Column:
+    return let(F.struct(a.alias("x"), b.alias("y")), _rhyme)
 
 
 def _rhyme(words: Column) -> Column:

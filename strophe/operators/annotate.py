@@ -14,14 +14,25 @@ from strophe.functions import scorers
 from strophe.functions.core import let
 from strophe.functions.enums import PAIRS
 from strophe.functions.prosody import alliteration, alliteration_level, canonical_scheme, mean, scheme_of_mask
+from strophe.functions.text import last_word
 
+from .scratch import Scratch
 from .windows import verse_pairs
 
 
 def score_distinct(df: DataFrame, keys: list[str], scorer: Callable[..., Column], name: str = "score") -> DataFrame:
-    """df with a scorer's value, which sees each different key once."""
-    scored = df.select(*keys).distinct().withColumn(name, scorer(*[F.col(k) for k in keys]))
-    return df.join(scored, keys, "left")
+    """df with a scorer's value, which sees each different key once; keys that are null have none.
+
+    Different keys are counted as they are found. The few that hold more than a fraction of a partition each (at most four for each partition, whatever the data) are joined
+    by broadcast, so that a line in any share of all rows is never dealt to one task; all others meet their score by a shuffle.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    scored = Scratch(spark, "scores").keep(df.groupBy(*keys).agg(F.count("*").alias("_n")).withColumn(name, scorer(*[F.col(k) for k in keys])))
+    least = max(1000, (scored.agg(F.sum("_n")).first()[0] or 0) // (4 * parts))
+    heavy, light = F.broadcast(scored.filter(F.col("_n") >= least).drop("_n")), scored.filter(F.col("_n") < least).drop("_n")
+    rest = df.join(heavy.select(*keys), keys, "left_anti").join(light, keys, "left")
+    return rest.unionByName(df.join(heavy, keys))
 
 
 def exploded(df: DataFrame, quatrain: str) -> DataFrame:
@@ -56,9 +67,23 @@ def emotions(df: DataFrame, ids: list[str], quatrain: str = "quatrain", scorer=s
     return df.join(seen, ids)
 
 
-def annotate(df: DataFrame, ids: list[str], quatrain: str = "quatrain") -> DataFrame:
-    """Rhyme first, since it drops rows; then meter and alliteration of what is left."""
-    return alliterations(meters(rhymes(df, ids, quatrain), ids, quatrain), ids, quatrain)
+def annotate(df: DataFrame, ids: list[str], quatrain: str = "quatrain", meter=scorers.meter, phones=scorers.initials, least: float = 0.5) -> DataFrame:
+    """Adds rhyme, meter, alliteration_score and alliteration; quatrains whose pairs fit no scheme go. All that is known of a verse is scored in one pass over different verses.
+
+    The rhyme of a pair comes from the last words of its verses, so it needs no pass of its own; for a scorer of whole pairs use ``rhymes``, then ``meters`` and ``alliterations``.
+    """
+    every = lambda v: F.struct(last_word(v).alias("word"), meter(v).alias("label"), alliteration(phones(v)).alias("score"))
+    rest = [c for c in df.columns if c not in (*ids, quatrain)]
+    verses = score_distinct(exploded(df, quatrain).drop(quatrain), ["verse"], every, "s")
+    of = verses.groupBy(*ids).agg(F.sort_array(F.collect_list(F.struct("pos", "verse", "s"))).alias("v"), *[F.first(c).alias(c) for c in rest])
+    s = lambda i: F.get("v", i)["s"]
+    rhyming = [F.when(scorers.rhyme_of_words(s(i)["word"], s(j)["word"]) >= least, 1 << b).otherwise(0) for b, (i, j) in enumerate(PAIRS)]
+    labels = F.transform("v", lambda x: x["s"]["label"])
+    vote = F.array_max(F.transform("v", lambda x: F.struct(F.size(F.filter(labels, lambda y: y == x["s"]["label"])).alias("n"), (-x["pos"]).alias("first"), x["s"]["label"].alias("label"))))
+    out = of.withColumn("rhyme", scheme_of_mask(sum(rhyming[1:], rhyming[0]))).filter("rhyme IS NOT NULL")
+    out = out.withColumn(quatrain, F.transform("v", lambda x: x["verse"])).withColumn("_vote", vote).withColumn("meter", F.when(F.col("_vote.n") >= 2, F.col("_vote.label")).otherwise("other"))
+    out = out.withColumn("alliteration_score", mean(F.transform("v", lambda x: x["s"]["score"]))).withColumn("alliteration", alliteration_level(F.round("alliteration_score", 9)))
+    return out.select(*df.columns, "rhyme", "meter", "alliteration_score", "alliteration")
 
 
 def pair_order(target: Column) -> Column:

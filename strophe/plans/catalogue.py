@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strophe.functions import enums, prosody, scorers, text, tokens
+from strophe.functions import attribution, enums, prosody, rules, scorers, text, tokens
 from strophe.functions.core import let
-from strophe.operators import annotate, metrics, pairs, splits, stats, windows
+from strophe.operators import annotate, classify, fuzzy, language_model, metrics, pairs, scratch, search, splits, stats, windows
 
 from . import fixtures
 
@@ -140,6 +140,14 @@ def clean_sentences(spark, d):
     return t(spark, d, "documents").select("doc_id", md5(text.clean_sentence(F.col("text"))).alias("clean"), md5(text.emotion_detokenize(F.col("text"))).alias("detokenized"))
 
 
+@query()
+def clean_lines(spark, d):
+    """Every line of a document, cleaned by the rules of its language."""
+    docs = t(spark, d, "documents")
+    clean = rules.by_language(F.col("lang"), lambda g: F.transform(F.split("text", "\n"), lambda v: rules.clean_sentence(v, g)))
+    return docs.select("doc_id", F.md5(F.array_join(clean, "\n").cast("binary")).alias("clean"))
+
+
 @query(r"""SELECT doc_id, md5(regexp_replace(text, '\s*\n\s*', chr(10), 'g')) AS lines, md5(regexp_replace(text, '\s(''[\p{L}\p{M}\p{N}_]{1,2})', '\1', 'g')) AS contractions,
 md5(CASE WHEN instr(y[5:], '</s>') > 0 THEN y[1 : instr(y[5:], '</s>') + 3] ELSE y[1 : greatest(length(y) - 1, 0)] END) AS cut FROM (SELECT *, '</s>' || replace(text, '.', '</s>') AS y FROM documents)""")
 def generation_cleanup(spark, d):
@@ -183,9 +191,38 @@ def chunk_blocks(spark, d):
 @query("WITH b AS (SELECT doc_id, unnest(range(0, octet_length(encode(text)) // 1024)) AS i FROM documents) SELECT doc_id, CAST(i AS INT) AS block FROM b ORDER BY doc_id, i LIMIT 500")
 def sample_cap(spark, d):
     """The cap is the feature: exactly the first 500 blocks."""
-    n = F.floor(F.octet_length("text") / 1024).cast("int")
-    b = t(spark, d, "documents").select("doc_id", F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))).alias("block"))
-    return splits.head(b, ["doc_id", "block"], 500)
+    return _capped(spark, d, 500)
+
+
+def _sized(spark, d, length: int = 1024):
+    return t(spark, d, "documents").select("doc_id", F.floor(F.octet_length("text") / length).cast("long").alias("n")).filter("n > 0")
+
+
+def _capped(spark, d, cap):
+    kept = splits.running_cap(_sized(spark, d), ["doc_id"], "n", cap)
+    return kept.select("doc_id", F.explode(F.sequence(F.lit(0).cast("int"), F.col("kept").cast("int") - 1)).alias("block"))
+
+
+HALF = "SELECT doc_id, n, coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, sum(n) OVER () // 2 AS cap FROM (SELECT doc_id, octet_length(encode(text)) // 1024 AS n FROM documents) WHERE n > 0"
+
+
+@query(f"SELECT doc_id, CAST(least(n, cap - b) AS BIGINT) AS kept FROM ({HALF}) WHERE b < cap")
+def running_sample_cap(spark, d):
+    """Half of all blocks, in the order of documents: a cap that grows with the table."""
+    sized = _sized(spark, d)
+    return splits.running_cap(sized, ["doc_id"], "n", sized.agg(F.floor(F.sum("n") / 2)).first()[0] or 0).select("doc_id", "kept")
+
+
+WORLD, BATCH, EVALUATION = 8, 4, 50
+
+
+@query(f"""WITH {BLOCKS}, c AS (SELECT doc_id, i, CAST(list_sum(a[i * 1024 + 1 : i * 1024 + 1024]) AS BIGINT) AS total FROM b),
+p AS (SELECT *, row_number() OVER (ORDER BY md5('1|' || doc_id || '|' || i), doc_id, i) - 1 - {EVALUATION} AS p FROM c)
+SELECT doc_id, CAST(i AS INT) AS block, total, CASE WHEN p < 0 THEN 'eval' ELSE 'train' END AS split, CAST(CASE WHEN p >= 0 THEN p % {WORLD} ELSE -1 END AS INT) AS shard,
+CASE WHEN p >= 0 THEN p // {WORLD} // {BATCH} ELSE -1 END AS step, CAST(CASE WHEN p >= 0 THEN p // {WORLD} % {BATCH} ELSE -1 END AS INT) AS slot FROM p""")
+def dealt_blocks(spark, d):
+    """From texts to what each of eight training processes reads at each step: byte ids, full blocks, global shuffle, evaluation split, equal shards."""
+    return splits.deal(chunk_blocks(spark, d), ["doc_id", "block"], WORLD, BATCH, EVALUATION, "1")
 
 
 GRID = (["AABB", "ABAB", "ABBA", "ABCB"], ["alexandrine", "iambus", "trochee", "anapaest"], enums.LEVELS, 75)
@@ -473,6 +510,33 @@ def memorization_rate(spark, d):
     return metrics.memorization_metric(asked, known, ["style"]).select(r6(F.col("extractive_memorization_rate")).alias("extractive_memorization_rate"))
 
 
+def _styled(spark, d):
+    """Windows with their rhyme scheme, meter and level, as text."""
+    return annotate.annotate(quatrains(spark, d), IDS).select(*IDS, F.array_join("quatrain", "\n").alias("text"), "rhyme", "meter", F.col("alliteration").alias("level"))
+
+
+@query()
+def closest_quatrain(spark, d):
+    """Every quatrain of a document whose number 100 divides, against the quatrains of all other documents of the same rhyme scheme, meter and level: the closest, if it comes to 0.7."""
+    every = scratch.Scratch(spark, "styled").keep(_styled(spark, d))
+    asked = every.filter("doc_id % 100 = 0").select(F.concat_ws(":", *IDS).alias("id"), "text", "rhyme", "meter", "level")
+    found = fuzzy.closest(asked, every.filter("doc_id % 100 <> 0 OR doc_id IS NULL"), ["rhyme", "meter", "level"])
+    return found.select("id", F.md5(F.col("known").cast("binary")).alias("known"), r6(F.col("ratio")).alias("ratio"))
+
+
+@query()
+def classified_lines(spark, d):
+    """All lines of documents through the three classifiers: counts by meter, by emotion that is predicted, and by rhyme with the line before."""
+    lines = t(spark, d, "documents").select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "verse"), F.split("text", "\n").alias("_all"))
+    lines = lines.withColumn("before", F.get("_all", F.col("pos") - 1)).drop("_all")
+    found = lines.select(
+        "doc_id", classify.meter(F.col("verse"), F.col("lang"))["label"].alias("meter"), F.filter(classify.emotion(F.col("verse"), F.col("lang")), lambda e: e["predicted"]).alias("e"),
+        F.when(F.col("before").isNotNull(), classify.rhyme(F.col("verse"), F.col("before"), F.col("lang"))["label"]).alias("rhyme"),
+    )
+    labels = F.concat(F.array(F.concat(F.lit("meter:"), "meter")), F.transform("e", lambda e: F.concat(F.lit("emotion:"), e["label"])), F.array_compact(F.array(F.concat(F.lit("rhyme:"), "rhyme"))))
+    return found.select("doc_id", F.explode(labels).alias("label")).groupBy("doc_id", "label").agg(F.count("*").alias("n"))
+
+
 MULTI = f"""v AS (SELECT DISTINCT unnest(q) AS verse FROM k), e AS (SELECT {EMOTION_OF} AS l, CASE WHEN length(verse) % 3 = 0 THEN list_append({EMOTION_OF}, 'Humor') ELSE {EMOTION_OF} END AS p FROM v),
 c AS (SELECT unnest([{_list(enums.EMOTIONS)}]) AS c), m AS (SELECT c, count(*) FILTER (list_contains(l, c) AND list_contains(p, c)) AS b, count(*) FILTER (list_contains(l, c)) AS r, count(*) FILTER (list_contains(p, c)) AS s FROM e, c GROUP BY c)"""
 
@@ -505,6 +569,57 @@ def byte_perplexity(spark, d):
     return metrics.byte_perplexity(t(spark, d, "documents")).select(F.round("mean_perplexity", 4).alias("mean_perplexity"))
 
 
+@query("""WITH d AS (SELECT row_number() OVER () AS k, list_concat([256, 256], list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST(('0x' || x) AS INT))) AS b FROM documents WHERE text <> ''),
+g AS (SELECT k, b[i] AS x, b[i + 1] AS y, b[i + 2] AS z FROM (SELECT k, b, unnest(range(1, len(b) - 1)) AS i FROM d)), r AS (SELECT k, x, y, z, count(*) AS n FROM g GROUP BY ALL),
+n3 AS (SELECT x, y, z, sum(n) AS n FROM r GROUP BY ALL), n2 AS (SELECT y, z, sum(n) AS n FROM n3 GROUP BY ALL), n1 AS (SELECT z, sum(n) AS n FROM n2 GROUP BY z),
+p1 AS (SELECT z, (n + 1)::DOUBLE / ((SELECT sum(n) FROM n1) + 256) AS p FROM n1),
+p2 AS (SELECT y, z, (n2.n + c.kinds * p)::DOUBLE / (c.total + c.kinds) AS p FROM n2 JOIN (SELECT y, sum(n) AS total, count(*) AS kinds FROM n2 GROUP BY y) c USING (y) JOIN p1 USING (z)),
+p3 AS (SELECT x, y, z, (n3.n + c.kinds * p)::DOUBLE / (c.total + c.kinds) AS p FROM n3 JOIN (SELECT x, y, sum(n) AS total, count(*) AS kinds FROM n3 GROUP BY x, y) c USING (x, y) JOIN p2 USING (y, z))
+SELECT round(avg(p), 4) AS mean_perplexity, round(max(p), 4) AS most FROM (SELECT k, exp(-sum(n * ln(p)) / sum(n)) AS p FROM r JOIN p3 USING (x, y, z) GROUP BY k)""")
+def context_perplexity(spark, d):
+    """Perplexity of documents under the corpus's own model of three bytes."""
+    ppl = language_model.perplexities(t(spark, d, "documents").select("text"))
+    return ppl.agg(F.round(F.avg("ppl"), 4).alias("mean_perplexity"), F.round(F.max("ppl"), 4).alias("most"))
+
+
+@query(f"""WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents), u AS (SELECT doc_id, c, count(*) AS n FROM c WHERE c <> '' GROUP BY ALL), h AS (SELECT c, n, unnest(regexp_extract_all(hex(encode(c)), '..')) AS b FROM u),
+f AS (SELECT b, sum(n)::DOUBLE / (SELECT sum(n) FROM h) AS f FROM h GROUP BY b), ub AS (SELECT doc_id, c, n, unnest(regexp_extract_all(hex(encode(c)), '..')) AS b FROM u),
+m AS (SELECT doc_id, min(f) AS lo, max(f) AS hi FROM ub JOIN f USING (b) GROUP BY doc_id),
+a AS (SELECT doc_id, c, any_value(n) AS n, avg(CASE WHEN hi > lo THEN (f - lo) / (hi - lo) ELSE 0 END) AS s FROM ub JOIN f USING (b) JOIN m USING (doc_id) GROUP BY doc_id, c),
+w AS (SELECT doc_id, n, CASE WHEN regexp_matches(c, '^\\s$') THEN 0 ELSE CAST(ceil(round_even(s * 10, 0) / 2) AS INT) END AS k FROM a)
+SELECT d.doc_id, {", ".join(f"CAST(coalesce(sum(n) FILTER (k = {i}), 0) AS BIGINT) AS shade{i}" for i in range(6))} FROM documents d LEFT JOIN w USING (doc_id) GROUP BY d.doc_id""")
+def byte_shades(spark, d):
+    """Characters of each document by shade, with the share of each byte in the corpus as its score."""
+    docs = t(spark, d, "documents").select("doc_id", "text")
+    sums = docs.select(language_model.grams(1)("text").alias("g")).select(F.inline("g")).groupBy("gram").agg(F.sum("n").alias("n")).collect()  # 256 rows
+    share = [0.0] * 256
+    for r in sums:
+        share[r["gram"]] = r["n"] / sum(x["n"] for x in sums)
+    table = F.array(*map(F.lit, share))
+    scores = let(table, lambda v: F.transform(tokens.byte_ids(F.col("text"), 0), lambda b: F.get(v, b)))
+    shown = attribution.shaded(docs.select("doc_id", "text", attribution.rescaled(scores).alias("scores")))
+    return shown.select("doc_id", *[F.size(F.filter("shades", lambda x: x == F.lit(i))).cast("long").alias(f"shade{i}") for i in range(6)])
+
+
+RATES = [0.01, 0.1, 1.0, 3.0, 10.0]
+
+
+def _featured(spark, d):
+    """Labelled documents with shares of kinds of characters, and the exact stratified split."""
+    n = lambda pattern: F.length("text") - F.length(F.regexp_replace("text", pattern, ""))
+    size = F.greatest(F.length("text"), F.lit(1))
+    shares = [n(r"\p{Lu}") / size, n(r"\p{Nd}") / size, n(r"\s") / size, n(r"[#*$%&|<>]") / size, n(r"[.,;:!?]") / size, n("\n") / size, F.least(F.lit(1.0), F.log1p(F.length("text").cast("double")) / 12)]
+    labels = t(spark, d, "labels").join(t(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return splits.stratified_split(labels.select("doc_id", F.col("quality").cast("int").alias("label"), F.array(*shares).alias("features")), "label", "doc_id")
+
+
+@query()
+def learning_rate_search(spark, d):
+    """One logistic model for each of five learning rates, trained by the same passes; F1 on dev chooses."""
+    found = search.grid_search(scratch.Scratch(spark, "features").keep(_featured(spark, d)), RATES, 30)
+    return found.select("rate", r6(F.col("dev_f1")).alias("dev_f1"), r6(F.col("test_f1")).alias("test_f1"), "chosen")
+
+
 @query()
 def generated_report(spark, d):
     g = _generated(spark, d).filter(windows.is_quatrain(F.col("quatrain"))).withColumn("quatrain", F.split("quatrain", "\n"))

@@ -15,7 +15,7 @@ def test_twin(name, same):
 
 
 def test_what_has_no_twin():
-    assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == {"memorization_rate", "generated_report"}
+    assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == {"memorization_rate", "closest_quatrain", "clean_lines", "classified_lines", "learning_rate_search", "generated_report"}
 
 
 def test_memorization_rate(spark):

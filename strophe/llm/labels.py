@@ -21,7 +21,19 @@ def held_out(doc_id="doc_id"):
 def sample(labels: DataFrame, name: str, bound: int = BOUND) -> DataFrame:
     """doc_id and y of at most about ``bound`` rows that are not held out, chosen by hash of doc_id; its size is bounded, so it may be broadcast."""
     rows = labels.select("doc_id", F.col(name).cast("int").alias("y")).filter((fold() != 1) & F.col("y").isNotNull()).distinct()
+    return F.broadcast(_some(rows, bound, "doc_id"))
+
+
+def _some(rows: DataFrame, bound: int, *by: str) -> DataFrame:
     n = rows.count()
     share = min(1.0, bound / max(n, 1))
-    kept = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000))
-    return F.broadcast(kept)
+    return rows.filter(F.pmod(F.xxhash64(*by, F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000))
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, name: str, keep, bound: int = BOUND) -> DataFrame:
+    """doc_id, text and y of at most about ``bound`` different rows, however often a doc_id or a text repeats: bounded by labels before the join and by texts after it.
+
+    keep: writes a table, of which only a bounded part is then used.
+    """
+    rows = keep(docs.join(sample(labels, name, bound), "doc_id").select("doc_id", "text", "y").distinct())
+    return _some(rows, bound, "doc_id", "text")

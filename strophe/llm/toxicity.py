@@ -1,13 +1,14 @@
 """Toxicity: a logistic classifier of words and word beginnings, regularised by counterfactuals.
 
 In labelled texts each identity word is swapped, before terms are made of it, for every other of its group in turn; into labelled texts without one,
-a mention is put, each word in turn. The square of the change of the score's logit is penalised, so that
+a mention is put, one of the words by the text's doc_id. The square of the change of the score's logit is penalised, so that
 neither which group a text mentions nor that it mentions one moves its score. Terms of the model are all that mark the toxic rows of a
-bounded sample, and those of the identity words; texts are read whole.
+bounded sample (in at least 3 toxic rows, significantly and at least four times as often as in others), and the identity words as a whole; texts are read whole.
 
 Null and empty texts contain no term and get the score of the intercept. Without labels of both classes every score is 0.
 Repeated rows get equal scores; rows that repeat a doc_id are scored by their own text, and a doc_id with two labels teaches both.
-Null doc_ids are scored too (not held out), and teach nothing.
+Null doc_ids are scored too (not held out), and teach nothing. Very long texts count as a set of their terms, like all. Equal scores stay equal (there are no
+ranks); rows that agree in doc_id, text and label teach once. Columns beyond doc_id and text play no part.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .bytes_ import NO_LETTER, batches_of, mix, powers, words_of
 from .common import Scratch, arrow_rows, drop_inputs, table
-from .labels import BOUND, held_out, sample
+from .labels import BOUND, held_out, labelled_texts
 
 #: Identity terms by group, swapped within their group.
 IDENTITY = [
@@ -193,7 +194,8 @@ def fit(rows: DataFrame, penalty: float = PENALTY) -> dict | None:
     z = (p1 - p0) / np.sqrt(p1 * (1 - p1) / n[1] + p0 * (1 - p0) / n[0])
     # sure markers: significant, and much more frequent in toxic rows
     chosen = (z > 1.5) & (p1 > 4 * p0)
-    terms = np.unique(np.concatenate([terms[chosen], *identity_terms()[1]]))
+    # Identity words are terms as a whole: their beginnings are beginnings of ordinary words too.
+    terms = np.unique(np.concatenate([terms[chosen], [own[0] for own in identity_terms()[1]]]))
     data = found(rows, terms, swapped=True).collect()  # a bounded sample, and few terms in each
     w, b = logistic([r["has"] for r in data], [r["others"] for r in data], np.array([float(r["y"] == 1) for r in data]), len(terms), penalty, [r["swaps"] for r in data])
     return {"terms": terms, "w": w, "b": b}
@@ -205,9 +207,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, bound: int = BOUND, penal
     scratch = Scratch(spark, "toxicity")
     docs = drop_inputs(docs, "doc_id", "text")
     with arrow_rows(spark, 1000):
-        rows = scratch.keep(docs.join(sample(labels, "toxic", bound), "doc_id").select("doc_id", "text", "y"))
+        rows = labelled_texts(docs, labels, "toxic", scratch.keep, bound)
         model = fit(rows, penalty)
-    scratch.drop(rows)
 
     def run(batches):
         for key, data, starts, ends in batches_of(lowered(batches)):

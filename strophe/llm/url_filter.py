@@ -1,7 +1,9 @@
 """URL filters: a blocked Bloom filter of listed canonical URLs passes possible hits to an exact hash join.
 
-A listed key is a host followed by a path prefix. The filter holds the keys and their hosts: of a url, each parent domain that it lets through is
+A listed key is a host followed by a path prefix. The filter holds the keys and their hosts: of a url, each parent domain that has as many labels as some listed host, and that it lets through, is
 tried with each listed path length up to that of the url's path; keys that the filter lets through are joined exactly with the list, and the longest wins.
+Rules take a url's host as it stands; the list takes its canonical form, without user part, port and closing dot. A url of any length costs a few passes over its
+text, as many as the listed hosts and paths have lengths, not as it has labels.
 The filter is a binary constant of at most ``max_bits`` bits, so it never grows beyond that: a longer list only
 lets more false positives through, which the join removes. An empty list allows all.
 """
@@ -30,6 +32,11 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def canonical_host(host: Column) -> Column:
+    """Without user part, port and closing dot."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), r"\.?(?::[0-9]*)?$", "")
+
+
 def _places(key: Column) -> Column:
     """The eight bits of a key within its block."""
     h = F.xxhash64(key, F.lit(7))
@@ -68,14 +75,17 @@ def judge_urls(pages: DataFrame, listed: DataFrame, max_bits: int = 1 << 23) ->
     bloom, blocks = build_bloom(keys.select("key").union(keys.select(F.expr("substring(key, 1, instr(key, '/') - 1)"))).distinct(), max_bits)
     lengths = [r[0] for r in keys.select((F.length("key") - F.instr("key", "/") + 1).alias("n")).distinct().orderBy("n").collect()]  # at most the length of the longest key
     urls = drop_inputs(pages, "page_id", "url").select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    labels = F.split("host", r"\.")
-    domains = let(labels, lambda v: F.transform(F.sequence(F.lit(1), F.size(v)), lambda i: F.array_join(F.slice(v, i, F.size(v) - i + 1), ".")))
+    urls = urls.withColumn("plain", canonical_host(F.col("host")))
+    own = F.expr("substring(key, 1, instr(key, '/') - 1)")
+    labels = [r[0] for r in keys.select(F.size(F.split(own, r"\.")).alias("n")).distinct().orderBy("n").collect()]  # at most the labels of the longest listed host
+    domains = F.array_distinct(F.array(*[F.substring_index(F.col(h), ".", -n) for n in labels for h in ("host", "plain")]) if labels else F.array().cast("array<string>"))
     root = F.when(F.col("path") == "", "/").otherwise(F.col("path"))  # the canonical form of a host's own url
     reach = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.greatest(F.length("path"), F.lit(1)))
     paths = let(reach, lambda ns: F.array_distinct(F.concat(F.transform(ns, lambda n: F.substring(root, F.lit(1), n)), F.transform(ns, lambda n: F.substring("path", F.lit(1), n)))))
     tried = F.flatten(F.transform(F.filter(domains, lambda d: maybe(d, bloom, blocks)), lambda d: F.transform(paths, lambda p: F.concat(d, p))))
-    possible = urls.filter("host <> ''").select("page_id", "url", "path", F.explode(F.filter(F.array_distinct(tried), lambda k: maybe(k, bloom, blocks))).alias("key"))
-    exact = possible.join(small(keys, 200_000), "key").filter(~F.col("is_rule") | F.col("path").startswith(F.expr("substring(key, instr(key, '/'))")))
+    possible = urls.filter("host <> ''").select("page_id", "url", "host", "plain", "path", F.explode(F.filter(F.array_distinct(tried), lambda k: maybe(k, bloom, blocks))).alias("key"))
+    within = lambda h: (F.col(h) == own) | F.col(h).endswith(F.concat(F.lit("."), own))
+    exact = possible.join(small(keys, 200_000), "key").filter(F.when(F.col("is_rule"), within("host")).otherwise(within("plain"))).filter(~F.col("is_rule") | F.col("path").startswith(F.expr("substring(key, instr(key, '/'))")))
     best = lambda rule: F.max(F.when(F.col("is_rule") == rule, F.struct(F.length("key").alias("n"), "verdict", "key")))
     hits = exact.groupBy("page_id", "url").agg(best(True).alias("r"), best(False).alias("l"))
     out = urls.alias("u").join(hits.alias("h"), F.col("u.page_id").eqNullSafe(F.col("h.page_id")) & F.col("u.url").eqNullSafe(F.col("h.url")), "left")

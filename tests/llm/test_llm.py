@@ -604,6 +604,19 @@ def test_urls_of_a_long_list(spark):
     assert url_filter.judge_urls(pages.limit(0), spark.createDataFrame(keys, "key string, verdict string, is_rule boolean")).count() == 0
 
 
+def test_urls_in_canonical_form_and_long_ones(spark):
+    import time
+
+    listed = spark.createDataFrame([("spam.example.org/", "block", False), ("net/de/", "allow", True)], "key string, verdict string, is_rule boolean")
+    urls = ["http://spam.example.org:8080/x", "https://me@a.spam.example.org./x", "http://spam.example.org:80", "http://user:pw@spam.example.org/", "http://xspam.example.org/", "http://b.net:80/de/1", "http://b.net/de/1"]
+    urls += ["http://" + "a." * 40_000 + "spam.example.org/", "http://" + "a." * 40_000 + "org/", "http://spam.example.org/" + "y" * 500_000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    began = time.time()
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(pages, listed).select("page_id", "verdict").collect()}
+    assert [got[i] for i in range(len(urls))] == ["block"] * 4 + ["allow"] * 3 + ["block", "allow", "block"]
+    assert time.time() - began < 60
+
+
 def test_bloom_passes_all_listed(spark):
     keys = spark.range(3000).select(F.concat(F.lit("host/"), "id").alias("key"))
     bloom, blocks = url_filter.build_bloom(keys, 1 << 16)

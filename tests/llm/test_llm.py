@@ -671,6 +671,24 @@ def test_licence_rules(spark):
     assert got == want
 
 
+def test_notices_of_other_licences(spark):
+    gpl2, library = GPL.replace("version 3", "version 2"), GPL.replace("program", "library").replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1")
+    mpl = "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed with this\n// file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."
+    clauses = [licences.SENTENCES[k] for k in ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")]
+    docs = [
+        (1, gpl2), (2, library), (3, mpl), (4, isc), (5, "This project is licensed under the MIT License."), (6, "# SPDX-License-Identifier: Apache-2.0\ncode"), (7, ".\n* ".join(clauses)), (8, ". ".join(clauses[:3])),
+        (9, "This software is released under the\nMozilla Public License, version 2.0; see there."), (10, "This project is licensed under the moon."),
+    ]
+    got = {r["doc_id"]: r["licences"] for r in licences.scan_licences(table(spark, docs)).collect()}
+    assert got == {1: ["GPL-2.0-or-later"], 2: ["LGPL-2.1-or-later"], 3: ["MPL-2.0"], 4: ["ISC"], 5: ["MIT"], 6: ["Apache-2.0"], 7: ["BSD-3-Clause"], 8: ["BSD-2-Clause"], 9: ["MPL-2.0"], 10: []}
+    import re as plain_re
+
+    assert all(plain_re.search(licences.WORDS, s) for _, s in licences.KNOWN)
+    assert len({s for _, s in licences.KNOWN}) == len(licences.KNOWN)
+    assert {k for _, ids in licences.RULES for k in ids} == {k for k, _ in licences.KNOWN} | set()
+
+
 def test_licences_against_sql(spark, duck):
     docs = [(i, x) for i, x in enumerate([MIT, APACHE, GPL, BSD, MIT.replace("\n", "\r\n"), "All rights reserved, all rights reserved.", APACHE + GPL, "", None, "x, licensed under CC BY-SA 4.0. " * 3])]
     frame = table(spark, docs).toPandas()

@@ -7,7 +7,8 @@ Branches of low importance that half of the pages or more share are removed from
 
 Pages with equal first heading and two longest blocks count once (copies of one page would look like what all pages share), and hosts of fewer
 than ``least`` such pages lose no branch. Tags, roles and classes that say themselves that they are menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles or comments go on any host. The main text is that of the article elements (without
+sidebars, notices, adverts, forms, scripts, styles or comments go on any host; words that may as well be an article's subject (social, related) count inside one only
+where half of the text is links or a control stands. The main text is that of the article elements (without
 much shorter ones beside them, which are teasers), or of main, if that holds more than twice as much, or of the page.
 
 Only hashes by (host, page, path, style, content) are shuffled; the nodes to remove, at most twice as many for a host as a page of it has, are
@@ -41,13 +42,15 @@ TAGS = frozenset("nav footer aside form script style noscript template iframe sv
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 WORDS = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs footer sidebar sidenav aside widget ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion "
-    "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login form search share sharing social related recommended recommendations "
+    "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login form search "
     "comment comments commentlist disqus reply replies respond pagination pager skip toolbar topbar copyright".split()
 )
+#: Words that also name what an article is about; inside an article its links and controls must bear them out.
+HINTS = frozenset("share sharing social related recommended recommendations".split())
 #: What may stand beside such a word in one class, as in site-footer.
 BESIDE = frozenset(
     "site page main top bottom left right wrap wrapper container box area list item items bar block section button buttons link links inner outer content global primary secondary mobile desktop sticky fixed floating slot unit group "
-    "post posts article articles entry blog story header head body footer title text icon icons col column row panel the js is has to and of no new all more form field fields info policy us follow media".split()
+    "post posts article articles entry blog story header head body footer title text icon icons col column row panel the js is has to and of no new all more form field fields info policy us follow media user users reader readers visitor visitors guest guests member members email mail your add leave write view show".split()
 )
 OUTSIDE = frozenset("header masthead topbar".split())  # not the article only where they stand outside it
 #: Quotes count only where a value begins; nothing is given back, so no tag takes long.
@@ -56,22 +59,28 @@ ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))
 LEAST, GAMMA, CUT, TEASER = 6, 0.9, 0.3, 3
 
 
-def telling(names: str) -> bool:
-    """Whether a class says that it is no article: one of WORDS, alone or beside words that say nothing (site-footer, but not share-price)."""
+def telling(names: str) -> int:
+    """2 if a class says that it is no article: one of WORDS, alone or beside words that say nothing (site-footer, but not share-price); 1 if only one of HINTS does; else 0."""
+    found = 0
     for token in names.split():
         parts = {p for p in re.split(r"[^a-z]+", token) if p}
-        if parts and not parts.isdisjoint(WORDS) and parts <= WORDS | BESIDE:
-            return True
-    return False
+        if not parts <= WORDS | HINTS | BESIDE:
+            continue
+        if not parts.isdisjoint(WORDS):
+            return 2
+        if not parts.isdisjoint(HINTS):
+            found = 1
+    return found
 
 
 class Page:
     """Elements in document order (tag, parent, path, noise, article) and a list of texts and block ends."""
 
-    __slots__ = ("article", "items", "main", "noise", "outer", "parent", "path", "tag")
+    __slots__ = ("article", "hint", "items", "main", "noise", "outer", "parent", "path", "tag")
 
     def __init__(self, source: str):
         self.tag, self.parent, self.path, self.noise, self.outer, self.article, self.main = [""], [0], [0], [False], [False], [False], [False]
+        self.hint = [False]
         self.items: list[tuple[int, str | None]] = []
         stack, at, n = [0], 0, len(source)
         while at < n:
@@ -115,7 +124,9 @@ class Page:
         self.tag.append(tag)
         self.parent.append(up)
         self.path.append(xxhash.xxh64_intdigest(f"{self.path[up]}/{tag}.{names.strip()}") >> 1)
-        self.noise.append(tag in TAGS or hidden or role in ROLES or bool(names) and not whole and tag != "main" and telling(names))
+        said = telling(names) if names and not whole and tag != "main" else 0
+        self.noise.append(tag in TAGS or hidden or role in ROLES or said == 2 or said == 1 and not self.article[up])
+        self.hint.append(said == 1 and self.article[up])
         self.outer.append(tag == "header" or bool(names) and not whole and not OUTSIDE.isdisjoint(re.split(r"[^a-z0-9]+", names)))
         self.article.append(self.article[up] or tag in ("article", "main") or role == "main")
         self.main.append(tag == "main" or role == "main")
@@ -158,12 +169,29 @@ class Page:
 
     def noisy(self) -> list[bool]:
         """Which elements stand in one that says that it is no article."""
-        gone = [False] * len(self.tag)
+        gone, borne = [False] * len(self.tag), self.links() if any(self.hint) else self.hint
         for i in range(1, len(self.tag)):
             up = self.parent[i]
-            gone[i] = gone[up] or self.noise[i] or self.outer[i] and not self.article[up]
+            gone[i] = gone[up] or self.noise[i] or self.outer[i] and not self.article[up] or self.hint[i] and borne[i]
         return gone
 
+    def links(self) -> list[bool]:
+        """Which elements have half of their text in links, or hold a control."""
+        n = len(self.tag)
+        linked, all_, within, control = [False] * n, [0] * n, [0] * n, [False] * n
+        for i in range(1, n):
+            linked[i] = linked[self.parent[i]] or self.tag[i] == "a"
+            control[i] = self.tag[i] in ("form", "input", "button", "select", "textarea")
+        for i, text in self.items:
+            if text is not None:
+                size = len(text.strip())
+                all_[i] += size
+                within[i] += size * linked[i]
+        for i in range(n - 1, 0, -1):
+            up = self.parent[i]
+            all_[up], within[up], control[up] = all_[up] + all_[i], within[up] + within[i], control[up] or control[i]
+        return [c or 2 * w >= a for c, w, a in zip(control, within, all_, strict=True)]
+
     def identity(self) -> int:
         """The same for copies of a page that differ around its text: its first heading and two longest blocks (one may be what all pages share)."""
         gone = self.noisy()

@@ -502,6 +502,11 @@ def test_html_forms():
     assert page("<main><p>" + "The story is here. " * 9 + "</p><article class=card>Teaser</article></main>").text() == ("The story is here. " * 9 + "Teaser")
     assert page('<div class="site-footer">x</div><div class="cookie-notice">y</div><div id="related-posts">z</div><p class="comment">c</p><p>text</p>').text() == "text"
     assert page("<p>a" + "=\"" * 20_000 + "<p " + "x='y' " * 20_000).text().startswith("a=")
+    inside = lambda x: page(f"<article><p>Own words of the story.</p>{x}</article>").text().removeprefix("Own words of the story.").strip()
+    assert inside('<div class="user-comment">first!</div><div class="email-signup">Sign up</div><div class="reader-comments"><p>well</p></div>') == ""
+    assert inside('<p class="social-policy">Policy words.</p><p class="related">Related by marriage.</p>') == "Policy words. Related by marriage."
+    assert inside('<div class="social-links">On <a href=x>one site</a> <a href=y>other</a></div><div class="share"><button>Share</button> this</div><ul class=related><li><a href=z>More</a></ul>') == ""
+    assert page('<p class="social-links">Follow</p><p>text</p>').text() == "text"
     assert page("<article><p hidden>no</p><p class=hidden-gem>yes</p></article>").text() == "yes"
 
 

@@ -114,7 +114,7 @@ def inferred_scheme(target: Column, mask: Column) -> Column:
 
 
 def report(df: DataFrame, quatrain: str = "quatrain", scheme: str = "scheme", meter: str = "meter", level: str = "level") -> DataFrame:
-    """For generated quatrains: found_scheme, scheme_match by place, meter_match by verse, found_level and level_match (GOOD, OK or BAD)."""
+    """For generated quatrains: found_scheme, scheme_match by place, found_meter (the target where it is likely enough) and meter_match by verse, found_level and level_match (GOOD, OK or BAD)."""
     q = F.col(quatrain)
     mask = sum((F.when(scorers.rhyme_probability(F.get(q, i), F.get(q, j)) >= 0.5, 1 << b).otherwise(0) for b, (i, j) in enumerate(PAIRS)), F.lit(0))
     out = df.withColumn("found_scheme", let(F.struct(F.col(scheme).alias("t"), mask.alias("m")), lambda x: inferred_scheme(x["t"], x["m"])))
@@ -122,6 +122,7 @@ def report(df: DataFrame, quatrain: str = "quatrain", scheme: str = "scheme", me
     out = out.withColumn("scheme_match", F.zip_with(letters(F.col(scheme)), letters(F.col("found_scheme")), lambda a, b: F.when(a == b, "GOOD").otherwise("BAD")))
     verdict = lambda v: F.when(scorers.meter(v) == F.col(meter), "GOOD").when(scorers.meter_probability(v, F.col(meter)) >= 1 / 7, "OK").otherwise("BAD")
     out = out.withColumn("meter_match", F.transform(q, verdict))
+    out = out.withColumn("found_meter", F.zip_with(q, "meter_match", lambda v, m: F.when(m == "BAD", scorers.meter(v)).otherwise(F.col(meter))))
     found = alliteration_level(mean(F.transform(q, lambda v: alliteration(scorers.initials(v)))))
     rank = lambda c: F.when(c == "low", 0).when(c == "medium", 1).otherwise(2)
     gap = F.abs(rank(F.col("found_level")) - rank(F.col(level)))

@@ -11,6 +11,7 @@ from strophe.functions.enums import EMOTIONS, LEVELS, METERS, PAIRS, RHYME_SCHEM
 from strophe.functions.prosody import alliteration, alliteration_level, harmonic_mean, mean
 
 from .fuzzy import closest, length_band
+from .language_model import grams
 
 
 def checked(df: DataFrame, column: str, names: list[str]) -> DataFrame:
@@ -133,11 +134,14 @@ def multilabel_prf(df: DataFrame, labels: str, predicted: str, classes: list[str
 
 
 def byte_perplexity(df: DataFrame, text: str = "text") -> DataFrame:
-    """Mean over rows of exp of the mean negative log-likelihood of their bytes under the corpus's own byte frequencies; empty texts have none."""
-    b = df.select(F.monotonically_increasing_id().alias("_id"), text).select("_id", F.explode(F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(".."), F.lit(0))).alias("b")).groupBy("_id", "b").agg(F.count("*").alias("n"))
-    total = b.groupBy("b").agg(F.sum("n").alias("m"))  # 256 rows
-    all_ = total.agg(F.sum("m").alias("t"))
-    per = b.join(F.broadcast(total), "b").crossJoin(F.broadcast(all_)).groupBy("_id").agg(F.exp(-F.sum(F.col("n") * F.log(F.col("m") / F.col("t"))) / F.sum("n")).alias("ppl"))
+    """Mean over rows of exp of the mean negative log-likelihood of their bytes under the corpus's own byte frequencies; empty texts have none.
+
+    Each row is counted by itself (256 counts at most), so neither bytes nor texts are dealt out.
+    """
+    b = df.select(F.monotonically_increasing_id().alias("_id"), grams(1)(text).alias("_g")).select("_id", F.inline("_g"))
+    total = b.groupBy("gram").agg(F.sum("n").alias("m"))  # 256 rows
+    shares = total.join(F.broadcast(total.agg(F.sum("m").alias("t")))).select("gram", F.log(F.col("m") / F.col("t")).alias("logp"))
+    per = b.join(F.broadcast(shares), "gram").groupBy("_id").agg(F.exp(-F.sum(F.col("n") * F.col("logp")) / F.sum("n")).alias("ppl"))
     return per.agg(F.avg("ppl").alias("mean_perplexity"))
 
 

@@ -623,7 +623,7 @@ def learning_rate_search(spark, d):
 @query()
 def generated_report(spark, d):
     g = _generated(spark, d).filter(windows.is_quatrain(F.col("quatrain"))).withColumn("quatrain", F.split("quatrain", "\n"))
-    return annotate.report(g).select(*IDS, "scheme", "found_scheme", F.array_join("scheme_match", ",").alias("scheme_match"), F.array_join("meter_match", ",").alias("meter_match"), "found_level", "level_match")
+    return annotate.report(g).select(*IDS, "scheme", "found_scheme", F.array_join("scheme_match", ",").alias("scheme_match"), F.array_join("found_meter", ",").alias("found_meter"), F.array_join("meter_match", ",").alias("meter_match"), "found_level", "level_match")
 
 
 @query("SELECT i AS n, CASE WHEN i <= 0 THEN '' ELSE array_to_string(list_transform(range(0, i), lambda x: chr(CAST(97 + (CASE x % 4 WHEN 0 THEN 0 WHEN 1 THEN 0 ELSE 1 END) + 2 * (x // 4) AS INT))), '') END AS scheme FROM range(0, 40) t(i)")

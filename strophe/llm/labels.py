@@ -30,10 +30,10 @@ def _some(rows: DataFrame, bound: int, *by: str) -> DataFrame:
     return rows.filter(F.pmod(F.xxhash64(*by, F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000))
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, name: str, keep, bound: int = BOUND) -> DataFrame:
-    """doc_id, text and y of at most about ``bound`` different rows, however often a doc_id or a text repeats: bounded by labels before the join and by texts after it.
+def labelled(docs: DataFrame, labels: DataFrame, name: str, keep, value: str = "text", bound: int = BOUND) -> DataFrame:
+    """doc_id, a value and y of at most about ``bound`` different rows, however often a doc_id or a text repeats: bounded by labels before the join and by rows after it.
 
     keep: writes a table, of which only a bounded part is then used.
     """
-    rows = keep(docs.join(sample(labels, name, bound), "doc_id").select("doc_id", "text", "y").distinct())
-    return _some(rows, bound, "doc_id", "text")
+    rows = keep(docs.join(sample(labels, name, bound), "doc_id").select("doc_id", value, "y").distinct())
+    return _some(rows, bound, "doc_id", value)

@@ -5,7 +5,9 @@ cosines approximate a Gaussian kernel; every partition of the labelled sample su
 a bounded number of them and solves. A fifth of the sample, kept from the fit, calibrates the scores by pooled adjacent violators.
 
 Null and empty texts have zero statistics, and a score like any other. Without labels of both classes every score is 0.5.
-Repeated rows get equal scores.
+Repeated rows get equal scores, and teach once; rows that repeat a doc_id are scored by their own text, and each teaches with the doc_id's label (both, if it has two).
+Null doc_ids are scored too (not held out), and teach nothing. Equal raw scores share a calibrated one. Very long texts are measured whole. Columns
+beyond doc_id and text play no part.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .bytes_ import _SPACE, batches_of, mix, powers, words_of
 from .common import Scratch, arrow_rows, drop_inputs, table
-from .labels import BOUND, held_out, sample
+from .labels import BOUND, held_out, labelled
 
 FEATURES = 256
 WIDTH = 3.0  # of the kernel, in standard deviations of the statistics
@@ -162,7 +164,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Dat
     scratch = Scratch(spark, "classifier")
     with arrow_rows(spark, 1000):
         xs = scratch.keep(measured(docs))
-    rows = scratch.keep(xs.join(sample(labels, "quality", bound), "doc_id").select("doc_id", "x", "y"))
+    rows = labelled(xs, labels, "quality", scratch.keep, "x", bound)
     model = fit(rows)
 
     def run(batches):

@@ -3,9 +3,11 @@
 The model protobuf is read by hand, and its normaliser, metaspace marker, unigram scores or merge ranks and byte
 fallback are rebuilt; whole texts are encoded in batches by several threads. Where no piece crosses words, each different word is encoded once. Ids are
 decoded by a table of the pieces' bytes. The sentencepiece library encodes, and the rebuilt tokenizer decodes, a
-fixed share of the texts (by hash of doc_id) beside it, and any difference raises an error.
+fixed share of the texts (one in ``check_every``, by hash of doc_id) beside it, and any difference raises an error that names the doc_id: no table is written then. Its text shows
+which rule of the model is not rebuilt; encode with sentencepiece until it is, as ids that differ would go unseen in the other texts.
 
 A null text has no ids (null); an empty one has none ([]). Repeated rows (also of one doc_id with several texts), null doc_ids and extra columns don't matter.
+A very long text is encoded whole, as a batch of its own. Of equal merges the leftmost goes first, as in sentencepiece.
 The driver reads the model once (its path is a parameter) and sends half a MB to each task.
 """
 

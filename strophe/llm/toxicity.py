@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .bytes_ import NO_LETTER, batches_of, mix, powers, words_of
 from .common import Scratch, arrow_rows, drop_inputs, table
-from .labels import BOUND, held_out, labelled_texts
+from .labels import BOUND, held_out, labelled
 
 #: Identity terms by group, swapped within their group.
 IDENTITY = [
@@ -207,7 +207,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, bound: int = BOUND, penal
     scratch = Scratch(spark, "toxicity")
     docs = drop_inputs(docs, "doc_id", "text")
     with arrow_rows(spark, 1000):
-        rows = labelled_texts(docs, labels, "toxic", scratch.keep, bound)
+        rows = labelled(docs, labels, "toxic", scratch.keep, bound=bound)
         model = fit(rows, penalty)
 
     def run(batches):

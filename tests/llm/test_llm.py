@@ -773,6 +773,41 @@ def test_learning_leaves_held_out_rows_alone(spark):
         assert all(abs(one[k] - two[k]) < 1e-9 for k in one)
 
 
+def test_rows_of_one_doc_id_by_value(spark):
+    """Rows that repeat a doc_id, and rows without one, get what their own text gets under any other doc_id; repeated rows teach once."""
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    long = "word and more of it, " * 20_000
+    odd = [(90_001, "vile words ### only"), (90_001, "A sentence of ordinary words stands here."), (90_001, None), (90_001, ""), (None, "A sentence of ordinary words stands here."), (None, long), (90_002, long)]
+    alone = [(91_000 + i, x) for i, (_, x) in enumerate(odd)]
+    for f in (quality_classifier.score_quality, toxicity.score_toxicity):
+        got = f(table(spark, docs + docs[:50] + odd + odd[:1] + alone), labels).collect()
+        assert len(got) == len(docs) + 50 + 2 * len(odd) + 1
+        of = {r["doc_id"]: r["score"] for r in got if r["doc_id"] and r["doc_id"] >= 91_000}
+        want = lambda *places: sorted(of[91_000 + i] for i in places)
+        assert np.allclose(sorted(r["score"] for r in got if r["doc_id"] == 90_001), want(0, 0, 1, 2, 3))
+        assert np.allclose(sorted(r["score"] for r in got if r["doc_id"] is None), want(4, 5))
+        assert not any(r["held_out"] for r in got if r["doc_id"] is None)
+        once = {r["doc_id"]: r["score"] for r in f(table(spark, docs), labels).collect()}
+        assert all(abs(r["score"] - once[r["doc_id"]]) < 1e-9 for r in got if r["doc_id"] in once)
+    model = sentencepiece_tokens.read_model()
+    got = sentencepiece_tokens.digest(table(spark, odd + odd[:1] + alone), model).collect()
+    of = {r["doc_id"]: tuple(r)[1:] for r in got if r["doc_id"] and r["doc_id"] >= 91_000}
+    assert sorted(map(str, (tuple(r)[1:] for r in got if r["doc_id"] == 90_001))) == sorted(str(of[91_000 + i]) for i in (0, 0, 1, 2, 3))
+    assert of[91_002] == (None, None, None) and of[91_003][0] == 0 and of[91_005] == of[91_006]
+
+
+def test_sample_stays_bounded(spark):
+    """A doc_id that a third of the rows hold teaches with a bounded number of rows."""
+    from strophe.llm import labels
+
+    ids = [i for i in range(300) if __import__("zlib").crc32(str(i).encode()) % 3 != 1]
+    docs = table(spark, [(ids[0], f"text {k}") for k in range(2000)] + [(i, "other") for i in ids[1:]])
+    known = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    kept = labels.labelled(docs, known, "toxic", lambda x: x, bound=200).collect()
+    assert 120 < len(kept) < 300
+
+
 def test_counterfactual_penalty():
     rng = np.random.default_rng(1)
     y = rng.integers(0, 2, 400).astype(float)

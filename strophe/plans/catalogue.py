@@ -11,7 +11,7 @@ from strophe.functions import attribution, enums, prosody, rules, scorers, text,
 from strophe.functions.core import let
 from strophe.operators import annotate, classify, fuzzy, language_model, metrics, pairs, scratch, search, splits, stats, windows
 
-from . import fixtures
+from . import corpora
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -228,16 +228,24 @@ def dealt_blocks(spark, d):
 GRID = (["AABB", "ABAB", "ABBA", "ABCB"], ["alexandrine", "iambus", "trochee", "anapaest"], enums.LEVELS, 75)
 
 
-@query(f"SELECT rhyme, meter, level, CAST(rep AS INT) AS rep FROM (SELECT unnest([{_list(GRID[0])}]) AS rhyme), (SELECT unnest([{_list(GRID[1])}]) AS meter), (SELECT unnest([{_list(GRID[2])}]) AS level), (SELECT unnest(range(1, 76)) AS rep)")
+LANGUAGES = "(SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)"
+
+
+def _languages(spark, d):
+    return t(spark, d, "documents").select("lang").filter("lang IS NOT NULL").distinct()
+
+
+@query(f"SELECT lang, rhyme, meter, level, CAST(rep AS INT) AS rep FROM {LANGUAGES}, (SELECT unnest([{_list(GRID[0])}]) AS rhyme), (SELECT unnest([{_list(GRID[1])}]) AS meter), (SELECT unnest([{_list(GRID[2])}]) AS level), (SELECT unnest(range(1, {GRID[3] + 1})) AS rep)")
 def style_grid(spark, d):
+    """Evaluation prompts for every language of the corpus: each style, so many times."""
     one = lambda names: F.explode(F.array(*map(F.lit, names)))
-    return spark.range(1).select(one(GRID[0]).alias("rhyme")).select("*", one(GRID[1]).alias("meter")).select("*", one(GRID[2]).alias("level")).select("*", F.explode(F.sequence(F.lit(1), F.lit(GRID[3]))).alias("rep"))
+    return _languages(spark, d).select("lang", one(GRID[0]).alias("rhyme")).select("*", one(GRID[1]).alias("meter")).select("*", one(GRID[2]).alias("level")).select("*", F.explode(F.sequence(F.lit(1), F.lit(GRID[3]))).alias("rep"))
 
 
-@query(f"WITH e AS (SELECT unnest([{_list(enums.EMOTIONS)}]) AS e) SELECT a.e AS first, b.e AS second, CAST(rep AS INT) AS rep FROM e a, e b, (SELECT unnest(range(1, 101)) AS rep) WHERE a.e < b.e")
+@query(f"WITH e AS (SELECT unnest([{_list(enums.EMOTIONS)}]) AS e) SELECT lang, a.e AS first, b.e AS second, CAST(rep AS INT) AS rep FROM {LANGUAGES}, e a, e b, (SELECT unnest(range(1, 101)) AS rep) WHERE a.e < b.e")
 def emotion_grid(spark, d):
     e = F.array(*map(F.lit, enums.EMOTIONS))
-    both = spark.range(1).select(F.explode(e).alias("first")).select("first", F.explode(e).alias("second")).filter("first < second")
+    both = _languages(spark, d).select("lang", F.explode(e).alias("first")).select("*", F.explode(e).alias("second")).filter("first < second")
     return both.select("*", F.explode(F.sequence(F.lit(1), F.lit(100))).alias("rep"))
 
 
@@ -626,9 +634,12 @@ def generated_report(spark, d):
     return annotate.report(g).select(*IDS, "scheme", "found_scheme", F.array_join("scheme_match", ",").alias("scheme_match"), F.array_join("found_meter", ",").alias("found_meter"), F.array_join("meter_match", ",").alias("meter_match"), "found_level", "level_match")
 
 
-@query("SELECT i AS n, CASE WHEN i <= 0 THEN '' ELSE array_to_string(list_transform(range(0, i), lambda x: chr(CAST(97 + (CASE x % 4 WHEN 0 THEN 0 WHEN 1 THEN 0 ELSE 1 END) + 2 * (x // 4) AS INT))), '') END AS scheme FROM range(0, 40) t(i)")
+@query("""SELECT doc_id, CAST(i AS INT) AS n, CASE WHEN i <= 0 THEN '' ELSE array_to_string(list_transform(range(0, i), lambda x: chr(CAST(97 + (CASE x % 4 WHEN 0 THEN 0 WHEN 1 THEN 0 ELSE 1 END) + 2 * (x // 4) AS INT))), '') END AS scheme
+FROM (SELECT doc_id, len(string_split(text, chr(10))) % 40 AS i FROM documents)""")
 def scheme_repetition(spark, d):
-    return spark.range(40).select(F.col("id").alias("n"), prosody.repeated_scheme(F.array(*map(F.lit, "aabb")), F.col("id").cast("int")).alias("scheme"))
+    """A starred scheme over as many verses as a document has lines beyond forties (letters end with the alphabet)."""
+    n = F.size(F.split("text", "\n")) % 40
+    return t(spark, d, "documents").select("doc_id", n.alias("n")).select("doc_id", "n", prosody.repeated_scheme(F.array(*map(F.lit, "aabb")), F.col("n")).alias("scheme"))
 
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
@@ -642,5 +653,11 @@ def event_windows(spark, d):
     return t(spark, d, "events").groupBy("event_type", F.window("ts", "1 hour").start.cast("timestamp").cast("long").alias("hour")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
-Q.update(fixtures.queries())
-SQL.update(fixtures.oracle_sql())
+def _normalized(x: str) -> str:
+    y = _chain(x, text.CORRECTIONS)
+    z = f"(CASE WHEN starts_with({y}, 'b''') THEN substr({y}, 3, greatest(length({y}) - 3, 0)) ELSE {y} END)"
+    return f"list_transform([{z}], lambda z: CASE WHEN length(z) >= 3 AND regexp_matches(z[1:2], '\\p{{Lu}}') AND NOT regexp_matches(z[1:2], '[\\p{{Ll}}\\p{{Lt}}]') AND NOT regexp_matches(z[3:3], '\\p{{Lu}}') THEN z[1:1] || lower(z[2:2]) || z[3:] ELSE z END)[1]"
+
+
+Q.update(corpora.queries())
+SQL.update(corpora.oracle_sql(_normalized, lambda x: DETOKENIZED.replace("text", x), ALLIT, TOKENS.format(x="text")))

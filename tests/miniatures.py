@@ -1,4 +1,4 @@
-"""Reader queries over small invented files: they show each format end to end. The twins list the rows that the files must give, written by hand."""
+"""Readers over small invented files, one of each format. The twins list the rows that the files must give, written by hand."""
 
 from __future__ import annotations
 

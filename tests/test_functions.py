@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from strophe.functions import enums, prosody, text, tokens
 from strophe.operators import annotate, metrics, splits
-from strophe.plans.fixtures import FILES
+from .miniatures import FILES
 from strophe.sources import readers
 
 FORMS = {

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strophe.functions import attribution, enums, prosody, rules, scorers, text, tokens
 from strophe.functions.core import let
 from strophe.operators import annotate, classify, fuzzy, language_model, metrics, pairs, scratch, search, splits, stats, windows
+from strophe.sources import archives, readers, sinks
 
 from . import corpora
 
@@ -213,7 +217,8 @@ def running_sample_cap(spark, d):
     return splits.running_cap(sized, ["doc_id"], "n", sized.agg(F.floor(F.sum("n") / 2)).first()[0] or 0).select("doc_id", "kept")
 
 
-WORLD, BATCH, EVALUATION = 8, 4, 50
+WORLD, EVALUATION = 8, 50
+BATCH = splits.local_batch(32, WORLD)
 
 
 @query(f"""WITH {BLOCKS}, c AS (SELECT doc_id, i, CAST(list_sum(a[i * 1024 + 1 : i * 1024 + 1024]) AS BIGINT) AS total FROM b),
@@ -487,6 +492,15 @@ def alliteration_accuracy(spark, d):
     return metrics.alliteration_metric(_generated(spark, d)).select(r6(F.col("alliteration_score")).alias("alliteration_score"))
 
 
+@query(f"""WITH {GEN}, {LINE_METERS}, {LINE_ALLIT}, {Q_ALLIT}, x AS (SELECT doc_id, start, ok, meter, unnest(q) AS verse FROM gen), y AS (SELECT doc_id, start, ok, list(CASE WHEN label = meter THEN 0.7::DOUBLE ELSE 0.05 END) AS p FROM x JOIN vm USING (verse) GROUP BY doc_id, start, ok)
+SELECT round((SELECT avg(CASE WHEN ok THEN {MEAN('p')} ELSE 0 END) FROM y), 6) AS meter, round((SELECT avg(CASE WHEN ok AND {LEVEL('score')} = level THEN 1.0::DOUBLE ELSE 0 END) FROM gen JOIN qa USING (doc_id, start)), 6) AS alliteration""")
+def merged_metrics(spark, d):
+    """Several metrics side by side under other names."""
+    g = _generated(spark, d)
+    both = metrics.merged(metrics.meter_metric(g), metrics.alliteration_metric(g), rename={"meter_score": "meter", "alliteration_score": "alliteration"})
+    return both.select(r6(F.col("meter")).alias("meter"), r6(F.col("alliteration")).alias("alliteration"))
+
+
 EMO_P = "[" + ", ".join(f"list_max(list_transform(q, lambda v: least(1.0::DOUBLE, 8.0::DOUBLE * (length(v) - length(replace(lower(v), '{c}', ''))) / greatest(length(v), 1))))" for c in scorers.EMOTION_LETTERS.values()) + "]"
 
 
@@ -653,6 +667,77 @@ def event_windows(spark, d):
     return t(spark, d, "events").groupBy("event_type", F.window("ts", "1 hour").start.cast("timestamp").cast("long").alias("hour")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
+@query(f"""WITH n AS (SELECT value, idx, count(o_orderkey) AS n FROM (SELECT unnest([{_list(PRIORITIES)}]) AS value, unnest(range(0, {len(PRIORITIES)})) AS idx) LEFT JOIN orders ON o_orderpriority = value GROUP BY value, idx)
+SELECT value, n, CAST(row_number() OVER (ORDER BY n DESC, idx) AS INT) AS place FROM n""")
+def most_common_labels(spark, d):
+    """Labels by how often they occur, ties in the order of the domain; the places are those of the sorted table."""
+    counted = stats.counts_with_zeros(t(spark, d, "orders"), "o_orderpriority", PRIORITIES)
+    return counted.agg(F.collect_list(F.struct("value", "n")).alias("all")).select(F.posexplode("all").alias("p", "x")).select("x.value", "x.n", (F.col("p") + 1).alias("place"))  # as many rows as labels
+
+
+SHARES = "[" + ", ".join(f"least(1.0::DOUBLE, 8.0::DOUBLE * (length(verse) - length(replace(lower(verse), '{c}', ''))) / greatest(length(verse), 1))" for c in scorers.EMOTION_LETTERS.values()) + "]"
+
+
+@query(f"""WITH {WIN}, v AS (SELECT DISTINCT unnest(q) AS verse FROM k), p AS (SELECT verse, {SHARES} AS p FROM v)
+SELECT verse, CAST(list_position(p, list_max(p)) - 1 AS INT) AS best, array_to_string(list_transform(p, lambda x: CASE WHEN x - 0.5 >= 0 THEN '1' ELSE '0' END), '') AS predicted FROM p""")
+def predicted_emotions(spark, d):
+    """Of each verse the most probable emotion (the first of several), and all whose logit's sigmoid is a half or more."""
+    v = quatrains(spark, d).select(F.explode("quatrain").alias("verse")).distinct()
+    p = v.select("verse", F.array(*[scorers.emotion_probability(F.col("verse"), c) for c in scorers.EMOTION_LETTERS.values()]).alias("p"))
+    logits = F.transform("p", lambda x: x - 0.5)
+    return p.select("verse", metrics.argmax(F.col("p")).cast("int").alias("best"), F.array_join(F.transform(metrics.predicted_labels(logits), lambda x: x.cast("int").cast("string")), "").alias("predicted"))
+
+
+@query("SELECT CASE lang WHEN 'de' THEN 'deu' WHEN 'en' THEN 'eng-us' WHEN 'es' THEN 'spa' WHEN 'fr' THEN 'fra' ELSE lang END AS code, CASE CASE WHEN length(text) > 2000 THEN 'large' ELSE 'base' END WHEN 'large' THEN 'medium' ELSE 'base' END AS size, count(*) AS n FROM documents GROUP BY ALL")
+def renamed_codes(spark, d):
+    """Documents by the pronunciation tool's name of their language, and by what sizes are called."""
+    size = F.when(F.length("text") > 2000, "large").otherwise("base")
+    return t(spark, d, "documents").groupBy(enums.renamed(F.col("lang"), enums.LANGUAGE_CODES).alias("code"), enums.renamed(size, enums.SIZE_NAMES).alias("size")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, lang, md5(text) AS digest FROM documents")
+def json_lines(spark, d):
+    """Documents written as JSON Lines and read again."""
+    path = f"{scratch.Scratch(spark, 'jsonl').root}/documents"
+    docs = t(spark, d, "documents").select("doc_id", "lang", "text")
+    sinks.write_json_lines(docs, path)
+    return spark.read.schema(docs.schema).json(path).select("doc_id", "lang", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("""WITH d AS (SELECT doc_id, string_split(replace(text, '. ', chr(10) || chr(10)) || chr(10), chr(10)) AS v FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+l AS (SELECT doc_id, generate_subscripts(v, 1) AS pos, regexp_replace(unnest(v), '^\\s+|\\s+$', '', 'g') AS line FROM d),
+n AS (SELECT *, count(*) FILTER (line = '') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS id FROM l),
+t AS (SELECT coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (line <> ''), '') AS text FROM n GROUP BY doc_id, id HAVING count(*) FILTER (line = '') > 0)
+SELECT md5(text) AS digest, count(*) AS n FROM t GROUP BY text""")
+def loaded_documents(spark, d):
+    """The registered reader over written files: documents one after the other, with a blank line behind each full stop and each document."""
+    path = f"{scratch.Scratch(spark, 'loaded').root}/texts"
+    corpora.plain_files(spark, d).select(F.concat("content", F.lit("\n"))).write.text(path)
+    return readers.load(spark, "documents", path).groupBy(F.md5(F.col("text").cast("binary")).alias("digest")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, md5(text) AS digest FROM documents WHERE text IS NOT NULL")
+def archive_members(spark, d):
+    """Each document as an archive in three parts, joined and opened."""
+
+    def packed(batches):
+        for b in batches:
+            out = []
+            for k, x in zip(b["doc_id"], b["text"], strict=True):
+                whole = io.BytesIO()
+                with zipfile.ZipFile(whole, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr(f"texts/{k}.txt", x)
+                out.append(whole.getvalue())
+            yield pd.DataFrame({"doc_id": b["doc_id"], "content": out})
+
+    whole = t(spark, d, "documents").select("doc_id", "text").filter("text IS NOT NULL").mapInPandas(packed, "doc_id long, content binary")
+    third = F.floor(F.length("content") / 3).cast("int")
+    cut = F.array(F.substring("content", F.lit(1), third), F.substring("content", third + 1, third), F.substring("content", 2 * third + 1, F.length("content")))
+    files = whole.select("doc_id", F.posexplode(cut).alias("part", "content")).select(F.concat(F.lit("/"), "doc_id", F.lit(".zip."), "part").alias("path"), "content")
+    texts = archives.members(archives.parts_of(files))
+    return texts.select(F.regexp_extract("name", r"(\d+)\.txt$", 1).cast("long").alias("doc_id"), F.md5("content").alias("digest"))
+
+
 def _normalized(x: str) -> str:
     y = _chain(x, text.CORRECTIONS)
     z = f"(CASE WHEN starts_with({y}, 'b''') THEN substr({y}, 3, greatest(length({y}) - 3, 0)) ELSE {y} END)"

@@ -30,7 +30,10 @@ def score_distinct(df: DataFrame, keys: list[str], scorer: Callable[..., Column]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     scored = Scratch(spark, "scores").keep(df.groupBy(*keys).agg(F.count("*").alias("_n")).withColumn(name, scorer(*[F.col(k) for k in keys])))
     least = max(1000, (scored.agg(F.sum("_n")).first()[0] or 0) // (4 * parts))
-    heavy, light = F.broadcast(scored.filter(F.col("_n") >= least).drop("_n")), scored.filter(F.col("_n") < least).drop("_n")
+    heavy = F.broadcast(scored.filter(F.col("_n") >= least).drop("_n"))
+    if heavy.isEmpty():
+        return df.join(scored.drop("_n"), keys, "left")
+    light = scored.filter(F.col("_n") < least).drop("_n")
     rest = df.join(heavy.select(*keys), keys, "left_anti").join(light, keys, "left")
     return rest.unionByName(df.join(heavy, keys))
 

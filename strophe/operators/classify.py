@@ -12,11 +12,17 @@ from strophe.functions.core import let
 from strophe.functions.enums import METERS
 
 
-def cleaned(verse: Column, lang: Column) -> Column:
-    return rules.by_language(lang, lambda g: rules.clean_sentence(verse, g))
+def cleaned(verse: Column, lang: Column | None) -> Column:
+    """A verse by the rules of its language; without a language it is clean already."""
+    return verse if lang is None else rules.by_language(lang, lambda g: rules.clean_sentence(verse, g))
 
 
-def rhyme(a: Column, b: Column, lang: Column, scorer: Callable[..., Column] = scorers.rhyme_probability) -> Column:
+def cleaned_all(verses: Column, lang: Column) -> Column:
+    """Each verse of an array, cleaned once, however many classifiers read it."""
+    return rules.by_language(lang, lambda g: F.transform(verses, lambda v: rules.clean_sentence(v, g)))
+
+
+def rhyme(a: Column, b: Column, lang: Column | None = None, scorer: Callable[..., Column] = scorers.rhyme_probability) -> Column:
     """text, text_pair (the cleaned verses, sorted), label and score of the label."""
     pair = F.sort_array(F.array(cleaned(a, lang), cleaned(b, lang)))
 
@@ -26,7 +32,7 @@ def rhyme(a: Column, b: Column, lang: Column, scorer: Callable[..., Column] = sc
     return let(pair, scored)
 
 
-def meter(verse: Column, lang: Column, scorer: Callable[..., Column] = scorers.meter_probability) -> Column:
+def meter(verse: Column, lang: Column | None = None, scorer: Callable[..., Column] = scorers.meter_probability) -> Column:
     """label and score: the most probable meter, the first in order of several."""
 
     def best(v):
@@ -36,7 +42,7 @@ def meter(verse: Column, lang: Column, scorer: Callable[..., Column] = scorers.m
     return let(cleaned(verse, lang), best)
 
 
-def emotion(verse: Column, lang: Column, scorer: Callable[..., Column] = scorers.emotion_probability, least: float = 0.5) -> Column:
+def emotion(verse: Column, lang: Column | None = None, scorer: Callable[..., Column] = scorers.emotion_probability, least: float = 0.5) -> Column:
     """label, score and predicted of each emotion."""
     one = lambda v, e, c: let(scorer(v, c), lambda s: F.struct(F.lit(e).alias("label"), s.alias("score"), (s >= least).alias("predicted")))
     return let(cleaned(verse, lang), lambda v: F.array(*[one(v, e, c) for e, c in scorers.EMOTION_LETTERS.items()]))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strophe.functions import attribution, enums, prosody, rules, scorers, text, tokens
+from strophe.functions import attribution, enums, prosody, scorers, text, tokens
 from strophe.functions.core import let
 from strophe.operators import annotate, classify, fuzzy, language_model, metrics, pairs, scratch, search, splits, stats, windows
 from strophe.sources import archives, readers, sinks
@@ -148,7 +148,7 @@ def clean_sentences(spark, d):
 def clean_lines(spark, d):
     """Every line of a document, cleaned by the rules of its language."""
     docs = t(spark, d, "documents")
-    clean = rules.by_language(F.col("lang"), lambda g: F.transform(F.split("text", "\n"), lambda v: rules.clean_sentence(v, g)))
+    clean = classify.cleaned_all(F.split("text", "\n"), F.col("lang"))
     return docs.select("doc_id", F.md5(F.array_join(clean, "\n").cast("binary")).alias("clean"))
 
 
@@ -549,11 +549,12 @@ def closest_quatrain(spark, d):
 @query()
 def classified_lines(spark, d):
     """All lines of documents through the three classifiers: counts by meter, by emotion that is predicted, and by rhyme with the line before."""
-    lines = t(spark, d, "documents").select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "verse"), F.split("text", "\n").alias("_all"))
-    lines = lines.withColumn("before", F.get("_all", F.col("pos") - 1)).drop("_all")
+    clean = t(spark, d, "documents").select("doc_id", classify.cleaned_all(F.split("text", "\n"), F.col("lang")).alias("v"))
+    pairs_ = F.transform("v", lambda x, i: F.struct(x.alias("verse"), F.get("v", i - 1).alias("before")))
+    lines = scratch.Scratch(spark, "lines").keep(clean.select("doc_id", F.explode(pairs_).alias("x")).select("doc_id", "x.*"))
     found = lines.select(
-        "doc_id", classify.meter(F.col("verse"), F.col("lang"))["label"].alias("meter"), F.filter(classify.emotion(F.col("verse"), F.col("lang")), lambda e: e["predicted"]).alias("e"),
-        F.when(F.col("before").isNotNull(), classify.rhyme(F.col("verse"), F.col("before"), F.col("lang"))["label"]).alias("rhyme"),
+        "doc_id", classify.meter(F.col("verse"))["label"].alias("meter"), F.filter(classify.emotion(F.col("verse")), lambda e: e["predicted"]).alias("e"),
+        F.when(F.col("before").isNotNull(), classify.rhyme(F.col("verse"), F.col("before"))["label"]).alias("rhyme"),
     )
     labels = F.concat(F.array(F.concat(F.lit("meter:"), "meter")), F.transform("e", lambda e: F.concat(F.lit("emotion:"), e["label"])), F.array_compact(F.array(F.concat(F.lit("rhyme:"), "rhyme"))))
     return found.select("doc_id", F.explode(labels).alias("label")).groupBy("doc_id", "label").agg(F.count("*").alias("n"))

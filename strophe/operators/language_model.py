@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch, small
@@ -13,22 +15,26 @@ BASE = 257  # bytes, and one more that stands before the first byte
 START = 256
 
 
-def grams(order: int):
-    """A pandas UDF: the different n-grams of a text's UTF-8 bytes (each byte behind order - 1 others, digits of a number to the base 257) and how often each occurs."""
+def grams(order: int) -> Callable[[str], Column]:
+    """Of a text column, the different n-grams of each text's UTF-8 bytes (gram: a byte behind order - 1 others, digits of a number to the base 257) and how often each occurs (n)."""
+
+    def one(x):
+        if not x:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        b = np.concatenate([np.full(order - 1, START, np.int64), np.frombuffer(x.encode(), np.uint8).astype(np.int64)])
+        code = np.zeros(len(b) - order + 1, np.int64)
+        for k in range(order):
+            code = code * BASE + b[k : k + len(code)]
+        return np.unique(code, return_counts=True)
 
-    @F.pandas_udf("array<struct<gram:long,n:long>>")
-    def of(texts: pd.Series) -> pd.Series:
-        def one(x):
-            if not x:
-                return []
-            b = np.concatenate([np.full(order - 1, START, np.int64), np.frombuffer(x.encode(), np.uint8).astype(np.int64)])
-            code = np.zeros(len(b) - order + 1, np.int64)
-            for k in range(order):
-                code = code * BASE + b[k : k + len(code)]
-            found, n = np.unique(code, return_counts=True)
-            return [{"gram": int(g), "n": int(c)} for g, c in zip(found, n, strict=True)]
+    @F.pandas_udf("struct<gram:array<bigint>,n:array<bigint>>")
+    def counted(texts: pd.Series) -> pd.DataFrame:
+        both = [one(x) for x in texts]
+        return pd.DataFrame({"gram": [g for g, _ in both], "n": [n for _, n in both]})
 
-        return texts.map(one)
+    def of(text: str) -> Column:
+        found = counted(text)
+        return F.arrays_zip(found["gram"].alias("gram"), found["n"].alias("n"))
 
     return of
 

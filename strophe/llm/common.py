@@ -7,7 +7,7 @@ import contextlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strophe.operators.scratch import Scratch, shared_dir, small
+from strophe.operators.scratch import Scratch, small
 
 #: Spark calls these word separators white space: space and \t \n \v \f \r.
 SPACE = r"[\x20\x09-\x0D]+"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strophe.functions import scorers
 from strophe.functions.core import let
 from strophe.functions.enums import EMOTIONS, LEVELS, METERS, PAIRS, RHYME_SCHEMES
-from strophe.functions.prosody import alliteration, alliteration_level, harmonic_mean, mean
+from strophe.functions.prosody import alliteration_level, alliterations, harmonic_mean, mean
 
 from .fuzzy import closest, length_band
 from .language_model import grams
@@ -37,28 +37,30 @@ def rhyme_metric(df: DataFrame, quatrain: str = "quatrain", scheme: str = "schem
     return got.agg(*[F.avg(F.coalesce(F.col(f"m.{c}"), F.lit(0.0))).alias(c) for c in ("rhyme_score", "harmonic_rhyme_score", "balanced_rhyme_score", "balanced_harmonic_rhyme_score")])
 
 
-def meter_metric(df: DataFrame, quatrain: str = "quatrain", meter: str = "meter", probability=scorers.meter_probability) -> DataFrame:
-    df = checked(df, meter, METERS).withColumn("_v", F.split(quatrain, "\n"))
-    p = F.transform("_v", lambda v: probability(v, F.col(meter)))
-    score = lambda f: F.avg(F.when(F.size("_v") == 4, f(p)).otherwise(0.0))
+def meter_metric(df: DataFrame, quatrain: str = "quatrain", meter: str = "meter", probability=scorers.meter_probability, labels: str | None = None) -> DataFrame:
+    """labels: the verses' meters, where they are known."""
+    p = F.transform(labels, lambda x: scorers.probability_of_meter(x, F.col(meter))) if labels else F.transform("_v", lambda v: probability(v, F.col(meter)))
+    df = checked(df, meter, METERS).withColumn("_v", F.split(quatrain, "\n")).withColumn("_p", F.when(F.size("_v") == 4, p))
+    score = lambda f: F.avg(F.when(F.size("_v") == 4, f(F.col("_p"))).otherwise(0.0))
     return df.agg(score(mean).alias("meter_score"), score(harmonic_mean).alias("harmonic_meter_score"))
 
 
-def alliteration_metric(df: DataFrame, quatrain: str = "quatrain", level: str = "level", phones=scorers.initials, medium: float = 0.05, high: float = 0.1) -> DataFrame:
+def alliteration_metric(df: DataFrame, quatrain: str = "quatrain", level: str = "level", phones=scorers.initials, medium: float = 0.05, high: float = 0.1, scores: str | None = None) -> DataFrame:
+    """scores: the verses' alliteration scores, where they are known."""
     df = checked(df, level, LEVELS).withColumn("_v", F.split(quatrain, "\n"))
-    found = alliteration_level(F.round(mean(F.transform("_v", lambda v: alliteration(phones(v)))), 9), medium, high)
+    df = df.withColumn("_s", F.col(scores) if scores else alliterations(F.transform("_v", phones)))
+    found = alliteration_level(F.round(mean(F.col("_s")), 9), medium, high)
     return df.agg(F.avg(F.when((F.size("_v") == 4) & (found == F.col(level)), 1.0).otherwise(0.0)).alias("alliteration_score"))
 
 
-def emotion_metric(df: DataFrame, quatrain: str = "quatrain", emotions: str = "emotions") -> DataFrame:
-    """Of each target emotion the largest probability over the verses; an empty list of targets is an error."""
+def emotion_metric(df: DataFrame, quatrain: str = "quatrain", emotions: str = "emotions", probabilities: str | None = None) -> DataFrame:
+    """Of each target emotion the largest probability over the verses; an empty list of targets is an error. probabilities: the verses' of all emotions, where they are known."""
     df = df.filter(F.expr(f"assert_true(size({emotions}) > 0 AND size(array_except({emotions}, array({', '.join(repr(e) for e in EMOTIONS)}))) = 0, 'bad emotions') IS NULL")).withColumn("_v", F.split(quatrain, "\n"))
-    def largest(letter):
-        return F.array_max(F.transform("_v", lambda v: scorers.emotion_probability(v, letter)))
-
-    best = F.array(*[F.struct(F.lit(e).alias("e"), largest(c).alias("p")) for e, c in scorers.EMOTION_LETTERS.items()])
+    df = df.withColumn("_all", F.col(probabilities) if probabilities else F.transform("_v", scorers.emotion_probabilities))
+    best = F.array(*[F.struct(F.lit(e).alias("e"), F.array_max(F.transform("_all", lambda x: F.get(x, i))).alias("p")) for i, e in enumerate(EMOTIONS)])  # noqa: B023
     p = F.transform(F.filter(best, lambda x: F.array_contains(emotions, x["e"])), lambda x: x["p"])
-    score = lambda f: F.avg(F.when(F.size("_v") == 4, f(p)).otherwise(0.0))
+    df = df.withColumn("_p", F.when(F.size("_v") == 4, p))
+    score = lambda f: F.avg(F.when(F.size("_v") == 4, f(F.col("_p"))).otherwise(0.0))
     return df.agg(score(mean).alias("emotion_score"), score(harmonic_mean).alias("harmonic_emotion_score"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strophe.functions.enums import LEVELS, METERS, RHYME_SCHEMES
@@ -31,8 +32,8 @@ def quatrain_stats(df: DataFrame) -> DataFrame:
     long = n.select(F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c, _ in sets], F.struct(F.lit("length").alias("kind"), F.lit("all").alias("value")))).alias("k"), "n").groupBy("k.kind", "k.value").agg(F.sum("n").alias("n"))
     names = df.sparkSession.createDataFrame([(c, v) for c, vs in [*sets, ("length", ["all"])] for v in vs], "kind string, value string")
     out = F.broadcast(names).join(long, ["kind", "value"], "left").select("kind", "value", F.coalesce("n", F.lit(0)).cast("double").alias("n"))
-    total = long.filter("kind = 'length'").select(F.col("n").alias("t"))
-    return out.join(F.broadcast(total), how="left").select("kind", "value", F.when(F.col("kind") == "alliteration", F.col("n") / F.col("t")).otherwise(F.col("n")).alias("x"))
+    total = F.max(F.when(F.col("kind") == "length", F.col("n"))).over(W.partitionBy())  # as many rows as names
+    return out.withColumn("t", total).select("kind", "value", F.when(F.col("kind") == "alliteration", F.when(F.col("t") > 0, F.col("n") / F.when(F.col("t") > 0, F.col("t")))).otherwise(F.col("n")).alias("x"))
 
 
 def corpus_stats(df: DataFrame, kinds: dict[str, list[str] | None], language: str = "language") -> DataFrame:

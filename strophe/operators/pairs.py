@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .ranks import rank_by_md5
+from .scratch import small as few
 
 #: Fixed value: letters that a regular expression would escape never rhyme.
 SPECIAL = r"[^A-Za-z0-9_!\"%',/:;<=>@`]"
@@ -35,9 +37,27 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
 
 
+def balanced_within(df: DataFrame, scope: list[str], v1: str = "v1", v2: str = "v2") -> DataFrame:
+    """The same for scopes that each fit into a task (the pairs of a file, say): one shuffle by scope, or none if the rows are dealt by it."""
+    order = W.partitionBy(*scope, "label").orderBy(F.md5(F.concat_ws("|", v1, v2).cast("binary")), v1, v2)
+    n = F.count_if(F.col("label") == "rhyme").over(W.partitionBy(*scope))
+    ranked = df.select(*scope, v1, v2, "label").distinct().withColumns({"_n": n, "_r": F.row_number().over(order)})
+    return ranked.filter("label = 'rhyme' OR label = 'dissonance' AND _r <= _n").drop("_n", "_r")
+
+
 def balanced(df: DataFrame, scope: list[str], v1: str = "v1", v2: str = "v2") -> DataFrame:
-    """All rhymes, and of each scope as many dissonances as it has rhymes, in the order of a hash of the pair."""
-    n = df.groupBy(*scope).agg(F.count_if(F.col("label") == "rhyme").alias("_n"))
-    ranked = rank_by_md5(df.filter("label = 'dissonance'"), scope, F.concat_ws("|", v1, v2), [v1, v2], "_r")
-    other = ranked.join(n, scope).filter("_r <= _n").drop("_r", "_n")
-    return df.filter("label = 'rhyme'").unionByName(other)
+    """All different rhymes (scope, label and texts), and of each scope as many dissonances as it has rhymes, in the order of a hash of the pair.
+
+    Different pairs are counted by digests first, in 4,096 slices of the hash. So the texts of the few dissonances that can be chosen move, not those of all.
+    """
+    df = df.select(*scope, v1, v2, "label")
+    hashed = df.withColumn("_h", F.md5(F.concat_ws("|", v1, v2).cast("binary")))
+    each = hashed.select(*scope, "label", F.unhex("_h").alias("_h"), F.xxhash64(v1, v2).alias("_x"), F.substring("_h", 1, 3).alias("_b")).distinct()
+    cells = each.groupBy(*scope, "label", "_b").agg(F.count("*").alias("_c"))
+    rhymes = F.coalesce(F.sum(F.when(F.col("label") == "rhyme", F.col("_c"))).over(W.partitionBy(*scope)), F.lit(0))
+    before = F.sum("_c").over(W.partitionBy(*scope, "label").orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
+    counted = cells.select(*scope, "label", "_b", rhymes.alias("_n"), F.coalesce(before, F.lit(0)).alias("_before")).filter("label = 'dissonance' AND _before < _n")
+    last = few(counted.groupBy(*scope).agg(F.max("_b").alias("_last"), F.first("_n").alias("_n")), 100_000)  # _n is one value for a scope
+    near = hashed.filter("label = 'dissonance'").join(last, scope).filter(F.substring("_h", 1, 3) <= F.col("_last")).drop("_h", "_last").distinct()
+    other = rank_by_md5(near, scope, F.concat_ws("|", v1, v2), [v1, v2], "_r").filter("_r <= _n").drop("_r", "_n")
+    return df.filter("label = 'rhyme'").distinct().unionByName(other)

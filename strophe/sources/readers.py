@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from strophe.functions.enums import EMOTIONS
 from strophe.functions.prosody import foot_and_metre, meter_label, repeated_scheme, stresses, versification
 from strophe.functions.text import emotion_detokenize, normalize_characters, strip
-from strophe.operators.pairs import balanced, keep_first, keep_last, rhyme_pairs
+from strophe.operators.pairs import balanced, balanced_within, keep_first, rhyme_pairs
 
 TEI = "http://www.tei-c.org/ns/1.0"
 N = f"{{{TEI}}}"
@@ -193,12 +193,9 @@ def fit_scheme(df: DataFrame, drop_short_first: bool) -> DataFrame:
 
 
 def pair_corpus(stanzas: DataFrame, source: str, language: str, scope: list[str] | None = None) -> DataFrame:
-    """v1, v2, label, language, source: each pair of texts once by label (last stanza wins), dissonances balanced within the scope."""
-    scope = scope or []
+    """v1, v2, label, language, source: each pair of texts once by label, dissonances balanced within the scope (columns of a file, or the whole corpus)."""
     pairs = rhyme_pairs(stanzas, F.transform("texts", strip), F.col("rhyme"))
-    last = keep_last(pairs.select(*scope, "v1", "v2", "label", "path", "stanza", "j", "k"), [*scope, "v1", "v2", "label"], ["path", "stanza", "j", "k"])
-    own = scope or ["_all"]
-    chosen = balanced(last if scope else last.withColumn("_all", F.lit(0)), own)
+    chosen = balanced_within(pairs, scope) if scope else balanced(pairs.withColumn("_all", F.lit(0)), ["_all"])
     return chosen.select("v1", "v2", "label", F.lit(language).alias("language"), F.lit(source).alias("source"))
 
 

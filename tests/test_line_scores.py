@@ -35,3 +35,23 @@ def test_alliterations(spark):
         n = len(p)
         plain = sum(sum(p[i] == p[i + d] for i in range(n - d)) / d for d in range(1, n)) / sum((n - d) / d for d in range(1, n)) if n > 1 else 0.0
         assert r["x"] == r["y"] and math.isclose(r["x"], plain, abs_tol=1e-12)
+
+
+def test_balanced(spark):
+    """Only dissonances of slices of the hash that can be chosen keep their texts; repeated pairs count once; both ways choose the same."""
+    from hashlib import md5
+
+    from strophe.operators import pairs
+
+    rows = [(s, f"a{i}|", f"|b{i % 7}", "rhyme" if i % (5 + s) == 0 else "dissonance") for s in (0, 1, 2) for i in range(400)]
+    rows += [(1, "a", "b|c", "dissonance"), (1, "a|b", "c", "dissonance"), (3, "x", "y", "dissonance")]
+    df = spark.createDataFrame(rows * 2, "s int, v1 string, v2 string, label string")
+    want = []
+    for s in range(4):
+        own = sorted({r for r in rows if r[0] == s}, key=lambda r: (md5(f"{r[1]}|{r[2]}".encode()).hexdigest(), r[1], r[2]))
+        rhymes = [r for r in own if r[3] == "rhyme"]
+        want += rhymes + [r for r in own if r[3] == "dissonance"][: len(rhymes)]
+    for way in (pairs.balanced, pairs.balanced_within):
+        got = way(df, ["s"])
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert "max_by" not in plan(catalogue.queries()["balanced_negatives"](spark, SF))

@@ -24,6 +24,31 @@ def _means(x: str, s) -> np.ndarray:
     return np.add.reduceat(np.asarray(s, float), lead) / np.diff(np.append(lead, len(s))) if len(lead) else np.zeros(0)
 
 
+def _steps(x: str, means: np.ndarray) -> np.ndarray:
+    step = np.ceil(np.round(means * 10) / 2).astype(np.int32)
+    step[[i for i, c in enumerate(x) if c.isspace()]] = 0
+    return step
+
+
+def shade_counts(text: Column, score_of_byte: list[float]) -> Column:
+    """Of each text how many of its characters have each of the six shades, where a byte's score is that of its value; scores are rescaled by text as in ``rescaled``."""
+    table = np.array(score_of_byte)
+
+    def one(x):
+        if x is None:
+            return None
+        s = table[np.frombuffer(x.encode(), np.uint8)]
+        low, high = s.min(initial=np.inf), s.max(initial=-np.inf)
+        s = (s - low) / (high - low) if high > low else np.zeros(len(s))
+        return np.bincount(_steps(x, _means(x, s)), minlength=6).astype(np.int64)
+
+    @F.pandas_udf("array<bigint>")
+    def counted(texts: pd.Series) -> pd.Series:
+        return pd.Series([one(x) for x in texts], dtype=object)
+
+    return counted(text)
+
+
 def shaded(df: DataFrame, text: str = "text", scores: str = "scores") -> DataFrame:
     """df's other columns with means (of each character the mean score of its UTF-8 bytes) and shades: of each character the first of 0, 0.2, 0.4, 0.6, 0.8 and 1
     (0 to 5) that its mean, rounded to tenths (half to even), doesn't exceed; 0 for white space.
@@ -35,10 +60,7 @@ def shaded(df: DataFrame, text: str = "text", scores: str = "scores") -> DataFra
     def run(batches):
         for b in batches:
             given = [None if x is None or s is None else _means(x, s) for x, s in zip(b[text], b[scores], strict=True)]
-            steps = [None if m is None else np.ceil(np.round(m * 10) / 2).astype(np.int32) for m in given]
-            for x, step in zip(b[text], steps, strict=True):
-                if step is not None:
-                    step[[i for i, c in enumerate(x) if c.isspace()]] = 0
+            steps = [None if m is None else _steps(x, m) for x, m in zip(b[text], given, strict=True)]
             yield pd.DataFrame({**{c: b[c] for c in rest}, "means": given, "shades": steps})
 
     kinds = dict(df.dtypes)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,8 +15,20 @@ BASE = 257  # bytes, and one more that stands before the first byte
 START = 256
 
 
-def grams(order: int) -> Callable[[str], Column]:
-    """Of a text column, the different n-grams of each text's UTF-8 bytes (gram: a byte behind order - 1 others, digits of a number to the base 257) and how often each occurs (n)."""
+def parts(texts: pd.Series, most: int) -> Iterator[pd.Series]:
+    """A batch of texts in pieces of about ``most`` characters, one text at least."""
+    size = texts.str.len().fillna(0).to_numpy(dtype=float)
+    piece = (np.cumsum(size) - size) // most
+    for at in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(piece)) + 1):
+        if len(at):
+            yield texts.iloc[at]
+
+
+def grams(order: int, most: int = 1_000_000) -> Callable[[str], Column]:
+    """Of a text column, the different n-grams of each text's UTF-8 bytes (gram: a byte behind order - 1 others, digits of a number to the base 257) and how often each occurs (n).
+
+    most: so many characters at a time are counted, so that a batch of 10,000 texts does not hold all its counts at once.
+    """
 
     def one(x):
         if not x:
@@ -28,9 +40,11 @@ def grams(order: int) -> Callable[[str], Column]:
         return np.unique(code, return_counts=True)
 
     @F.pandas_udf("struct<gram:array<bigint>,n:array<bigint>>")
-    def counted(texts: pd.Series) -> pd.DataFrame:
-        both = [one(x) for x in texts]
-        return pd.DataFrame({"gram": [g for g, _ in both], "n": [n for _, n in both]})
+    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            for part in parts(texts, most):
+                both = [one(x) for x in part]
+                yield pd.DataFrame({"gram": [g for g, _ in both], "n": [n for _, n in both]})
 
     def of(text: str) -> Column:
         found = counted(text)

@@ -147,8 +147,9 @@ def detokenize(tokens: Column, lang: str) -> Column:
 
     start = F.struct(F.lit("").alias("text"), F.lit(" ").alias("space"), F.array().cast("array<string>").alias("quotes"))
     numbered = lambda ws: F.transform(ws, lambda w, i: F.struct(i.alias("i"), w.alias("w"), F.get(ws, i - 1).alias("before"), F.get(ws, i + 1).alias("after")))
-    text = F.aggregate(let(words(unescape(F.array_join(tokens, " "))), numbered), start, step, lambda s: s["text"])
-    return F.trim(F.regexp_replace(text, " +", " "))
+    text = lambda x: F.trim(F.regexp_replace(F.aggregate(let(words(unescape(x)), numbered), start, step, lambda s: s["text"]), " +", " "))
+    # Tokens of letters, marks and ASCII digits alone are words, which stand apart from each other: no token need be looked at.
+    return let(F.array_join(tokens, " "), lambda x: F.when(x.rlike(r"^[\p{L}\p{M}0-9 ]*$"), F.trim(F.regexp_replace(x, " +", " "))).otherwise(text(x)))
 
 
 def clean_tokens(x: Column, lang: str, drop: str | None = PUNCTUATION, protected: list[str] | None = None) -> Column:

@@ -36,14 +36,22 @@ def files(spark: SparkSession, path: str, pattern: str = "*", encoding: str = "U
     return raw.select("path", F.decode("content", encoding).alias("content"))
 
 
-def per_file(df: DataFrame, parse: Callable[[str], Iterator[tuple]], schema: str) -> DataFrame:
-    """path and what parse yields for each file's content."""
+def per_file(df: DataFrame, parse: Callable[[str], Iterator[tuple]], schema: str, chars: int = 1_000_000) -> DataFrame:
+    """path and what parse yields for each file's content. Rows leave a task after about ``chars`` characters, so that they do not add up over the 10,000 files of a batch."""
     names = [x.split()[0] for x in re.split(r", (?![^<]*>)", schema)]
 
     def run(parts):
         for part in parts:
-            rows = [(p, *row) for p, c in zip(part["path"], part["content"], strict=True) if c is not None for row in parse(c)]
-            yield pd.DataFrame(rows, columns=["path", *names])
+            rows, size = [], 0
+            for p, c in zip(part["path"], part["content"], strict=True):
+                if c is not None:
+                    rows += [(p, *row) for row in parse(c)]
+                    size += len(c)
+                if size >= chars:
+                    yield pd.DataFrame(rows, columns=["path", *names])
+                    rows, size = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=["path", *names])
 
     return df.select("path", "content").mapInPandas(run, f"path string, {schema}")
 

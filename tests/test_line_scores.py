@@ -55,3 +55,44 @@ def test_balanced(spark):
         got = way(df, ["s"])
         assert sorted(tuple(r) for r in got.collect()) == sorted(want)
     assert "max_by" not in plan(catalogue.queries()["balanced_negatives"](spark, SF))
+
+
+def test_rows_leave_in_pieces():
+    """What is made of a batch does not add up: a batch of 10,000 texts or files is counted and parsed in pieces."""
+    import pandas as pd
+
+    from strophe.operators import language_model
+
+    texts = pd.Series(["abc", None, "d" * 50, "", "e" * 9, "f"])
+    got = [list(p) for p in language_model.parts(texts, 10)]
+    assert [x for p in got for x in p] == list(texts) and len(got) > 2
+    assert list(language_model.parts(texts[:0], 10)) == []
+
+
+def test_files_leave_in_pieces(spark):
+    """How large a piece is does not change what is read."""
+    from strophe.sources import readers
+
+    df = spark.createDataFrame([(f"/{i}", "x" * (i % 7)) for i in range(50)] + [("/n", None)], "path string, content string").coalesce(1)
+    rows = lambda chars: sorted(tuple(r) for r in readers.per_file(df, lambda c: [(x,) for x in c], "x string", chars).collect())
+    assert rows(3) == rows(10**6) and len(rows(3)) == sum(i % 7 for i in range(50))
+
+
+def test_words_alone(spark):
+    """Tokens of letters and digits need no look at each; others still get it."""
+    from strophe.functions import rules
+
+    tokens = [(["Die", "Äpfel", "2", "é"],), ([],), (["a", "'s", "b"],), (["(", "x", ")", ","],), (["&quot;", "x", "&quot;"],)]
+    df = spark.createDataFrame(tokens, "t array<string>")
+    assert [r[0] for r in df.select(rules.detokenize(F.col("t"), "en")).collect()] == ["Die Äpfel 2 é", "", "a's b", "(x),", '"x"']
+
+
+def test_shade_counts(spark):
+    """The same as counting the shades of all characters."""
+    from strophe.functions import attribution, tokens
+
+    table = [((i * 37) % 101) / 101 for i in range(256)]
+    df = spark.createDataFrame([("Grüße, Welt\n 🎵 x",), ("aaa",), ("",), (None,), ("  ",)], "text string")
+    scores = attribution.rescaled(F.transform(tokens.byte_ids(F.col("text"), 0), lambda b: F.get(F.array(*map(F.lit, table)), b)))
+    want = [None if r["shades"] is None else [r["shades"].count(i) for i in range(6)] for r in attribution.shaded(df.select("text", scores.alias("scores"))).collect()]
+    assert [r[0] for r in df.select(attribution.shade_counts(F.col("text"), table)).collect()] == want

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strophe.functions.prosody import alliteration, stressed_phones
+from strophe.functions.prosody import alliterations, stressed_phones
 from strophe.functions.text import tokens
 from strophe.sources.readers import pronounced
 
@@ -20,4 +20,4 @@ def sentence_phones(df: DataFrame, ids: list[str], verse: str, dictionary: DataF
 
 def sentence_alliteration(df: DataFrame, ids: list[str], verse: str, dictionary: DataFrame, **options) -> DataFrame:
     """Adds the alliteration score of the stressed phones."""
-    return sentence_phones(df, ids, verse, dictionary, **options).withColumn("score", alliteration(stressed_phones(F.col("ipa"))))
+    return sentence_phones(df, ids, verse, dictionary, **options).withColumn("score", F.get(alliterations(F.array(stressed_phones(F.col("ipa")))), 0))

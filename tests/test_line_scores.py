@@ -96,3 +96,9 @@ def test_shade_counts(spark):
     scores = attribution.rescaled(F.transform(tokens.byte_ids(F.col("text"), 0), lambda b: F.get(F.array(*map(F.lit, table)), b)))
     want = [None if r["shades"] is None else [r["shades"].count(i) for i in range(6)] for r in attribution.shaded(df.select("text", scores.alias("scores"))).collect()]
     assert [r[0] for r in df.select(attribution.shade_counts(F.col("text"), table)).collect()] == want
+
+
+def test_phones_are_counted_by_numpy(spark):
+    """Scores of sentences come from ``alliterations``, not from folds over folds."""
+    p = plan(catalogue.queries()["sentence_phones"](spark, SF))
+    assert "ArrowEvalPython" in p and "zip_with" not in p and "zipwith" not in p.lower()

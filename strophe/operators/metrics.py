@@ -12,6 +12,7 @@ from strophe.functions.prosody import alliteration_level, alliterations, harmoni
 
 from .fuzzy import closest, length_band
 from .language_model import grams
+from .scratch import Scratch
 
 
 def checked(df: DataFrame, column: str, names: list[str]) -> DataFrame:
@@ -97,7 +98,7 @@ def with_style(generated: DataFrame, train: DataFrame, keys: list[str]) -> DataF
 
 def memorization_metric(generated: DataFrame, train: DataFrame, keys: list[str], cutoff: float = 0.7) -> DataFrame:
     """Share of generated texts with a training text of the same style at a difflib ratio of cutoff or more."""
-    generated = with_style(generated, train, keys)
+    generated = Scratch(generated.sparkSession, "generated").keep(with_style(generated, train, keys))
 
     hits = closest(generated, train, keys, cutoff).select("id").distinct().withColumn("hit", F.lit(1.0))
     return generated.join(hits, "id", "left").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("extractive_memorization_rate"))

@@ -86,9 +86,9 @@ def emotion_prompt(emotions: Column) -> Column:
     return F.array_join(F.transform(F.sort_array(emotions), lambda e: style_token(e, EMOTION)), "")
 
 
-def training_text(prompt: Column, verses: Column, bos: str = "<s>", eos: str = "</s>") -> Column:
-    """bos, the tokens of a prompt, then the clean verses, eos: for a decoder alone."""
-    return F.concat(F.lit(bos), prompt, clean_verses(verses), F.lit(eos))
+def training_text(prompt: Column, verses: Column, bos: str = "<s>", eos: str = "</s>", clean: bool = False) -> Column:
+    """bos, the tokens of a prompt, then the clean verses, eos: for a decoder alone. clean: the verses are clean already."""
+    return F.concat(F.lit(bos), prompt, F.array_join(verses, "\n") if clean else clean_verses(verses), F.lit(eos))
 
 
 def training_pair(prompt: Column, verses: Column, eos: str = "</s>") -> Column:
@@ -99,8 +99,9 @@ def training_pair(prompt: Column, verses: Column, eos: str = "</s>") -> Column:
 def parsed_text(x: Column, bos: str = "<s>", eos: str = "</s>") -> Column:
     """rhyme, meter, level and quatrain of a training text."""
     token = r"(<extra_id_\d+>)"
-    pattern = f"(?s)^{bos}{token}{token}{token}(.*?)(?:{eos}.*)?$"
-    part = lambda i: F.regexp_extract(x, pattern, i)
+    head = f"^{bos}{token}{token}{token}"
+    # What follows the tokens always fits, so they are found without a look at it.
+    part = lambda i: F.regexp_extract(x, head, i) if i < 4 else F.regexp_extract(x, f"(?s){head}(.*?)(?:{eos}.*)?$", i)
     return F.struct(style_name(part(1)).alias("rhyme"), style_name(part(2)).alias("meter"), style_name(part(3)).alias("level"), part(4).alias("quatrain"))
 
 

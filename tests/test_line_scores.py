@@ -102,3 +102,26 @@ def test_phones_are_counted_by_numpy(spark):
     """Scores of sentences come from ``alliterations``, not from folds over folds."""
     p = plan(catalogue.queries()["sentence_phones"](spark, SF))
     assert "ArrowEvalPython" in p and "zip_with" not in p and "zipwith" not in p.lower()
+
+
+def test_training_sequences_clean_a_line_once(spark, monkeypatch):
+    """Lines are cleaned before windows are cut, and the training texts are those of verses cleaned by window."""
+    from pyspark.sql import functions as F
+
+    from strophe.functions import tokens
+
+    windows = catalogue.quatrains(spark, SF, "clean")
+    same = F.array_join("clean", "\n") == tokens.clean_verses(F.col("quatrain"))
+    assert windows.filter(~same).count() == 0 < windows.count()
+    monkeypatch.setattr(tokens, "clean_verses", None)
+    assert catalogue.training_sequences(spark, SF).count() > 100
+
+
+def test_parsed_text(spark):
+    from pyspark.sql import functions as F
+
+    from strophe.functions import tokens
+
+    texts = ["<s><extra_id_9><extra_id_3><extra_id_0>a\nb</s>c</s>", "<s><extra_id_9><extra_id_3><extra_id_0>", "<s><extra_id_9><extra_id_3>a</s>", "x<s><extra_id_9><extra_id_3><extra_id_0>a", ""]
+    got = spark.createDataFrame([(x,) for x in texts], "x string").select("x", tokens.parsed_text(F.col("x")).alias("p")).select("x", "p.quatrain", F.col("p.rhyme").isNotNull().alias("r")).collect()
+    assert {r["x"]: (r["quatrain"], r["r"]) for r in got} == {texts[0]: ("a\nb", True), texts[1]: ("", True), texts[2]: ("", False), texts[3]: ("", False), "": ("", False)}

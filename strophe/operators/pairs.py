@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strophe.functions.core import let
+
 from .ranks import rank_by_md5
 from .scratch import small as few
 
@@ -32,6 +37,31 @@ def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
 
 
+def with_repeats(df: DataFrame, ids: list[str], verses: Column, most: int = 64) -> DataFrame:
+    """Adds _repeated: the verses that a text holds twice or more; null where these are more than ``most``, or where other rows have the same ids."""
+    shared = df.groupBy(*ids).agg(F.count("*").alias("_n")).filter("_n > 1").select(*[F.col(c).alias(f"_id_{c}") for c in ids], F.lit(True).alias("_shared"))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_id_{c}")) for c in ids])
+    twice = let(F.array_sort("_l"), lambda s: F.array_distinct(F.filter(s, lambda x, i: x == F.get(s, i - 1))))
+    found = F.when(F.size(F.array_distinct("_l")) == F.size("_l"), F.array().cast("array<string>")).otherwise(twice)
+    out = df.join(few(shared, 100_000), same, "left").withColumn("_l", verses).withColumn("_repeated", F.when(F.col("_shared").isNull(), found))
+    return out.withColumn("_repeated", F.when(F.size("_repeated") <= most, F.col("_repeated"))).drop("_l", "_shared", *[f"_id_{c}" for c in ids])
+
+
+def last_pairs(df: DataFrame, verses: Column, scheme: Column, ids: list[str], stanza: str = "stanza") -> DataFrame:
+    """``keep_last`` of the ``rhyme_pairs`` of stanzas by ids: of pairs that are equal in texts and label the last one in order of stanza, j and k. df comes from ``with_repeats``.
+
+    A pair of verses that both stand once among those of their ids has no equal, so it stays where it is. Only pairs with a repeated verse move, and those of ids that rows share.
+    """
+    at = F.transform(verses, lambda v: F.coalesce(F.array_contains("_repeated", v), F.lit(True)))
+    flagged = df.select(*ids, stanza, verses.alias("_verses"), scheme.alias("_scheme"), at.alias("_at"))
+    of = lambda x: rhyme_pairs(x, F.col("_verses"), F.col("_scheme"))
+    again = F.get("_at", F.col("j")) | F.get("_at", F.col("k"))
+    columns = [*ids, "v1", "v2", "label", stanza, "j", "k"]
+    alone = of(flagged.filter(F.exists("_at", lambda x: ~x))).filter(~again).select(*columns)
+    moved = of(flagged.filter(F.exists("_at", lambda x: x))).filter(again).select(*columns)
+    return alone.unionByName(keep_last(moved, [*ids, "v1", "v2", "label"], [stanza, "j", "k"]))
+
+
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*")

@@ -125,3 +125,16 @@ def test_parsed_text(spark):
     texts = ["<s><extra_id_9><extra_id_3><extra_id_0>a\nb</s>c</s>", "<s><extra_id_9><extra_id_3><extra_id_0>", "<s><extra_id_9><extra_id_3>a</s>", "x<s><extra_id_9><extra_id_3><extra_id_0>a", ""]
     got = spark.createDataFrame([(x,) for x in texts], "x string").select("x", tokens.parsed_text(F.col("x")).alias("p")).select("x", "p.quatrain", F.col("p.rhyme").isNotNull().alias("r")).collect()
     assert {r["x"]: (r["quatrain"], r["r"]) for r in got} == {texts[0]: ("a\nb", True), texts[1]: ("", True), texts[2]: ("", False), texts[3]: ("", False), "": ("", False)}
+
+
+def test_lines_of_as_many_phones_go_together(monkeypatch):
+    """The same values to the last bit, and hardly a line by itself."""
+    import random
+
+    rng = random.Random(6)
+    line = lambda n, of: "\0".join(rng.choice(of) for _ in range(n))
+    lines = [line(rng.randrange(1, 40), "abcdé🎉") for _ in range(500)] + [line(n, ["a", "b", ""]) for n in range(1, 9)] + [line(n, ["a", "bc"]) for n in range(1, 9)] + ["", "a", "\0", "\0a", "a\0", "a\0\0", line(256, "abc"), line(257, "abc"), line(700, "abc")]
+    want, alone, one = [prosody._alliterating(x) for x in lines], [], prosody._alliterating
+    monkeypatch.setattr(prosody, "_alliterating", lambda x: alone.append(x) or one(x))
+    assert prosody._alliterating_all(lines) == want == prosody._alliterating_all(lines, 50)
+    assert len(alone) < 2 * 60

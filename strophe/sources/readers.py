@@ -21,6 +21,7 @@ from strophe.functions.enums import EMOTIONS
 from strophe.functions.prosody import foot_and_metre, meter_label, repeated_scheme, stresses, versification
 from strophe.functions.text import emotion_detokenize, normalize_characters, strip
 from strophe.operators.pairs import balanced, balanced_within, keep_first, rhyme_pairs
+from strophe.operators.scratch import Scratch
 
 TEI = "http://www.tei-c.org/ns/1.0"
 N = f"{{{TEI}}}"
@@ -262,11 +263,16 @@ def pronunciations(df: DataFrame, language: str) -> DataFrame:
     return per_file(df, parse, "word string, ipa string").select("word", "ipa")
 
 
+def looked_up(words: DataFrame, dictionary: DataFrame, guess=lambda w: F.substring(w, 1, 1)) -> DataFrame:
+    """Adds ipa to rows of different words: by word, else by lower-cased word, else a guess; empty entries count as missing. The dictionary is read and freed of repeats once."""
+    d = Scratch(words.sparkSession, "dictionary").keep(dictionary.select("word", "ipa").distinct().dropDuplicates(["word"]))
+    found = words.join(d.select("word", F.col("ipa").alias("_a")), "word", "left").withColumn("_low", F.lower("word")).join(d.select(F.col("word").alias("_low"), F.col("ipa").alias("_b")), "_low", "left")
+    return found.select(*words.columns, F.coalesce(F.nullif("_a", F.lit("")), F.nullif("_b", F.lit("")), guess(F.col("word"))).alias("ipa"))
+
+
 def pronounced(words: DataFrame, dictionary: DataFrame, guess=lambda w: F.substring(w, 1, 1)) -> DataFrame:
-    """Adds ipa by word, else by lower-cased word, else a guess; empty entries count as missing. Each different word is looked up once."""
-    d = dictionary.dropDuplicates(["word"])
-    known = words.select("word").distinct().join(d.select("word", F.col("ipa").alias("a")), "word", "left").withColumn("low", F.lower("word")).join(d.select(F.col("word").alias("low"), F.col("ipa").alias("b")), "low", "left")
-    return words.join(known.select("word", F.coalesce(F.nullif("a", F.lit("")), F.nullif("b", F.lit("")), guess(F.col("word"))).alias("ipa")), "word")
+    """``looked_up`` of any words: each different word is looked up once."""
+    return words.join(looked_up(words.select("word").distinct(), dictionary, guess), "word")
 
 
 def corpus(parts: dict[str, DataFrame], priority: list[str], keys: list[str], normalize: bool = True) -> DataFrame:

@@ -66,9 +66,13 @@ def _replaced(x: Column, rules) -> Column:
     return reduce(lambda c, r: F.regexp_replace(c, r[0], r[1]), rules, x)
 
 
+PLAIN = r"^[\p{L}\p{M}0-9 .,!?\-]*+\z"
+
+
 def normalize_punctuation(x: Column, lang: str) -> Column:
     rules = [*SPACING, *UNICODE, *GUILLEMETS, *PSEUDO_SPACES, *QUOTE_COMMA.get(lang, []), *NUMBERS.get(lang, POINT)]
-    return F.trim(_replaced(x, rules))
+    # Of letters, digits and these marks alone no rule changes anything but runs of spaces.
+    return let(x, lambda y: F.trim(F.when(y.rlike(PLAIN), F.regexp_replace(y, " +", " ")).otherwise(_replaced(y, rules))))
 
 
 def escape(x: Column) -> Column:

@@ -35,14 +35,19 @@ def rhyme(a: Column, b: Column, lang: Column | None = None, scorer: Callable[...
 def meter(verse: Column, lang: Column | None = None, scorer: Callable[..., Column] = scorers.meter_probability) -> Column:
     """label and score: the most probable meter, the first in order of several."""
 
-    def best(v):
-        every = F.array(*[F.struct(scorer(v, F.lit(m)).alias("score"), F.lit(-i).alias("order"), F.lit(m).alias("label")) for i, m in enumerate(METERS)])
+    def best(of):
+        every = F.array(*[F.struct(of(F.lit(m)).alias("score"), F.lit(-i).alias("order"), F.lit(m).alias("label")) for i, m in enumerate(METERS)])
         return let(F.array_max(every), lambda x: F.struct(x["label"].alias("label"), x["score"].alias("score")))
 
-    return let(cleaned(verse, lang), best)
+    if scorer is scorers.meter_probability:  # the stand-in finds a verse's meter once for all targets
+        return let(scorers.meter(cleaned(verse, lang)), lambda x: best(lambda m: scorers.probability_of_meter(x, m)))
+    return let(cleaned(verse, lang), lambda v: best(lambda m: scorer(v, m)))
 
 
 def emotion(verse: Column, lang: Column | None = None, scorer: Callable[..., Column] = scorers.emotion_probability, least: float = 0.5) -> Column:
     """label, score and predicted of each emotion."""
-    one = lambda v, e, c: let(scorer(v, c), lambda s: F.struct(F.lit(e).alias("label"), s.alias("score"), (s >= least).alias("predicted")))
-    return let(cleaned(verse, lang), lambda v: F.array(*[one(v, e, c) for e, c in scorers.EMOTION_LETTERS.items()]))
+    one = lambda score, e: let(score, lambda s: F.struct(F.lit(e).alias("label"), s.alias("score"), (s >= least).alias("predicted")))
+    every = lambda of: F.array(*[one(of(c), e) for e, c in scorers.EMOTION_LETTERS.items()])
+    if scorer is scorers.emotion_probability:  # a verse is lowered once for all letters
+        return let(cleaned(verse, lang), lambda v: let(F.lower(v), lambda low: every(lambda c: scorer(v, c, low))))
+    return let(cleaned(verse, lang), lambda v: every(lambda c: scorer(v, c)))

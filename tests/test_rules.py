@@ -156,3 +156,24 @@ def test_classifiers_clean_first(spark):
     for r in rows:
         n[r["doc_id"]] += r["n"] if r["label"].startswith("meter") else 0
     assert n == Counter({r["doc_id"]: r["text"].count("\n") + 1 for r in spark.read.parquet(f"{SF}/documents.parquet").collect()})
+
+
+def test_plain_texts_go_without_rules(spark):
+    """Texts of letters, digits and plain marks, and others, against all rules; a verse's meter is found once for all targets."""
+    import random
+
+    from strophe.functions import scorers
+    from strophe.operators import classify
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(of) for _ in range(rng.randrange(25))) for of in ("aÉ1 .,!?-e\u0301", "a1 .,:;()%\"'", "a \u00a0.«»’º1,%\r") for _ in range(150)] + [None, "", "  ", "a \n", "a  b\n"]
+    df = spark.createDataFrame([(x,) for x in texts], "x string")
+    for lang in ("en", "de"):
+        every = [*rules.SPACING, *rules.UNICODE, *rules.GUILLEMETS, *rules.PSEUDO_SPACES, *rules.QUOTE_COMMA.get(lang, []), *rules.NUMBERS.get(lang, rules.POINT)]
+        assert [a for a, b in df.select(rules.normalize_punctuation(F.col("x"), lang), F.trim(rules._replaced(F.col("x"), every))).collect() if a != b] == []
+    other = lambda v, m: scorers.meter_probability(v, m)
+    letters = lambda v, c: scorers.emotion_probability(v, c)
+    v = F.col("x")
+    assert [a for a, b in df.select(classify.emotion(v), classify.emotion(v, scorer=letters)).collect() if a != b] == []
+    text = lambda c: c._jc.toString().count("hexa")
+    assert text(classify.meter(v)) <= text(scorers.meter(v)) < text(classify.meter(v, scorer=other))
